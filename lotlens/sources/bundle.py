@@ -53,8 +53,10 @@ def write_stage(df: DataFrame, path: str, stage: str, *, version: str = "1",
     obs = Observation(f"rows_{stage}")
     keys = [c for c in ("lot_start_time", "lot_number", "FrameNo", "colname", "PositionY", "PositionX")
             if c in df.columns]
-    out = _with_stage_metadata(df, stage, version).observe(obs, F.count(F.lit(1)).alias("rows"))
-    out = out.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # observe above the range exchange: the partitioner's sampling job reads
+    # the child plan, and a metric below the exchange would count it too.
+    out = _with_stage_metadata(df, stage, version).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    out = out.observe(obs, F.count(F.lit(1)).alias("rows"))
     writer = out.write.mode("overwrite").option("compression", "zstd")
     if partition_by_lot:
         writer = writer.partitionBy("lot_number")
@@ -150,7 +152,9 @@ def open_bundle(spark: SparkSession, bundle_dir: str) -> dict:
     """Read a published bundle: ``{"manifest": dict, <table>: DataFrame, ...}``."""
     base = bundle_dir.rstrip("/")
     manifest = json.loads(read_text(spark, f"{base}/manifest.json"))
-    out: dict = {"manifest": manifest}
+    out: dict = {"manifest": manifest, "kde_bins": manifest["kde_bins"],
+                 "bit_items": tuple(m["colname"] for m in sorted(manifest["ng_bit_mapping"],
+                                                                  key=lambda m: m["bit_index"]))}
     for name, meta in manifest["tables"].items():
         out[name] = spark.read.parquet(f"{base}/{meta['path']}")
     return out
