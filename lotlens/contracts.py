@@ -110,6 +110,31 @@ def check_items(items: tuple[ItemSpec, ...]) -> None:
         raise ValueError(f"at most {MAX_BIT_ITEMS} items fit the NG bit mask")
 
 
+def _sql_literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, int):
+        return f"{value}L"
+    if isinstance(value, float):
+        return f"CAST('{value!r}' AS DOUBLE)"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small constant table as one inline ``VALUES`` relation: parsed once in
+    the JVM into a local relation, so using it never starts Python workers."""
+    from pyspark.sql import functions as F
+
+    names = [f"c{i}" for i in range(len(schema.fields))]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    values = ", ".join("(" + ", ".join(_sql_literal(v) for v in row) + ")" for row in rows)
+    df = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+    return df.select(*[F.col(n).cast(f.dataType).alias(f.name) for n, f in zip(names, schema.fields)])
+
+
 def item_dimension(spark: SparkSession, items: tuple[ItemSpec, ...]) -> DataFrame:
     """Item master as a small DataFrame (<= 63 rows, checked), safe to broadcast."""
     check_items(items)
@@ -118,4 +143,4 @@ def item_dimension(spark: SparkSession, items: tuple[ItemSpec, ...]) -> DataFram
          it.meta_ignore, it.meta_best, it.meta_category, it.meta_unit)
         for i, it in enumerate(items)
     ]
-    return spark.createDataFrame(rows, ITEM_SCHEMA)
+    return literal_table(spark, rows, ITEM_SCHEMA)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotlens.contracts import POSITION_X, POSITION_Y
+from lotlens.contracts import POSITION_X, POSITION_Y, literal_table
 
 SCHEMA_VERSION = 1
 MAX_CATALOG_CELLS = 100_000
@@ -84,7 +84,7 @@ def catalog_rows(catalog: dict) -> list[tuple]:
 
 def path_catalog(spark: SparkSession, catalog: dict | None = None) -> DataFrame:
     """Catalog as a table (equipment, path, step, PositionX, PositionY)."""
-    return spark.createDataFrame(catalog_rows(catalog or builtin_catalog()), PATH_SCHEMA)
+    return literal_table(spark, catalog_rows(catalog or builtin_catalog()), PATH_SCHEMA)
 
 
 def path_violations(spark: SparkSession, catalog: dict) -> DataFrame:
