@@ -31,8 +31,8 @@ def main() -> None:
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(max(8, 2 * cpus))))
     spark = local_session(cores=cpus, shuffle_partitions=partitions, app="lotlens-bench")
-    from lotlens.testing.registry import queries
-    qs = queries()
+    from lotlens.testing.registry import operators
+    qs = operators()
 
     def run(name: str) -> float:
         t0 = time.perf_counter()

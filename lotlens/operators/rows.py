@@ -1,41 +1,66 @@
 """Row-level stages: raw -> standardized -> judged (no grain change, no shuffle).
 
-Both stages are pure projections, so ``raw.transform(standardize)
-.transform(judge)`` fuses into the scan's whole-stage-codegen span.
+Both stages are one projection each, so ``raw.transform(standardize)
+.transform(judge)`` fuses into the scan's whole-stage-codegen span.  The
+formulas are Spark SQL expressions (parsed once in the JVM), which keeps the
+driver-side plan construction cheap.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotlens.contracts import JUDGED_ADDED, STANDARDIZED_ADDED, TARGET_META_TYPE, insert_after
-from lotlens.functions.scalar import finite
 
 
-def _null_d():
-    return F.lit(None).cast("double")
+def fin(c: str) -> str:
+    """SQL: present, not NaN, not infinite (never null)."""
+    return f"coalesce({c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) != CAST('Infinity' AS DOUBLE), false)"
 
 
-def spec_position(value="value", limmin="limmin", limmax="limmax"):
-    """Two-sided spec: (v - centre) / half-width; null otherwise (and for a
-    zero-width spec or a NaN value)."""
-    v, lo, hi = F.col(value), F.col(limmin), F.col(limmax)
-    ok = finite(lo) & finite(hi) & (hi != lo) & ~F.isnan(v)
-    return F.when(ok, (v - (lo + hi) / F.lit(2.0)) / ((hi - lo) / F.lit(2.0))).otherwise(_null_d())
+# Two-sided spec: (v - centre) / half-width; null otherwise (and for a
+# zero-width spec or a NaN value).
+SPEC_POSITION = (f"CASE WHEN {fin('limmin')} AND {fin('limmax')} AND limmax != limmin AND NOT isnan(value) "
+                 f"THEN (value - (limmin + limmax) / 2.0D) / ((limmax - limmin) / 2.0D) END")
+# Upper spec with a best value and no finite lower limit: (v - best)/(upper - best).
+SPEC_USAGE = (f"CASE WHEN NOT {fin('limmin')} AND {fin('meta_best')} AND {fin('limmax')} "
+              f"AND limmax != meta_best AND NOT isnan(value) "
+              f"THEN (value - meta_best) / (limmax - meta_best) END")
 
+TARGET = f"coalesce(meta_type = '{TARGET_META_TYPE}' AND NOT meta_ignore, false)"
+_VALID = "(value IS NOT NULL AND NOT isnan(value))"
+LOWER_NG = f"coalesce({TARGET} AND {_VALID} AND {fin('limmin')} AND value < limmin, false)"
+UPPER_NG = f"coalesce({TARGET} AND {_VALID} AND {fin('limmax')} AND value > limmax, false)"
 
-def spec_usage(value="value", limmin="limmin", limmax="limmax", best="meta_best"):
-    """Upper spec with a best value and no lower limit: (v - best)/(upper - best)."""
-    v, lo, hi, b = F.col(value), F.col(limmin), F.col(limmax), F.col(best)
-    ok = ~finite(lo) & finite(b) & finite(hi) & (hi != b) & ~F.isnan(v)
-    return F.when(ok, (v - b) / (hi - b)).otherwise(_null_d())
+JUDGED_EXPR = {
+    "normalized_value": f"CASE WHEN {fin('spec_position')} THEN spec_position ELSE spec_usage END",
+    "normalized_deviation": (f"CASE WHEN {fin('spec_position')} THEN abs(spec_position) "
+                             f"WHEN spec_usage IS NOT NULL THEN greatest(spec_usage, 0.0D) END"),
+    "is_judgement_target": TARGET,
+    "is_ng": f"({LOWER_NG}) OR ({UPPER_NG})",
+    "ng_direction": f"CAST(CASE WHEN {LOWER_NG} THEN -1 WHEN {UPPER_NG} THEN 1 ELSE 0 END AS TINYINT)",
+}
+
+
+def spec_position() -> Column:
+    return F.expr(SPEC_POSITION)
+
+
+def spec_usage() -> Column:
+    return F.expr(SPEC_USAGE)
+
+
+def _project(df: DataFrame, anchor: str, added: tuple[str, ...], exprs: dict[str, str]) -> DataFrame:
+    cols = [F.expr(exprs[c]).alias(c) if c in exprs else F.col(c)
+            for c in insert_after(df.columns, anchor, added)]
+    return df.select(*cols)
 
 
 def standardize(raw: DataFrame) -> DataFrame:
     """Add ``spec_position`` and ``spec_usage`` right after ``value``."""
-    out = raw.withColumns({"spec_position": spec_position(), "spec_usage": spec_usage()})
-    return out.select(*insert_after(raw.columns, "value", STANDARDIZED_ADDED))
+    return _project(raw, "value", STANDARDIZED_ADDED,
+                    {"spec_position": SPEC_POSITION, "spec_usage": SPEC_USAGE})
 
 
 def judge(standardized: DataFrame) -> DataFrame:
@@ -47,24 +72,7 @@ def judge(standardized: DataFrame) -> DataFrame:
     * lower NG: target and finite(limmin) and value < limmin (strict); upper
       alike; direction -1 / +1 / 0, lower wins.  NaN values are never NG.
     """
-    pos, use, v = F.col("spec_position"), F.col("spec_usage"), F.col("value")
-    target = F.coalesce((F.col("meta_type") == TARGET_META_TYPE) & ~F.col("meta_ignore"), F.lit(False))
-    valid = v.isNotNull() & ~F.isnan(v)
-    lower_ng = target & valid & finite("limmin") & (v < F.col("limmin"))
-    upper_ng = target & valid & finite("limmax") & (v > F.col("limmax"))
-    lower_ng = F.coalesce(lower_ng, F.lit(False))
-    upper_ng = F.coalesce(upper_ng, F.lit(False))
-    out = standardized.withColumns({
-        "normalized_value": F.when(finite(pos), pos).otherwise(use),
-        "normalized_deviation": F.when(finite(pos), F.abs(pos))
-                                 .when(use.isNotNull(), F.greatest(use, F.lit(0.0)))
-                                 .otherwise(_null_d()),
-        "is_judgement_target": target,
-        "is_ng": lower_ng | upper_ng,
-        "ng_direction": F.when(lower_ng, F.lit(-1)).when(upper_ng, F.lit(1)).otherwise(F.lit(0))
-                         .cast("tinyint"),
-    })
-    return out.select(*insert_after(standardized.columns, "spec_usage", JUDGED_ADDED))
+    return _project(standardized, "spec_usage", JUDGED_ADDED, JUDGED_EXPR)
 
 
 def judged_targets(judged: DataFrame) -> DataFrame:

@@ -18,17 +18,31 @@ from lotlens.operators import aggregates as A
 from lotlens.operators.rows import judged_targets
 
 
+class LazyBundle(dict):
+    """Bundle whose grains are built on first access (a view that reads one
+    grain never plans the other four)."""
+
+    def __init__(self, builders: dict, **meta):
+        super().__init__(**meta)
+        self._builders = builders
+
+    def __missing__(self, key):
+        if key not in self._builders:
+            raise KeyError(key)
+        value = self._builders[key]()
+        self[key] = value
+        return value
+
+
 def bundle_from_judged(judged: DataFrame, bit_items, bins: int = KDE_BINS) -> dict:
-    """The five grains as lazy DataFrames (nothing is computed until used)."""
-    return {
-        "lots": A.lots(judged),
-        "frame_item_stats": A.frame_item_stats(judged),
-        "position_item_stats": A.position_item_stats(judged),
-        "lot_item_histogram": A.lot_item_histogram(judged, bins),
-        "piece_ng": A.piece_ng(judged, bit_items),
-        "bit_items": tuple(bit_items),
-        "kde_bins": bins,
-    }
+    """The five grains as lazy DataFrames (nothing is planned until used)."""
+    return LazyBundle({
+        "lots": lambda: A.lots(judged),
+        "frame_item_stats": lambda: A.frame_item_stats(judged),
+        "position_item_stats": lambda: A.position_item_stats(judged),
+        "lot_item_histogram": lambda: A.lot_item_histogram(judged, bins),
+        "piece_ng": lambda: A.piece_ng(judged, bit_items),
+    }, bit_items=tuple(bit_items), kde_bins=bins)
 
 
 def lot_filter(df: DataFrame, lots=None) -> DataFrame:

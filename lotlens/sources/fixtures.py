@@ -69,19 +69,17 @@ def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     lot = day of ``ts``, frame = hour + 1, X = user % 24 + 1,
     Y = (user div 24) % 12 + 1, vision/suffix = event_id % 3 + 1.
     """
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    k = (F.col("event_id") % 3 + 1).cast("string")
-    day = F.to_date(F.col("ts"))
-    long_df = ev.select(
-        F.concat(F.lit("vision_"), k).alias("vision"),
-        F.concat(F.lit("LOT_"), day.cast("string")).alias("lot_number"),
-        day.cast("timestamp_ntz").alias("lot_start_time"),
-        (F.hour("ts") + 1).cast("smallint").alias("FrameNo"),
-        (F.col("user_id") % 24 + 1).cast("tinyint").alias("PositionX"),
-        (F.floor(F.col("user_id") / 24).cast("int") % 12 + 1).cast("tinyint").alias("PositionY"),
-        F.col("value"),
-        F.concat(F.col("event_type"), F.lit("_v"), k).alias("colname"),
-        F.col("event_id").alias(MEASURE_ID),
+    k = "CAST(event_id % 3 + 1 AS STRING)"
+    long_df = table(spark, sf_dir, "events").selectExpr(
+        f"concat('vision_', {k}) AS vision",
+        "concat('LOT_', CAST(CAST(ts AS DATE) AS STRING)) AS lot_number",
+        "CAST(CAST(ts AS DATE) AS TIMESTAMP_NTZ) AS lot_start_time",
+        "CAST(hour(ts) + 1 AS SMALLINT) AS FrameNo",
+        "CAST(user_id % 24 + 1 AS TINYINT) AS PositionX",
+        "CAST(CAST(floor(user_id / 24) AS INT) % 12 + 1 AS TINYINT) AS PositionY",
+        "value",
+        f"concat(event_type, '_v', {k}) AS colname",
+        f"event_id AS {MEASURE_ID}",
     )
     return to_raw_order(attach_items(long_df, spark, EVENT_ITEMS))
 

@@ -21,6 +21,7 @@ from lotlens.testing.oracle import wrap
 @dataclass
 class Entry:
     fn: Callable[[SparkSession, str], DataFrame]
+    raw: Callable[[SparkSession, str], DataFrame]
     body: str | None
     doubles: tuple[str, ...]
     source: str
@@ -42,7 +43,7 @@ def register(key: str, body: str | None, doubles: tuple[str, ...] | list[str] =
             return stable(fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
-        REGISTRY[key] = Entry(run, body, tuple(doubles), source, extra_ctes)
+        REGISTRY[key] = Entry(run, fn, body, tuple(doubles), source, extra_ctes)
         return fn
     return deco
 
@@ -62,6 +63,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: e.fn for k, e in REGISTRY.items()}
 
 
+def operators() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The registered queries without the comparison rounding (for timing)."""
+    _load()
+    return {k: e.raw for k, e in REGISTRY.items()}
+
+
 def oracle_sql() -> dict[str, str]:
     _load()
     out = {}
