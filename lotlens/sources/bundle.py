@@ -29,14 +29,19 @@ _SORT = {
 
 
 def _with_stage_metadata(df: DataFrame, stage: str, version: str) -> DataFrame:
-    """Stage/version ride on the first column's field metadata (survives Parquet)."""
-    first = df.columns[0]
+    """Stage/version ride on the ``value`` column's field metadata, which
+    survives Parquet (a partition column would lose it)."""
+    target = "value" if "value" in df.columns else df.columns[0]
     meta = {"dataset_stage": stage, "dataset_version": version}
-    return df.withColumn(first, F.col(first).alias(first, metadata=meta))
+    return df.withColumn(target, F.col(target).alias(target, metadata=meta))
 
 
 def dataset_stage(df: DataFrame) -> str | None:
-    return df.schema.fields[0].metadata.get("dataset_stage") if df.schema.fields else None
+    """Stage recorded in the schema metadata, if any."""
+    for field in df.schema.fields:
+        if "dataset_stage" in field.metadata:
+            return field.metadata["dataset_stage"]
+    return None
 
 
 def write_stage(df: DataFrame, path: str, stage: str, *, version: str = "1",

@@ -25,8 +25,7 @@ def test_stage_roundtrip(spark, pipeline_raw, tmp_path):
     assert sorted(r.lot_number for r in back.select("lot_number").distinct().collect()) == ["LOT_A", "LOT_B"]
     judged_path = str(tmp_path / "judged")
     write_stage(back.transform(standardize).transform(judge), judged_path, "judged")
-    assert dataset_stage(spark.read.parquet(judged_path).select(
-        "vision", *[c for c in spark.read.parquet(judged_path).columns if c != "vision"])) == "judged"
+    assert dataset_stage(spark.read.parquet(judged_path)) == "judged"
     with pytest.raises(RuntimeError):
         write_stage(pipeline_raw, str(tmp_path / "bad"), "raw", expected_rows=15)
 
@@ -45,3 +44,22 @@ def test_bundle_roundtrip(spark, pipeline_raw, tmp_path):
         open_bundle(spark, str(tmp_path / "missing"))
     with pytest.raises(ValueError):
         build_bundle(judged, out, bit_items=BITS, bins=1)
+
+
+def test_stage_jobs(spark, pipeline_raw, tmp_path):
+    from lotlens.plans.pipeline import aggregate, judge_stage, standardize_stage
+    raw = str(tmp_path / "raw")
+    write_stage(pipeline_raw, raw, "raw")
+    rows, std = standardize_stage(spark, raw, str(tmp_path / "std"))
+    assert rows == 16
+    rows, jdg = judge_stage(spark, std, str(tmp_path / "judged"))
+    assert rows == 16
+    with pytest.raises(ValueError):
+        judge_stage(spark, jdg, str(tmp_path / "again"))
+    manifest = aggregate(spark, jdg, str(tmp_path / "bundle"), bins=4)
+    assert manifest["tables"]["piece_ng"]["rows"] == 8
+    assert manifest["ng_bit_mapping"][0]["colname"] == "Foreign_Length_Long_v1"
+    b = open_bundle(spark, str(tmp_path / "bundle"))
+    assert b["bit_items"][18] == "Work_Xw_v1"
+    p = b["piece_ng"].filter("lot_number = 'LOT_A' AND FrameNo = 2 AND PositionX = 2").first()
+    assert p.ng_mask == (1 << 0) | (1 << 18)
