@@ -17,10 +17,26 @@ from lotlens.operators.kde import frame_cells, frame_meta
 KEYS = ["lot_number", "FrameNo", "colname"]
 
 
-def frame_grid(judged: DataFrame) -> DataFrame:
+def select_frame(judged: DataFrame, lot: str | None = None, frame: int | None = None,
+                 colname: str | None = None) -> DataFrame:
+    """Optional point selection, applied before any aggregation so the lot
+    partition is pruned and the frame/item predicates reach the scan."""
+    if lot is not None:
+        judged = judged.filter(F.col("lot_number") == lot)
+    if frame is not None:
+        judged = judged.filter(F.col("FrameNo") == frame)
+    if colname is not None:
+        judged = judged.filter(F.col("colname") == colname)
+    return judged
+
+
+def frame_grid(judged: DataFrame, lot: str | None = None, frame: int | None = None,
+               colname: str | None = None) -> DataFrame:
     """Dense 12 x 24 grid per (lot, frame, item) with rows: value, normalised
     value, NG direction (0 where a cell is empty) and lower/upper NG flags,
-    plus the frame's limits, best, unit and row count."""
+    plus the frame's limits, best, unit and row count.  With keys given, just
+    that frame (the drill-down lookup)."""
+    judged = select_frame(judged, lot, frame, colname)
     meta = frame_meta(judged)
     cells = frame_cells(judged).select(*KEYS, "PositionY", "PositionX", "value", "normalized_value",
                                        "ng_direction")

@@ -165,3 +165,10 @@ def frame_kde(judged: DataFrame, bins: int = KDE_BINS, sigma: float = KDE_BANDWI
     out = _density(dense, keys, lo, hi, bins)
     return out.select(*keys, "bin_index", "x", "density", "sample_count", "in_range_count",
                       "display_min", "display_max")
+
+
+def kde_y_max(kde: DataFrame, keys: list[str]) -> DataFrame:
+    """Y-axis top of a KDE plot: max(1, 1.12 x the peak density over ``keys``)
+    (per item for the lot form, per (lot, frame, item) for the frame form)."""
+    return kde.groupBy(*keys).agg(
+        F.greatest(F.lit(1.0), F.lit(1.12) * F.max("density")).alias("y_max"))

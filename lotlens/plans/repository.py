@@ -54,7 +54,8 @@ def lot_filter(df: DataFrame, lots=None) -> DataFrame:
 
 
 def lots(bundle: dict) -> DataFrame:
-    return bundle["lots"].select("lot_number", "lot_start_time")
+    """Lots in start-time order (one row per lot: a small sort)."""
+    return bundle["lots"].select("lot_number", "lot_start_time").orderBy("lot_start_time", "lot_number")
 
 
 def ng_rate_by_frame(bundle: dict, lots=None) -> DataFrame:
@@ -120,4 +121,7 @@ def frame_values(judged: DataFrame, lot: str | None = None, frame: int | None =
         df = df.filter(F.col("FrameNo") == frame)
     if colname is not None:
         df = df.filter(F.col("colname") == colname)
-    return df.select("lot_number", "FrameNo", "colname", *FRAME_VALUE_COLUMNS)
+    out = df.select("lot_number", "FrameNo", "colname", *FRAME_VALUE_COLUMNS)
+    if lot is not None and frame is not None and colname is not None:
+        out = out.orderBy("PositionY", "PositionX")      # one frame: at most a few hundred rows
+    return out

@@ -594,3 +594,17 @@ def path_plot_range_q(spark, sf_dir):
     """AG15 per (frame grid, machine)."""
     grid = FR.frame_grid(judged_events(spark, sf_dir))
     return FR.path_plot_range(FR.path_series(grid, path_catalog(spark), "row_serpentine"))
+
+
+@reg("kde_y_max", "SELECT colname, greatest(1.0::DOUBLE, 1.12::DOUBLE * max(density)) AS y_max FROM kde "
+     "GROUP BY colname", ["y_max"], extra=KDE_CTES)
+def kde_y_max_q(spark, sf_dir):
+    """AG14, lot form: per item over all lots."""
+    return K.kde_y_max(K.lot_kde(bundle(spark, sf_dir), KNOWN, bins=BINS), ["colname"])
+
+
+@reg("frame_kde_y_max", "SELECT lot_number, FrameNo, colname, greatest(1.0::DOUBLE, 1.12::DOUBLE * max(density)) "
+     "AS y_max FROM fkde GROUP BY lot_number, FrameNo, colname", ["y_max"], extra=FRAME_CTES)
+def frame_kde_y_max_q(spark, sf_dir):
+    """AG14, frame form: per (lot, frame, item)."""
+    return K.kde_y_max(K.frame_kde(judged_events(spark, sf_dir), BINS), ["lot_number", "FrameNo", "colname"])
