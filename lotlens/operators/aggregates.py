@@ -33,6 +33,13 @@ HISTOGRAM_COLUMNS = (
     "lot_number", "lot_start_time", "colname", "bin_index", "plot_min", "plot_max",
     "spec_lower", "spec_upper", "spec_best", "count", "bin_left", "bin_right", "bin_center",
 )
+# The item and its denormalised attributes.  vision, category and unit are
+# functions of colname (the item master attaches them; ``unit_consistency``
+# checks it), so grouping by them leaves the grain unchanged while keeping
+# every aggregation buffer fixed-width: Spark then plans hash aggregation
+# instead of sorting the detail for string min().
+ITEM_KEYS = ("vision", "colname", "meta_category", "meta_unit")
+
 PIECE_COLUMNS = (
     "lot_number", "lot_start_time", "FrameNo", "PositionX", "PositionY",
     "total_item_count", "ng_item_count", "ng_mask", "is_ng",
@@ -62,10 +69,8 @@ def frame_item_stats(judged: DataFrame) -> DataFrame:
     """(lot, FrameNo, vision, colname) statistics over target rows, with exact
     linear-interpolated quantiles from one ``percentile`` call."""
     q = F.percentile(F.col("value"), F.array(*[F.lit(p) for p in QUANTILES]))
-    agg = judged_targets(judged).groupBy("lot_number", "FrameNo", "vision", "colname").agg(
+    agg = judged_targets(judged).groupBy("lot_number", "FrameNo", *ITEM_KEYS).agg(
         F.min("lot_start_time").alias("lot_start_time"),
-        F.min("meta_category").alias("meta_category"),
-        F.min("meta_unit").alias("meta_unit"),
         F.min("limmin").alias("spec_lower"),
         F.max("limmax").alias("spec_upper"),
         F.min("meta_best").alias("spec_best"),
@@ -80,11 +85,8 @@ def frame_item_stats(judged: DataFrame) -> DataFrame:
 
 def position_item_stats(judged: DataFrame) -> DataFrame:
     """(lot, vision, colname, X, Y) statistics across frames over target rows."""
-    agg = judged_targets(judged).groupBy(
-        "lot_number", "vision", "colname", "PositionX", "PositionY").agg(
+    agg = judged_targets(judged).groupBy("lot_number", *ITEM_KEYS, "PositionX", "PositionY").agg(
         F.min("lot_start_time").alias("lot_start_time"),
-        F.min("meta_category").alias("meta_category"),
-        F.min("meta_unit").alias("meta_unit"),
         *_counts(),
     )
     return agg.select(*POSITION_STATS_COLUMNS)

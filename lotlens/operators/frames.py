@@ -36,10 +36,9 @@ def frame_grid(judged: DataFrame, lot: str | None = None, frame: int | None = No
     value, NG direction (0 where a cell is empty) and lower/upper NG flags,
     plus the frame's limits, best, unit and row count.  With keys given, just
     that frame (the drill-down lookup)."""
-    judged = select_frame(judged, lot, frame, colname)
-    meta = frame_meta(judged)
-    cells = frame_cells(judged).select(*KEYS, "PositionY", "PositionX", "value", "normalized_value",
-                                       "ng_direction")
+    all_cells = frame_cells(select_frame(judged, lot, frame, colname))
+    meta = frame_meta(all_cells)
+    cells = all_cells.select(*KEYS, "PositionY", "PositionX", "value", "normalized_value", "ng_direction")
     grid = with_cells(meta).join(cells, [*KEYS, "PositionY", "PositionX"], "left")
     direction = F.coalesce(F.col("ng_direction"), F.lit(0).cast("tinyint"))
     return grid.select(*KEYS, "PositionY", "PositionX", "value", "normalized_value",

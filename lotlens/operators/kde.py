@@ -110,31 +110,37 @@ def kde_context(bundle: dict, known: tuple[str, ...], lots=None, first_lot: int
 
 
 # --- per frame -------------------------------------------------------------------
+_CELL_FIELDS = ("value", "normalized_value", "ng_direction", "limmin", "limmax", "meta_best")
+
+
 def frame_cells(judged: DataFrame) -> DataFrame:
     """One measurement per (lot, frame, item, Y, X) -- the first by
-    ``measure_id`` when a cell was measured twice -- plus per (lot, frame,
-    item) the row count and the limits of its first row in (Y, X) order."""
+    ``measure_id`` when a cell was measured more than once -- with the cell's
+    row count and the limits of that measurement.  This is the only shuffle of
+    the detail in the per-frame views; the per-frame metadata is derived from
+    it.  One ``min_by`` per fixed-width field (unit is a grouping key, a
+    function of the item) keeps the aggregation hash-based."""
     t = judged_targets(judged)
     order = F.col("measure_id") if "measure_id" in t.columns else F.col("value")
-    keys = ["lot_number", "FrameNo", "colname"]
+    keys = ["lot_number", "FrameNo", "colname", "meta_unit"]
     cell = t.groupBy(*keys, "PositionY", "PositionX").agg(
-        F.min_by(F.struct("value", "normalized_value", "ng_direction"), order).alias("_m"),
+        *[F.min_by(c, order).alias(c) for c in _CELL_FIELDS],
+        F.count(F.lit(1)).alias("rows"),
         F.min("lot_start_time").alias("lot_start_time"))
-    return cell.select(*keys, "lot_start_time", "PositionY", "PositionX",
-                       F.col("_m.value").alias("value"), F.col("_m.normalized_value").alias("normalized_value"),
-                       F.col("_m.ng_direction").alias("ng_direction"))
+    return cell.select("lot_number", "FrameNo", "colname", "lot_start_time", "PositionY", "PositionX", "rows",
+                       *_CELL_FIELDS, "meta_unit")
 
 
-def frame_meta(judged: DataFrame) -> DataFrame:
-    """Per (lot, frame, item): rows (incl. repeats) and limits/best/unit of the first row."""
-    t = judged_targets(judged)
-    order = F.struct("PositionY", "PositionX", *(["measure_id"] if "measure_id" in t.columns else []))
-    first = F.min_by(F.struct("limmin", "limmax", "meta_best", "meta_unit"), order)
-    return t.groupBy("lot_number", "FrameNo", "colname").agg(
-        F.count(F.lit(1)).alias("sample_count"), first.alias("_f")).select(
-        "lot_number", "FrameNo", "colname", "sample_count",
-        F.col("_f.limmin").alias("spec_lower"), F.col("_f.limmax").alias("spec_upper"),
-        F.col("_f.meta_best").alias("spec_best"), F.col("_f.meta_unit").alias("meta_unit"))
+def frame_meta(cells: DataFrame) -> DataFrame:
+    """Per (lot, frame, item) from ``frame_cells``: rows (incl. repeats) and
+    limits/best/unit of the first cell in (Y, X) order."""
+    first = (F.col("PositionY").cast("int") * F.lit(256) + F.col("PositionX").cast("int"))
+    return cells.groupBy("lot_number", "FrameNo", "colname", "meta_unit").agg(
+        F.sum("rows").cast("long").alias("sample_count"),
+        *[F.min_by(c, first).alias(a) for c, a in (("limmin", "spec_lower"), ("limmax", "spec_upper"),
+                                                     ("meta_best", "spec_best"))]).select(
+        "lot_number", "FrameNo", "colname", "sample_count", "spec_lower", "spec_upper", "spec_best",
+        "meta_unit")
 
 
 def frame_kde(judged: DataFrame, bins: int = KDE_BINS, sigma: float = KDE_BANDWIDTH_BINS) -> DataFrame:
@@ -144,8 +150,9 @@ def frame_kde(judged: DataFrame, bins: int = KDE_BINS, sigma: float = KDE_BANDWI
     the frame's own finite values padded by 4%; values binned against the
     explicit linspace edges (half-open bins, last bin closed)."""
     keys = ["lot_number", "FrameNo", "colname"]
-    cells = frame_cells(judged).filter(finite("value"))
-    meta = frame_meta(judged)
+    all_cells = frame_cells(judged)
+    meta = frame_meta(all_cells)
+    cells = all_cells.filter(finite("value"))
     vals = cells.groupBy(*keys).agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"),
                                     F.count(F.lit(1)).alias("n_values"))
     lo_l, hi_l, best = [F.when(finite(c), F.col(c)) for c in ("spec_lower", "spec_upper", "spec_best")]
