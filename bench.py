@@ -20,7 +20,8 @@ from lotlens.session import local_session  # noqa: E402
 
 HEADLINE = (
     "judge", "lots", "frame_item_stats", "position_item_stats", "lot_item_histogram", "piece_ng",
-    "melt_frame_stats", "fq_map", "frame_map", "quality_trend", "dashboard_summary", "lot_kde",
+    "melt_frame_stats", "lineitem_frame_item_stats", "lineitem_position_item_stats", "lineitem_piece_ng",
+    "fq_map", "frame_map", "quality_trend", "dashboard_summary", "lot_kde",
     "kde_context", "frame_grid", "frame_kde", "path_series", "source_reconcile", "bundle_build",
 )
 

@@ -52,13 +52,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     fresh scratch folder is created and registered.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
+    if not configured:
+        configured = tempfile.mkdtemp(prefix="lotlens-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    try:
         spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    scratch = tempfile.mkdtemp(prefix="lotlens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    spark.sparkContext.setCheckpointDir(scratch)
-    return scratch
+    except Exception:  # noqa: BLE001 - a Spark Connect session has no SparkContext
+        pass
+    return configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -78,8 +78,20 @@ def _fs(spark: SparkSession, path: str):
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath, jvm
 
 
+def _has_jvm(spark: SparkSession) -> bool:
+    try:
+        return spark.sparkContext._jvm is not None
+    except Exception:  # noqa: BLE001 - Spark Connect
+        return False
+
+
 def write_text_atomic(spark: SparkSession, path: str, text: str) -> None:
-    """Small driver-side file (the manifest) via the target's Hadoop FS: tmp then rename."""
+    """Small driver-side file (the manifest) via the target's Hadoop FS: tmp then
+    rename.  Without a JVM handle (Spark Connect) it is written as a one-row
+    text dataset instead (still last, still a marker)."""
+    if not _has_jvm(spark):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
     fs, final, jvm = _fs(spark, path)
     tmp = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
     stream = fs.create(tmp, True)
@@ -95,6 +107,11 @@ def write_text_atomic(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
+    if not _has_jvm(spark):
+        try:
+            return "\n".join(r.value for r in spark.read.text(path).collect())
+        except Exception as exc:  # noqa: BLE001
+            raise FileNotFoundError(path) from exc
     fs, hpath, jvm = _fs(spark, path)
     if not fs.exists(hpath):
         raise FileNotFoundError(path)

@@ -360,3 +360,41 @@ def source_reconcile_q(spark, sf_dir):
     """VW16: recompute N/NG/quantiles from detail and compare with the grain."""
     j = judged_events(spark, sf_dir)
     return C.source_reconcile(j, A.frame_item_stats(j))
+
+
+# --- the grains on the melted lineitem table (10x the rows of events) -----------------
+from lotlens.sources.fixtures import LINEITEM_ITEMS  # noqa: E402
+
+LINEITEM_BITS = tuple(i.colname for i in LINEITEM_ITEMS)
+
+
+def judged_lineitem(spark, sf_dir):
+    return lineitem_raw(spark, sf_dir).transform(standardize).transform(judge)
+
+
+@register("lineitem_frame_item_stats", FRAME_STATS_SQL, FRAME_STATS_DOUBLES, source="lineitem")
+def lineitem_frame_item_stats_q(spark, sf_dir):
+    """AG2 over the melted lineitem measures."""
+    return A.frame_item_stats(judged_lineitem(spark, sf_dir))
+
+
+@register("lineitem_position_item_stats", POSITION_STATS_SQL, ["ng_rate", "normalized_mean", "normalized_std"],
+          source="lineitem")
+def lineitem_position_item_stats_q(spark, sf_dir):
+    """AG3 over the melted lineitem measures."""
+    return A.position_item_stats(judged_lineitem(spark, sf_dir))
+
+
+@register("lineitem_lot_item_histogram", "SELECT * FROM histogram", HIST_DOUBLES + ["bin_index"],
+          source="lineitem", extra_ctes=histogram_ctes(60))
+def lineitem_lot_item_histogram_q(spark, sf_dir):
+    """AG5 over the melted lineitem measures (bin index compared as double)."""
+    h = A.lot_item_histogram(judged_lineitem(spark, sf_dir), 60)
+    return h.withColumn("bin_index", F.col("bin_index").cast("double"))
+
+
+@register("lineitem_piece_ng", PIECE_SQL.replace(bit_case_sql(BIT_ITEMS), bit_case_sql(LINEITEM_BITS)),
+          source="lineitem")
+def lineitem_piece_ng_q(spark, sf_dir):
+    """AG6 over the melted lineitem measures."""
+    return A.piece_ng(judged_lineitem(spark, sf_dir), LINEITEM_BITS)
