@@ -14,6 +14,25 @@ from pyspark.sql import functions as F
 from lotlens.contracts import MEASURE_ID, RAW_COLUMNS, RAW_SCHEMA, ItemSpec, item_dimension
 
 
+def parallelism(spark: SparkSession) -> int:
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - Spark Connect: fall back to the shuffle width
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spread(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """Rebalance a scan that yields fewer partitions than the cluster has
+    cores (e.g. one Parquet row group).  Big inputs already scan in many splits
+    and pass through untouched, so this adds no shuffle at scale."""
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave as is
+        return df
+    cores = parallelism(spark)
+    return df.repartition(cores) if n < cores else df
+
+
 def read_raw(spark: SparkSession, path: str, *, with_measure_id: bool = False) -> DataFrame:
     """Scan a raw stage.  Lot filters prune ``lot_number=`` partitions; the
     other predicates are pushed into the Parquet scan by Catalyst."""
