@@ -6,18 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotlens.functions.scalar import finite, nice_upper
+from lotlens.operators.quantiles import exact_percentile
 
 LEVEL_PERCENTILE = 0.995
 LEVEL_MINIMUM = {"ng_rate": 1.0, "normalized_mean": 0.1, "normalized_std": 0.1}
 
 
+def metric_levels(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Colour maxima per group of ``keys`` (none = one global row): the exact
+    99.5th percentile of each metric over the group's cells (empty cells
+    ignored), rounded up by ``nice_upper``.  The three metrics are unpivoted so
+    one distributed exact-percentile pass serves all of them; no group is ever
+    gathered into one task."""
+    long = cells.unpivot(ids=keys, values=list(LEVEL_MINIMUM), variableColumnName="_metric",
+                         valueColumnName="_x")
+    pct = exact_percentile(long, [*keys, "_metric"], "_x", LEVEL_PERCENTILE, name="_p")
+    wide = pct.groupBy(*keys).pivot("_metric", list(LEVEL_MINIMUM)).agg(F.first("_p"))
+    return wide.select(*keys, *[nice_upper(F.col(m), lo).alias(f"{m}_max") for m, lo in LEVEL_MINIMUM.items()])
+
+
 def color_levels(frame_map: DataFrame) -> DataFrame:
-    """Per item: colour maxima of the position map -- exact 99.5th percentile
-    over every lot x cell (empty cells ignored), rounded up by ``nice_upper``."""
-    g = frame_map.groupBy("colname").agg(
-        *[F.percentile(m, LEVEL_PERCENTILE).alias(f"_{m}") for m in LEVEL_MINIMUM])
-    return g.select("colname", *[nice_upper(F.col(f"_{m}"), lo).alias(f"{m}_max")
-                                 for m, lo in LEVEL_MINIMUM.items()])
+    """Per item: colour maxima of the position map over every lot x cell."""
+    items = frame_map.select("colname").distinct()
+    return items.join(metric_levels(frame_map, ["colname"]), "colname", "left")
 
 
 def trend_y_range(trend: DataFrame) -> DataFrame:

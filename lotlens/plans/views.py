@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotlens.contracts import FRAME_NUMBERS, VISIBLE_LOTS, ItemSpec
-from lotlens.functions.scalar import nice_upper
+from lotlens.operators.levels import metric_levels
 from lotlens.operators.densify import (indexed_lots, item_lot_grid, present_items, with_cells,
                                        with_frames)
 from lotlens.plans.repository import lot_filter
@@ -172,9 +172,9 @@ def piece_yield(bundle: dict, items: tuple[ItemSpec, ...], lots=None, category=N
 def dashboard_summary(bundle: dict, items: tuple[ItemSpec, ...], lots=None, category=None,
                       vision=None) -> DataFrame:
     """One row: lots, items, measurements, NG, pieces, OK pieces, yield and the
-    three FQ colour maxima (99.5th percentile of the selected cells, rounded up
-    by ``nice_upper``).  The three 1-row aggregates are stacked with a union
-    and folded by one aggregate (no join)."""
+    three FQ colour maxima (exact 99.5th percentile of the selected cells,
+    rounded up by ``nice_upper``).  The 1-row aggregates are stacked with a
+    union and folded by one aggregate (no join)."""
     known = tuple(i.colname for i in items)
     fq = fq_map(bundle, known, lots, category, vision)
     cells = fq.agg(
@@ -182,21 +182,19 @@ def dashboard_summary(bundle: dict, items: tuple[ItemSpec, ...], lots=None, cate
         F.count_distinct("colname").alias("item_count"),
         F.sum("total_count").cast("long").alias("total_measurements"),
         F.sum("ng_count").cast("long").alias("total_ng"),
-        F.percentile("ng_rate", 0.995).alias("ng_p995"),
-        F.percentile("normalized_mean", 0.995).alias("mean_p995"),
-        F.percentile("normalized_std", 0.995).alias("std_p995"),
     )
+    levels = metric_levels(fq, []).select(F.col("ng_rate_max"), F.col("normalized_mean_max").alias("deviation_max"),
+                                          F.col("normalized_std_max").alias("std_max"))
     pieces = piece_yield(bundle, items, lots, category, vision)
-    c_cols = ["lot_count", "item_count", "total_measurements", "total_ng", "ng_p995", "mean_p995", "std_p995"]
+    c_cols = ["lot_count", "item_count", "total_measurements", "total_ng"]
+    l_cols = ["ng_rate_max", "deviation_max", "std_max"]
     p_cols = ["total_pieces", "ng_pieces", "ok_pieces", "piece_yield"]
-    a = cells.select(*c_cols, *[F.lit(None).cast("double" if c == "piece_yield" else "long").alias(c)
-                                for c in p_cols])
-    b = pieces.select(*[F.lit(None).cast("double" if c.endswith("p995") else "long").alias(c) for c in c_cols],
-                      *p_cols)
-    one = a.unionByName(b).agg(*[F.max(c).alias(c) for c in c_cols + p_cols])
-    return one.select(
-        "lot_count", "item_count", "total_measurements", "total_ng", "total_pieces", "ok_pieces",
-        "piece_yield",
-        nice_upper(F.col("ng_p995"), 1.0).alias("ng_rate_max"),
-        nice_upper(F.col("mean_p995"), 0.1).alias("deviation_max"),
-        nice_upper(F.col("std_p995"), 0.1).alias("std_max"))
+    dtype = {c: "long" for c in c_cols + p_cols} | {c: "double" for c in l_cols + ["piece_yield"]}
+
+    def padded(df, own):
+        return df.select(*[F.col(c) if c in own else F.lit(None).cast(dtype[c]).alias(c)
+                           for c in c_cols + l_cols + p_cols])
+    one = (padded(cells, c_cols).unionByName(padded(levels, l_cols)).unionByName(padded(pieces, p_cols))
+           .agg(*[F.max(c).alias(c) for c in c_cols + l_cols + p_cols]))
+    return one.select("lot_count", "item_count", "total_measurements", "total_ng", "total_pieces", "ok_pieces",
+                      "piece_yield", *l_cols)

@@ -83,3 +83,27 @@ def test_floor_bins(spark):
                                [(0.0, 10.0, None), (0.0, 10.0, float("nan"))], "lo double, hi double, v double")
     got = [r.b for r in df.select(floor_bin(F.col("v"), F.col("lo"), F.col("hi"), 60).alias("b")).collect()]
     assert got == [None, 0, 1, 30, 59, 59, None, None, None]
+
+
+def test_exact_percentile_matches_numpy(spark):
+    from lotlens.operators.quantiles import exact_percentile
+    rng = np.random.default_rng(5)
+    groups = {
+        "normal": rng.normal(0, 1, 5000),
+        "ties": np.concatenate([np.zeros(4000), rng.uniform(0, 1, 30)]),
+        "one": np.array([3.5]),
+        "two": np.array([1.0, 2.0]),
+        "ints": rng.integers(0, 5, 3000).astype(float),
+        "wide": 10 ** rng.uniform(-3, 6, 2000),
+    }
+    rows = [(g, float(v)) for g, vals in groups.items() for v in vals] + [("nulls", None), ("normal", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for p in (0.0, 0.05, 0.5, 0.995, 1.0):
+        got = {r.g: r for r in exact_percentile(df, ["g"], "v", p, accuracy=1000).collect()}
+        assert "nulls" not in got
+        for g, vals in groups.items():
+            assert got[g].exact, (g, p)
+            assert got[g].percentile == pytest.approx(float(np.quantile(vals, p)), rel=1e-12, abs=1e-12), (g, p)
+    allv = np.concatenate(list(groups.values()))
+    r = exact_percentile(df, [], "v", 0.995, accuracy=1000).first()
+    assert r.exact and r.percentile == pytest.approx(float(np.quantile(allv, 0.995)), rel=1e-12)
