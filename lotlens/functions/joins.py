@@ -1,0 +1,25 @@
+"""Join helpers with an explicit size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows above which a data-derived "small" side is joined by shuffle instead.
+BROADCAST_ROW_LIMIT = 100_000
+
+
+def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Broadcast a data-derived side only behind a size check.
+
+    The side is materialised once with a reliable ``checkpoint()`` (written to
+    the shared ``spark.checkpoint.dir``, lineage cut, survives executor loss),
+    counted, and hinted for broadcast only when it holds at most ``max_rows``
+    rows; beyond that it is returned as is and the planner shuffles both sides.
+    """
+    from lotlens.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(small.sparkSession)
+    materialised = small.checkpoint(eager=True)
+    if materialised.count() <= max_rows:
+        return F.broadcast(materialised)
+    return materialised

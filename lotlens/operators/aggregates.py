@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotlens.contracts import KDE_BINS
+from lotlens.functions.joins import checked_broadcast
 from lotlens.functions.scalar import bit_lookup, floor_bin, spec_display_range
 from lotlens.operators.rows import judged_targets
 
@@ -129,16 +130,16 @@ def lot_item_histogram(judged: DataFrame, bins: int = KDE_BINS) -> DataFrame:
     """Counts per (lot, colname, bin) on the item's global display range.
 
     Values outside the range (or missing) fall in the null bin; empty bins are
-    not stored.  The bounds table has one row per item and the item master is
-    capped at 63 rows, so broadcasting it is bounded; the detail is never
-    shuffled for this join.
+    not stored.  The bounds table has one row per item; it is materialised and
+    broadcast behind a row-count check (``checked_broadcast``), so in the
+    normal case the detail is never shuffled for this join.
     """
     if bins < 2:
         raise ValueError("bins must be >= 2")
     bounds = item_bounds(judged).select("colname", "plot_min", "plot_max",
                                         "spec_lower", "spec_upper", "spec_best")
     indexed = judged_targets(judged).select("lot_number", "lot_start_time", "colname", "value") \
-        .join(F.broadcast(bounds), "colname", "inner")
+        .join(checked_broadcast(bounds), "colname", "inner")
     indexed = indexed.withColumn(
         "bin_index", floor_bin(F.col("value"), F.col("plot_min"), F.col("plot_max"), bins))
     grouped = indexed.groupBy("lot_number", "colname", "bin_index").agg(

@@ -55,8 +55,9 @@ def grain_refresher(judged_dir: str, bundle_dir: str, bit_items):
          .partitionBy("_batch", "lot_number").parquet(judged_dir))
         touched = batch.select("lot_number").distinct()
         stage = spark.read.parquet(judged_dir).drop("_batch")
-        # semi-join on the partition column: dynamic partition pruning reads only touched lots
-        lots_detail = stage.join(F.broadcast(touched), "lot_number", "left_semi")
+        # semi-join on the partition column: dynamic partition pruning reads only
+        # the touched lots (the planner decides how to ship the lot list)
+        lots_detail = stage.join(touched, "lot_number", "left_semi")
         for name, df in _lot_grains(lots_detail, bit_items).items():
             (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("lot_number").parquet(f"{base}/{name}"))

@@ -281,7 +281,8 @@ def histogram_bounds_join_q(spark, sf_dir):
     from lotlens.functions.scalar import floor_bin
     j = judged_events(spark, sf_dir)
     b = A.item_bounds(j).select("colname", "plot_min", "plot_max")
-    x = j.filter("is_judgement_target").join(F.broadcast(b), "colname")
+    from lotlens.functions.joins import checked_broadcast
+    x = j.filter("is_judgement_target").join(checked_broadcast(b), "colname")
     x = x.withColumn("out_of_range", floor_bin(F.col("value"), F.col("plot_min"), F.col("plot_max"), 60).isNull())
     return x.groupBy("colname", "out_of_range").agg(F.count(F.lit(1)).alias("rows"))
 

@@ -175,3 +175,19 @@ def test_lot_kde_absent_item_is_null(spark):
     assert kde.filter("colname = 'b_v1' AND lot_number = 'L2'").filter(F.col("density").isNotNull()).count() == 0
     assert math.isclose(kde.filter("colname = 'a_v1' AND lot_number = 'L1'").agg(F.max("density")).first()[0] * 0,
                         0.0)
+
+
+def test_checked_broadcast(spark):
+    from lotlens.functions.joins import checked_broadcast
+    big = spark.range(1000).withColumnRenamed("id", "k")
+    small = spark.range(10).withColumnRenamed("id", "k")
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ok = big.join(checked_broadcast(small, 100), "k")
+        over = big.join(checked_broadcast(small, 5), "k")
+        assert "BroadcastHashJoin" in ok._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in over._jdf.queryExecution().executedPlan().toString()
+        assert ok.count() == over.count() == 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
