@@ -9,10 +9,11 @@ operator stays exact without ever gathering a group:
    rank from ``percentile_approx`` (rank error <= n / accuracy, so asking for
    p -/+ 2/accuracy brackets the two ranks the linear interpolation needs once
    n > 4 accuracy; smaller groups use their [min, max]);
-2. exact count of values below ``lo``;
-3. distinct values inside the bracket with their counts (map-side combined,
-   so ties on a hot value collapse to one row) -- at most ~4 n / accuracy + 2
-   distinct values per group;
+2./3. one aggregation of the values up to ``hi``: everything below ``lo``
+   collapses into a single -inf row (its count is the exact rank offset),
+   values inside the bracket keep one row per distinct value (map-side
+   combined, so ties on a hot value collapse too) -- at most ~4 n / accuracy
+   + 3 rows per group;
 4. a running count over those few values finds the exact order statistics;
    the result is ``v[floor(k)] + (v[ceil(k)] - v[floor(k)]) * (k - floor(k))``
    with ``k = p (n - 1)`` -- the same linear interpolation as ``percentile``.
@@ -60,19 +61,21 @@ def exact_percentile(df: DataFrame, keys: list[str], value: str, p: float,
     # one row per group: a small side, joined back on the group keys
     side = bracket.select(*gk, "_lo", "_hi")
     tagged = base.join(F.broadcast(side) if few_groups else side, gk)
-    below = tagged.groupBy(*gk).agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"))
-    cand = (tagged.filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+    # values below the bracket collapse into one -inf row per group (its count
+    # is the exact rank offset); values inside keep their own row; above: dropped
+    ninf = F.lit(float("-inf"))
+    cand = (tagged.filter(F.col("_v") <= F.col("_hi"))
+            .withColumn("_v", F.when(F.col("_v") < F.col("_lo"), ninf).otherwise(F.col("_v")))
             .groupBy(*gk, "_v").agg(F.count(F.lit(1)).alias("_c")))
     w = Window.partitionBy(*gk).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cand = cand.withColumn("_cum", F.sum("_c").over(w))
-    info = bracket.join(below, gk, "left").fillna(0, ["_below"])
-    picked = cand.join(info.select(*gk, "_below", "_r0", "_r1"), gk).groupBy(*gk).agg(
-        F.min(F.when(F.col("_below") + F.col("_cum") > F.col("_r0"), F.col("_v"))).alias("_v0"),
-        F.min(F.when(F.col("_below") + F.col("_cum") > F.col("_r1"), F.col("_v"))).alias("_v1"),
-        F.max("_cum").alias("_in"))
-    out = info.join(picked, gk, "left")
-    ok = ((F.col("_below") <= F.col("_r0")) & (F.col("_below") + F.coalesce(F.col("_in"), F.lit(0)) > F.col("_r1"))
-          & F.col("_v0").isNotNull() & F.col("_v1").isNotNull())
+    picked = cand.join(F.broadcast(bracket.select(*gk, "_r0", "_r1")) if few_groups
+                       else bracket.select(*gk, "_r0", "_r1"), gk).groupBy(*gk).agg(
+        F.min(F.when(F.col("_cum") > F.col("_r0"), F.col("_v"))).alias("_v0"),
+        F.min(F.when(F.col("_cum") > F.col("_r1"), F.col("_v"))).alias("_v1"))
+    out = bracket.join(picked, gk, "left")
+    ok = (F.col("_v0").isNotNull() & F.col("_v1").isNotNull()
+          & (F.col("_v0") != ninf) & (F.col("_v1") != ninf))
     frac = F.col("_k") - F.col("_r0").cast("double")
     result = F.when(ok, F.when(F.col("_r0") == F.col("_r1"), F.col("_v0"))
                     .otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * frac))
