@@ -144,9 +144,23 @@ def _selected_items(items: tuple[ItemSpec, ...], category, vision) -> list[ItemS
             if (category is None or i.meta_category == category) and (vision is None or i.vision == vision)]
 
 
+def selected_cells(bundle: dict, known: tuple[str, ...], lots=None, category=None,
+                   vision=None) -> DataFrame:
+    """Frame-grain cells of the selected lots and of the known items passing the
+    category / vision filter -- the non-empty cells of ``fq_map`` without
+    building its dense grid (sums and percentiles ignore empty cells anyway)."""
+    stats = lot_filter(bundle["frame_item_stats"], lots).filter(F.col("colname").isin(list(known)))
+    attrs = item_attributes(stats, known)
+    if category is not None:
+        attrs = attrs.filter(F.col("meta_category") == category)
+    if vision is not None:
+        attrs = attrs.filter(F.col("vision") == vision)
+    return stats.join(F.broadcast(attrs.select("colname")), "colname", "left_semi")
+
+
 def totals(bundle: dict, known: tuple[str, ...], lots=None, category=None, vision=None) -> DataFrame:
     """Total NG, measurements and item count over the current item selection."""
-    fq = fq_map(bundle, known, lots, category, vision)
+    fq = selected_cells(bundle, known, lots, category, vision)
     return fq.agg(F.sum("ng_count").cast("long").alias("total_ng"),
                   F.sum("total_count").cast("long").alias("total_measurements"),
                   F.count_distinct("colname").alias("item_count"))
@@ -176,7 +190,7 @@ def dashboard_summary(bundle: dict, items: tuple[ItemSpec, ...], lots=None, cate
     rounded up by ``nice_upper``).  The 1-row aggregates are stacked with a
     union and folded by one aggregate (no join)."""
     known = tuple(i.colname for i in items)
-    fq = fq_map(bundle, known, lots, category, vision)
+    fq = selected_cells(bundle, known, lots, category, vision)
     cells = fq.agg(
         F.count_distinct("lot_number").alias("lot_count"),
         F.count_distinct("colname").alias("item_count"),
