@@ -63,3 +63,17 @@ def test_stage_jobs(spark, pipeline_raw, tmp_path):
     assert b["bit_items"][18] == "Work_Xw_v1"
     p = b["piece_ng"].filter("lot_number = 'LOT_A' AND FrameNo = 2 AND PositionX = 2").first()
     assert p.ng_mask == (1 << 0) | (1 << 18)
+
+
+def test_point_lookup_prunes_and_pushes_down(spark, pipeline_raw, tmp_path):
+    from lotlens.operators.frames import frame_grid
+    path = str(tmp_path / "judged")
+    write_stage(pipeline_raw.transform(standardize).transform(judge), path, "judged")
+    stage = spark.read.parquet(path)
+    g = frame_grid(stage, lot="LOT_A", frame=1, colname="Work_Xw_v1")
+    plan = g._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(lot_number" in plan and "= LOT_A)]" in plan
+    assert "PushedFilters: [IsNotNull(FrameNo), IsNotNull(colname)" in plan and "EqualTo(FrameNo,1)" in plan
+    rows = g.collect()
+    assert len(rows) == 288
+    assert sorted(r.ng_direction for r in rows if r.value is not None) == [-1, 0]
