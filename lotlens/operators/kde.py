@@ -67,22 +67,28 @@ def item_display(bundle: dict, known: tuple[str, ...], lots=None, bins: int = KD
                                                          "spec_upper", "spec_best")])
 
 
-def lot_kde(bundle: dict, known: tuple[str, ...], lots=None, bins: int = KDE_BINS,
-            sigma: float = KDE_BANDWIDTH_BINS) -> DataFrame:
-    """Dense (item, lot, bin): bin centre ``x`` and density.  The density
-    integrates (sum x width) to in_range/samples of the (item, lot); an item
-    absent from a lot has null density."""
+def _lot_kde_parts(bundle: dict, known: tuple[str, ...], lots, bins: int, sigma: float):
+    """(dense KDE, dense sample counts, per-item display) -- planned once, shared."""
     hist = kde_bins(bundle, bins, lots).filter(F.col("colname").isin(list(known)))
     counts = kde_sample_counts(bundle, known, lots, bins)
     sm = smooth(hist.filter(F.col("bin_index").isNotNull()), ["colname", "lot_number"], bins, sigma)
-    disp = item_display(bundle, known, lots, bins).select("colname", "plot_min", "plot_max")
+    disp = item_display(bundle, known, lots, bins)
     dense = (with_bins(counts, bins)
              .join(sm, ["colname", "lot_number", "bin_index"], "left")
              .fillna(0.0, ["smoothed"])
-             .join(F.broadcast(disp), "colname", "inner"))
+             .join(F.broadcast(disp.select("colname", "plot_min", "plot_max")), "colname", "inner"))
     out = _density(dense, ["colname", "lot_number"], F.col("plot_min"), F.col("plot_max"), bins)
-    return out.select("colname", "spec_order", "lot_number", "lot_index", "bin_index", "x", "density",
-                      "sample_count", "in_range_count")
+    kde = out.select("colname", "spec_order", "lot_number", "lot_index", "bin_index", "x", "density",
+                     "sample_count", "in_range_count")
+    return kde, counts, disp
+
+
+def lot_kde(bundle: dict, known: tuple[str, ...], lots=None, bins: int = KDE_BINS,
+            sigma: float = KDE_BANDWIDTH_BINS) -> DataFrame:
+    """Dense (item, lot, bin): bin centre ``x`` and density.  The density
+    integrates (sum x width) to in_range/samples of the (item, lot); an item
+    absent from a lot has null density."""
+    return _lot_kde_parts(bundle, known, lots, bins, sigma)[0]
 
 
 def kde_context(bundle: dict, known: tuple[str, ...], lots=None, first_lot: int | None = None,
@@ -91,15 +97,14 @@ def kde_context(bundle: dict, known: tuple[str, ...], lots=None, first_lot: int
     peak density over all lots), and over the visible lot window the smallest
     sample count and the largest share outside the display range."""
     from lotlens.plans.views import lot_window
-    kde = lot_kde(bundle, known, lots, bins, sigma)
+    kde, counts, disp = _lot_kde_parts(bundle, known, lots, bins, sigma)
     peak = kde.groupBy("colname").agg(F.max("density").alias("_peak"))
     win = lot_window(lot_filter(bundle["lots"], lots), first_lot, visible).select("lot_number")
-    counts = kde_sample_counts(bundle, known, lots, bins).join(F.broadcast(win), "lot_number", "left_semi")
+    counts = counts.join(F.broadcast(win), "lot_number", "left_semi")
     outside = F.lit(1.0) - F.col("in_range_count").cast("double") / F.when(
         F.col("sample_count") > 0, F.col("sample_count").cast("double"))
     vis = counts.groupBy("colname").agg(F.min("sample_count").alias("min_sample_count"),
                                         F.max(outside).alias("max_outside_rate"))
-    disp = item_display(bundle, known, lots, bins)
     lo, hi = F.col("spec_lower"), F.col("spec_upper")
     centre = F.when(finite(lo) & finite(hi), (lo + hi) / F.lit(2.0))
     return (disp.join(peak, "colname").join(vis, "colname", "left")
