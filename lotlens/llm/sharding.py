@@ -79,7 +79,8 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", te
     placed = (distinct
               .withColumn("walk", jump_shards(F.col("doc_id"), shards))
               .select("doc_id", "size", "text_crc32", "copies",
-                      F.col("walk.shard").cast("int").alias("shard"),
+                      # never null; said so that no null filter repeats the walk below the counts
+                      F.coalesce(F.col("walk.shard").cast("int"), F.lit(0)).alias("shard"),
                       F.col("walk.grown").cast("int").alias("grown_shard"),
                       F.pmod(F.xxhash64("text_crc32", "doc_id", "size"), F.lit(blocks)).cast("int").alias("block")))
     totals = placed.groupBy("shard", "block").agg(F.sum("copies").alias("rows"))
