@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding
+from . import decontam, exact_dedup, mixing, sharding, warc
 from .common import read_table
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontam.hit_words(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(spark, read_table(spark, sf_dir, "pages"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = mixing.mix_report(read_table(spark, sf_dir, "documents"))
     return report.withColumn("target", F.round("target", 6))
@@ -22,7 +32,55 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_mix_sources, op9_jump_shards, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op6_decontaminate, op7_warc_revisits, op8_mix_sources, op9_jump_shards, op10_exact_dedup)}
+
+OP6_SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                               'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS n,
+         array_to_string(words[i : i + least(len(words), 10) - 1], ' ') AS passage
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i
+        FROM item_words WHERE len(words) > 0)),
+places AS (
+  SELECT d.doc_id, n, i, array_to_string(d.words[i : i + n - 1], ' ') AS passage
+  FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i
+        FROM doc_words, (SELECT DISTINCT n FROM windows) WHERE len(words) >= n) d),
+hits AS (SELECT p.doc_id, p.i, p.n, w.item_id FROM places p JOIN windows w USING (n, passage)),
+hit_words AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY doc_id),
+hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY encode(item)) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+OP7_SQL = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+coded AS (
+  SELECT page_id, payload, array_to_string(list_transform(range(32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  (((('0x' || substr(hex, (i // 4 * 5 + 1)::BIGINT, 5))::BIGINT) >> (15 - i % 4 * 5)::BIGINT) & 31) + 1, 1)),
+         '') AS digest
+  FROM payloads),
+groups AS (SELECT payload, max(page_id) AS original FROM payloads GROUP BY payload)
+SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM coded JOIN groups USING (payload)
+"""
 
 OP8_SQL = r"""
 WITH RECURSIVE sized AS (
@@ -60,4 +118,4 @@ JOIN (SELECT coalesce(text, '') AS content, max(doc_id) AS keep_id, count(*) AS
       FROM documents GROUP BY 1) g ON coalesce(d.text, '') = g.content
 """
 
-ORACLE_SQL = {"op8_mix_sources": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL = {"op6_decontaminate": OP6_SQL, "op7_warc_revisits": OP7_SQL, "op8_mix_sources": OP8_SQL, "op10_exact_dedup": OP10_SQL}
