@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, mixing, sharding, warc
+from . import decontam, exact_dedup, mixing, pii, quality, sharding, warc
 from .common import read_table
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(read_table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.quality_report(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontam.hit_words(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -33,7 +42,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op6_decontaminate, op7_warc_revisits, op8_mix_sources, op9_jump_shards, op10_exact_dedup)}
+    op2_pii, op3_quality_rules, op6_decontaminate, op7_warc_revisits, op8_mix_sources, op9_jump_shards, op10_exact_dedup)}
 
 OP6_SQL = r"""
 WITH doc_words AS (
