@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, mixing, pii, quality, sharding, warc
+from . import decontam, exact_dedup, mixing, pii, quality, sharding, substring_dedup, warc
 from .common import read_table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(read_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(read_table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,29 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_pii, op3_quality_rules, op6_decontaminate, op7_warc_revisits, op8_mix_sources, op9_jump_shards, op10_exact_dedup)}
+    op1_substring_dedup, op2_pii, op3_quality_rules, op6_decontaminate, op7_warc_revisits, op8_mix_sources, op9_jump_shards, op10_exact_dedup)}
+
+OP1_SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(words[i : i + 12], ' ') AS passage
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM doc_words WHERE len(words) >= 13)),
+repeated AS (
+  SELECT w.doc_id, w.i FROM windows w
+  JOIN (SELECT passage, min(doc_id) AS first_doc FROM windows GROUP BY passage) f USING (passage)
+  WHERE f.first_doc < w.doc_id),
+removed AS (
+  SELECT doc_id, list(DISTINCT place) AS places
+  FROM (SELECT doc_id, unnest(range(i, i + 13)) AS place FROM repeated) GROUP BY doc_id),
+kept AS (
+  SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+         CASE WHEN places IS NULL THEN words
+              ELSE list_transform(list_filter(range(1, len(words) + 1), lambda k: NOT list_contains(places, k)),
+                                  lambda k: words[k]) END AS kept_words
+  FROM doc_words d LEFT JOIN removed USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept_words, ' '), '')) AS kept_sha256 FROM kept
+"""
 
 OP6_SQL = r"""
 WITH doc_words AS (
@@ -127,4 +153,4 @@ JOIN (SELECT coalesce(text, '') AS content, max(doc_id) AS keep_id, count(*) AS
       FROM documents GROUP BY 1) g ON coalesce(d.text, '') = g.content
 """
 
-ORACLE_SQL = {"op6_decontaminate": OP6_SQL, "op7_warc_revisits": OP7_SQL, "op8_mix_sources": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op6_decontaminate": OP6_SQL, "op7_warc_revisits": OP7_SQL, "op8_mix_sources": OP8_SQL, "op10_exact_dedup": OP10_SQL}
