@@ -13,19 +13,18 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as named by ``spark.checkpoint.dir``.
+    """The folder all executors share, as named by ``spark.checkpoint.dir`` or ``setCheckpointDir``.
 
-    Unset, a local session (tests) gets a scratch folder of its own; on a
+    With neither, a local session (tests) gets a scratch folder of its own; on a
     cluster there is no safe guess and the caller has to name one.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        if not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="lotlens-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lotlens-shared-"))
+        named = context.getCheckpointDir()
     return named.rstrip("/")
 
 
