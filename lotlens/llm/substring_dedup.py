@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_text
+from .buckets import REPLY_SCHEMA, arrow_table, bits_of, by_shard, distinct_pairs, replies, split_ranges
 from .words import Words, blocks, find_words, mixed, window_hashes
 
 WINDOW = 13
@@ -58,7 +59,6 @@ SPARE_BITS = 3
 NO_ID = np.iinfo(np.int64).max
 
 SHARE_SCHEMA = "shard int, bucket int, data binary, ids binary"
-REPLY_SCHEMA = "bucket int, shard int, kind string, data binary"
 
 
 class Layout:
@@ -90,13 +90,6 @@ def _occupied(hashes: np.ndarray, row: int, layout: Layout) -> np.ndarray:
     return mixed(hashes ^ np.uint64(row + 1)) >> np.uint64(64 - layout.cell_bits)
 
 
-def _split(cells: np.ndarray, layout: Layout) -> list[tuple[int, int, int]]:
-    """(range, from, to) of sorted cells."""
-    shards = (cells >> np.uint64(layout.cell_bits - layout.shard_bits)).astype(np.int64)
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(shards)) + 1, [len(cells)]]) if len(cells) else [0]
-    return [(int(shards[a]), int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-
 class Bucket:
     """The documents of one bucket and their window hashes."""
 
@@ -122,16 +115,15 @@ class Bucket:
         self.owners = np.concatenate(owners) if owners else np.zeros(0, dtype=np.int64)
         self.starts = starts
 
-    def may_repeat(self, layout: Layout, replies: dict[int, bytes]) -> np.ndarray:
+    def may_repeat(self, layout: Layout, shared: dict[int, bytes]) -> np.ndarray:
         """Per window, whether the merged sketch counts it at least twice."""
         out = np.ones(len(self.hashes), dtype=bool)
         for row in range(DEPTH):
             cells, place, counts = np.unique(_occupied(self.hashes, row, layout),
                                              return_inverse=True, return_counts=True)
             twice = counts > 1
-            for shard, a, b in _split(cells, layout):
-                bits = np.frombuffer(replies[(row << layout.shard_bits) + shard], dtype=np.uint8)
-                twice[a:b] |= np.unpackbits(bits, count=b - a).view(bool)
+            for shard, a, b in split_ranges(cells, layout.cell_bits - layout.shard_bits):
+                twice[a:b] |= bits_of(shared[(row << layout.shard_bits) + shard], b - a)
             out &= twice[place]
         return out
 
@@ -168,17 +160,6 @@ class Bucket:
         return np.frombuffer(b"".join(out), dtype=">u8").reshape(-1, 2).astype(np.uint64)
 
 
-def _distinct(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct rows, and the place of each row among them."""
-    order = np.lexsort((digests[:, 1], digests[:, 0]))
-    ranked = digests[order]
-    new = np.ones(len(ranked), dtype=bool)
-    new[1:] = (ranked[1:] != ranked[:-1]).any(axis=1)
-    place = np.empty(len(ranked), dtype=np.int64)
-    place[order] = np.cumsum(new) - 1
-    return ranked[new], place
-
-
 def _smallest(place: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     out = np.full(n, NO_ID, dtype=np.int64)
     np.minimum.at(out, place, ids)
@@ -187,7 +168,7 @@ def _smallest(place: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
 
 def _digest_shards(distinct: np.ndarray, layout: Layout) -> list[tuple[int, int, int]]:
     shift = np.uint64(64 - layout.cell_bits)
-    return _split(distinct[:, 0] >> shift, layout)
+    return split_ranges(distinct[:, 0] >> shift, layout.cell_bits - layout.shard_bits)
 
 
 def _sketch(layout: Layout, window: int):
@@ -199,8 +180,8 @@ def _sketch(layout: Layout, window: int):
             cells = np.unique(_occupied(bucket.hashes, row, layout))
             low = np.uint64((1 << (layout.cell_bits - layout.shard_bits)) - 1)
             rows += [((row << layout.shard_bits) + shard, number, pack_gaps(cells[a:b] & low), None)
-                     for shard, a, b in _split(cells, layout)]
-        return _table(rows, SHARE_SCHEMA)
+                     for shard, a, b in split_ranges(cells, layout.cell_bits - layout.shard_bits)]
+        return arrow_table(rows, SHARE_SCHEMA)
     return emit
 
 
@@ -213,47 +194,26 @@ def _merge_cells(table: pa.Table) -> pa.Table:
     shared = np.zeros(len(cells), dtype=bool)
     shared[order[1:][same]] = True
     shared[order[:-1][same]] = True
-    return _replies(table, "sketch", np.split(shared, np.cumsum([len(x) for x in lists])[:-1]))
+    return replies(table, "sketch", np.split(shared, np.cumsum([len(x) for x in lists])[:-1]))
 
 
 def _merge_digests(table: pa.Table) -> pa.Table:
     """Group the digests of one range: a bit per bucket and digest, set if another bucket has a smaller id."""
     lists = [np.frombuffer(x, dtype=np.uint64).reshape(-1, 2) for x in table.column("data").to_pylist()]
     ids = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table.column("ids").to_pylist()])
-    distinct, place = _distinct(np.concatenate(lists))
+    distinct, place = distinct_pairs(np.concatenate(lists))
     smaller = _smallest(place, ids, len(distinct))[place] < ids
-    return _replies(table, "digest", np.split(smaller, np.cumsum([len(x) for x in lists])[:-1]))
-
-
-def _replies(table: pa.Table, kind: str, bits: list[np.ndarray]) -> pa.Table:
-    shard = table.column("shard")[0].as_py()
-    rows = [(bucket, shard, kind, np.packbits(b).tobytes())
-            for bucket, b in zip(table.column("bucket").to_pylist(), bits, strict=True)]
-    return _table(rows, REPLY_SCHEMA)
-
-
-_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-
-
-def _table(rows: list[tuple], schema: str) -> pa.Table:
-    fields = [f.split() for f in schema.split(", ")]
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
-    return pa.table({name: pa.array(c, _ARROW[kind]) for c, (name, kind) in zip(columns, fields, strict=True)})
-
-
-def _by_shard(replies: pa.Table, kind: str) -> dict[int, bytes]:
-    return {s: d for s, k, d in zip(replies.column("shard").to_pylist(), replies.column("kind").to_pylist(),
-                                    replies.column("data").to_pylist(), strict=True) if k == kind}
+    return replies(table, "digest", np.split(smaller, np.cumsum([len(x) for x in lists])[:-1]))
 
 
 def _exact(layout: Layout, window: int):
-    def emit(table: pa.Table, replies: pa.Table) -> pa.Table:
+    def emit(table: pa.Table, answers: pa.Table) -> pa.Table:
         bucket = Bucket(table, window)
-        chosen = bucket.may_repeat(layout, _by_shard(replies, "sketch"))
-        distinct, place = _distinct(bucket.digests(chosen))
+        chosen = bucket.may_repeat(layout, by_shard(answers, "sketch"))
+        distinct, place = distinct_pairs(bucket.digests(chosen))
         ids = _smallest(place, bucket.ids[bucket.owners[chosen]], len(distinct))
         number = table.column("bucket")[0].as_py()
-        return _table([(shard, number, distinct[a:b].tobytes(), ids[a:b].tobytes())
+        return arrow_table([(shard, number, distinct[a:b].tobytes(), ids[a:b].tobytes())
                        for shard, a, b in _digest_shards(distinct, layout)], SHARE_SCHEMA)
     return emit
 
@@ -262,15 +222,15 @@ OUT_SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 strin
 
 
 def _remove(layout: Layout, window: int, with_text: bool):
-    def emit(table: pa.Table, replies: pa.Table) -> pa.Table:
+    def emit(table: pa.Table, answers: pa.Table) -> pa.Table:
         bucket = Bucket(table, window)
-        chosen = bucket.may_repeat(layout, _by_shard(replies, "sketch"))
-        distinct, place = _distinct(bucket.digests(chosen))
+        chosen = bucket.may_repeat(layout, by_shard(answers, "sketch"))
+        distinct, place = distinct_pairs(bucket.digests(chosen))
         owner_ids = bucket.ids[bucket.owners[chosen]]
         elsewhere = np.zeros(len(distinct), dtype=bool)
-        bits = _by_shard(replies, "digest")
+        bits = by_shard(answers, "digest")
         for shard, a, b in _digest_shards(distinct, layout):
-            elsewhere[a:b] = np.unpackbits(np.frombuffer(bits[shard], dtype=np.uint8), count=b - a).view(bool)
+            elsewhere[a:b] = bits_of(bits[shard], b - a)
         repeated = np.zeros(len(bucket.hashes), dtype=bool)
         repeated[np.flatnonzero(chosen)] = (elsewhere[place]
                                             | (_smallest(place, owner_ids, len(distinct))[place] < owner_ids))
@@ -289,7 +249,7 @@ def _remove(layout: Layout, window: int, with_text: bool):
                 row = (None if bucket.null[a + k] else int(bucket.ids[a + k]), len(own), len(own) - n,
                        hashlib.sha256(text).hexdigest())
                 rows.append((*row, text.decode()) if with_text else row)
-        return _table(rows, OUT_SCHEMA + ", kept string" * with_text)
+        return arrow_table(rows, OUT_SCHEMA + ", kept string" * with_text)
     return emit
 
 
