@@ -9,14 +9,47 @@ grow with the corpus, so neither is ever large.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import whole_text
+
+#: Buckets hold about the square root of (corpus bytes x this), within the bounds: as many bytes
+#: of text to a bucket as there are buckets, times this.
+BALANCE = 1 << 14
+LEAST_BUCKET, MOST_BUCKET = 1 << 20, 256 << 20
 
 REPLY_SCHEMA = "bucket int, shard int, kind string, data binary"
 
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 
+class Layout:
+    """Numbers of buckets and (a power of two) of ranges for a corpus of so many bytes."""
+
+    def __init__(self, total_bytes: int, least_bucket: int = LEAST_BUCKET) -> None:
+        size = min(max(math.isqrt(total_bytes * BALANCE), least_bucket), MOST_BUCKET)
+        self.total_bytes = total_bytes
+        self.buckets = max(1, -(-total_bytes // size))
+        self.shard_bits = (self.buckets - 1).bit_length()
+
+
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    """UTF-8 bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length(whole_text(text_col)).cast("long"))).first()[0] or 0
+
+
+def dealt(docs: DataFrame, layout: Layout, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, bucket: rows are dealt by position, so that ids and texts that repeat are spread."""
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole_text(text_col).alias("text"),
+                       F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(layout.buckets))
+                       .cast("int").alias("bucket"))
+
+
 def split_ranges(sorted_keys: np.ndarray, low_bits: int) -> list[tuple[int, int, int]]:
     """(range, from, to) of sorted numbers; a range is what the bits above ``low_bits`` say."""
     if not len(sorted_keys):
@@ -26,10 +59,10 @@ def split_ranges(sorted_keys: np.ndarray, low_bits: int) -> list[tuple[int, int,
     return [(int(shards[a]), int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def distinct_pairs(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct rows of two numbers each, and the place of each row among them."""
-    order = np.lexsort((digests[:, 1], digests[:, 0]))
-    ranked = digests[order]
+def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct rows of numbers, and the place of each row among them."""
+    order = np.lexsort(rows.T[::-1])
+    ranked = rows[order]
     new = np.ones(len(ranked), dtype=bool)
     new[1:] = (ranked[1:] != ranked[:-1]).any(axis=1)
     place = np.empty(len(ranked), dtype=np.int64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, jaccard_join, mixing, pii, quality, sharding, substring_dedup, warc
+from . import decontam, exact_dedup, jaccard_join, mixing, pii, quality, sharding, substring_dedup, suffix_dedup, warc
 from .common import read_table
 
 
@@ -26,6 +26,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontam.hit_words(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -50,7 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_pii, op3_quality_rules, op4_jaccard_join, op6_decontaminate, op7_warc_revisits, op8_mix_sources, op9_jump_shards, op10_exact_dedup)}
+    op1_substring_dedup, op2_pii, op3_quality_rules, op4_jaccard_join, op5_suffix_dedup, op6_decontaminate, op7_warc_revisits, op8_mix_sources, op9_jump_shards, op10_exact_dedup)}
 
 OP1_SQL = r"""
 WITH doc_words AS (

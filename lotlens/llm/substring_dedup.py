@@ -35,25 +35,20 @@ whatever their names, are not looked at.
 from __future__ import annotations
 
 import hashlib
-import math
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import whole_text
-from .buckets import REPLY_SCHEMA, arrow_table, bits_of, by_shard, distinct_pairs, replies, split_ranges
+from .buckets import (
+    LEAST_BUCKET, REPLY_SCHEMA, Layout, arrow_table, bits_of, by_shard, dealt, distinct_rows, replies, split_ranges,
+    text_bytes)
 from .words import Words, blocks, find_words, mixed, window_hashes
 
 WINDOW = 13
 DEPTH = 2
 DIGEST = 16
-#: Buckets hold about the square root of (corpus bytes x this), within the bounds: as many bytes
-#: of text to a bucket as there are buckets, times this.
-BALANCE = 1 << 14
-LEAST_BUCKET, MOST_BUCKET = 1 << 20, 256 << 20
 #: Cells per window in a sketch row, as a power of two.
 SPARE_BITS = 3
 NO_ID = np.iinfo(np.int64).max
@@ -61,13 +56,11 @@ NO_ID = np.iinfo(np.int64).max
 SHARE_SCHEMA = "shard int, bucket int, data binary, ids binary"
 
 
-class Layout:
-    """Numbers of buckets, ranges and cells for a corpus of so many bytes."""
+class SketchLayout(Layout):
+    """With the width of the sketch's rows, from about six bytes a word."""
 
     def __init__(self, total_bytes: int, least_bucket: int = LEAST_BUCKET) -> None:
-        size = min(max(math.isqrt(total_bytes * BALANCE), least_bucket), MOST_BUCKET)
-        self.buckets = max(1, -(-total_bytes // size))
-        self.shard_bits = max(0, (self.buckets - 1).bit_length())
+        super().__init__(total_bytes, least_bucket)
         self.cell_bits = max(self.shard_bits + 1, (total_bytes // 6 + 1).bit_length() + SPARE_BITS)
 
 
@@ -85,7 +78,7 @@ def unpack_gaps(data: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.int64)[gaps != 0xFFFF] - 1
 
 
-def _occupied(hashes: np.ndarray, row: int, layout: Layout) -> np.ndarray:
+def _occupied(hashes: np.ndarray, row: int, layout: SketchLayout) -> np.ndarray:
     """The cell of each window in one sketch row."""
     return mixed(hashes ^ np.uint64(row + 1)) >> np.uint64(64 - layout.cell_bits)
 
@@ -115,7 +108,7 @@ class Bucket:
         self.owners = np.concatenate(owners) if owners else np.zeros(0, dtype=np.int64)
         self.starts = starts
 
-    def may_repeat(self, layout: Layout, shared: dict[int, bytes]) -> np.ndarray:
+    def may_repeat(self, layout: SketchLayout, shared: dict[int, bytes]) -> np.ndarray:
         """Per window, whether the merged sketch counts it at least twice."""
         out = np.ones(len(self.hashes), dtype=bool)
         for row in range(DEPTH):
@@ -166,12 +159,12 @@ def _smallest(place: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _digest_shards(distinct: np.ndarray, layout: Layout) -> list[tuple[int, int, int]]:
+def _digest_shards(distinct: np.ndarray, layout: SketchLayout) -> list[tuple[int, int, int]]:
     shift = np.uint64(64 - layout.cell_bits)
     return split_ranges(distinct[:, 0] >> shift, layout.cell_bits - layout.shard_bits)
 
 
-def _sketch(layout: Layout, window: int):
+def _sketch(layout: SketchLayout, window: int):
     def emit(table: pa.Table) -> pa.Table:
         bucket = Bucket(table, window)
         number = table.column("bucket")[0].as_py()
@@ -201,16 +194,16 @@ def _merge_digests(table: pa.Table) -> pa.Table:
     """Group the digests of one range: a bit per bucket and digest, set if another bucket has a smaller id."""
     lists = [np.frombuffer(x, dtype=np.uint64).reshape(-1, 2) for x in table.column("data").to_pylist()]
     ids = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table.column("ids").to_pylist()])
-    distinct, place = distinct_pairs(np.concatenate(lists))
+    distinct, place = distinct_rows(np.concatenate(lists))
     smaller = _smallest(place, ids, len(distinct))[place] < ids
     return replies(table, "digest", np.split(smaller, np.cumsum([len(x) for x in lists])[:-1]))
 
 
-def _exact(layout: Layout, window: int):
+def _exact(layout: SketchLayout, window: int):
     def emit(table: pa.Table, answers: pa.Table) -> pa.Table:
         bucket = Bucket(table, window)
         chosen = bucket.may_repeat(layout, by_shard(answers, "sketch"))
-        distinct, place = distinct_pairs(bucket.digests(chosen))
+        distinct, place = distinct_rows(bucket.digests(chosen))
         ids = _smallest(place, bucket.ids[bucket.owners[chosen]], len(distinct))
         number = table.column("bucket")[0].as_py()
         return arrow_table([(shard, number, distinct[a:b].tobytes(), ids[a:b].tobytes())
@@ -221,11 +214,11 @@ def _exact(layout: Layout, window: int):
 OUT_SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
-def _remove(layout: Layout, window: int, with_text: bool):
+def _remove(layout: SketchLayout, window: int, with_text: bool):
     def emit(table: pa.Table, answers: pa.Table) -> pa.Table:
         bucket = Bucket(table, window)
         chosen = bucket.may_repeat(layout, by_shard(answers, "sketch"))
-        distinct, place = distinct_pairs(bucket.digests(chosen))
+        distinct, place = distinct_rows(bucket.digests(chosen))
         owner_ids = bucket.ids[bucket.owners[chosen]]
         elsewhere = np.zeros(len(distinct), dtype=bool)
         bits = by_shard(answers, "digest")
@@ -256,14 +249,9 @@ def _remove(layout: Layout, window: int, with_text: bool):
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                     with_text: bool = True, least_bucket: int = LEAST_BUCKET) -> DataFrame:
     """A row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text."""
-    text = whole_text(text_col)
-    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    layout = Layout(total, least_bucket)
-    dealt = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"),
-                        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(layout.buckets))
-                        .cast("int").alias("bucket"))
+    layout = SketchLayout(text_bytes(docs, text_col), least_bucket)
     # The same shuffle of the texts serves all three passes over them.
-    buckets = dealt.groupBy("bucket")
+    buckets = dealt(docs, layout, id_col, text_col).groupBy("bucket")
     sketch = (buckets.applyInArrow(_sketch(layout, window), SHARE_SCHEMA)
               .groupBy("shard").applyInArrow(_merge_cells, REPLY_SCHEMA))
     exact = (buckets.cogroup(sketch.groupBy("bucket")).applyInArrow(_exact(layout, window), SHARE_SCHEMA)
