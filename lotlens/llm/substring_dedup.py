@@ -87,11 +87,9 @@ class Bucket:
     """The documents of one bucket and their window hashes."""
 
     def __init__(self, table: pa.Table, window: int) -> None:
-        self.ids = table.column("doc_id").to_numpy(zero_copy_only=False)
-        null = table.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-        self.null = null
-        self.ids = np.where(null, NO_ID, np.nan_to_num(self.ids, nan=0)).astype(np.int64) if null.any() \
-            else self.ids.astype(np.int64)
+        ids = table.column("doc_id")
+        self.null = ids.is_null().to_numpy()
+        self.ids = ids.fill_null(NO_ID).to_numpy()
         self.texts = [t.encode() for t in table.column("text").to_pylist()]
         self.window = window
         self.parts: list[tuple[int, Words]] = []
