@@ -147,6 +147,8 @@ def _segments(layout: Layout, length: int, gram: int):
 
 def _judge_segments(most_segments: int):
     def judge(table: pa.Table) -> pa.Table:
+        # in the buckets' order, so that a range that is judged again names the same senders
+        table = table.sort_by("bucket")
         lists = [np.frombuffer(x, dtype=np.uint64).reshape(-1, 3) for x in table.column("data").to_pylist()]
         twice = np.concatenate([bits_of(x, len(k)) for x, k in zip(table.column("counts").to_pylist(), lists, strict=True)])
         distinct, place = distinct_rows(np.concatenate(lists))
