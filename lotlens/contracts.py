@@ -21,8 +21,6 @@ KDE_BANDWIDTH_BINS = 1.5
 VISIBLE_LOTS = 8
 TARGET_META_TYPE = "spec"
 MAX_BIT_ITEMS = 63                      # signed bigint mask, sign bit unused
-# -----------------------------------------------------------------------------
-
 RAW_SCHEMA = T.StructType([
     T.StructField("vision", T.StringType(), False),
     T.StructField("lot_number", T.StringType(), False),
@@ -40,12 +38,16 @@ RAW_SCHEMA = T.StructType([
     T.StructField("meta_category", T.StringType(), False),
     T.StructField("meta_unit", T.StringType(), False),
 ])
-RAW_COLUMNS = tuple(f.name for f in RAW_SCHEMA.fields)
+# -----------------------------------------------------------------------------
 
 STANDARDIZED_ADDED = ("spec_position", "spec_usage")             # after value
 JUDGED_ADDED = ("normalized_value", "normalized_deviation",
                 "is_judgement_target", "is_ng", "ng_direction")  # after spec_usage
 
+_ADDED_TYPES = {"spec_position": T.DoubleType(), "spec_usage": T.DoubleType(), "normalized_value": T.DoubleType(),
+                "normalized_deviation": T.DoubleType(), "is_judgement_target": T.BooleanType(),
+                "is_ng": T.BooleanType(), "ng_direction": T.ByteType()}
+
 # Optional arrival-order column carried through every stage; the per-cell views
 # keep the first measurement of a duplicated cell by it.
 MEASURE_ID = "measure_id"
@@ -64,6 +66,26 @@ def insert_after(columns: list[str] | tuple[str, ...], anchor: str,
     return out
 
 
+def _with_added(schema: T.StructType, anchor: str, added: tuple[str, ...]) -> T.StructType:
+    types = {f.name: f.dataType for f in schema.fields} | _ADDED_TYPES
+    return T.StructType([T.StructField(n, types[n], True)
+                         for n in insert_after([f.name for f in schema.fields], anchor, added)])
+
+
+STANDARDIZED_SCHEMA = _with_added(RAW_SCHEMA, "value", STANDARDIZED_ADDED)
+JUDGED_SCHEMA = _with_added(STANDARDIZED_SCHEMA, "spec_usage", JUDGED_ADDED)
+
+# Column types of the analysis tables; files of other writers (unsigned masks,
+# floating counts) are cast to them.
+BUNDLE_TYPES = {
+    "lot_number": "string", "lot_start_time": "timestamp_ntz", "vision": "string", "colname": "string",
+    "meta_category": "string", "meta_unit": "string", "FrameNo": "smallint", "PositionX": "tinyint",
+    "PositionY": "tinyint", "bin_index": "int", "is_ng": "boolean",
+    **dict.fromkeys(("total_count", "sample_count", "ng_count", "count", "total_item_count", "ng_item_count",
+                     "ng_mask"), "bigint"),
+}
+
+
 @dataclass(frozen=True)
 class ItemSpec:
     """One inspection item with its specification."""
@@ -103,11 +125,16 @@ ITEM_SCHEMA = T.StructType([
 
 def check_items(items: tuple[ItemSpec, ...]) -> None:
     """Item master rules: unique names, at most 63 items (bit budget)."""
-    names = [item.colname for item in items]
+    check_item_names([item.colname for item in items])
+
+
+def check_item_names(names: tuple[str, ...] | list[str]) -> None:
+    """At most 63 different items: what fits the NG bit mask, and bounds every
+    per-item table that is broadcast."""
     if len(names) != len(set(names)):
         raise ValueError("item master holds duplicate colnames")
     if len(names) > MAX_BIT_ITEMS:
-        raise ValueError(f"at most {MAX_BIT_ITEMS} items fit the NG bit mask")
+        raise ValueError(f"at most {MAX_BIT_ITEMS} items fit the NG bit mask, got {len(names)}")
 
 
 def _sql_literal(value) -> str:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lotlens.contracts import check_item_names
+
 INF = float("inf")
 
 
@@ -20,17 +22,6 @@ def finite(c: str | Column) -> Column:
     return F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(INF)), F.lit(False))
 
 
-def null_if_not_finite(c: str | Column) -> Column:
-    x = col(c)
-    return F.when(finite(x), x)
-
-
-def plus_zero(c: str | Column) -> Column:
-    """Map -0.0 to 0.0 (engines group them together but print them apart)."""
-    x = col(c)
-    return F.when(x == 0, F.lit(0.0)).otherwise(x)
-
-
 def nice_upper(c: str | Column, minimum: float) -> Column:
     """Round a positive level up to 1/2/3/5/10 x 10^k, never below ``minimum``.
 
@@ -89,7 +80,7 @@ def floor_bin(value: Column, lo: Column, hi: Column, bins: int) -> Column:
     width = hi - lo
     raw = F.floor((value - lo) / F.when(width != 0, width) * F.lit(float(bins)))
     return (
-        F.when(value.isNull() | F.isnan(value) | (value < lo) | (value > hi),
+        F.when(value.isNull() | F.isnan(value) | (value < lo) | (value > hi) | (width == 0),
                F.lit(None).cast("int"))
         .otherwise(F.least(F.lit(bins - 1), raw.cast("int")))
     )
@@ -134,7 +125,8 @@ def kernel_taps(sigma: float) -> Column:
 
 
 def bit_lookup(colname: Column, names: tuple[str, ...] | list[str]) -> Column:
-    """Bit value ``1 << index`` of ``colname`` in ``names``; 0 when unknown."""
+    """Bit value ``1 << index`` of ``colname`` in ``names`` (63 at most); 0 when unknown."""
+    check_item_names(names)
     if not names:
         return F.lit(0).cast("long")
     mapping = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(1 << i))])

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotlens.contracts import KDE_BINS
-from lotlens.functions.joins import checked_broadcast
 from lotlens.functions.scalar import bit_lookup, floor_bin, spec_display_range
 from lotlens.operators.rows import judged_targets
 
@@ -34,19 +33,18 @@ HISTOGRAM_COLUMNS = (
     "lot_number", "lot_start_time", "colname", "bin_index", "plot_min", "plot_max",
     "spec_lower", "spec_upper", "spec_best", "count", "bin_left", "bin_right", "bin_center",
 )
-# The item and its denormalised attributes.  vision, category and unit are
-# functions of colname (the item master attaches them; ``unit_consistency``
-# checks it), so grouping by them leaves the grain unchanged while keeping
-# every aggregation buffer fixed-width: Spark then plans hash aggregation
-# instead of sorting the detail for string min().
-ITEM_KEYS = ("vision", "colname", "meta_category", "meta_unit")
-
 PIECE_COLUMNS = (
     "lot_number", "lot_start_time", "FrameNo", "PositionX", "PositionY",
     "total_item_count", "ng_item_count", "ng_mask", "is_ng",
 )
 
 
+def _smallest_text(column: str):
+    """min() of a text column that has one value, or very few, per group: an
+    object-hash aggregate, where min() over strings would sort the detail."""
+    return F.array_min(F.collect_set(column)).alias(column)
+
+
 def _counts():
     """Shared count/rate/normalised metrics of the frame and position grains."""
     ng = F.count_if(F.col("is_ng"))
@@ -70,8 +68,10 @@ def frame_item_stats(judged: DataFrame) -> DataFrame:
     """(lot, FrameNo, vision, colname) statistics over target rows, with exact
     linear-interpolated quantiles from one ``percentile`` call."""
     q = F.percentile(F.col("value"), F.array(*[F.lit(p) for p in QUANTILES]))
-    agg = judged_targets(judged).groupBy("lot_number", "FrameNo", *ITEM_KEYS).agg(
+    agg = judged_targets(judged).groupBy("lot_number", "FrameNo", "vision", "colname").agg(
         F.min("lot_start_time").alias("lot_start_time"),
+        _smallest_text("meta_category"),
+        _smallest_text("meta_unit"),
         F.min("limmin").alias("spec_lower"),
         F.max("limmax").alias("spec_upper"),
         F.min("meta_best").alias("spec_best"),
@@ -86,8 +86,10 @@ def frame_item_stats(judged: DataFrame) -> DataFrame:
 
 def position_item_stats(judged: DataFrame) -> DataFrame:
     """(lot, vision, colname, X, Y) statistics across frames over target rows."""
-    agg = judged_targets(judged).groupBy("lot_number", *ITEM_KEYS, "PositionX", "PositionY").agg(
+    agg = judged_targets(judged).groupBy("lot_number", "vision", "colname", "PositionX", "PositionY").agg(
         F.min("lot_start_time").alias("lot_start_time"),
+        _smallest_text("meta_category"),
+        _smallest_text("meta_unit"),
         *_counts(),
     )
     return agg.select(*POSITION_STATS_COLUMNS)
@@ -126,20 +128,23 @@ def bin_edges(plot_min, plot_max, bin_index, bins: int):
     )
 
 
-def lot_item_histogram(judged: DataFrame, bins: int = KDE_BINS) -> DataFrame:
+def lot_item_histogram(judged: DataFrame, bins: int = KDE_BINS, bounds: DataFrame | None = None) -> DataFrame:
     """Counts per (lot, colname, bin) on the item's global display range.
 
     Values outside the range (or missing) fall in the null bin; empty bins are
-    not stored.  The bounds table has one row per item; it is materialised and
-    broadcast behind a row-count check (``checked_broadcast``), so in the
-    normal case the detail is never shuffled for this join.
+    not stored.  ``bounds`` is ``item_bounds(judged)``, best as a written table:
+    then Spark knows its size and joins without shuffling the detail.  The
+    detail is combined to one row per (lot, item, value) before it meets the
+    bounds, so an item with much of all rows does not travel row by row.
     """
     if bins < 2:
         raise ValueError("bins must be >= 2")
-    bounds = item_bounds(judged).select("colname", "plot_min", "plot_max",
-                                        "spec_lower", "spec_upper", "spec_best")
-    indexed = judged_targets(judged).select("lot_number", "lot_start_time", "colname", "value") \
-        .join(checked_broadcast(bounds), "colname", "inner")
+    if bounds is None:
+        bounds = item_bounds(judged)
+    bounds = bounds.select("colname", "plot_min", "plot_max", "spec_lower", "spec_upper", "spec_best")
+    values = judged_targets(judged).groupBy("lot_number", "colname", "value").agg(
+        F.min("lot_start_time").alias("lot_start_time"), F.count(F.lit(1)).alias("rows"))
+    indexed = values.join(bounds, "colname", "inner")
     indexed = indexed.withColumn(
         "bin_index", floor_bin(F.col("value"), F.col("plot_min"), F.col("plot_max"), bins))
     grouped = indexed.groupBy("lot_number", "colname", "bin_index").agg(
@@ -149,7 +154,7 @@ def lot_item_histogram(judged: DataFrame, bins: int = KDE_BINS) -> DataFrame:
         F.min("spec_lower").alias("spec_lower"),
         F.max("spec_upper").alias("spec_upper"),
         F.min("spec_best").alias("spec_best"),
-        F.count(F.lit(1)).alias("count"),
+        F.sum("rows").cast("long").alias("count"),
     )
     left, right, centre = bin_edges(F.col("plot_min"), F.col("plot_max"), F.col("bin_index"), bins)
     return grouped.withColumns({"bin_left": left, "bin_right": right, "bin_center": centre}) \

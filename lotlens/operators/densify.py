@@ -11,34 +11,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotlens.contracts import FRAME_NUMBERS, POSITION_X, POSITION_Y
+from lotlens.contracts import FRAME_NUMBERS, POSITION_X, POSITION_Y, check_item_names
 
 
 def indexed_lots(lots_df: DataFrame) -> DataFrame:
     """Lots in start-time order with a 0-based ``lot_index``.
 
-    The window has no partition key, so it runs in one task: it sees one row
-    per *lot* (the lots dimension, not measurement rows), which stays small
-    even at very large data sizes.
+    Lots are numbered within their start day, all days at once; what the days
+    before hold is added from the lot counts per day.  Only those counts, a row per
+    calendar day, pass one task.
     """
-    w = Window.orderBy("lot_start_time", "lot_number")
-    return lots_df.select("lot_number", "lot_start_time").withColumn(
-        "lot_index", (F.row_number().over(w) - 1).cast("int"))
+    lots_df = lots_df.select("lot_number", "lot_start_time", F.to_date("lot_start_time").alias("_day"))
+    per_day = lots_df.groupBy("_day").agg(F.count(F.lit(1)).alias("_lots"))
+    earlier = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_day.select(F.col("_day").alias("_of"), F.coalesce(F.sum("_lots").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_day").orderBy("lot_start_time", "lot_number")
+    return (lots_df.withColumn("_at", F.row_number().over(within))
+            .join(before, F.col("_day").eqNullSafe(F.col("_of")))
+            .select("lot_number", "lot_start_time", (F.col("_before") + F.col("_at") - 1).cast("int").alias("lot_index")))
 
 
 def present_items(df: DataFrame, known: tuple[str, ...]) -> DataFrame:
-    """Known items that occur in ``df`` (at most len(known) <= 63 rows)."""
+    """Known items that occur in ``df`` (at most len(known) <= 63 rows, checked)."""
+    check_item_names(known)
     return df.filter(F.col("colname").isin(list(known))).select("colname").distinct()
 
 
 def item_lot_grid(lots_idx: DataFrame, present: DataFrame, known: tuple[str, ...]) -> DataFrame:
-    """lots x present items, items carrying their ``spec_order`` (index in ``known``)."""
+    """lots x present items, items carrying their ``spec_order`` (index in ``known``)
+    and whatever ``present`` (a row per item) knows of them."""
+    check_item_names(known)
     items = F.array(*[F.struct(F.lit(i).alias("spec_order"), F.lit(c).alias("colname"))
                       for i, c in enumerate(known)])
     g = lots_idx.select("*", F.explode(items).alias("_item")).select(
         *lots_idx.columns, F.col("_item.colname").alias("colname"),
         F.col("_item.spec_order").alias("spec_order"))
-    return g.join(F.broadcast(present), "colname", "left_semi")
+    return g.join(F.broadcast(present), "colname")
 
 
 def with_frames(grid: DataFrame) -> DataFrame:

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotlens.contracts import POSITION_X, POSITION_Y
 from lotlens.functions.scalar import finite, padded_range
-from lotlens.operators.densify import with_cells
-from lotlens.operators.kde import frame_cells, frame_meta
+from lotlens.operators.kde import frame_cells, frames
+from lotlens.operators.rows import judged_targets
 
 KEYS = ["lot_number", "FrameNo", "colname"]
 
@@ -31,19 +32,30 @@ def select_frame(judged: DataFrame, lot: str | None = None, frame: int | None =
 
 
 def frame_grid(judged: DataFrame, lot: str | None = None, frame: int | None = None,
-               colname: str | None = None) -> DataFrame:
+               colname: str | None = None, required: bool = False) -> DataFrame:
     """Dense 12 x 24 grid per (lot, frame, item) with rows: value, normalised
     value, NG direction (0 where a cell is empty) and lower/upper NG flags,
     plus the frame's limits, best, unit and row count.  With keys given, just
-    that frame (the drill-down lookup)."""
-    all_cells = frame_cells(select_frame(judged, lot, frame, colname))
-    meta = frame_meta(all_cells)
-    cells = all_cells.select(*KEYS, "PositionY", "PositionX", "value", "normalized_value", "ng_direction")
-    grid = with_cells(meta).join(cells, [*KEYS, "PositionY", "PositionX"], "left")
-    direction = F.coalesce(F.col("ng_direction"), F.lit(0).cast("tinyint"))
-    return grid.select(*KEYS, "PositionY", "PositionX", "value", "normalized_value",
-                       direction.alias("ng_direction"),
-                       (direction == -1).alias("lower_ng"), (direction == 1).alias("upper_ng"),
+    that frame (the drill-down lookup).  An empty selection has no rows, or
+    raises ValueError if ``required``."""
+    chosen = select_frame(judged, lot, frame, colname)
+    if required and judged_targets(chosen).isEmpty():
+        raise ValueError("no measurements in the selection")
+    rows = frames(chosen)
+    every = F.array(*[F.lit(y * 256 + x) for y in POSITION_Y for x in POSITION_X])
+    held = F.transform("cells", lambda c: c["PositionY"].cast("int") * 256 + c["PositionX"].cast("int"))
+    empty = F.transform(F.array_except(every, held), lambda k: F.struct(
+        F.shiftright(k, 8).cast("tinyint").alias("PositionY"), (k % 256).cast("tinyint").alias("PositionX"),
+        F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("normalized_value"),
+        F.lit(0).cast("tinyint").alias("ng_direction")))
+    full = F.transform("cells", lambda c: F.struct(
+        c["PositionY"].alias("PositionY"), c["PositionX"].alias("PositionX"), c["value"].alias("value"),
+        c["normalized_value"].alias("normalized_value"),
+        F.coalesce(c["ng_direction"], F.lit(0).cast("tinyint")).alias("ng_direction")))
+    grid = rows.select(*KEYS, F.explode_outer(F.concat(full, empty)).alias("c"), "spec_lower", "spec_upper", "spec_best",
+                       "meta_unit", F.col("row_count").alias("sample_count"))
+    return grid.select(*KEYS, "c.PositionY", "c.PositionX", "c.value", "c.normalized_value", "c.ng_direction",
+                       (F.col("c.ng_direction") == -1).alias("lower_ng"), (F.col("c.ng_direction") == 1).alias("upper_ng"),
                        "spec_lower", "spec_upper", "spec_best", "meta_unit", "sample_count")
 
 
@@ -59,12 +71,12 @@ def frame_value_levels(judged: DataFrame) -> DataFrame:
 def path_series(grid: DataFrame, catalog: DataFrame, equipment_id: str | None = None) -> DataFrame:
     """Values of every frame grid along each processing path of a machine
     (all machines when ``equipment_id`` is None): equi-join of the grid cells
-    to the broadcast path cells on (X, Y).  Empty cells stay null (direction 0)."""
+    to the path cells on (X, Y) (the join's form is Spark's choice).  Empty cells stay null (direction 0)."""
     paths = catalog if equipment_id is None else catalog.filter(F.col("equipment_id") == equipment_id)
     paths = paths.select("equipment_id", "path_index", "path_id", "label", "step",
                          F.col("PositionX").cast("tinyint").alias("PositionX"),
                          F.col("PositionY").cast("tinyint").alias("PositionY"))
-    j = grid.join(F.broadcast(paths), ["PositionX", "PositionY"], "inner")
+    j = grid.join(paths, ["PositionX", "PositionY"], "inner")
     return j.select(*KEYS, "equipment_id", "path_index", "path_id", "label", "step", "PositionX",
                     "PositionY", "value", "ng_direction", "spec_lower", "spec_upper")
 

@@ -1,86 +1,99 @@
 """Binned Gaussian KDE per (item, lot) and per (lot, frame, item).
 
-Smoothing is a 13-tap sliding window over the bins: each non-empty bin is
-exploded into its taps (``offset``, ``weight`` literal array), targets outside
-0..bins-1 are dropped (zero padding), and one ``sum`` per (group, target bin)
-gives the smoothed count.  Groups never leave the aggregate framework, so a
-hot lot or item is combined map-side like any other key.
+A group's bins (60) or cells (288 at most) are one small array; binning, the
+13-tap smoothing window and the normalisation are array functions on that row,
+and the bins are exploded once at the end.  The detail is shuffled to make the
+groups and for nothing else; a hot lot or item is combined map-side like any
+other key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotlens.contracts import KDE_BANDWIDTH_BINS, KDE_BINS
-from lotlens.functions.scalar import edge_bin, finite, kernel_taps, linspace_edge, spec_display_range
-from lotlens.operators.densify import indexed_lots, item_lot_grid, present_items, with_bins
+from lotlens.contracts import KDE_BANDWIDTH_BINS, KDE_BINS, check_item_names
+from lotlens.functions.scalar import finite, gaussian_kernel, linspace_edge, spec_display_range
+from lotlens.operators.densify import indexed_lots, item_lot_grid, present_items
 from lotlens.operators.rows import judged_targets
-from lotlens.plans.repository import kde_bins, lot_filter
-
-
-def smooth(binned: DataFrame, keys: list[str], bins: int, sigma: float,
-           bin_col: str = "bin_index", count_col: str = "count") -> DataFrame:
-    """Sparse smoothed counts: keys + ``bin_index`` + ``smoothed``."""
-    taps = binned.select(*keys, F.col(bin_col).alias("_b"), F.col(count_col).alias("_c"),
-                         F.explode(kernel_taps(sigma)).alias("_t"))
-    taps = taps.withColumn("bin_index", (F.col("_b") + F.col("_t.offset")).cast("int")) \
-        .filter((F.col("bin_index") >= 0) & (F.col("bin_index") < bins))
-    return taps.groupBy(*keys, "bin_index").agg(
-        F.sum(F.col("_c").cast("double") * F.col("_t.weight")).alias("smoothed"))
-
-
-def _density(dense: DataFrame, keys: list[str], lo, hi, bins: int) -> DataFrame:
-    """Normalise smoothed counts to a density: share of the group's smoothed
-    total x coverage (in range / samples) / bin width; x = bin centre.  The
-    per-group window sees exactly ``bins`` rows."""
-    total = F.sum("smoothed").over(Window.partitionBy(*keys))
-    share = F.when(total > 0, F.col("smoothed") / total).otherwise(F.lit(0.0))
+from lotlens.plans.repository import lot_filter, stored_bins
+
+
+def smoothed_bin(counts: Column, index: Column, sigma: float) -> Column:
+    """Kernel-weighted count at bin ``index`` of an array of (bin, count); bins beyond the ends count nothing."""
+    weights = gaussian_kernel(sigma)
+    radius = len(weights) // 2
+    taps = F.array(*[F.lit(w) for w in weights])
+    return F.aggregate(counts, F.lit(0.0), lambda total, c: total + F.when(
+        F.abs(c["bin"] - index) <= radius,
+        c["count"].cast("double") * F.get(taps, (c["bin"] - index + radius).cast("int"))).otherwise(F.lit(0.0)))
+
+
+def exploded_density(groups: DataFrame, keep: list[str], counts: str, lo: str, hi: str, bins: int,
+                     sigma: float) -> DataFrame:
+    """A row per group and bin: ``keep``, bin_index, x (bin centre) and density, all bins of a group at once.
+
+    density = share of the group's smoothed total x coverage (in range /
+    samples) / bin width; null where the group has no samples or its display range no width.
+    """
+    smooth = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda j: smoothed_bin(F.col(counts), j, sigma))
+    rows = groups.withColumn("_smooth", smooth)
+    rows = rows.withColumn("_total", F.aggregate("_smooth", F.lit(0.0), lambda a, x: a + x))
+    # outer: from a plain explode Spark infers a filter that would compute the whole array once more
+    rows = rows.select("*", F.posexplode_outer("_smooth").alias("bin_index", "_s"))
+    low, high = F.col(lo), F.col(hi)
+    share = F.when(F.col("_total") > 0, F.col("_s") / F.col("_total")).otherwise(F.lit(0.0))
     coverage = F.col("in_range_count").cast("double") / F.when(
         F.col("sample_count") > 0, F.col("sample_count").cast("double"))
-    width = linspace_edge(lo, hi, F.lit(1), bins) - linspace_edge(lo, hi, F.lit(0), bins)
-    x = linspace_edge(lo, hi, F.col("bin_index"), bins) + width / F.lit(2.0)
-    return dense.withColumns({"x": x, "density": share * coverage / width})
+    width = linspace_edge(low, high, F.lit(1), bins) - linspace_edge(low, high, F.lit(0), bins)
+    return rows.select(*keep, "bin_index",
+                       (linspace_edge(low, high, F.col("bin_index"), bins) + width / F.lit(2.0)).alias("x"),
+                       (share * coverage / F.when(width != 0, width)).alias("density"))
 
 
-def kde_sample_counts(bundle: dict, known: tuple[str, ...], lots=None, bins: int = KDE_BINS) -> DataFrame:
-    """Dense (item, lot): samples (incl. the out-of-range bin) and in-range samples."""
-    hist = kde_bins(bundle, bins, lots).filter(F.col("colname").isin(list(known)))
-    lots_idx = indexed_lots(lot_filter(bundle["lots"], lots))
-    grid = item_lot_grid(lots_idx, present_items(hist, known), known)
+def _lot_bins(bundle: dict, known: tuple[str, ...], lots, bins: int) -> DataFrame:
+    """Dense (item, lot): sample and in-range counts and the stored bins as an array of at most ``bins``."""
+    check_item_names(known)
+    hist = stored_bins(bundle, bins, lots).filter(F.col("colname").isin(list(known)))
+    inside = F.col("bin_index").isNotNull()
     counts = hist.groupBy("colname", "lot_number").agg(
         F.sum("count").cast("long").alias("sample_count"),
-        F.sum(F.when(F.col("bin_index").isNotNull(), F.col("count")).otherwise(F.lit(0)))
-        .cast("long").alias("in_range_count"))
+        F.sum(F.when(inside, F.col("count")).otherwise(F.lit(0))).cast("long").alias("in_range_count"),
+        F.collect_list(F.when(inside, F.struct(F.col("bin_index").alias("bin"), F.col("count")))).alias("counts"))
+    lots_idx = indexed_lots(lot_filter(bundle["lots"], lots))
+    grid = item_lot_grid(lots_idx, present_items(hist, known), known)
     out = grid.join(counts, ["colname", "lot_number"], "left").fillna(0, ["sample_count", "in_range_count"])
-    return out.select("colname", "spec_order", "lot_number", "lot_start_time", "lot_index",
-                      "sample_count", "in_range_count")
+    return out.withColumn("counts", F.coalesce("counts", F.array().cast("array<struct<bin:int,count:bigint>>")))
+
+
+def kde_sample_counts(bundle: dict, known: tuple[str, ...], lots=None, bins: int = KDE_BINS) -> DataFrame:
+    """Dense (item, lot): samples (incl. the out-of-range bin) and in-range samples."""
+    return _lot_bins(bundle, known, lots, bins).select(
+        "colname", "spec_order", "lot_number", "lot_start_time", "lot_index", "sample_count", "in_range_count")
 
 
 def item_display(bundle: dict, known: tuple[str, ...], lots=None, bins: int = KDE_BINS) -> DataFrame:
-    """Per item: display range and limits of its first histogram row (<= 63 rows)."""
-    hist = kde_bins(bundle, bins, lots).filter(F.col("colname").isin(list(known)))
-    first = F.min_by(F.struct("plot_min", "plot_max", "spec_lower", "spec_upper", "spec_best"),
-                     F.struct("lot_number", F.coalesce(F.col("bin_index"), F.lit(bins))))
-    return hist.groupBy("colname").agg(first.alias("_f")).select(
-        "colname", *[F.col(f"_f.{c}").alias(c) for c in ("plot_min", "plot_max", "spec_lower",
-                                                         "spec_upper", "spec_best")])
+    """Per item: display range and limits of its first histogram row (earliest lot,
+    lowest bin, out of range last).  At most 63 rows, checked.  Order and
+    fields are plain numbers, so this is a hash aggregate."""
+    check_item_names(known)
+    hist = stored_bins(bundle, bins, lots).filter(F.col("colname").isin(list(known)))
+    order = (F.unix_micros(F.col("lot_start_time").cast("timestamp")) * 1024
+             + F.coalesce(F.col("bin_index"), F.lit(bins)))
+    return hist.groupBy("colname").agg(*[
+        F.min_by(c, order).alias(c) for c in ("plot_min", "plot_max", "spec_lower", "spec_upper", "spec_best")])
 
 
 def _lot_kde_parts(bundle: dict, known: tuple[str, ...], lots, bins: int, sigma: float):
     """(dense KDE, dense sample counts, per-item display) -- planned once, shared."""
-    hist = kde_bins(bundle, bins, lots).filter(F.col("colname").isin(list(known)))
-    counts = kde_sample_counts(bundle, known, lots, bins)
-    sm = smooth(hist.filter(F.col("bin_index").isNotNull()), ["colname", "lot_number"], bins, sigma)
+    groups = _lot_bins(bundle, known, lots, bins)
     disp = item_display(bundle, known, lots, bins)
-    dense = (with_bins(counts, bins)
-             .join(sm, ["colname", "lot_number", "bin_index"], "left")
-             .fillna(0.0, ["smoothed"])
-             .join(F.broadcast(disp.select("colname", "plot_min", "plot_max")), "colname", "inner"))
-    out = _density(dense, ["colname", "lot_number"], F.col("plot_min"), F.col("plot_max"), bins)
-    kde = out.select("colname", "spec_order", "lot_number", "lot_index", "bin_index", "x", "density",
+    ranged = groups.join(F.broadcast(disp.select("colname", "plot_min", "plot_max")), "colname", "inner")
+    kde = exploded_density(ranged, ["colname", "spec_order", "lot_number", "lot_index", "sample_count", "in_range_count"],
+                           "counts", "plot_min", "plot_max", bins, sigma)
+    kde = kde.select("colname", "spec_order", "lot_number", "lot_index", "bin_index", "x", "density",
                      "sample_count", "in_range_count")
-    return kde, counts, disp
+    return kde, groups, disp
 
 
 def lot_kde(bundle: dict, known: tuple[str, ...], lots=None, bins: int = KDE_BINS,
@@ -100,7 +113,7 @@ def kde_context(bundle: dict, known: tuple[str, ...], lots=None, first_lot: int
     kde, counts, disp = _lot_kde_parts(bundle, known, lots, bins, sigma)
     peak = kde.groupBy("colname").agg(F.max("density").alias("_peak"))
     win = lot_window(lot_filter(bundle["lots"], lots), first_lot, visible).select("lot_number")
-    counts = counts.join(F.broadcast(win), "lot_number", "left_semi")
+    counts = counts.join(win, "lot_number", "left_semi")
     outside = F.lit(1.0) - F.col("in_range_count").cast("double") / F.when(
         F.col("sample_count") > 0, F.col("sample_count").cast("double"))
     vis = counts.groupBy("colname").agg(F.min("sample_count").alias("min_sample_count"),
@@ -120,32 +133,34 @@ _CELL_FIELDS = ("value", "normalized_value", "ng_direction", "limmin", "limmax",
 
 def frame_cells(judged: DataFrame) -> DataFrame:
     """One measurement per (lot, frame, item, Y, X) -- the first by
-    ``measure_id`` when a cell was measured more than once -- with the cell's
-    row count and the limits of that measurement.  This is the only shuffle of
-    the detail in the per-frame views; the per-frame metadata is derived from
-    it.  One ``min_by`` per fixed-width field (unit is a grouping key, a
+    ``measure_id`` when a cell was measured more than once; without that column
+    such a cell is an error -- with the cell's row count and the limits of that measurement.  One ``min_by`` per fixed-width field (unit is a grouping key, a
     function of the item) keeps the aggregation hash-based."""
     t = judged_targets(judged)
-    order = F.col("measure_id") if "measure_id" in t.columns else F.col("value")
     keys = ["lot_number", "FrameNo", "colname", "meta_unit"]
+    if "measure_id" in t.columns:
+        first = [F.min_by(c, "measure_id").alias(c) for c in _CELL_FIELDS]
+    else:
+        # nothing tells which of several measurements came first
+        once = F.assert_true(F.count(F.lit(1)) == 1, F.lit("a cell was measured twice and has no measure_id"))
+        first = [F.coalesce(once.cast(t.schema[c].dataType), F.max(c)).alias(c) for c in _CELL_FIELDS]
     cell = t.groupBy(*keys, "PositionY", "PositionX").agg(
-        *[F.min_by(c, order).alias(c) for c in _CELL_FIELDS],
+        *first,
         F.count(F.lit(1)).alias("rows"),
         F.min("lot_start_time").alias("lot_start_time"))
     return cell.select("lot_number", "FrameNo", "colname", "lot_start_time", "PositionY", "PositionX", "rows",
                        *_CELL_FIELDS, "meta_unit")
 
 
-def frame_meta(cells: DataFrame) -> DataFrame:
-    """Per (lot, frame, item) from ``frame_cells``: rows (incl. repeats) and
-    limits/best/unit of the first cell in (Y, X) order."""
-    first = (F.col("PositionY").cast("int") * F.lit(256) + F.col("PositionX").cast("int"))
-    return cells.groupBy("lot_number", "FrameNo", "colname", "meta_unit").agg(
-        F.sum("rows").cast("long").alias("sample_count"),
-        *[F.min_by(c, first).alias(a) for c, a in (("limmin", "spec_lower"), ("limmax", "spec_upper"),
-                                                     ("meta_best", "spec_best"))]).select(
-        "lot_number", "FrameNo", "colname", "sample_count", "spec_lower", "spec_upper", "spec_best",
-        "meta_unit")
+def frames(judged: DataFrame) -> DataFrame:
+    """One row per (lot, frame, item): rows (incl. repeats), limits/best/unit of
+    the first cell in (Y, X) order, and ``cells``, at most the 288 of a frame, in that order."""
+    one = F.struct("PositionY", "PositionX", *_CELL_FIELDS)
+    rows = frame_cells(judged).groupBy("lot_number", "FrameNo", "colname", "meta_unit").agg(
+        F.sum("rows").cast("long").alias("row_count"), F.array_sort(F.collect_list(one)).alias("cells"))
+    first = F.col("cells")[0]
+    return rows.select("lot_number", "FrameNo", "colname", "row_count", first["limmin"].alias("spec_lower"),
+                       first["limmax"].alias("spec_upper"), first["meta_best"].alias("spec_best"), "meta_unit", "cells")
 
 
 def frame_kde(judged: DataFrame, bins: int = KDE_BINS, sigma: float = KDE_BANDWIDTH_BINS) -> DataFrame:
@@ -153,30 +168,25 @@ def frame_kde(judged: DataFrame, bins: int = KDE_BINS, sigma: float = KDE_BANDWI
 
     Range: from the frame's limits (two-sided, upper+best, lower+best) else
     the frame's own finite values padded by 4%; values binned against the
-    explicit linspace edges (half-open bins, last bin closed)."""
-    keys = ["lot_number", "FrameNo", "colname"]
-    all_cells = frame_cells(judged)
-    meta = frame_meta(all_cells)
-    cells = all_cells.filter(finite("value"))
-    vals = cells.groupBy(*keys).agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"),
-                                    F.count(F.lit(1)).alias("n_values"))
+    explicit linspace edges (half-open bins, last bin closed).  A frame's
+    values stay one array (288 at most) until its bins are exploded.
+    """
+    rows = frames(judged).withColumn("values", F.filter(F.transform("cells", lambda c: c["value"]), finite))
     lo_l, hi_l, best = [F.when(finite(c), F.col(c)) for c in ("spec_lower", "spec_upper", "spec_best")]
-    rng = meta.join(vals, keys, "left")
-    dmin, dmax = spec_display_range(lo_l, hi_l, best, F.col("vmin"), F.col("vmax"))
-    rng = rng.withColumns({"display_min": dmin, "display_max": dmax})
+    dmin, dmax = spec_display_range(lo_l, hi_l, best, F.array_min("values"), F.array_max("values"))
+    rows = rows.withColumns({"display_min": dmin, "display_max": dmax})
     lo, hi = F.col("display_min"), F.col("display_max")
-    inr = (cells.join(rng.select(*keys, "display_min", "display_max"), keys)
-           .filter((F.col("value") >= lo) & (F.col("value") <= hi))
-           .withColumn("_bin", edge_bin(F.col("value"), lo, hi, bins)))
-    binned = inr.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("count"))
-    in_range = binned.groupBy(*keys).agg(F.sum("count").cast("long").alias("in_range_count"))
-    sm = smooth(binned, keys, bins, sigma, bin_col="_bin")
-    base = (rng.join(in_range, keys, "left").fillna(0, ["in_range_count"])
-            .withColumn("sample_count", F.coalesce(F.col("n_values"), F.lit(0)).cast("long")))
-    dense = with_bins(base, bins).join(sm, [*keys, "bin_index"], "left").fillna(0.0, ["smoothed"])
-    out = _density(dense, keys, lo, hi, bins)
-    return out.select(*keys, "bin_index", "x", "density", "sample_count", "in_range_count",
-                      "display_min", "display_max")
+    inner = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: linspace_edge(lo, hi, i, bins))
+    rows = rows.withColumns({"edges": inner, "inside": F.filter("values", lambda v: (v >= lo) & (v <= hi))})
+    # the bin of a value is the number of inner edges at or below it
+    placed = F.transform("inside", lambda v: F.struct(
+        F.size(F.filter("edges", lambda e: e <= v)).alias("bin"), F.lit(1).cast("long").alias("count")))
+    rows = rows.withColumn("counts", placed).withColumns({
+        "sample_count": F.size("values").cast("long"), "in_range_count": F.size("inside").cast("long")})
+    out = exploded_density(rows, ["lot_number", "FrameNo", "colname", "sample_count", "in_range_count",
+                                  "display_min", "display_max"], "counts", "display_min", "display_max", bins, sigma)
+    return out.select("lot_number", "FrameNo", "colname", "bin_index", "x", "density", "sample_count",
+                      "in_range_count", "display_min", "display_max")
 
 
 def kde_y_max(kde: DataFrame, keys: list[str]) -> DataFrame:

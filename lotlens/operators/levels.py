@@ -12,7 +12,7 @@ LEVEL_PERCENTILE = 0.995
 LEVEL_MINIMUM = {"ng_rate": 1.0, "normalized_mean": 0.1, "normalized_std": 0.1}
 
 
-def metric_levels(cells: DataFrame, keys: list[str]) -> DataFrame:
+def metric_levels(cells: DataFrame, keys: list[str], few_groups: bool = False) -> DataFrame:
     """Colour maxima per group of ``keys`` (none = one global row): the exact
     99.5th percentile of each metric over the group's cells (empty cells
     ignored), rounded up by ``nice_upper``.  The three metrics are unpivoted so
@@ -20,7 +20,7 @@ def metric_levels(cells: DataFrame, keys: list[str]) -> DataFrame:
     gathered into one task."""
     long = cells.unpivot(ids=keys, values=list(LEVEL_MINIMUM), variableColumnName="_metric",
                          valueColumnName="_x")
-    pct = exact_percentile(long, [*keys, "_metric"], "_x", LEVEL_PERCENTILE, name="_p")
+    pct = exact_percentile(long, [*keys, "_metric"], "_x", LEVEL_PERCENTILE, name="_p", few_groups=few_groups)
     wide = pct.groupBy(*keys).pivot("_metric", list(LEVEL_MINIMUM)).agg(F.first("_p"))
     return wide.select(*keys, *[nice_upper(F.col(m), lo).alias(f"{m}_max") for m, lo in LEVEL_MINIMUM.items()])
 
@@ -28,7 +28,8 @@ def metric_levels(cells: DataFrame, keys: list[str]) -> DataFrame:
 def color_levels(frame_map: DataFrame) -> DataFrame:
     """Per item: colour maxima of the position map over every lot x cell."""
     items = frame_map.select("colname").distinct()
-    return items.join(metric_levels(frame_map, ["colname"]), "colname", "left")
+    # the map holds the items of a checked master (at most 63)
+    return items.join(metric_levels(frame_map, ["colname"], few_groups=True), "colname", "left")
 
 
 def trend_y_range(trend: DataFrame) -> DataFrame:

@@ -5,21 +5,18 @@ task, which is fine for the frame grain (a group is at most the 288 cells of
 one frame) but not for a level taken over every cell of every lot.  This
 operator stays exact without ever gathering a group:
 
-1. per group: ``n`` and an approximate bracket ``[lo, hi]`` around the target
-   rank from ``percentile_approx`` (rank error <= n / accuracy, so asking for
-   p -/+ 2/accuracy brackets the two ranks the linear interpolation needs once
-   n > 4 accuracy; smaller groups use their [min, max]);
-2./3. one aggregation of the values up to ``hi``: everything below ``lo``
-   collapses into a single -inf row (its count is the exact rank offset),
-   values inside the bracket keep one row per distinct value (map-side
-   combined, so ties on a hot value collapse too) -- at most ~4 n / accuracy
-   + 3 rows per group;
-4. a running count over those few values finds the exact order statistics;
-   the result is ``v[floor(k)] + (v[ceil(k)] - v[floor(k)]) * (k - floor(k))``
-   with ``k = p (n - 1)`` -- the same linear interpolation as ``percentile``.
+1. a small quantile sketch per group (``ACCURACY`` samples, map-side merged)
+   brackets the wanted ranks between two of ``GRID`` evenly spaced quantiles;
+   further ``ROUNDS`` sketch only the values inside, and count exactly what lies
+   below.  A round leaves about 1/GRID + 4/ACCURACY of the values.
+2. The few values left are counted per distinct value (ties collapse
+   map-side, and so does everything below the bracket, into one row); a running
+   count finds the exact order statistics, and the
+   result is ``v[floor(k)] + (v[ceil(k)] - v[floor(k)]) * (k - floor(k))``
+   with ``k = p (n - 1)`` -- the linear interpolation of ``percentile``.
 
-If a bracket ever failed to contain the ranks, the group's result is null and
-``exact`` is false (never silently approximate).
+The sketch's error bound makes every bracket hold its ranks.  Should one not,
+the query fails; it never returns an approximation or a null instead.
 """
 
 from __future__ import annotations
@@ -27,56 +24,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 100_000
+ACCURACY = 2000
+GRID = 400
+ROUNDS = 2
+
+
+def _bracket(seen: DataFrame, gk: list[str], accuracy: int, grid: int) -> DataFrame:
+    """(group, _k, _lo, _hi) from a sketch ``_q`` over ``_n`` values that have ``_below`` others before them."""
+    slack = 2.0 / accuracy
+    low = F.floor(((F.floor("_k") - F.col("_below")) / F.col("_n") - slack) * grid).cast("int")
+    high = F.ceil(((F.ceil("_k") + 1 - F.col("_below")) / F.col("_n") + slack) * grid).cast("int")
+    return seen.select(
+        *gk, "_k",
+        F.when(low <= 0, F.col("_min")).otherwise(F.get("_q", low)).alias("_lo"),
+        F.when(high >= grid, F.col("_max")).otherwise(F.get("_q", high)).alias("_hi"))
 
 
 def exact_percentile(df: DataFrame, keys: list[str], value: str, p: float,
-                     accuracy: int = DEFAULT_ACCURACY, name: str = "percentile",
-                     few_groups: bool = True) -> DataFrame:
+                     accuracy: int = ACCURACY, name: str = "percentile",
+                     few_groups: bool = False, rounds: int = ROUNDS, grid: int = GRID) -> DataFrame:
     """One row per group of ``keys`` that holds a value (``keys`` may be empty:
     one global row): ``name`` = exact linear-interpolated ``p``-percentile of
-    the non-null, non-NaN ``value`` and an ``exact`` flag.  ``few_groups``
-    (one row per item, or a single global row) broadcasts the per-group
-    bracket table instead of shuffling the values to meet it."""
+    the non-null, non-NaN ``value``.  ``few_groups`` promises a group count with a proven
+    bound (items of a checked master, or one global row): its table of one row per
+    group is then broadcast instead of shuffling the values to meet it."""
     if not 0.0 <= p <= 1.0:
         raise ValueError("p must be within [0, 1]")
     gk = list(keys) or ["_all"]
     base = df.select(*keys, F.col(value).cast("double").alias("_v"))
     if not keys:
-        base = base.withColumn("_all", F.lit(0))
+        base, few_groups = base.withColumn("_all", F.lit(0)), True
     base = base.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    eps = 2.0 / accuracy
-    bracket = base.groupBy(*gk).agg(
+    steps = F.array(*[F.lit(k / grid) for k in range(grid + 1)])
+    seen = base.groupBy(*gk).agg(
+        (F.lit(p) * (F.count(F.lit(1)) - 1)).alias("_k"), F.lit(0).cast("long").alias("_below"),
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", F.array(F.lit(max(0.0, p - eps)), F.lit(min(1.0, p + eps))),
-                            accuracy).alias("_br"))
-    # A group of n <= 4 * accuracy uses its whole range (at most that many
-    # candidates); above it the approximate bracket is wide enough by >= 2 ranks.
-    small = F.col("_n") <= F.lit(4 * accuracy)
-    bracket = bracket.select(*gk, "_n",
-                             F.when(small, F.col("_min")).otherwise(F.col("_br")[0]).alias("_lo"),
-                             F.when(small, F.col("_max")).otherwise(F.col("_br")[1]).alias("_hi"),
-                             (F.lit(p) * (F.col("_n") - 1)).alias("_k"))
-    bracket = bracket.withColumns({"_r0": F.floor("_k").cast("long"), "_r1": F.ceil("_k").cast("long")})
-    # one row per group: a small side, joined back on the group keys
-    side = bracket.select(*gk, "_lo", "_hi")
-    tagged = base.join(F.broadcast(side) if few_groups else side, gk)
-    # values below the bracket collapse into one -inf row per group (its count
-    # is the exact rank offset); values inside keep their own row; above: dropped
-    ninf = F.lit(float("-inf"))
-    cand = (tagged.filter(F.col("_v") <= F.col("_hi"))
-            .withColumn("_v", F.when(F.col("_v") < F.col("_lo"), ninf).otherwise(F.col("_v")))
-            .groupBy(*gk, "_v").agg(F.count(F.lit(1)).alias("_c")))
+        F.percentile_approx("_v", steps, accuracy).alias("_q"))
+    bracket = _bracket(seen, gk, accuracy, grid)
+
+    def up_to(bracket: DataFrame) -> DataFrame:
+        return base.join(F.broadcast(bracket) if few_groups else bracket, gk).filter(F.col("_v") <= F.col("_hi"))
+
+    for _ in range(rounds - 1):
+        inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
+        seen = up_to(bracket).groupBy(*gk, "_k").agg(
+            F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), F.count(inside).alias("_n"),
+            F.min(inside).alias("_min"), F.max(inside).alias("_max"),
+            F.percentile_approx(inside, steps, accuracy).alias("_q"))
+        bracket = _bracket(seen, gk, accuracy, grid)
+    lowest = F.lit(float("-inf"))
+    left = (up_to(bracket).withColumn("_v", F.when(F.col("_v") < F.col("_lo"), lowest).otherwise(F.col("_v")))
+            .groupBy(*gk, "_k", "_lo", "_v").agg(F.count(F.lit(1)).alias("_c")))
     w = Window.partitionBy(*gk).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cand = cand.withColumn("_cum", F.sum("_c").over(w))
-    picked = cand.join(F.broadcast(bracket.select(*gk, "_r0", "_r1")) if few_groups
-                       else bracket.select(*gk, "_r0", "_r1"), gk).groupBy(*gk).agg(
-        F.min(F.when(F.col("_cum") > F.col("_r0"), F.col("_v"))).alias("_v0"),
-        F.min(F.when(F.col("_cum") > F.col("_r1"), F.col("_v"))).alias("_v1"))
-    out = bracket.join(picked, gk, "left")
-    ok = (F.col("_v0").isNotNull() & F.col("_v1").isNotNull()
-          & (F.col("_v0") != ninf) & (F.col("_v1") != ninf))
-    frac = F.col("_k") - F.col("_r0").cast("double")
-    result = F.when(ok, F.when(F.col("_r0") == F.col("_r1"), F.col("_v0"))
-                    .otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * frac))
-    return out.select(*keys, result.alias(name), F.coalesce(ok, F.lit(False)).alias("exact"))
+    counted = left.withColumn("_to", F.sum("_c").over(w))
+    out = counted.groupBy(*gk, "_k", "_lo").agg(
+        F.min(F.when(F.col("_to") > F.floor("_k"), F.col("_v"))).alias("_v0"),
+        F.min(F.when(F.col("_to") > F.ceil("_k"), F.col("_v"))).alias("_v1"))
+    held = (F.col("_v0") >= F.col("_lo")) & F.col("_v1").isNotNull()
+    between = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_k") - F.floor("_k"))
+    result = (F.when(~F.coalesce(held, F.lit(False)),
+                     F.raise_error(F.lit("a quantile bracket does not hold its rank")).cast("double"))
+              .when(F.col("_v0") == F.col("_v1"), F.col("_v0")).otherwise(between))
+    return out.select(*keys, result.alias(name))

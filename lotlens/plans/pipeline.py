@@ -1,52 +1,59 @@
 """Stage-level jobs over Parquet folders: raw -> standardized -> judged -> bundle.
 
-Each job reads its input stage, checks it, writes its output stage and
-returns ``(rows, output_path)``; the output is only trusted when the written
-row count (observed on the write itself) equals the input's per-lot counts.
+Each job reads its input stage under the stage's schema, writes its output
+stage in one projection and returns ``(rows, output_path)``; the output is
+only trusted when the written row count equals the rows read, both observed
+in the writing job.
 Input/output paths are shared storage (HDFS / object store) on a cluster.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lotlens.contracts import KDE_BINS
-from lotlens.operators.checks import row_count_check
+from lotlens.contracts import JUDGED_SCHEMA, KDE_BINS, RAW_SCHEMA, STANDARDIZED_SCHEMA
 from lotlens.operators.rows import judge, standardize
-from lotlens.sources.bundle import build_bundle, dataset_stage, write_stage
+from lotlens.sources.bundle import build_bundle, dataset_stage, lay_out, write_stage
 from lotlens.sources.item_orders import SPEC_ORDER
-from lotlens.sources.raw import read_raw
+from lotlens.sources.raw import read_typed
+
+
+_SCHEMAS = {"raw": RAW_SCHEMA, "standardized": STANDARDIZED_SCHEMA, "judged": JUDGED_SCHEMA}
 
 
 def _stage_input(spark: SparkSession, path: str, expected: str) -> DataFrame:
-    df = spark.read.parquet(path)
+    df = read_typed(spark, path, _SCHEMAS[expected])
     found = dataset_stage(df)
     if found is not None and found != expected:
         raise ValueError(f"{path}: expected stage {expected!r}, found {found!r}")
     return df
 
 
-def _checked_write(df: DataFrame, source: DataFrame, path: str, stage: str) -> int:
-    rows = write_stage(df, path, stage)
-    expected = source.agg(F.count(F.lit(1))).first()[0]
-    if rows != expected:
-        raise RuntimeError(f"{stage}: wrote {rows} rows, input has {expected}")
-    return rows
+def _stage(source: DataFrame, stage: str, path: str, step: Callable[[DataFrame], DataFrame]) -> int:
+    """One projection from scan to write: no shuffle, rows counted on both ends of the same job."""
+    seen = Observation(f"input_{stage}")
+    counted = source.observe(seen, F.count(F.lit(1)).alias("rows"))
+    return write_stage(counted.transform(step), path, stage, expected_rows=seen)
+
+
+def ingest(raw: DataFrame, output_path: str) -> tuple[int, str]:
+    """Raw measurements -> raw stage, laid out by start and lot once for all later stages."""
+    return write_stage(lay_out(raw), output_path, "raw"), output_path
 
 
 def standardize_stage(spark: SparkSession, input_path: str, output_path: str) -> tuple[int, str]:
-    """raw Parquet -> standardized Parquet (partitioned by lot)."""
-    raw = read_raw(spark, input_path, with_measure_id=True)
-    rows = _checked_write(raw.transform(standardize), raw, output_path, "standardized")
-    return rows, output_path
+    """raw Parquet -> standardized Parquet (same layout)."""
+    raw = _stage_input(spark, input_path, "raw")
+    return _stage(raw, "standardized", output_path, standardize), output_path
 
 
 def judge_stage(spark: SparkSession, input_path: str, output_path: str) -> tuple[int, str]:
-    """standardized Parquet -> judged Parquet (partitioned by lot)."""
+    """standardized Parquet -> judged Parquet (same layout)."""
     std = _stage_input(spark, input_path, "standardized")
-    rows = _checked_write(std.transform(judge), std, output_path, "judged")
-    return rows, output_path
+    return _stage(std, "judged", output_path, judge), output_path
 
 
 def aggregate(spark: SparkSession, input_path: str, output_dir: str, bins: int = KDE_BINS,
@@ -54,8 +61,3 @@ def aggregate(spark: SparkSession, input_path: str, output_dir: str, bins: int =
     """judged Parquet -> analysis bundle (5 tables + manifest, manifest last)."""
     judged = _stage_input(spark, input_path, "judged")
     return build_bundle(judged, output_dir, bit_items=bit_items, bins=bins)
-
-
-def per_lot_counts(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per-lot rows in/out of a stage (the row-group check, per lot)."""
-    return row_count_check(before, after)

@@ -58,32 +58,42 @@ def lots(bundle: dict) -> DataFrame:
     return bundle["lots"].select("lot_number", "lot_start_time").orderBy("lot_start_time", "lot_number")
 
 
+def _in_order(df: DataFrame, *then: str) -> DataFrame:
+    """Rows by lot start, lot and ``then``; nulls last.  (Spark drops the sort where a later step ignores it.)"""
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in ("lot_start_time", "lot_number", *then)])
+
+
 def ng_rate_by_frame(bundle: dict, lots=None) -> DataFrame:
-    return lot_filter(bundle["frame_item_stats"], lots).select(
+    return _in_order(lot_filter(bundle["frame_item_stats"], lots), "FrameNo", "colname").select(
         "lot_number", "FrameNo", "vision", "colname", "meta_category", "total_count", "ng_count",
         "ng_rate", "normalized_mean", "normalized_std")
 
 
 def quantiles_by_frame(bundle: dict, lots=None) -> DataFrame:
-    return lot_filter(bundle["frame_item_stats"], lots).select(
+    return _in_order(lot_filter(bundle["frame_item_stats"], lots), "FrameNo", "colname").select(
         "lot_number", "FrameNo", "colname", "sample_count", "ng_count", "minimum", "p05", "p25",
         "p50", "p75", "p95", "maximum", "spec_lower", "spec_upper", "meta_unit")
 
 
 def metrics_by_position(bundle: dict, lots=None) -> DataFrame:
-    return lot_filter(bundle["position_item_stats"], lots).select(
+    return _in_order(lot_filter(bundle["position_item_stats"], lots), "colname", "PositionY", "PositionX").select(
         "lot_number", "colname", "PositionX", "PositionY", "total_count", "ng_count", "ng_rate",
         "normalized_mean", "normalized_std")
 
 
 def kde_bins(bundle: dict, bins: int, lots=None) -> DataFrame:
-    if bundle.get("kde_bins", bins) != bins:
-        raise ValueError(f"KDE bin mismatch: data={bundle.get('kde_bins')}, requested={bins}")
-    return lot_filter(bundle["lot_item_histogram"], lots).select(
+    return _in_order(stored_bins(bundle, bins, lots), "colname", "bin_index").select(
         "lot_number", "colname", "bin_index", "plot_min", "plot_max", "spec_lower", "spec_upper",
         "spec_best", "count")
 
 
+def stored_bins(bundle: dict, bins: int, lots=None) -> DataFrame:
+    """The histogram of the selected lots, in any order; the requested bins must be the stored ones."""
+    if bundle.get("kde_bins", bins) != bins:
+        raise ValueError(f"KDE bin mismatch: data={bundle.get('kde_bins')}, requested={bins}")
+    return lot_filter(bundle["lot_item_histogram"], lots)
+
+
 def remap_mask(mask: Column, bit_items, colnames) -> Column:
     """Re-express a stored NG mask in the bit order of ``colnames``
     (bit k = ``colnames[k]``).  Unknown names raise, as a lookup would."""
@@ -100,7 +110,7 @@ def remap_mask(mask: Column, bit_items, colnames) -> Column:
 
 def piece_masks(bundle: dict, colnames, lots=None) -> DataFrame:
     """Per piece the NG mask in the bit order of ``colnames``."""
-    p = lot_filter(bundle["piece_ng"], lots)
+    p = _in_order(lot_filter(bundle["piece_ng"], lots), "FrameNo", "PositionY", "PositionX")
     return p.select("lot_number", "lot_start_time", "FrameNo", "PositionX", "PositionY",
                     remap_mask(F.col("ng_mask"), bundle["bit_items"], colnames).alias("ng_mask"))
 

@@ -7,22 +7,28 @@ tests and ``bench.py`` only.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 # Settings the library relies on for scale.  AQE coalesces small shuffle
 # partitions and splits skewed ones; partial (map-side) aggregation is Spark's
-# default for every groupBy used here.
+# default for every groupBy used here.  ``percentile`` keeps one object per
+# group: the default of 128 groups a task would make nearly every detail task
+# fall back to sorting.
 SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.compression.codec": "zstd",
 }
 
+#: Scratch folders of local sessions that name none, by application.
+_LOCAL_SCRATCH: dict[str, str] = {}
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "lotlens") -> SparkSession:
@@ -39,41 +45,35 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lotlens-shared-"))
     )
     for key, value in SCALE_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` (or
+    the context's checkpoint folder) names it.  Nothing the caller set is changed.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/object store)
-    folder and is used as is.  Only when it is unset -- local tests -- a
-    fresh scratch folder is created and registered.
+    With neither, a local session gets a scratch folder of its own; on a
+    cluster there is no safe guess, and the caller has to name one.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="lotlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    try:
-        spark.sparkContext.setCheckpointDir(configured)
-    except Exception:  # noqa: BLE001 - a Spark Connect session has no SparkContext
-        pass
-    return configured
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return context.getCheckpointDir().rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder outside the executors' own")
+    return _LOCAL_SCRATCH.setdefault(context.applicationId, tempfile.mkdtemp(prefix="lotlens-shared-"))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
-
-
-def cores_from_env(default: int = 8) -> int:
-    try:
-        return int(os.environ.get("BENCH_CPUS", default))
-    except ValueError:
-        return default
+    """A path below the shared folder that nothing has used yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -2,29 +2,40 @@
 
 Row counts come from ``DataFrame.observe`` on the write itself, so checking
 "rows out == rows in" costs no second scan.  The manifest is written last,
-through the Hadoop FileSystem of the target path (tmp file + rename), and is
-the publish marker: ``open_bundle`` refuses a folder without it.
+through the Hadoop FileSystem of the target path (tmp file + rename over the
+old one), and points at the folder of its build: ``open_bundle`` refuses a
+folder without it, and sees one build whole.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lotlens.contracts import KDE_BINS
+from lotlens.contracts import BUNDLE_TYPES, KDE_BINS, check_item_names
 from lotlens.operators import aggregates as A
+from lotlens.sources.raw import read_typed
 
 STAGES = ("raw", "standardized", "judged")
 BUNDLE_TABLES = ("lots", "frame_item_stats", "position_item_stats", "lot_item_histogram", "piece_ng")
-# Write-time sort orders of the grains (row-group locality for lot filters).
+GRAIN_COLUMNS = {
+    "lots": ("lot_number", "lot_start_time"),
+    "frame_item_stats": A.FRAME_STATS_COLUMNS,
+    "position_item_stats": A.POSITION_STATS_COLUMNS,
+    "lot_item_histogram": A.HISTOGRAM_COLUMNS,
+    "piece_ng": A.PIECE_COLUMNS,
+}
+# Write-time orders of the grains; the first two columns deal rows to files.
 _SORT = {
-    "lots": ("lot_start_time",),
-    "frame_item_stats": ("lot_start_time", "FrameNo", "colname"),
-    "position_item_stats": ("lot_start_time", "colname", "PositionY", "PositionX"),
-    "lot_item_histogram": ("lot_start_time", "colname", "bin_index"),
-    "piece_ng": ("lot_start_time", "FrameNo", "PositionY", "PositionX"),
+    "lots": ("lot_start_time", "lot_number"),
+    "frame_item_stats": ("lot_start_time", "lot_number", "FrameNo", "colname"),
+    "position_item_stats": ("lot_start_time", "lot_number", "colname", "PositionY", "PositionX"),
+    "lot_item_histogram": ("lot_start_time", "lot_number", "colname", "bin_index"),
+    "piece_ng": ("lot_start_time", "lot_number", "FrameNo", "PositionY", "PositionX"),
 }
 
 
@@ -44,31 +55,37 @@ def dataset_stage(df: DataFrame) -> str | None:
     return None
 
 
+#: Partition folder of the stages: the day a lot started.  A folder holds many
+#: lots, so the number of folders follows the calendar, not the lots.
+START_DATE = "start_date"
+
+
+def lay_out(df: DataFrame) -> DataFrame:
+    """Range layout for the first write of the detail: rows of a lot together,
+    a large lot split over many tasks.  Later stages keep it without moving anything."""
+    keys = [c for c in ("lot_start_time", "lot_number", "FrameNo", "colname", "PositionY", "PositionX")
+            if c in df.columns]
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
 def write_stage(df: DataFrame, path: str, stage: str, *, version: str = "1",
-                partition_by_lot: bool = True, expected_rows: int | None = None) -> int:
-    """Write one detail stage as zstd Parquet, one folder per lot.
+                expected_rows: int | Observation | None = None) -> int:
+    """Write one detail stage as zstd Parquet, a folder per start date, rows in
+    the order they come (no shuffle; lay the raw stage out once with ``lay_out``).
 
-    Range partitioning on (start, lot, frame, item, Y, X) keeps each task's
-    output contiguous and splits a hot lot over many tasks (no single-task
-    lot).  Returns the written row count; raises if it differs from
-    ``expected_rows``.
+    Returns the written row count, which the write itself observes; raises if it differs from
+    ``expected_rows`` (a number, or an observation of the input in the same plan).
     """
     if stage not in STAGES:
         raise ValueError(f"unknown stage {stage!r}")
     obs = Observation(f"rows_{stage}")
-    keys = [c for c in ("lot_start_time", "lot_number", "FrameNo", "colname", "PositionY", "PositionX")
-            if c in df.columns]
-    # observe above the range exchange: the partitioner's sampling job reads
-    # the child plan, and a metric below the exchange would count it too.
-    out = _with_stage_metadata(df, stage, version).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    out = out.observe(obs, F.count(F.lit(1)).alias("rows"))
-    writer = out.write.mode("overwrite").option("compression", "zstd")
-    if partition_by_lot:
-        writer = writer.partitionBy("lot_number")
-    writer.parquet(path)
+    out = _with_stage_metadata(df, stage, version).observe(obs, F.count(F.lit(1)).alias("rows"))
+    (out.withColumn(START_DATE, F.to_date("lot_start_time"))
+     .write.mode("overwrite").option("compression", "zstd").partitionBy(START_DATE).parquet(path))
     rows = int(obs.get["rows"])
-    if expected_rows is not None and rows != expected_rows:
-        raise RuntimeError(f"{stage}: wrote {rows} rows, expected {expected_rows}")
+    expected = int(expected_rows.get["rows"]) if isinstance(expected_rows, Observation) else expected_rows
+    if expected is not None and rows != expected:
+        raise RuntimeError(f"{stage}: wrote {rows} rows, expected {expected}")
     return rows
 
 
@@ -86,24 +103,25 @@ def _has_jvm(spark: SparkSession) -> bool:
 
 
 def write_text_atomic(spark: SparkSession, path: str, text: str) -> None:
-    """Small driver-side file (the manifest) via the target's Hadoop FS: tmp then
-    rename.  Without a JVM handle (Spark Connect) it is written as a one-row
+    """Small driver-side file (the manifest) via the target's Hadoop FS: written
+    beside it, then renamed over it, so a reader sees the old or the new text.
+    Without a JVM handle (Spark Connect) it is written as a one-row
     text dataset instead (still last, still a marker)."""
     if not _has_jvm(spark):
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
         return
-    fs, final, jvm = _fs(spark, path)
-    tmp = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    _, final, jvm = _fs(spark, path)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        final.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    fs, tmp, _ = _fs(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     stream = fs.create(tmp, True)
     try:
         stream.write(bytearray(text.encode("utf-8")))
     finally:
         stream.close()
-    if fs.exists(final):
-        fs.delete(final, False)
-    if not fs.rename(tmp, final):
-        fs.delete(tmp, False)
-        raise RuntimeError(f"could not publish {path}")
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    context.rename(tmp, final, overwrite)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -128,41 +146,61 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def _ranged(df: DataFrame, name: str) -> DataFrame:
+    """Rows of a lot in few files, so that a lot filter prunes files by their statistics."""
+    return df.repartitionByRange(*_SORT[name][:2]).sortWithinPartitions(*[
+        F.col(c).asc_nulls_last() for c in _SORT[name]])
+
+
 def build_bundle(judged: DataFrame, out_dir: str, *, bit_items: tuple[str, ...] | list[str],
                  bins: int = KDE_BINS, version: str = "1") -> dict:
-    """Build the 5 grains from a judged DataFrame, write them, then the manifest.
+    """Build the grains from a judged DataFrame, write them, then publish them.
+
+    Every build writes a folder of its own; only the manifest, renamed over the old
+    one at the end, names it.  A build that fails leaves the published bundle as it was.
 
     ``judged`` should be a scan of the written judged stage (each grain then
     re-reads only the columns it needs); it is not cached, so nothing of
-    detail size is held in memory.
+    detail size is held in memory.  The item bounds are written first and read
+    back, so that Spark knows their size when it joins the detail with them.
     """
     if bins < 2:
         raise ValueError("bins must be >= 2")
+    check_item_names(bit_items)
     stage = dataset_stage(judged)
     if stage not in (None, "judged"):
         raise ValueError(f"bundle input must be the judged stage, got {stage!r}")
     spark = judged.sparkSession
+    base, build = out_dir.rstrip("/"), f"build-{uuid.uuid4().hex}"
+    bounds = A.item_bounds(judged)
+    bounds.write.option("compression", "zstd").parquet(f"{base}/{build}/item_bounds")
+    bounds = spark.read.schema(bounds.schema).parquet(f"{base}/{build}/item_bounds")
     grains = {
         "lots": A.lots(judged),
         "frame_item_stats": A.frame_item_stats(judged),
         "position_item_stats": A.position_item_stats(judged),
-        "lot_item_histogram": A.lot_item_histogram(judged, bins),
+        "lot_item_histogram": A.lot_item_histogram(judged, bins, bounds),
         "piece_ng": A.piece_ng(judged, bit_items),
     }
-    base = out_dir.rstrip("/")
     counts = {}
     for name, df in grains.items():
         obs = Observation(f"rows_{name}")
-        (df.observe(obs, F.count(F.lit(1)).alias("rows"))
-           .sortWithinPartitions(*_SORT[name])
-           .write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/{name}"))
+        # observed above the range exchange: its sampling job reads what is below
+        (_ranged(df, name).observe(obs, F.count(F.lit(1)).alias("rows"))
+         .write.option("compression", "zstd").parquet(f"{base}/{build}/{name}"))
         counts[name] = int(obs.get["rows"])
+    return publish(spark, base, build, counts, bit_items=bit_items, bins=bins, version=version)
+
+
+def publish(spark: SparkSession, base: str, build: str, counts: dict[str, int], *,
+            bit_items: tuple[str, ...] | list[str], bins: int, version: str = "1") -> dict:
+    """Point the bundle's manifest at the tables of ``build``."""
     manifest = {
         "dataset_stage": "analysis",
         "dataset_version": version,
         "aggregation_filter": "is_judgement_target (all tables but lots)",
         "kde_bins": bins,
-        "tables": {n: {"path": n, "rows": counts[n]} for n in BUNDLE_TABLES},
+        "tables": {n: {"path": f"{build}/{n}", "rows": c} for n, c in counts.items()},
         "ng_bit_mapping": [{"colname": c, "bit_index": i, "bit_value": 1 << i}
                            for i, c in enumerate(bit_items)],
     }
@@ -171,12 +209,15 @@ def build_bundle(judged: DataFrame, out_dir: str, *, bit_items: tuple[str, ...]
 
 
 def open_bundle(spark: SparkSession, bundle_dir: str) -> dict:
-    """Read a published bundle: ``{"manifest": dict, <table>: DataFrame, ...}``."""
+    """Read a published bundle: ``{"manifest": dict, <table>: DataFrame, ...}``, under the contract's types."""
     base = bundle_dir.rstrip("/")
     manifest = json.loads(read_text(spark, f"{base}/manifest.json"))
     out: dict = {"manifest": manifest, "kde_bins": manifest["kde_bins"],
                  "bit_items": tuple(m["colname"] for m in sorted(manifest["ng_bit_mapping"],
                                                                   key=lambda m: m["bit_index"]))}
     for name, meta in manifest["tables"].items():
-        out[name] = spark.read.parquet(f"{base}/{meta['path']}")
+        path = f"{base}/{meta['path']}"
+        schema = T.StructType([T.StructField(c, T._parse_datatype_string(BUNDLE_TYPES.get(c, "double")))
+                               for c in GRAIN_COLUMNS[name]])
+        out[name] = read_typed(spark, path, schema)
     return out

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotlens.contracts import MEASURE_ID, ItemSpec
-from lotlens.sources.raw import attach_items, melt_measures, spread, to_raw_order
+from lotlens.sources.raw import attach_items, melt_measures, to_raw_order
 
 # --- fixed values: item master of the events fixture -------------------------
 # colname, limmin, limmax, meta_best, meta_type, meta_ignore; category =
@@ -70,8 +70,7 @@ def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     Y = (user div 24) % 12 + 1, vision/suffix = event_id % 3 + 1.
     """
     k = "CAST(event_id % 3 + 1 AS STRING)"
-    events = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"),
-                    spark)
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     long_df = events.selectExpr(
         f"concat('vision_', {k}) AS vision",
         "concat('LOT_', CAST(CAST(ts AS DATE) AS STRING)) AS lot_number",
@@ -86,11 +85,11 @@ def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_raw_order(attach_items(long_df, spark, EVENT_ITEMS))
 
 
-def lineitem_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lineitem_raw(spark: SparkSession, sf_dir: str, nonnegative: tuple[str, ...] | None = None) -> DataFrame:
     """``lineitem`` melted: lot = ship month, frame = min(day, 24),
     X = suppkey % 24 + 1, Y = partkey % 12 + 1, vision = linenumber % 3 + 1."""
-    li = spread(table(spark, sf_dir, "lineitem").select(
-        "l_shipdate", "l_suppkey", "l_partkey", "l_linenumber", *[c for (_b, c, *_r) in _LINEITEM_MEASURES]), spark)
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_shipdate", "l_suppkey", "l_partkey", "l_linenumber", *[c for (_b, c, *_r) in _LINEITEM_MEASURES])
     month = F.trunc(F.to_date("l_shipdate"), "month")
     wide = li.select(
         F.concat(F.lit("LOT_"), F.date_format(month, "yyyy-MM")).alias("lot_number"),
@@ -107,5 +106,6 @@ def lineitem_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         measures={b: c for (b, c, *_r) in _LINEITEM_MEASURES},
         vision_index=F.col("vision_k"),
         items=LINEITEM_ITEMS,
+        nonnegative=nonnegative,
     )
     return to_raw_order(long_df)

@@ -4,8 +4,8 @@ The catalog is configuration (TOML: ``schema_version``,
 ``default_equipment_id``, ``[[equipments]]`` with ``[[equipments.paths]]``
 holding ``positions = [[x, y], ...]``).  ``builtin_catalog`` generates the
 two standard machines from their rule; ``load_catalog`` reads a TOML file.
-Its table form is small (machines x paths x <= 288 cells) and checked on
-the driver, so it is broadcast in joins.
+Its table form is an inline relation, so Spark knows its size and chooses the
+form of its joins.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from pyspark.sql import types as T
 from lotlens.contracts import POSITION_X, POSITION_Y, literal_table
 
 SCHEMA_VERSION = 1
-MAX_CATALOG_CELLS = 100_000
 
 PATH_SCHEMA = T.StructType([
     T.StructField("equipment_index", T.IntegerType(), False),
@@ -77,8 +76,6 @@ def catalog_rows(catalog: dict) -> list[tuple]:
             for step, pos in enumerate(path.get("positions", []), start=1):
                 rows.append((ei, str(eq["id"]), str(eq.get("label", "")), pi, str(path["id"]),
                              str(path.get("label", "")), step, int(pos[0]), int(pos[1])))
-    if len(rows) > MAX_CATALOG_CELLS:
-        raise ValueError("path catalog too large to broadcast")
     return rows
 
 

@@ -1,6 +1,6 @@
 """Raw measurement sources.
 
-* ``read_raw`` -- long measurement Parquet under the fixed raw schema.
+* ``read_typed`` / ``read_raw`` -- long measurement Parquet under a fixed schema.
 * ``melt_measures`` -- wide pieces (one column per measured item) to the long
   raw table, item metadata attached from the item master (broadcast, <= 63
   rows by contract).
@@ -8,48 +8,79 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lotlens.contracts import MEASURE_ID, RAW_COLUMNS, RAW_SCHEMA, ItemSpec, item_dimension
+from lotlens.contracts import MEASURE_ID, RAW_SCHEMA, ItemSpec, item_dimension
 
 
-def parallelism(spark: SparkSession) -> int:
-    try:
-        return int(spark.sparkContext.defaultParallelism)
-    except Exception:  # noqa: BLE001 - Spark Connect: fall back to the shuffle width
-        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+_NANOS_AS_LONG = "spark.sql.legacy.parquet.nanosAsLong"
 
 
-def spread(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Rebalance a scan that yields fewer partitions than the cluster has
-    cores (e.g. one Parquet row group).  Big inputs already scan in many splits
-    and pass through untouched, so this adds no shuffle at scale."""
+def _stored_schema(spark: SparkSession, path: str) -> T.StructType:
+    """The files' own schema (footers only); nanosecond timestamps show as bigint."""
+    try:
+        return spark.read.parquet(path).schema
+    except AnalysisException as refused:
+        if "NANOS" not in str(refused):
+            raise
+    before = spark.conf.get(_NANOS_AS_LONG)
+    spark.conf.set(_NANOS_AS_LONG, "true")
     try:
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave as is
-        return df
-    cores = parallelism(spark)
-    return df.repartition(cores) if n < cores else df
+        return spark.read.parquet(path).schema
+    finally:
+        spark.conf.set(_NANOS_AS_LONG, before)
+
+
+def read_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Parquet below ``path`` with the columns and types of ``schema`` (and
+    ``measure_id``, if stored).
+
+    Text columns are declared, never inferred, so a lot that is a folder name
+    (``lot_number=0012``) stays text.  Other stored types (unsigned or wider
+    numbers) are cast.  Spark refuses nanosecond timestamps; such files are read
+    as numbers and cut to microseconds.
+    """
+    wanted = {f.name: f for f in schema.fields}
+    stored = _stored_schema(spark, path)
+    declared = []
+    for field in stored.fields:
+        want = wanted.get(field.name)
+        if want is not None and isinstance(want.dataType, T.StringType):
+            field = T.StructField(field.name, T.StringType(), True, field.metadata)
+        declared.append(field)
+    numbers = {f.name for f in stored.fields if isinstance(f.dataType, T.LongType)}
+    df = spark.read.schema(T.StructType(declared)).parquet(path)
+    columns = []
+    for field in [*schema.fields, *[f for f in stored.fields if f.name == MEASURE_ID and f.name not in wanted]]:
+        value = F.col(field.name)
+        if field.name in numbers and isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType)):
+            value = F.timestamp_micros(F.floor(value / F.lit(1000)).cast("long"))
+        metadata = next((f.metadata for f in stored.fields if f.name == field.name), {})
+        columns.append(value.cast(field.dataType).alias(field.name, metadata=metadata))
+    return df.select(*columns)
 
 
 def read_raw(spark: SparkSession, path: str, *, with_measure_id: bool = False) -> DataFrame:
-    """Scan a raw stage.  Lot filters prune ``lot_number=`` partitions; the
-    other predicates are pushed into the Parquet scan by Catalyst."""
-    df = spark.read.parquet(path)
-    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA.fields]
-    if with_measure_id and MEASURE_ID in df.columns:
-        cols.append(F.col(MEASURE_ID))
-    return df.select(*cols)
+    """Scan a raw stage.  Predicates are pushed into the Parquet scan by Catalyst."""
+    df = read_typed(spark, path, RAW_SCHEMA)
+    return df if with_measure_id else df.select(*[f.name for f in RAW_SCHEMA.fields])
 
 
 def attach_items(long_df: DataFrame, spark: SparkSession,
                  items: tuple[ItemSpec, ...]) -> DataFrame:
-    """Attach limits/metadata of the item master by ``colname`` (inner join, so
-    items missing from the master are dropped).  The master is a driver-side
-    list checked to <= 63 rows, so the broadcast is bounded."""
+    """Attach limits/metadata of the item master by ``colname``.  A measurement
+    of an item that the master does not hold stops the job: it must not vanish.
+    The names are checked on the join key itself, before the join, where no
+    later filter can skip them.  The master is a driver-side list checked to <=
+    63 rows, so the broadcast is bounded."""
     dim = item_dimension(spark, items).drop("spec_order", "bit_value", "vision")
-    return long_df.join(F.broadcast(dim), "colname", "inner")
+    unknown = F.raise_error(F.concat(F.lit("item missing from the item master: "),
+                                     F.coalesce(F.col("colname"), F.lit("null")))).cast("string")
+    checked = F.when(F.col("colname").isin([i.colname for i in items]), F.col("colname")).otherwise(unknown)
+    return long_df.withColumn("colname", checked).join(F.broadcast(dim), "colname", "inner")
 
 
 def to_raw_order(df: DataFrame) -> DataFrame:
@@ -60,12 +91,13 @@ def to_raw_order(df: DataFrame) -> DataFrame:
 
 def melt_measures(wide: DataFrame, spark: SparkSession, *, ids: list[str],
                   measures: dict[str, str], vision_index: Column,
-                  items: tuple[ItemSpec, ...], clean: bool = False) -> DataFrame:
+                  items: tuple[ItemSpec, ...],
+                  nonnegative: tuple[str, ...] | None = None) -> DataFrame:
     """Wide -> long.  ``measures`` maps base item name -> wide column; the
     ``_v{k}`` suffix comes from ``vision_index`` (1..3).  One output row per
-    (piece, measured item).  ``clean`` rounds every value to 4 decimals and
-    clips at 0 the non-negative categories flagged by ``meta_best == 0`` and
-    no lower limit (optional cleaning step)."""
+    (piece, measured item).  With ``nonnegative`` (a list of categories, maybe
+    empty) values are cleaned: those categories are clipped at 0 and every value is
+    rounded to 4 decimals, half to even."""
     staged = wide.withColumn("_vision_k", vision_index.cast("int"))
     long_df = staged.unpivot(
         ids=[*ids, "_vision_k"],
@@ -81,9 +113,11 @@ def melt_measures(wide: DataFrame, spark: SparkSession, *, ids: list[str],
         .drop("_base", "_vision_k")
     )
     out = attach_items(long_df, spark, items)
-    if clean:
-        nonneg = F.col("limmin").isNull() & (F.col("meta_best") == 0)
-        out = out.withColumn(
-            "value",
-            F.bround(F.when(nonneg, F.greatest(F.col("value"), F.lit(0.0))).otherwise(F.col("value")), 4))
-    return out
+    return out if nonnegative is None else clean_values(out, nonnegative)
+
+
+def clean_values(long_df: DataFrame, nonnegative: tuple[str, ...]) -> DataFrame:
+    """Values of the ``nonnegative`` categories clipped at 0, all rounded to 4 decimals (half to even)."""
+    clipped = F.when(F.col("meta_category").isin(list(nonnegative)) & (F.col("value") < 0), F.lit(0.0)) \
+        .otherwise(F.col("value"))
+    return long_df.withColumn("value", F.bround(clipped, 4))

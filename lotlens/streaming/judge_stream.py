@@ -2,11 +2,12 @@
 
 Raw measurement files landing in a folder are standardised and judged as a
 stream (both stages are stateless projections, so they run unchanged on a
-streaming DataFrame).  Each micro-batch is appended to the judged stage and
-the lot-keyed grains of the lots it touched are rebuilt from that stage and
-written with dynamic partition overwrite -- so a lot that arrives over several
-batches is always aggregated whole, and a replayed batch (after a failure)
-rewrites the same partitions: the sink is idempotent.
+streaming DataFrame).  Each micro-batch is appended to the judged stage, a
+folder per start date, and the lot-keyed grains of the days it touched are
+rebuilt from that stage and written with dynamic partition overwrite -- so a
+lot that arrives over several batches is always aggregated whole, and a
+replayed batch (after a failure) rewrites the same partitions: the sink is
+idempotent.  Every batch ends with the manifest, so ``open_bundle`` reads the result.
 
 The histogram's display range is global over all lots, so it is rebuilt in
 full when requested (``refresh_histogram``) rather than per batch.
@@ -14,13 +15,16 @@ full when requested (``refresh_histogram``) rather than per batch.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lotlens.contracts import KDE_BINS, RAW_SCHEMA
+from lotlens.contracts import JUDGED_SCHEMA, KDE_BINS, RAW_SCHEMA
 from lotlens.operators import aggregates as A
 from lotlens.operators.rows import judge, standardize
+from lotlens.sources.bundle import START_DATE, publish
 
 LOT_GRAINS = ("lots", "frame_item_stats", "position_item_stats", "piece_ng")
 
@@ -42,29 +46,66 @@ def _lot_grains(judged: DataFrame, bit_items) -> dict[str, DataFrame]:
     }
 
 
-def grain_refresher(judged_dir: str, bundle_dir: str, bit_items):
+def _touched(batch: DataFrame) -> list:
+    """Start dates of a batch's lots: partition folders of the judged stage (a row per calendar day)."""
+    return [r[0] for r in batch.select(F.to_date("lot_start_time").alias("d")).distinct().collect()]
+
+
+def grain_refresher(judged_dir: str, bundle_dir: str, bit_items, bins: int = KDE_BINS):
     """``foreachBatch`` function: append the batch to the judged stage, then
-    rebuild the grains of the lots present in the batch."""
+    rebuild the grains of the days whose lots the batch touched, and publish.
+
+    The judged stage is read under a literal list of those days, which prunes
+    its folders: a batch costs what its days hold, not the whole history.
+    """
     base = bundle_dir.rstrip("/")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # Append is keyed by batch id: a replayed batch overwrites its own file set.
-        (batch.withColumn("_batch", F.lit(batch_id))
+        (batch.withColumn("_batch", F.lit(batch_id)).withColumn(START_DATE, F.to_date("lot_start_time"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("_batch", "lot_number").parquet(judged_dir))
-        touched = batch.select("lot_number").distinct()
-        stage = spark.read.parquet(judged_dir).drop("_batch")
-        # semi-join on the partition column: dynamic partition pruning reads only
-        # the touched lots (the planner decides how to ship the lot list)
-        lots_detail = stage.join(touched, "lot_number", "left_semi")
-        for name, df in _lot_grains(lots_detail, bit_items).items():
-            (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("lot_number").parquet(f"{base}/{name}"))
+         .partitionBy(START_DATE, "_batch").parquet(judged_dir))
+        days = _touched(batch)
+        if not days:
+            return
+        detail = touched_detail(spark, judged_dir, days)
+        for name, df in _lot_grains(detail, bit_items).items():
+            (df.withColumn(START_DATE, F.to_date("lot_start_time"))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy(START_DATE).parquet(f"{base}/{LIVE}/{name}"))
+        _publish(spark, base, bit_items, bins)
 
     return run
 
 
+#: Folder of the tables that batches refresh in place.
+LIVE = "live"
+
+
+def judged_history(spark: SparkSession, judged_dir: str) -> DataFrame:
+    """The judged stage under its schema, partition folders included."""
+    schema = T.StructType([*JUDGED_SCHEMA.fields, T.StructField(START_DATE, T.DateType()),
+                           T.StructField("_batch", T.LongType())])
+    return spark.read.schema(schema).parquet(judged_dir)
+
+
+def touched_detail(spark: SparkSession, judged_dir: str, days: list) -> DataFrame:
+    """The judged rows of the given start dates; other folders are not read."""
+    return judged_history(spark, judged_dir).filter(F.col(START_DATE).isin(days)).drop(START_DATE, "_batch")
+
+
+def _publish(spark: SparkSession, base: str, bit_items, bins: int) -> None:
+    """Manifest over the refreshed tables, with their row counts (file footers)."""
+    counts = {}
+    for name in (*LOT_GRAINS, "lot_item_histogram"):
+        try:
+            counts[name] = spark.read.parquet(f"{base}/{LIVE}/{name}").count()
+        except AnalysisException:  # no histogram yet
+            continue
+    publish(spark, base, LIVE, counts, bit_items=bit_items, bins=bins)
+
+
 def start_pipeline(spark: SparkSession, raw_dir: str, judged_dir: str, bundle_dir: str,
                    checkpoint_dir: str, bit_items, *, available_now: bool = True) -> StreamingQuery:
     """Start the streaming pipeline; ``available_now`` processes what is there and stops."""
@@ -75,7 +116,10 @@ def start_pipeline(spark: SparkSession, raw_dir: str, judged_dir: str, bundle_di
     return writer.start()
 
 
-def refresh_histogram(spark: SparkSession, judged_dir: str, bundle_dir: str, bins: int = KDE_BINS) -> None:
-    """Full rebuild of the lot histogram (global display range)."""
-    judged = spark.read.parquet(judged_dir).drop("_batch")
-    A.lot_item_histogram(judged, bins).write.mode("overwrite").parquet(f"{bundle_dir.rstrip('/')}/lot_item_histogram")
+def refresh_histogram(spark: SparkSession, judged_dir: str, bundle_dir: str, bit_items,
+                      bins: int = KDE_BINS) -> None:
+    """Full rebuild of the lot histogram (global display range), then publish."""
+    base = bundle_dir.rstrip("/")
+    judged = judged_history(spark, judged_dir).drop(START_DATE, "_batch")
+    A.lot_item_histogram(judged, bins).write.mode("overwrite").parquet(f"{base}/{LIVE}/lot_item_histogram")
+    _publish(spark, base, bit_items, bins)

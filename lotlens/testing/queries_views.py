@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotlens.contracts import KDE_BANDWIDTH_BINS
-from lotlens.functions.scalar import gaussian_kernel
 from lotlens.operators import frames as FR
 from lotlens.operators import kde as K
 from lotlens.operators import levels as L
 from lotlens.plans import repository as R
 from lotlens.plans import views as V
 from lotlens.sources.fixtures import EVENT_ITEMS
-from lotlens.sources.paths import builtin_catalog, catalog_rows, path_catalog
-from lotlens.testing.queries_core import (BIT_ITEMS, FRAME_STATS_SQL, POSITION_STATS_SQL, histogram_ctes,
-                                          judged_events)
+from lotlens.sources.paths import path_catalog
+from lotlens.testing.queries_core import (
+    BIT_ITEMS, FRAME_STATS_SQL, PIECE_SQL, POSITION_STATS_SQL, histogram_ctes, judged_events)
 from lotlens.testing.registry import register
 
 KNOWN = BIT_ITEMS
@@ -33,9 +31,10 @@ def _values(rows) -> str:
 
 KNOWN_CTE = "known(colname, spec_order) AS (VALUES " + _values(
     f"('{c}', {i})" for i, c in enumerate(KNOWN)) + ")"
-KERNEL_CTE = "kernel(k_offset, k_weight) AS (VALUES " + _values(
-    f"({k - len(gaussian_kernel(KDE_BANDWIDTH_BINS)) // 2}, CAST({w!r} AS DOUBLE))"
-    for k, w in enumerate(gaussian_kernel(KDE_BANDWIDTH_BINS))) + ")"
+# Gaussian weights over +-4 sigma (sigma 1.5 bins: 6 bins), computed by the oracle itself.
+KERNEL_CTE = """taps AS (SELECT k AS k_offset, exp(-(k * k) / (2 * 1.5::DOUBLE * 1.5::DOUBLE)) AS raw_weight
+  FROM (SELECT CAST(range AS INTEGER) AS k FROM range(-6, 7))),
+kernel AS (SELECT k_offset, raw_weight / sum(raw_weight) OVER () AS k_weight FROM taps)"""
 
 BASE = f"""
 fstats AS ({FRAME_STATS_SQL}),
@@ -114,10 +113,13 @@ def ng_rate_by_frame_q(spark, sf_dir):
 
 
 @reg("lot_filter", "SELECT lot_number, FrameNo, vision, colname, meta_category, total_count, ng_count, "
-     "ng_rate, normalized_mean, normalized_std FROM fstats", ["ng_rate", "normalized_mean", "normalized_std"])
+     "ng_rate, normalized_mean, normalized_std FROM fstats WHERE lot_number IN "
+     "(SELECT lot_number FROM lot_idx WHERE lot_index % 3 = 1)", ["ng_rate", "normalized_mean", "normalized_std"])
 def lot_filter_q(spark, sf_dir):
-    """FLT2: an empty lot list means all lots."""
-    return R.ng_rate_by_frame(bundle(spark, sf_dir), lots=())
+    """FLT2: a lot list (every third lot of the data, as a user would pick them from the lots table)."""
+    b = bundle(spark, sf_dir)
+    picked = [r.lot_number for k, r in enumerate(R.lots(b).collect()) if k % 3 == 1]
+    return R.ng_rate_by_frame(b, lots=picked)
 
 
 _Q_DOUBLES = ["minimum", "p05", "p25", "p50", "p75", "p95", "maximum", "spec_lower", "spec_upper"]
@@ -162,14 +164,7 @@ def _remap_sql() -> str:
 
 @reg("piece_masks", f"""
 SELECT lot_number, lot_start_time, FrameNo, PositionX, PositionY, CAST({_remap_sql()} AS BIGINT) AS ng_mask
-FROM pieces""", extra=f"""
-pieces AS (
-  SELECT lot_number, min(lot_start_time) AS lot_start_time, FrameNo, PositionX, PositionY,
-    bit_or(CASE WHEN is_ng THEN CASE colname {' '.join(f"WHEN '{n}' THEN CAST({1 << i} AS BIGINT)"
-                                                         for i, n in enumerate(BIT_ITEMS))}
-           ELSE CAST(0 AS BIGINT) END ELSE CAST(0 AS BIGINT) END) AS ng_mask
-  FROM targets GROUP BY lot_number, FrameNo, PositionX, PositionY
-)""")
+FROM pieces""", extra=f"pieces AS ({PIECE_SQL})")
 def piece_masks_q(spark, sf_dir):
     """Stored masks re-expressed in the bit order of the target items."""
     return R.piece_masks(bundle(spark, sf_dir), TARGET_ITEMS)
@@ -264,6 +259,19 @@ def lot_window_q(spark, sf_dir):
     return V.lot_window(bundle(spark, sf_dir)["lots"])
 
 
+@reg("lot_window_from", "SELECT lot_number, lot_start_time, lot_index FROM lot_idx WHERE lot_index BETWEEN 2 AND 6")
+def lot_window_from_q(spark, sf_dir):
+    """FLT5 from a given first lot: five lots from the third on."""
+    return V.lot_window(bundle(spark, sf_dir)["lots"], first_lot=2, visible=5)
+
+
+@reg("totals_vision", "SELECT CAST(sum(ng_count) AS BIGINT) AS total_ng, CAST(sum(total_count) AS BIGINT) "
+     "AS total_measurements, count(DISTINCT colname) AS item_count FROM fq WHERE vision = 'vision_3'")
+def totals_vision_q(spark, sf_dir):
+    """AG8 over the items of one vision."""
+    return V.totals(bundle(spark, sf_dir), KNOWN, vision="vision_3")
+
+
 @reg("totals", "SELECT CAST(sum(ng_count) AS BIGINT) AS total_ng, CAST(sum(total_count) AS BIGINT) "
      "AS total_measurements, count(DISTINCT colname) AS item_count FROM fq")
 def totals_q(spark, sf_dir):
@@ -286,14 +294,7 @@ def _yield_sql(category=None) -> str:
             f"100.0::DOUBLE * (count(*) - count_if({hit})) / count(*) AS piece_yield FROM pieces")
 
 
-_PIECES = f"""
-pieces AS (
-  SELECT lot_number, FrameNo, PositionX, PositionY,
-    bit_or(CASE WHEN is_ng THEN CASE colname {' '.join(f"WHEN '{n}' THEN CAST({1 << i} AS BIGINT)"
-                                                         for i, n in enumerate(BIT_ITEMS))}
-           ELSE CAST(0 AS BIGINT) END ELSE CAST(0 AS BIGINT) END) AS ng_mask
-  FROM targets GROUP BY lot_number, FrameNo, PositionX, PositionY
-)"""
+_PIECES = f"pieces AS ({PIECE_SQL})"
 
 
 @reg("piece_yield", _yield_sql(), ["piece_yield"], extra=_PIECES)
@@ -308,21 +309,36 @@ def piece_yield_category_q(spark, sf_dir):
     return V.piece_yield(bundle(spark, sf_dir), EVENT_ITEMS, category="click")
 
 
-@reg("dashboard_summary", f"""
-SELECT c.lot_count, c.item_count, c.total_measurements, c.total_ng, p.total_pieces, p.ok_pieces, p.piece_yield,
+def _dashboard_sql(category=None) -> str:
+    chosen = "" if category is None else f" WHERE meta_category = '{category}'"
+    return f"""
+SELECT (SELECT count(*) FROM lot_idx) AS lot_count, c.item_count, c.total_measurements, c.total_ng,
+  p.total_pieces, p.ok_pieces, p.piece_yield,
   {nice_upper_sql('c.ng_p', 1.0)} AS ng_rate_max,
   {nice_upper_sql('c.mean_p', 0.1)} AS deviation_max,
   {nice_upper_sql('c.std_p', 0.1)} AS std_max
-FROM (SELECT count(DISTINCT lot_number) AS lot_count, count(DISTINCT colname) AS item_count,
+FROM (SELECT count(DISTINCT colname) AS item_count,
         CAST(sum(total_count) AS BIGINT) AS total_measurements, CAST(sum(ng_count) AS BIGINT) AS total_ng,
         quantile_cont(ng_rate, 0.995) AS ng_p, quantile_cont(normalized_mean, 0.995) AS mean_p,
-        quantile_cont(normalized_std, 0.995) AS std_p FROM fq) c,
-     ({_yield_sql()}) p""", ["piece_yield", "ng_rate_max", "deviation_max", "std_max"], extra=_PIECES)
+        quantile_cont(normalized_std, 0.995) AS std_p FROM fq{chosen}) c,
+     ({_yield_sql(category)}) p"""
+
+
+_DASHBOARD_DOUBLES = ["piece_yield", "ng_rate_max", "deviation_max", "std_max"]
+
+
+@reg("dashboard_summary", _dashboard_sql(), _DASHBOARD_DOUBLES, extra=_PIECES)
 def dashboard_summary_q(spark, sf_dir):
     """VW14 + AG12 (FQ form)."""
     return V.dashboard_summary(bundle(spark, sf_dir), EVENT_ITEMS)
 
 
+@reg("dashboard_summary_category", _dashboard_sql("error"), _DASHBOARD_DOUBLES, extra=_PIECES)
+def dashboard_summary_category_q(spark, sf_dir):
+    """VW14 for one category: its items, but every lot and piece."""
+    return V.dashboard_summary(bundle(spark, sf_dir), EVENT_ITEMS, category="error")
+
+
 @reg("color_levels", f"""
 SELECT colname, {nice_upper_sql('a', 1.0)} AS ng_rate_max, {nice_upper_sql('b', 0.1)} AS normalized_mean_max,
   {nice_upper_sql('c', 0.1)} AS normalized_std_max
@@ -364,11 +380,11 @@ kcounts AS (
 ),
 disp AS (
   SELECT colname,
-    first(plot_min ORDER BY lot_number, coalesce(bin_index, {BINS})) AS plot_min,
-    first(plot_max ORDER BY lot_number, coalesce(bin_index, {BINS})) AS plot_max,
-    first(spec_lower ORDER BY lot_number, coalesce(bin_index, {BINS})) AS spec_lower,
-    first(spec_upper ORDER BY lot_number, coalesce(bin_index, {BINS})) AS spec_upper,
-    first(spec_best ORDER BY lot_number, coalesce(bin_index, {BINS})) AS spec_best
+    first(plot_min ORDER BY lot_start_time, coalesce(bin_index, {BINS})) AS plot_min,
+    first(plot_max ORDER BY lot_start_time, coalesce(bin_index, {BINS})) AS plot_max,
+    first(spec_lower ORDER BY lot_start_time, coalesce(bin_index, {BINS})) AS spec_lower,
+    first(spec_upper ORDER BY lot_start_time, coalesce(bin_index, {BINS})) AS spec_upper,
+    first(spec_best ORDER BY lot_start_time, coalesce(bin_index, {BINS})) AS spec_best
   FROM hk GROUP BY colname
 ),
 ksm AS (
@@ -538,11 +554,19 @@ fkde AS (
     sample_count, in_range_count, lo AS display_min, hi AS display_max
   FROM fdense
 ),
-catalog(equipment_id, path_index, path_id, label, step, PositionX, PositionY) AS (VALUES {_values(
-    f"('{r[1]}', {r[3]}, '{r[4]}', '{r[5]}', {r[6]}, {r[7]}, {r[8]})" for r in catalog_rows(builtin_catalog())
-    if r[1] == 'row_serpentine')}),
+catalog AS (
+  -- every other row of a path runs from right to left
+  SELECT equipment_id, path_index, path_id, label, x AS PositionX, y AS PositionY,
+    CAST(k * 24 + CASE WHEN k % 2 = 0 THEN x ELSE 25 - x END AS INTEGER) AS step
+  FROM (
+    SELECT 'row_serpentine' AS equipment_id, 0 AS path_index, 'main' AS path_id, 'processing path' AS label,
+      CAST(PositionY - 1 AS INTEGER) AS k, PositionY AS y, PositionX AS x FROM ys CROSS JOIN xs
+    UNION ALL
+    SELECT 'mold_4flow', CAST((PositionY - 1) // 3 AS INTEGER), 'flow_' || CAST((PositionY - 1) // 3 + 1 AS VARCHAR),
+      'resin flow ' || CAST((PositionY - 1) // 3 + 1 AS VARCHAR),
+      CAST((PositionY - 1) % 3 AS INTEGER), PositionY, PositionX FROM ys CROSS JOIN xs)),
 pseries AS (
-  SELECT g.lot_number, g.FrameNo, g.colname, 'row_serpentine' AS equipment_id, c.path_index, c.path_id,
+  SELECT g.lot_number, g.FrameNo, g.colname, c.equipment_id, c.path_index, c.path_id,
     c.label, CAST(c.step AS INTEGER) AS step, g.PositionX, g.PositionY, g.value, g.ng_direction,
     g.spec_lower, g.spec_upper
   FROM fgrid g JOIN catalog c ON c.PositionX = g.PositionX AND c.PositionY = g.PositionY
@@ -572,9 +596,9 @@ def frame_kde_q(spark, sf_dir):
 
 @reg("path_series", "SELECT * FROM pseries", ["value", "spec_lower", "spec_upper"], extra=FRAME_CTES)
 def path_series_q(spark, sf_dir):
-    """VW12/JN3: every frame grid along the default machine's path."""
+    """VW12/JN3: every frame grid along the paths of both machines."""
     grid = FR.frame_grid(judged_events(spark, sf_dir))
-    return FR.path_series(grid, path_catalog(spark), "row_serpentine")
+    return FR.path_series(grid, path_catalog(spark))
 
 
 @reg("path_plot_range", """
@@ -593,7 +617,7 @@ FROM (SELECT lot_number, FrameNo, colname, equipment_id, min(step) AS x_lo, max(
 def path_plot_range_q(spark, sf_dir):
     """AG15 per (frame grid, machine)."""
     grid = FR.frame_grid(judged_events(spark, sf_dir))
-    return FR.path_plot_range(FR.path_series(grid, path_catalog(spark), "row_serpentine"))
+    return FR.path_plot_range(FR.path_series(grid, path_catalog(spark)))
 
 
 @reg("kde_y_max", "SELECT colname, greatest(1.0::DOUBLE, 1.12::DOUBLE * max(density)) AS y_max FROM kde "

@@ -7,13 +7,12 @@ SQL.  Double columns are rounded identically on both sides (``stable``).
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from lotlens.session import scratch_path
 from lotlens.testing import stable
 from lotlens.testing.oracle import wrap
 
@@ -49,8 +48,7 @@ def register(key: str, body: str | None, doubles: tuple[str, ...] | list[str] =
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    from lotlens.session import scratch_path
-    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    return scratch_path(spark, name)
 
 
 def _load():
@@ -77,7 +75,3 @@ def oracle_sql() -> dict[str, str]:
         if s is not None:
             out[k] = s
     return out
-
-
-def cast_int(col: str, t: str = "int"):
-    return F.col(col).cast(t)

@@ -1,79 +1,141 @@
-"""Stage write / bundle publish round trips."""
+"""Stages and bundles: round trips, layout, foreign files, publishing."""
 
 import json
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from lotlens.contracts import JUDGED_SCHEMA, RAW_SCHEMA
 from lotlens.operators import aggregates as A
+from lotlens.operators.frames import frame_grid
 from lotlens.operators.rows import judge, standardize
+from lotlens.plans.pipeline import aggregate, ingest, judge_stage, standardize_stage
 from lotlens.sources.bundle import build_bundle, dataset_stage, open_bundle, write_stage
-from lotlens.sources.raw import read_raw
+from lotlens.sources.raw import read_raw, read_typed
+from tests.conftest import pipeline_rows
 
-BITS = ("Foreign_Length_Long_v1", "Work_Xw_v1")
+BITS = ("Scratch_v1", "Gap_v2", "Flat_v3")
 
 
-def _rows(df):
-    return sorted(tuple(r) for r in df.collect())
+def rows(df):
+    return sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=repr)
 
 
-def test_stage_roundtrip(spark, pipeline_raw, tmp_path):
-    path = str(tmp_path / "raw")
-    assert write_stage(pipeline_raw, path, "raw", expected_rows=16) == 16
-    back = read_raw(spark, path)
-    assert back.count() == 16 and back.columns == pipeline_raw.columns
-    assert sorted(r.lot_number for r in back.select("lot_number").distinct().collect()) == ["LOT_A", "LOT_B"]
-    judged_path = str(tmp_path / "judged")
-    write_stage(back.transform(standardize).transform(judge), judged_path, "judged")
-    assert dataset_stage(spark.read.parquet(judged_path)) == "judged"
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture()
+def stages(spark, pipeline_raw, tmp_path):
+    n, raw = ingest(pipeline_raw, str(tmp_path / "raw"))
+    m, std = standardize_stage(spark, raw, str(tmp_path / "std"))
+    k, jdg = judge_stage(spark, std, str(tmp_path / "jdg"))
+    assert n == m == k == 13
+    return raw, std, jdg
+
+
+def test_stages_keep_everything(spark, stages, pipeline_raw):
+    raw, _, jdg = stages
+    assert rows(read_raw(spark, raw)) == rows(pipeline_raw)
+    judged = read_typed(spark, jdg, JUDGED_SCHEMA)
+    assert rows(judged) == rows(pipeline_raw.transform(standardize).transform(judge))
+    assert {r.lot_number for r in judged.collect()} == {"L-7", "0012"}
+    assert dict(judged.dtypes)["lot_number"] == "string" and dataset_stage(judged) == "judged"
+    with pytest.raises(ValueError):
+        judge_stage(spark, jdg, jdg + "-again")
     with pytest.raises(RuntimeError):
-        write_stage(pipeline_raw, str(tmp_path / "bad"), "raw", expected_rows=15)
+        write_stage(pipeline_raw, raw + "-bad", "raw", expected_rows=12)
 
 
-def test_bundle_roundtrip(spark, pipeline_raw, tmp_path):
-    judged = pipeline_raw.transform(standardize).transform(judge)
+def test_lots_that_are_folder_names_stay_text(spark, pipeline_raw, tmp_path):
+    path = str(tmp_path / "by_lot")
+    pipeline_raw.write.partitionBy("lot_number").parquet(path)
+    assert {r.lot_number for r in read_raw(spark, path).collect()} == {"L-7", "0012"}
+
+
+def test_stages_move_nothing(spark, stages):
+    """From scan to write there is no exchange; the folders follow the start date."""
+    raw, std, _ = stages
+    for df in (read_raw(spark, raw).transform(standardize), read_raw(spark, raw).transform(standardize).transform(judge)):
+        assert "Exchange" not in plan(df) and "Sort" not in plan(df)
+    assert sorted(r[0].isoformat() for r in spark.read.parquet(std).select("start_date").distinct().collect()) \
+        == ["2025-03-04", "2025-03-05"]
+
+
+def test_files_of_other_writers(spark, tmp_path, pipeline_raw):
+    """Nanosecond times, dictionary text, unsigned masks and floating counts are read under the contract's types."""
+    schema = pa.schema([(f.name, {"string": pa.string(), "timestamp_ntz": pa.timestamp("ns"), "smallint": pa.int16(),
+                                  "tinyint": pa.int8(), "double": pa.float64(), "boolean": pa.bool_()}[f.dataType.simpleString()])
+                        for f in RAW_SCHEMA.fields])
+    columns = dict(zip(schema.names, zip(*pipeline_rows(), strict=True), strict=True))
+    table = pa.table({n: pa.array(columns[n], schema.field(n).type) for n in schema.names})
+    table = table.set_column(schema.get_field_index("colname"), "colname", table["colname"].dictionary_encode())
+    path = str(tmp_path / "ns.parquet")
+    pq.write_table(table, path, version="2.6")
+    assert rows(read_raw(spark, path)) == rows(pipeline_raw)
+
+    base = tmp_path / "foreign"
+    out = build_bundle(pipeline_raw.transform(standardize).transform(judge), str(base), bit_items=BITS, bins=4)
+    table = pq.read_table(base / out["tables"]["piece_ng"]["path"])
+    (base / "other").mkdir()
+    table = table.set_column(table.schema.get_field_index("ng_mask"), "ng_mask", table["ng_mask"].cast(pa.uint64()))
+    table = table.set_column(table.schema.get_field_index("total_item_count"), "total_item_count",
+                             table["total_item_count"].cast(pa.float64()))
+    pq.write_table(table.replace_schema_metadata(None), base / "other" / "piece_ng.parquet")
+    manifest = json.loads((base / "manifest.json").read_text())
+    manifest["tables"]["piece_ng"]["path"] = "other/piece_ng.parquet"
+    (base / ".manifest.json.crc").unlink(missing_ok=True)  # of the text that is replaced here
+    (base / "manifest.json").write_text(json.dumps(manifest))
+    read = open_bundle(spark, str(base))["piece_ng"]
+    assert {k: t for k, t in read.dtypes if k in ("ng_mask", "total_item_count", "lot_number")} == {
+        "ng_mask": "bigint", "total_item_count": "bigint", "lot_number": "string"}
+    assert read.agg(F.max("ng_mask")).first()[0] == 0b110
+
+
+def test_bundle_round_trip(spark, stages, tmp_path):
     out = str(tmp_path / "bundle")
-    manifest = build_bundle(judged, out, bit_items=BITS, bins=4)
-    assert json.loads((tmp_path / "bundle" / "manifest.json").read_text())["kde_bins"] == 4
+    judged = read_typed(spark, stages[2], JUDGED_SCHEMA)
+    manifest = aggregate(spark, stages[2], out, bins=4, bit_items=BITS)
+    assert {n: m["rows"] for n, m in manifest["tables"].items()} == {
+        "lots": 2, "frame_item_stats": 7, "position_item_stats": 12, "lot_item_histogram": 12, "piece_ng": 6}
     b = open_bundle(spark, out)
-    assert manifest["tables"]["frame_item_stats"]["rows"] == 8
-    assert _rows(b["frame_item_stats"]) == _rows(A.frame_item_stats(judged))
-    assert _rows(b["piece_ng"]) == _rows(A.piece_ng(judged, BITS))
-    assert b["lot_item_histogram"].agg(F.sum("count")).first()[0] == 16
+    assert b["bit_items"] == BITS and b["kde_bins"] == 4
+    for name, built in (("lots", A.lots(judged)), ("frame_item_stats", A.frame_item_stats(judged)),
+                        ("position_item_stats", A.position_item_stats(judged)),
+                        ("lot_item_histogram", A.lot_item_histogram(judged, 4)), ("piece_ng", A.piece_ng(judged, BITS))):
+        assert rows(b[name]) == rows(built), name
     with pytest.raises(FileNotFoundError):
         open_bundle(spark, str(tmp_path / "missing"))
     with pytest.raises(ValueError):
         build_bundle(judged, out, bit_items=BITS, bins=1)
 
 
-def test_stage_jobs(spark, pipeline_raw, tmp_path):
-    from lotlens.plans.pipeline import aggregate, judge_stage, standardize_stage
-    raw = str(tmp_path / "raw")
-    write_stage(pipeline_raw, raw, "raw")
-    rows, std = standardize_stage(spark, raw, str(tmp_path / "std"))
-    assert rows == 16
-    rows, jdg = judge_stage(spark, std, str(tmp_path / "judged"))
-    assert rows == 16
-    with pytest.raises(ValueError):
-        judge_stage(spark, jdg, str(tmp_path / "again"))
-    manifest = aggregate(spark, jdg, str(tmp_path / "bundle"), bins=4)
-    assert manifest["tables"]["piece_ng"]["rows"] == 8
-    assert manifest["ng_bit_mapping"][0]["colname"] == "Foreign_Length_Long_v1"
-    b = open_bundle(spark, str(tmp_path / "bundle"))
-    assert b["bit_items"][18] == "Work_Xw_v1"
-    p = b["piece_ng"].filter("lot_number = 'LOT_A' AND FrameNo = 2 AND PositionX = 2").first()
-    assert p.ng_mask == (1 << 0) | (1 << 18)
-
-
-def test_point_lookup_prunes_and_pushes_down(spark, pipeline_raw, tmp_path):
-    from lotlens.operators.frames import frame_grid
-    path = str(tmp_path / "judged")
-    write_stage(pipeline_raw.transform(standardize).transform(judge), path, "judged")
-    stage = spark.read.parquet(path)
-    g = frame_grid(stage, lot="LOT_A", frame=1, colname="Work_Xw_v1")
-    plan = g._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(lot_number" in plan and "= LOT_A)]" in plan
-    assert "PushedFilters: [IsNotNull(FrameNo), IsNotNull(colname)" in plan and "EqualTo(FrameNo,1)" in plan
-    rows = g.collect()
-    assert len(rows) == 288
-    assert sorted(r.ng_direction for r in rows if r.value is not None) == [-1, 0]
+def test_failed_rebuild_leaves_the_published_bundle(spark, pipeline_raw, tmp_path):
+    out = str(tmp_path / "bundle")
+    judged = pipeline_raw.transform(standardize).transform(judge)
+    build_bundle(judged, out, bit_items=BITS, bins=4)
+    before = {n: rows(open_bundle(spark, out)[n]) for n in ("lots", "frame_item_stats", "piece_ng")}
+    fails = judged.filter("lot_number = 'L-7'").withColumn(
+        "is_ng", F.when(F.col("colname") == "Gap_v2", F.raise_error(F.lit("planted"))).otherwise(F.col("is_ng")))
+    with pytest.raises(Exception, match="planted"):
+        build_bundle(fails, out, bit_items=BITS, bins=4)
+    assert {n: rows(open_bundle(spark, out)[n]) for n in before} == before
+    build_bundle(judged.filter("lot_number = 'L-7'"), out, bit_items=BITS, bins=4)
+    assert open_bundle(spark, out)["lots"].count() == 1
+
+
+def test_point_lookup_prunes_and_pushes_down(spark, stages):
+    judged = read_typed(spark, stages[2], JUDGED_SCHEMA)
+    g = frame_grid(judged.withColumn("measure_id", F.lit(1)), lot="0012", frame=3, colname="Gap_v2")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    scan = plan(g)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    for pushed in ("EqualTo(lot_number,0012)", "EqualTo(FrameNo,3)", "EqualTo(colname,Gap_v2)"):
+        assert pushed in scan, scan
+    found = g.collect()
+    assert len(found) == 288
+    assert sorted((r.PositionX, r.ng_direction) for r in found if r.value is not None) == [(2, 0), (7, 1), (24, 0)]
+    dated = spark.read.parquet(stages[2]).filter(F.col("start_date") == F.lit("2025-03-04").cast("date"))
+    assert "PartitionFilters: [isnotnull(start_date" in plan(dated) and dated.count() == 3

@@ -173,21 +173,110 @@ def test_lot_kde_absent_item_is_null(spark):
     kde = K.lot_kde(b, ("a_v1", "b_v1"))
     assert kde.count() == 2 * 2 * 60
     assert kde.filter("colname = 'b_v1' AND lot_number = 'L2'").filter(F.col("density").isNotNull()).count() == 0
-    assert math.isclose(kde.filter("colname = 'a_v1' AND lot_number = 'L1'").agg(F.max("density")).first()[0] * 0,
-                        0.0)
+    one = kde.filter("colname = 'a_v1' AND lot_number = 'L1'")
+    width = 6.0 / 60  # limits 0..4, a quarter of the span on each side
+    assert one.agg(F.sum("density")).first()[0] * width == pytest.approx(1.0)
+    assert one.orderBy(F.desc("density")).first().x == pytest.approx(1.0, abs=width)
 
 
-def test_checked_broadcast(spark):
-    from lotlens.functions.joins import checked_broadcast
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    small = spark.range(10).withColumnRenamed("id", "k")
-    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_zero_width_display_range_spares_other_items(spark):
+    """One item whose best value is its upper limit has no density; the others keep theirs."""
+    rows = [raw_row("L1", T0, 1, x, 1, 1.0 + x, "good_v1", 0.0, 9.0, None) for x in (1, 2, 3)]
+    rows += [raw_row("L1", T0, 1, 1, 1, 5.0, "point_v1", None, 5.0, 5.0)]
+    j = spark.createDataFrame(rows, RAW_SCHEMA).transform(standardize).transform(judge).withColumn("measure_id", F.lit(1))
+    known = ("good_v1", "point_v1")
+    b = R.bundle_from_judged(j, known, 60)
+    for kde in (K.lot_kde(b, known), K.frame_kde(j)):
+        assert kde.filter("colname = 'point_v1' AND density IS NOT NULL").count() == 0
+        assert kde.filter("colname = 'good_v1' AND density > 0").count() > 5
+    assert K.kde_context(b, known).filter("colname = 'good_v1' AND y_max >= 1").count() == 1
+    assert b["lot_item_histogram"].filter("colname = 'point_v1' AND bin_index IS NULL").count() == 1
+
+
+def test_empty_selection(spark):
+    from lotlens.contracts import ItemSpec
+    from lotlens.operators.frames import frame_grid
+    j = spark.createDataFrame([raw_row("L1", T0, 1, 1, 1, 1.0, "a_v1", 0.0, 4.0, None)], RAW_SCHEMA) \
+        .transform(standardize).transform(judge)
+    b = R.bundle_from_judged(j, ("a_v1",), 60)
+    item = ItemSpec("a_v1", 0.0, 4.0, None, meta_category="cat")
+    r = V.dashboard_summary(b, (item,), lots=["none"]).first()
+    assert (r.lot_count, r.item_count, r.total_pieces, r.piece_yield) == (0, 0, 0, None)
+    assert V.fq_map(b, ("a_v1",), lots=["none"]).count() == 0
+    with pytest.raises(ValueError, match="no items"):
+        V.fq_map(b, ("a_v1",), lots=["none"], required=True)
+    with pytest.raises(ValueError, match="no measurements"):
+        frame_grid(j, lot="none", required=True)
+
+
+def test_dashboard_counts_all_lots_under_an_item_filter(spark):
+    from lotlens.contracts import ItemSpec
+    rows = [raw_row("L1", T0, 1, 1, 1, 1.0, "a_v1", 0.0, 4.0, None, category="x"),
+            raw_row("L2", T0.replace(day=3), 1, 1, 1, 1.0, "b_v1", 0.0, 4.0, None, category="y")]
+    j = spark.createDataFrame(rows, RAW_SCHEMA).transform(standardize).transform(judge)
+    items = (ItemSpec("a_v1", 0.0, 4.0, None, meta_category="x"), ItemSpec("b_v1", 0.0, 4.0, None, meta_category="y"))
+    r = V.dashboard_summary(R.bundle_from_judged(j, ("a_v1", "b_v1"), 60), items, category="x").first()
+    assert (r.lot_count, r.item_count, r.total_measurements) == (2, 1, 1)
+
+
+def test_more_items_than_bits(spark):
+    names = [f"i{k}_v1" for k in range(64)]
+    j = spark.createDataFrame([raw_row("L1", T0, 1, 1, 1, 1.0, names[0], 0.0, 4.0, None)], RAW_SCHEMA) \
+        .transform(standardize).transform(judge)
+    with pytest.raises(ValueError, match="at most 63"):
+        A.piece_ng(j, names)
+    with pytest.raises(ValueError, match="at most 63"):
+        V.item_attributes(A.frame_item_stats(j), tuple(names))
+
+
+def test_unknown_item_stops_the_melt(spark):
+    from lotlens.contracts import ItemSpec
+    from lotlens.sources.raw import attach_items, clean_values
+    long = spark.createDataFrame([("a_v1", 1.0), ("stranger_v1", 2.0)], "colname string, value double")
+    item = ItemSpec("a_v1", 0.0, 4.0, None, meta_category="n")
+    with pytest.raises(Exception, match="stranger_v1"):
+        attach_items(long, spark, (item,)).collect()
+    with pytest.raises(Exception, match="stranger_v1"):  # also under a filter that only known items pass
+        attach_items(long, spark, (item,)).filter("meta_type = 'spec'").groupBy("colname").count().collect()
+    known = attach_items(long.filter("colname = 'a_v1'"), spark, (item,))
+    assert known.count() == 1
+    odd = known.withColumn("value", F.lit(-0.12345))
+    assert clean_values(odd, ("n",)).first().value == 0.0
+    assert clean_values(odd, ()).first().value == pytest.approx(-0.1234)
+
+
+def test_cells_measured_twice_need_an_order(spark):
+    rows = [raw_row("L1", T0, 1, 1, 1, v, "a_v1", 0.0, 4.0, None) for v in (3.0, 1.0)]
+    j = spark.createDataFrame(rows, RAW_SCHEMA).transform(standardize).transform(judge)
+    with pytest.raises(Exception, match="measured twice"):
+        K.frame_cells(j).collect()
+    first = K.frame_cells(j.withColumn("measure_id", F.when(F.col("value") == 3.0, 1).otherwise(2))).first()
+    assert first.value == 3.0 and first.rows == 2
+
+
+def test_lots_are_numbered_across_days(spark):
+    from datetime import timedelta
+
+    from lotlens.operators.densify import indexed_lots
+    lots = [(f"L{k:02d}", T0 + timedelta(hours=7 * k)) for k in range(20)] + [("same", T0)]
+    got = indexed_lots(spark.createDataFrame(lots[::-1], "lot_number string, lot_start_time timestamp_ntz"))
+    expected = {lot: k for k, (start, lot) in enumerate(sorted((s, n) for n, s in lots))}
+    assert {r.lot_number: r.lot_index for r in got.collect()} == expected
+    window = V.lot_window(got.select("lot_number", "lot_start_time"), visible=3)
+    assert sorted(r.lot_index for r in window.collect()) == [18, 19, 20]
+
+
+def test_planning_runs_no_job(spark):
+    """Queries are declared without looking at the data."""
+    rows = [raw_row("L1", T0, 1, x, 1, 1.0 * x, "a_v1", 0.0, 4.0, None) for x in (1, 2)]
+    j = spark.createDataFrame(rows, RAW_SCHEMA).transform(standardize).transform(judge).withColumn("measure_id", F.lit(1))
+    b = R.bundle_from_judged(j, ("a_v1",), 60)
+    tracker = spark.sparkContext.statusTracker()
+    group = "planning-only"
+    spark.sparkContext.setJobGroup(group, "plans without jobs")
     try:
-        ok = big.join(checked_broadcast(small, 100), "k")
-        over = big.join(checked_broadcast(small, 5), "k")
-        assert "BroadcastHashJoin" in ok._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" not in over._jdf.queryExecution().executedPlan().toString()
-        assert ok.count() == over.count() == 10
+        plans = [V.fq_map(b, ("a_v1",)), V.quality_trend(b, ("a_v1",)), K.lot_kde(b, ("a_v1",)), K.kde_context(b, ("a_v1",)),
+                 K.frame_kde(j), b["lot_item_histogram"], b["piece_ng"], V.lot_window(b["lots"])]
+        assert len(plans) == 8 and not tracker.getJobIdsForGroup(group)
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

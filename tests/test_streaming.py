@@ -1,47 +1,60 @@
 """Streaming pipeline equals the batch grains, across several micro-batches."""
 
+import datetime
+
 from lotlens.contracts import RAW_SCHEMA
 from lotlens.operators import aggregates as A
 from lotlens.operators.rows import judge, standardize
-from lotlens.streaming.judge_stream import grain_refresher, judged_stream, refresh_histogram, start_pipeline
+from lotlens.sources.bundle import open_bundle
+from lotlens.streaming.judge_stream import (
+    grain_refresher, judged_stream, refresh_histogram, start_pipeline, touched_detail)
 from tests.conftest import pipeline_rows
 
-BITS = ("Foreign_Length_Long_v1", "Work_Xw_v1")
+BITS = ("Scratch_v1", "Gap_v2", "Flat_v3")
 
 
-def _rows(df):
-    return sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=repr)
+def rows(df, columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
 
 
 def test_stream_matches_batch(spark, tmp_path):
-    rows = pipeline_rows()
-    raw_dir = tmp_path / "raw"
-    # LOT_A arrives in two files (two micro-batches), LOT_B in a third
-    for i, part in enumerate((rows[:4], rows[4:8], rows[8:])):
-        spark.createDataFrame(part, RAW_SCHEMA).coalesce(1).write.parquet(str(raw_dir / f"f{i}"))
-    flat = tmp_path / "landing"
-    flat.mkdir()
-    for i in range(3):
-        for f in (raw_dir / f"f{i}").glob("*.parquet"):
-            (flat / f"part{i}.parquet").write_bytes(f.read_bytes())
-    spark.conf.set("spark.sql.streaming.schemaInference", "false")
-    q = (judged_stream(spark, str(flat), max_files_per_trigger=1).writeStream
-         .foreachBatch(grain_refresher(str(tmp_path / "judged"), str(tmp_path / "bundle"), BITS))
+    measured = pipeline_rows()
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    # three micro-batches; the lots come in pieces
+    for k, part in enumerate((measured[:4], measured[4:9], measured[9:])):
+        spark.createDataFrame(part, RAW_SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"f{k}"))
+        for f in (tmp_path / f"f{k}").glob("*.parquet"):
+            (landing / f"part{k}.parquet").write_bytes(f.read_bytes())
+    judged_dir, bundle_dir = str(tmp_path / "judged"), str(tmp_path / "bundle")
+    q = (judged_stream(spark, str(landing), max_files_per_trigger=1).writeStream
+         .foreachBatch(grain_refresher(judged_dir, bundle_dir, BITS, 4))
          .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start())
     q.awaitTermination(120)
     assert q.exception() is None
-    batch = spark.createDataFrame(rows, RAW_SCHEMA).transform(standardize).transform(judge)
-    got = spark.read.parquet(str(tmp_path / "bundle" / "frame_item_stats"))
-    want = A.frame_item_stats(batch)
-    assert _rows(got.select(*want.columns)) == _rows(want)
-    gp = spark.read.parquet(str(tmp_path / "bundle" / "piece_ng"))
-    assert _rows(gp.select(*A.piece_ng(batch, BITS).columns)) == _rows(A.piece_ng(batch, BITS))
-    refresh_histogram(spark, str(tmp_path / "judged"), str(tmp_path / "bundle"), 4)
-    h = spark.read.parquet(str(tmp_path / "bundle" / "lot_item_histogram"))
-    assert _rows(h) == _rows(A.lot_item_histogram(batch, 4))
+    batch = spark.createDataFrame(measured, RAW_SCHEMA).transform(standardize).transform(judge)
+    refresh_histogram(spark, judged_dir, bundle_dir, BITS, 4)
+
+    def check():
+        b = open_bundle(spark, bundle_dir)
+        for name, built in (("lots", A.lots(batch)), ("frame_item_stats", A.frame_item_stats(batch)),
+                            ("position_item_stats", A.position_item_stats(batch)), ("piece_ng", A.piece_ng(batch, BITS)),
+                            ("lot_item_histogram", A.lot_item_histogram(batch, 4))):
+            assert rows(b[name], built.columns) == rows(built, built.columns), name
+            assert b["manifest"]["tables"][name]["rows"] == built.count()
+
+    check()
     # a second run finds nothing new and leaves the results unchanged
-    q2 = start_pipeline(spark, str(flat), str(tmp_path / "judged"), str(tmp_path / "bundle"),
-                        str(tmp_path / "ckpt"), BITS)
-    q2.awaitTermination(120)
-    assert _rows(spark.read.parquet(str(tmp_path / "bundle" / "frame_item_stats")).select(*want.columns)) == \
-        _rows(want)
+    again = start_pipeline(spark, str(landing), judged_dir, bundle_dir, str(tmp_path / "ckpt"), BITS)
+    again.awaitTermination(120)
+    check()
+
+
+def test_a_batch_reads_its_days_only(spark, tmp_path):
+    judged_dir = str(tmp_path / "judged")
+    refresh = grain_refresher(judged_dir, str(tmp_path / "bundle"), BITS, 4)
+    refresh(spark.createDataFrame(pipeline_rows(), RAW_SCHEMA).transform(standardize).transform(judge), 0)
+    detail = touched_detail(spark, judged_dir, [datetime.date(2025, 3, 4)])
+    scan = detail._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(start_date" in scan and "2025-03-04" in scan.split("PartitionFilters")[1][:120]
+    assert {r.lot_number for r in detail.collect()} == {"L-7"}
