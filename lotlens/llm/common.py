@@ -2,40 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotlens.session import scratch_path
+
 #: Words are runs of anything but the six ASCII blanks (space, tab, newline, VT, FF, CR).
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as named by ``spark.checkpoint.dir`` or ``setCheckpointDir``.
-
-    With neither, a local session (tests) gets a scratch folder of its own; on a
-    cluster there is no safe guess and the caller has to name one.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named:
-        if not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lotlens-shared-"))
-        named = context.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -71,3 +49,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def partitions_for(spark: SparkSession, at_least: int = 1) -> int:
     """The session's shuffle partitions, as explicit count for keyed repartitions."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bitmap(hashes: DataFrame, cell_words: int) -> DataFrame:
+    """One row: ``cell_words`` longs with the bits of all values of ``hashes.hash`` (a bigint column).
+
+    Its size does not depend on the number of values; with more of them it only lets more pass.
+    """
+    cells = (hashes.select(F.pmod(F.shiftrightunsigned("hash", 6), F.lit(cell_words)).alias("cell"),
+                           F.expr("shiftleft(1L, cast(hash & 63L as int))").alias("bit"))
+             .groupBy("cell").agg(F.bit_or("bit").alias("bits")))
+    every = hashes.sparkSession.range(cell_words).withColumnRenamed("id", "cell")
+    dense = every.join(cells, "cell", "left").agg(
+        F.array_sort(F.collect_list(F.struct("cell", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+        .alias("cells"))
+    return dense.select(F.expr("transform(cells, c -> c.bits)").alias("cells"))
+
+
+def in_bitmap(cells: str, value: str, cell_words: int) -> str:
+    """SQL: whether the bitmap column ``cells`` has the bit of ``value``."""
+    return (f"getbit({cells}[cast(pmod(shiftrightunsigned({value}, 6), {cell_words}L) as int)], "
+            f"cast({value} & 63L as int)) = 1")

@@ -36,7 +36,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import bitmap, in_bitmap, whole_text
 
 WINDOW = 10
 K = 5
@@ -75,12 +75,6 @@ def _kept(width: int, k: int, window: int, passes: str) -> str:
             f"cast(least(p, {window - k}) as int) + {window})))")
 
 
-def _bit(cells: str, value: str, cell_words: int) -> str:
-    """Whether the bitmap ``cells`` has the bit of ``value``."""
-    return (f"getbit({cells}[cast(pmod(shiftrightunsigned({value}, 6), {cell_words}L) as int)], "
-            f"cast({value} & 63L as int)) = 1")
-
-
 def benchmark_prints(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text",
                      window: int = WINDOW, k: int = K) -> DataFrame:
     """One row per fingerprint of the benchmark: hash, item, length, item_lead, item_around."""
@@ -99,28 +93,15 @@ def benchmark_prints(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return long.unionByName(short).distinct()
 
 
-def _bitmap(prints: DataFrame, cell_words: int) -> DataFrame:
-    """One row: the bitmap of all hashes, and the lengths of short items."""
-    spark = prints.sparkSession
-    cells = (prints.select(F.pmod(F.shiftrightunsigned("hash", 6), F.lit(cell_words)).alias("cell"),
-                           F.expr("shiftleft(1L, cast(hash & 63L as int))").alias("bit"))
-             .groupBy("cell").agg(F.bit_or("bit").alias("bits")))
-    every = spark.range(cell_words).withColumnRenamed("id", "cell")
-    dense = every.join(cells, "cell", "left").agg(
-        F.array_sort(F.collect_list(F.struct("cell", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
-        .alias("cells"))
-    return dense.select(F.expr("transform(cells, c -> c.bits)").alias("cells"))
-
-
 def hit_words(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, k: int = K,
               bitmap_words: int = BITMAP_WORDS) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, items (sorted as strings), contaminated."""
     width = window - k + 1
     prints = benchmark_prints(benchmark, item_col, item_text_col, window, k)
-    cells = _bitmap(prints, bitmap_words).scalar()
+    cells = bitmap(prints, bitmap_words).scalar()
     short_lengths = prints.filter(F.col("length") < window).agg(F.array_sort(F.collect_set("length"))).scalar()
-    passes = _bit("cells", "{0}", bitmap_words)
+    passes = in_bitmap("cells", "{0}", bitmap_words)
     empty = "cast(array() as array<bigint>)"
     read = (docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
                         bench_words(text_col).alias("words"))
@@ -129,7 +110,7 @@ def hit_words(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
             .withColumn("minima", F.expr(f"if(size(words) >= {window}, {_window_minima('hashes', width)}, {empty})")))
     kept = f"if(size(minima) > 0, {_kept(width, k, window, passes)}, array())"
     whole = (f"flatten(transform(filter(lengths, n -> n <= size(words)), n -> transform("
-             f"filter(sequence(0, size(words) - n), i -> {_bit('cells', 'xxhash64(n, slice(words, i + 1, n))', bitmap_words)}), "
+             f"filter(sequence(0, size(words) - n), i -> {in_bitmap('cells', 'xxhash64(n, slice(words, i + 1, n))', bitmap_words)}), "
              f"i -> named_struct('hash', xxhash64(n, slice(words, i + 1, n)), 'at', i, 'lead', 0, "
              f"'around', slice(words, i + 1, n)))))")
     found = read.select("row", "doc_id", F.size("words").cast("long").alias("n_words"),

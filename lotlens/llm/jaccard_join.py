@@ -6,23 +6,29 @@ text) are linked if their sets' Jaccard similarity is ``SIMILARITY`` or more.
 
 * *Tokens.*  Each set is embedded as ``COORDINATES`` min-hash tokens; two sets
   of similarity s share each token with probability s.
-* *Paths.*  A run starts with all sets in one bucket and splits every bucket
-  that is too large: the bucket's path chooses ``BRANCHES`` coordinates, and each set goes
-  to the children named by its tokens there.  A linked pair follows at least
+* *Paths.*  A run starts with all sets in one bucket.  A bucket is split on
+  ``BRANCHES`` coordinates that its path chooses, and each set goes to the
+  children named by its tokens there.  A linked pair follows at least
   one child together with probability 1 - (1 - s p)^BRANCHES if p is that of
   surviving below; the smallest fixed point at s = 0.8 and two branches is
   p = 0.9375, at any depth.  Runs are repeated until the pairs at exactly
   0.8 are found with ``RECALL`` (three runs: 0.9998); those above, with more.
-* *Buckets* of at most ``SMALL`` sets are brute-forced: token agreement first
-  (a pair at 0.8 shows under ``LEAST_AGREEMENT`` with probability 1e-4), then
-  every remaining pair's exact similarity on the whole shingle sets.
-* Large buckets that ``DEPTH`` splits have not broken up (many different near
-  copies of one text) are brute-forced as well, in blocks of ``SMALL`` by ``SMALL``.
+* *Splitting ends* with at most ``SMALL`` sets, which are brute-forced.  A larger
+  bucket of mostly near copies (tokens agree in ``DENSE`` of all pairs) would not fall apart
+  however often it is split: it is brute-forced at once, in blocks of ``SMALL`` by ``SMALL``.
+  So is what ``DEPTH`` splits have left.
+* *Brute force.*  Token agreement first (a pair at 0.8 shows less than
+  ``LEAST_AGREEMENT`` with probability 1e-4), then the exact similarity on the whole
+  shingle sets.  Of a pair's first-level buckets that were not split, the first one
+  compares it and no other bucket does; only pairs without such a bucket can be met twice.
+* *Links* are never rows: each bucket says per set how many partners it has found (their names,
+  where a pair can be met twice) and which sets it connects.
 
 *Scale.*  Copies are collapsed before anything else, so a group of equal
 texts is one set.  Buckets move ids only; tokens (256 bytes) move for buckets
 with two sets or more; whole sets move for sets with a surviving candidate, once per
-bucket they are compared in.  No bucket is collected before its size is known.
+bucket they are compared in, and only their texts are read again (a bitmap of fixed size
+keeps the others from being shuffled).  Candidates stay packed, a row per bucket.  No bucket is collected before its size is known.
 
 Defined results: texts without words are linked to nothing (their copies
 still form a class); a null text is empty; rows that share an id are documents of their
@@ -35,21 +41,28 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised, spare_name, whole_text
+from .common import bitmap, in_bitmap, materialised, spare_name, whole_text
 from .words import blocks, find_words, mixed, window_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 COORDINATES = 64
 BRANCHES = 2
-DEPTH = 6
-SMALL = 64
+DEPTH = 8
+SMALL = 256
+#: Share of agreeing token pairs in a bucket from which on it is not split.
+DENSE = 0.5
+#: Tokens that density is judged by.
+PROBES = 4
+#: 64-bit words of the bitmap that tells which texts are read again.
+BITMAP_WORDS = 1 << 15
 RECALL = 0.999
 #: Share of common tokens under which a pair is not compared exactly.
 LEAST_AGREEMENT = 0.58
@@ -117,7 +130,7 @@ def _sets(shingle: int):
             texts = [t.encode() for t in batch.column(1).to_pylist()]
             for a, b in blocks(texts):
                 hashes, first = shingle_sets(texts[a:b], shingle)
-                found = [np.unique(hashes[first[k]:first[k + 1]]).view(np.int64) for k in range(b - a)]
+                found = [np.unique(hashes[first[k]:first[k + 1]].view(np.int64)) for k in range(b - a)]
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))],
@@ -140,117 +153,194 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.select("doc_id", "digest"), classes
 
 
-def _children(sets: DataFrame, path: Column, branches: int, coordinates: int) -> DataFrame:
-    """A row per set and child bucket: (path, set, n_shingles); ``sets`` has digest, tokens, n_shingles."""
-    first = F.pmod(F.xxhash64(path, F.lit(0)), F.lit(coordinates))
-    second = F.pmod(first + 1 + F.pmod(F.xxhash64(path, F.lit(1)), F.lit(coordinates - 1)), F.lit(coordinates))
-    chosen = [first, second] if branches == 2 else [
-        F.pmod(F.xxhash64(path, F.lit(j)), F.lit(coordinates)) for j in range(branches)]
-    steps = F.array(*[F.xxhash64(path, c, F.get("tokens", c.cast("int"))) for c in chosen])
-    return sets.select("digest", F.explode(steps).alias("path"))
+def _tokens_at(path: Column, branches: int, used: int, coordinates: int) -> Column:
+    """Child paths of ``path``: each of ``branches`` different coordinates from ``used`` on, with the set's token."""
+    free = coordinates - used
+    first = F.pmod(F.xxhash64(path), F.lit(free))
+    step = 1 + F.pmod(F.xxhash64(path, F.lit(1)), F.lit(free // branches - 1))
+    places = [(F.lit(used) + F.pmod(first + step * j, F.lit(free))).cast("int") for j in range(branches)]
+    return F.array(*[F.xxhash64(path, c, F.get("tokens", c)) for c in places])
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """``rows`` (digest, path) of buckets with two sets or more, with the bucket's size."""
+    """``rows`` (digest, root, path) of buckets with two sets or more, with the bucket's size."""
     sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     return rows.join(sizes, "path")
 
 
+def _dense(large: DataFrame, sets: DataFrame, probes: list[int]) -> DataFrame:
+    """Paths of large buckets whose sets' tokens at ``probes`` agree in a share ``DENSE`` of all pairs."""
+    probe = F.array(*[F.struct(F.lit(c).alias("at"), F.get("tokens", F.lit(c)).alias("token")) for c in probes])
+    shared = (large.join(sets.select("digest", probe.alias("probe")), "digest")
+              .select("path", "size", F.explode("probe").alias("p"))
+              .groupBy("path", "size", "p.at", "p.token").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    return (shared.groupBy("path", "size").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+            .filter(F.col("pairs") >= F.lit(DENSE * len(probes)) * F.col("size") * F.col("size")).select("path"))
+
+
 def chosen_path_buckets(classes: DataFrame, runs: int, branches: int = BRANCHES, depth: int = DEPTH,
-                        small: int = SMALL, coordinates: int = COORDINATES) -> tuple[DataFrame, DataFrame | None]:
-    """Small buckets (path, digest, size), and what is still large after ``depth`` splits, if anything."""
+                        small: int = SMALL, coordinates: int = COORDINATES) -> tuple[DataFrame, DataFrame]:
+    """Buckets to brute-force (path, root, digest, side, alone), and sets with open roots (digest, open).
+
+    ``root`` numbers a bucket's first branch; the bit of a root is open for a set if its
+    first-level bucket there was split, so that pairs in it may have been missed.
+    """
     sets = classes.filter("n_shingles > 0")
-    roots = F.explode(F.transform(F.sequence(F.lit(1), F.lit(runs)), lambda r: F.xxhash64(r))).alias("path")
-    level = _children(sets.select("digest", "tokens", roots), F.col("path"), branches, coordinates)
-    done, large = None, None
+    roots = runs * branches
+    first = F.array(*[F.struct(F.lit(j).alias("root"), F.xxhash64(F.lit(j), F.get("tokens", F.lit(j))).alias("path"))
+                      for j in range(roots)])
+    level = sets.select("digest", F.explode(first).alias("r")).select("digest", "r.root", "r.path")
+    probes = list(range(roots, coordinates, max(1, (coordinates - roots) // PROBES)))[:PROBES]
+    done, opened = [], None
     for d in range(depth):
-        sized = materialised(_sized(level.distinct()), f"paths-{d}")
-        here = sized.filter(F.col("size") <= small)
-        done = here if done is None else done.unionByName(here)
+        sized = materialised(_sized(level), f"paths-{d}")
+        done.append(sized.filter(F.col("size") <= small)
+                    .select("path", "root", "digest", F.lit(0).alias("side"), F.lit(True).alias("alone")))
         large = sized.filter(F.col("size") > small)
+        last = d + 1 == depth
         if large.isEmpty():
-            return done, None
-        if d + 1 < depth:
-            level = _children(large.join(sets.select("digest", "tokens"), "digest"), F.col("path"), branches, coordinates)
-    return done, large
+            break
+        dense = materialised(large.select("path").distinct() if last else _dense(large, sets, probes), f"dense-{d}")
+        done.append(_block_pairs(large.join(dense, "path", "left_semi"), small))
+        rest = large.join(dense, "path", "left_anti")
+        if d == 0:
+            opened = rest.groupBy("digest").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("open"))
+        if not last:
+            level = (rest.join(sets.select("digest", "tokens"), "digest")
+                     .select("digest", "root", F.explode(_tokens_at(F.col("path"), branches, roots, coordinates))
+                             .alias("path")))
+    if opened is None:
+        opened = sets.select("digest", F.lit(0).cast("long").alias("open")).limit(0)
+    return reduce(DataFrame.unionByName, done), opened
 
 
 def _block_pairs(large: DataFrame, small: int) -> DataFrame:
-    """Large buckets as pairs of blocks: (path, digest, side); side 0 meets side 1, or itself if alone."""
+    """Large buckets as pairs of blocks: side 0 meets side 1, or itself if alone."""
     n = F.ceil(F.col("size") / F.lit(small)).cast("int")
     block = F.pmod(F.xxhash64("digest", "path"), n).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda other: F.struct(
         F.least(block, other).alias("low"), F.greatest(block, other).alias("high"),
         (block > other).cast("int").alias("side")))
-    return (large.select("digest", "path", F.explode(pairs).alias("p"))
-            .select("digest", F.xxhash64("path", "p.low", "p.high").alias("path"), "p.side",
+    return (large.select("digest", "root", "path", F.explode(pairs).alias("p"))
+            .select(F.xxhash64("path", "p.low", "p.high").alias("path"), "root", "digest", "p.side",
                     (F.col("p.low") == F.col("p.high")).alias("alone")))
 
 
-def _candidates(similarity: float, least: float):
+def _candidates(least: float, roots: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[bytes, bytes, int]] = []
+            paths, members, pairs, again = [], [], [], []
             for path, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows.sort(key=lambda r: r["digest"])
                 tokens = np.array([r["tokens"] for r in rows], dtype=np.int32)
-                sizes = np.array([r["n_shingles"] for r in rows])
                 sides = np.array([r["side"] for r in rows])
-                alone = rows[0]["alone"]
+                opened = np.array([r["open"] for r in rows])
+                root, alone = rows[0]["root"], rows[0]["alone"]
+                found = []
                 for i in range(len(rows) - 1):
-                    near = (tokens[i + 1:] == tokens[i]).mean(axis=1) >= least
+                    same = tokens[i + 1:] == tokens[i]
+                    near = same.mean(axis=1) >= least
                     if not alone:
                         near &= sides[i + 1:] != sides[i]
-                    out += [(rows[i]["digest"], rows[i + 1 + j]["digest"], path) for j in np.flatnonzero(near)]
-            a, b, p = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(p, pa.int64())],
-                                             ["a", "b", "path"])
+                    for other in range(roots) if opened[i] >> root & 1 else range(root):
+                        if not opened[i] >> other & 1:
+                            near &= ~same[:, other]
+                    found += [(i, i + 1 + int(j)) for j in np.flatnonzero(near)]
+                if found:
+                    used = sorted({k for p in found for k in p})
+                    place = {k: n for n, k in enumerate(used)}
+                    paths.append(path)
+                    members.append([rows[k]["digest"] for k in used])
+                    pairs.append([{"a": place[a], "b": place[b]} for a, b in found])
+                    again.append(bool(opened[0] >> root & 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(paths, pa.int64()), pa.array(members, pa.list_(pa.binary())),
+                 pa.array(pairs, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(again, pa.bool_())],
+                ["path", "members", "pairs", "again"])
+    return read
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Members that two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    place = np.searchsorted(y, x)
+    return int((y[np.minimum(place, len(y) - 1)] == x).sum())
+
+
+def _verified(similarity: float):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for k in range(batch.num_rows):
+                members, again = batch.column(0)[k].as_py(), batch.column(2)[k].as_py()
+                sets = [x.values.to_numpy() for x in batch.column(3)[k]]
+                linked: list[list[int]] = [[] for _ in members]
+                for p in batch.column(1)[k].as_py():
+                    x, y = sets[p["a"]], sets[p["b"]]
+                    shared = _common(x, y)
+                    if shared >= (similarity - 1e-12) * (len(x) + len(y) - shared):
+                        linked[p["a"]].append(p["b"])
+                        linked[p["b"]].append(p["a"])
+                label: dict[int, int] = {}
+                for first in sorted(range(len(members)), key=members.__getitem__):
+                    todo = [first] if linked[first] and first not in label else []
+                    while todo:
+                        at = todo.pop()
+                        if at not in label:
+                            label[at] = first
+                            todo += linked[at]
+                names = [int.from_bytes(m[:8], "big", signed=True) for m in members] if again else []
+                out += [(members[at], members[first], 0 if again else len(linked[at]),
+                         [names[j] for j in linked[at]] if again else []) for at, first in label.items()]
+            columns = list(zip(*out, strict=True)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64())), strict=True)],
+                ["digest", "label", "partners", "others"])
     return read
 
 
-def jaccard_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def jaccard_partners(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL,
                   small: int = SMALL, depth: int = DEPTH, coordinates: int = COORDINATES,
                   least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
-    """Linked classes as (a, b, similarity), digests with a < b."""
-    done, large = chosen_path_buckets(classes, runs_for(recall, similarity), BRANCHES, depth, small, coordinates)
-    members = done.select("path", "digest", F.lit(0).alias("side"), F.lit(True).alias("alone"))
-    if large is not None:
-        members = members.unionByName(_block_pairs(large, small).select("path", "digest", "side", "alone"))
-    sets = classes.select("digest", "tokens", "n_shingles")
-    buckets = (members.join(sets, "digest").groupBy("path")
-               .agg(F.collect_list(F.struct("digest", "tokens", "n_shingles", "side", "alone")).alias("rows")))
-    pairs = materialised(
-        buckets.mapInArrow(_candidates(similarity, least_agreement), "a binary, b binary, path bigint")
-        .groupBy("a", "b").agg(F.min("path").alias("path")), "candidate-pairs")
+    """Per bucket and linked class: digest, label (smallest digest that the bucket connects it with),
+    partners (links that no other bucket finds), others (hashes of those that another may find too)."""
+    runs = runs_for(recall, similarity)
+    members, opened = chosen_path_buckets(classes, runs, BRANCHES, depth, small, coordinates)
+    sets = classes.select("digest", "tokens")
+    buckets = (members.join(sets, "digest").join(opened, "digest", "left")
+               .groupBy("path").agg(F.collect_list(F.struct(
+                   "digest", "tokens", "root", "side", "alone",
+                   F.coalesce("open", F.lit(0).cast("long")).alias("open"))).alias("rows")))
+    candidates = materialised(buckets.mapInArrow(
+        _candidates(least_agreement, runs * BRANCHES),
+        "path bigint, members array<binary>, pairs array<struct<a int, b int>>, again boolean"), "candidates")
     # whole shingle sets of the classes that have a candidate, each once per bucket it is compared in
-    needed = (pairs.select("path", F.col("a").alias("digest")).union(pairs.select("path", "b"))).distinct()
+    needed = candidates.select("path", F.posexplode("members").alias("at", "digest"))
     text = whole_text(text_col)
-    texts = (docs.select(F.unhex(F.sha2(text, 256)).alias("digest"), F.col(id_col).cast("bigint").alias("id"),
-                         text.alias("text")))
-    one_each = (needed.select("digest").distinct().join(classes.select("digest", F.col("class_doc")), "digest"))
-    chosen = texts.join(one_each, (texts["digest"] == one_each["digest"]) & texts["id"].eqNullSafe(one_each["class_doc"])) \
-        .select(texts["digest"], "text").dropDuplicates(["digest"])
-    found = chosen.mapInArrow(_sets(shingle), "set_id binary, shingles array<bigint>")
+    one_each = materialised(needed.select("digest").distinct()
+                            .join(classes.select("digest", "class_doc"), "digest"), "needed")
+    cells = bitmap(one_each.select(F.xxhash64("digest").alias("hash")), BITMAP_WORDS).scalar()
+    texts = docs.select(F.unhex(F.sha2(text, 256)).alias("text_digest"), F.col(id_col).cast("bigint").alias("id"),
+                        text.alias("text")).withColumn("cells", cells)
+    texts = texts.withColumn("hash", F.xxhash64("text_digest")).filter(in_bitmap("cells", "hash", BITMAP_WORDS))
+    chosen = (texts.select("text_digest", "id", "text")
+              .join(one_each, (F.col("text_digest") == one_each["digest"]) & F.col("id").eqNullSafe(one_each["class_doc"]))
+              .select("text_digest", "text"))
+    found = chosen.mapInArrow(_sets(shingle), "set_id binary, shingles array<bigint>").dropDuplicates(["set_id"])
     groups = (needed.join(found, needed["digest"] == found["set_id"]).groupBy("path")
-              .agg(F.map_from_entries(F.collect_list(F.struct("set_id", "shingles"))).alias("sets")))
-    asked = pairs.groupBy("path").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    compared = asked.join(groups, "path").select(F.explode(F.expr("""
-        transform(pairs, p -> named_struct('a', p.a, 'b', p.b,
-            'n_a', size(element_at(sets, p.a)), 'n_b', size(element_at(sets, p.b)),
-            'common', size(array_intersect(element_at(sets, p.a), element_at(sets, p.b)))))""")).alias("p")).select("p.*")
-    union = F.col("n_a") + F.col("n_b") - F.col("common")
-    return compared.select("a", "b", (F.col("common") / union).alias("similarity")).filter(
-        F.col("similarity") >= similarity - 1e-12)
+              .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "shingles"))), lambda x: x.shingles).alias("sets")))
+    return candidates.join(groups, "path").select("members", "pairs", "again", "sets").mapInArrow(
+        _verified(similarity), "digest binary, label binary, partners bigint, others array<bigint>")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(digest, root): the smallest digest that each linked class reaches.
+def components(pairs: DataFrame) -> DataFrame:
+    """(digest, root): the smallest digest that each digest of ``pairs`` (a, b) reaches.
 
     Labels fall to the smallest of the neighbours' and then to their label's
     own label, until nothing changes; each round is written out.
     """
-    edges = materialised(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    edges = materialised(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), "edges")
     labels = materialised(edges.groupBy("a").agg(F.min("b").alias("low"))
                           .select(F.col("a").alias("node"), F.least("a", "low").alias("label")), "labels")
     while True:
@@ -275,11 +365,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     members, classes = text_classes(docs, id_col, text_col, options.get("shingle", SHINGLE),
                                     options.get("coordinates", COORDINATES))
     classes = materialised(classes, "classes")
-    links = materialised(jaccard_links(docs, classes, id_col, text_col, **options), "links")
-    degrees = (links.select(F.col("a").alias("digest")).unionAll(links.select("b"))
-               .groupBy("digest").agg(F.count(F.lit(1)).alias("n_links")))
+    links = materialised(jaccard_partners(docs, classes, id_col, text_col, **options), "links")
+    degrees = links.groupBy("digest").agg(
+        (F.sum("partners") + F.size(F.array_distinct(F.flatten(F.collect_list("others"))))).alias("n_links"))
+    connected = links.filter("digest != label").select(F.col("digest").alias("a"), F.col("label").alias("b"))
     named = (classes.select("digest", "class_doc", "members").join(degrees, "digest", "left")
-             .join(components(links), "digest", "left")
+             .join(components(connected), "digest", "left")
              .select("digest", "class_doc", "members", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
                      F.coalesce("root", "digest").alias("root")))
     groups = named.groupBy("root").agg(

@@ -36,7 +36,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, whole_text
+from lotlens.session import scratch_path
+
+from .common import whole_text
 
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
@@ -237,7 +239,7 @@ def resolved(archives: DataFrame) -> DataFrame:
 
 def archive_pages(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Pages archived, deduplicated and read back, all below the shared folder."""
-    raw, final = fresh_path(spark, "warc-raw"), fresh_path(spark, "warc")
+    raw, final = scratch_path(spark, "warc-raw"), scratch_path(spark, "warc")
     write_archives(page_records(pages), raw)
     deduplicate(spark, raw, final, min_bytes)
     return resolved(read_archives(spark, final))

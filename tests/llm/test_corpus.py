@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lotlens.llm import jaccard_join, mixing, sharding, warc
-from lotlens.llm.common import fresh_path
+from lotlens.session import scratch_path
 
 from .conftest import doc_frame, ordered, prose, tuples
 from .test_text import brute_hits
@@ -145,7 +145,7 @@ def test_archive_pages(spark):
 
 
 def test_archives_round_trip(spark):
-    path, deduplicated = fresh_path(spark, "warc-test"), fresh_path(spark, "warc-test")
+    path, deduplicated = scratch_path(spark, "warc-test"), scratch_path(spark, "warc-test")
     warc.write_archives(warc.page_records(page_frame(spark, PAGES)), path, per_archive=3)
     back = warc.read_archives(spark, path, payloads=True)
     assert tuples(back, "page_id", "url", "payload") == ordered((p, u, h or "") for p, u, h in PAGES)
