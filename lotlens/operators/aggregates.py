@@ -85,13 +85,35 @@ def frame_item_stats(judged: DataFrame) -> DataFrame:
 
 
 def position_item_stats(judged: DataFrame) -> DataFrame:
-    """(lot, vision, colname, X, Y) statistics across frames over target rows."""
-    agg = judged_targets(judged).groupBy("lot_number", "vision", "colname", "PositionX", "PositionY").agg(
+    """(lot, vision, colname, X, Y) statistics across frames over target rows.
+
+    The detail is aggregated per category and unit as well, so that all buffers
+    are plain numbers (a hash aggregate); the parts of a group, nearly always one,
+    are then merged, mean and deviation by their counts.
+    """
+    keys = ["lot_number", "vision", "colname", "PositionX", "PositionY"]
+    deviation, position = "normalized_deviation", "normalized_value"
+    parts = judged_targets(judged).groupBy(*keys, "meta_category", "meta_unit").agg(
         F.min("lot_start_time").alias("lot_start_time"),
-        _smallest_text("meta_category"),
-        _smallest_text("meta_unit"),
-        *_counts(),
-    )
+        F.count(F.lit(1)).alias("rows"), F.count("value").alias("values"), F.count_if("is_ng").alias("ng"),
+        F.count(deviation).alias("n_d"), F.avg(deviation).alias("mean_d"),
+        F.count(position).alias("n_p"), F.avg(position).alias("mean_p"), F.var_pop(position).alias("var_p"))
+
+    def merged_mean(n: str, mean: str):
+        return F.try_divide(F.sum(F.col(n) * F.col(mean)), F.sum(n))
+
+    # one part: its own figures, to the last bit; several: weighted by their counts
+    alone = F.count(F.lit(1)) == 1
+    mean_square = F.try_divide(F.sum(F.col("n_p") * (F.col("var_p") + F.col("mean_p") * F.col("mean_p"))), F.sum("n_p"))
+    spread = F.sqrt(F.greatest(mean_square - F.pow(merged_mean("n_p", "mean_p"), F.lit(2)), F.lit(0.0)))
+    total, ng = F.sum("rows").cast("long"), F.sum("ng").cast("long")
+    agg = parts.groupBy(*keys).agg(
+        F.min("lot_start_time").alias("lot_start_time"),
+        F.min("meta_category").alias("meta_category"), F.min("meta_unit").alias("meta_unit"),
+        total.alias("total_count"), F.sum("values").cast("long").alias("sample_count"), ng.alias("ng_count"),
+        (F.lit(100.0) * ng / total).alias("ng_rate"),
+        F.when(alone, F.max("mean_d")).otherwise(merged_mean("n_d", "mean_d")).alias("normalized_mean"),
+        F.when(alone, F.sqrt(F.max("var_p"))).otherwise(spread).alias("normalized_std"))
     return agg.select(*POSITION_STATS_COLUMNS)
 
 

@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotlens.testing.oracle import ROUND_DIGITS, TIE_GUARD
+from lotlens.testing.oracle import DIGITS, NOISE, TIE_GUARD
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Round every double column with a tie guard and fold -0.0 into 0.0."""
+    """Every double column to ``DIGITS`` significant digits, with a tie guard, and -0.0 as 0.0."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            r = F.round(F.col(f.name).cast("double") + F.lit(TIE_GUARD), ROUND_DIGITS)
-            cols.append(F.when(r == 0, F.lit(0.0)).otherwise(r).alias(f.name))
+            x = F.col(f.name).cast("double")
+            text = F.format_string(f"%.{DIGITS - 1}e", x * F.lit(1 + TIE_GUARD))
+            # what is left of a difference of equal numbers is noise
+            cols.append(F.when(x.isNull() | F.isnan(x), x).when(F.abs(x) < NOISE, F.lit(0.0))
+                        .otherwise(text.cast("double")).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

@@ -1,9 +1,9 @@
 """DuckDB restatement of the fixture adapters and stages (test oracle only).
 
 Each ``oracle_sql`` entry is ``WITH <base CTEs>, q AS (<body>) SELECT <cols>
-FROM q``; double columns are rounded with a tie guard on both sides (see
-``lotlens.testing.stable``) because float sums differ in the last bits
-between engines.
+FROM q``; double columns are cut to significant digits with a tie guard on
+both sides (see ``lotlens.testing.stable``) because float sums differ in the
+last bits between engines.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from __future__ import annotations
 from lotlens.contracts import ItemSpec
 from lotlens.sources.fixtures import _LINEITEM_MEASURES, EVENT_ITEMS, LINEITEM_ITEMS
 
-ROUND_DIGITS = 6
-TIE_GUARD = 1e-9
+#: Significant digits that are compared, what a tie is pushed by, and what counts as nothing.
+DIGITS = 7
+TIE_GUARD = 1e-10
+NOISE = 1e-9
 
 
 def _lit(v) -> str:
@@ -135,8 +137,10 @@ LINEITEM_RAW = _lineitem_raw()
 
 
 def rounded(name: str) -> str:
-    r = f"round(\"{name}\" + {TIE_GUARD!r}, {ROUND_DIGITS})"
-    return f"CASE WHEN {r} = 0 THEN 0.0::DOUBLE ELSE {r} END AS \"{name}\""
+    x = f'CAST("{name}" AS DOUBLE)'
+    text = f"printf('%.{DIGITS - 1}e', {x} * {1 + TIE_GUARD!r}::DOUBLE)"
+    return (f'CASE WHEN {x} IS NULL OR isnan({x}) THEN {x} WHEN abs({x}) < {NOISE!r}::DOUBLE THEN 0.0::DOUBLE '
+            f'ELSE CAST({text} AS DOUBLE) END AS "{name}"')
 
 
 def wrap(body: str, doubles: tuple[str, ...] | list[str], *, source: str = "events",
