@@ -14,6 +14,7 @@ from lotlens.operators.levels import metric_levels
 from lotlens.operators.densify import (indexed_lots, item_lot_grid, present_items, with_cells,
                                        with_frames)
 from lotlens.plans.repository import lot_filter
+from lotlens.sources.item_orders import CATEGORY_ORDER, VISION_ORDER
 
 
 def item_attributes(frame_stats: DataFrame, known: tuple[str, ...]) -> DataFrame:
@@ -90,7 +91,8 @@ def fq_map(bundle: dict, known: tuple[str, ...], lots=None, category: str | None
 
 
 def filter_options(bundle: dict, known: tuple[str, ...], lots=None) -> DataFrame:
-    """Distinct categories and visions on offer (kind, value, first item order)."""
+    """Distinct categories and visions on offer (kind, value, first item order), in the
+    domain's display order; values it does not name follow by their first item."""
     stats = lot_filter(bundle["frame_item_stats"], lots)
     attrs = item_attributes(stats, known)
     order = F.create_map(*[x for i, c in enumerate(known) for x in (F.lit(c), F.lit(i))])
@@ -99,7 +101,9 @@ def filter_options(bundle: dict, known: tuple[str, ...], lots=None) -> DataFrame
         F.lit("category").alias("kind"), F.col("meta_category").alias("value"), "first_order")
     vis = ranked.groupBy("vision").agg(F.min("o").alias("first_order")).select(
         F.lit("vision").alias("kind"), F.col("vision").alias("value"), "first_order")
-    return cat.unionByName(vis)
+    named = F.array(*[F.lit(v) for v in (*CATEGORY_ORDER, *VISION_ORDER)])
+    place = F.array_position(named, F.col("value"))
+    return cat.unionByName(vis).orderBy("kind", F.when(place > 0, place).asc_nulls_last(), "first_order")
 
 
 def frame_map(bundle: dict, known: tuple[str, ...], lots=None) -> DataFrame:
