@@ -56,7 +56,9 @@ def source_rates(sized: DataFrame, cap: int = CAP, weights: int = WEIGHTS) -> Da
     # If all sources before this one are capped, the rest share what is left at this level.
     shared = (F.col("total") - F.col("capped_size")) / (F.col("all_weight") - F.col("capped_weight"))
     levels = filled.select("*", shared.alias("shared_level"), (F.col("own_level") <= shared).alias("full"))
-    first_free = F.min_by("shared_level", F.when(~F.col("full"), F.col("own_level"))).over(everyone)
+    # The water is the shared level of the first source that is not full.  It is the highest of theirs
+    # (behind it, sources count as capped that are not), whichever of tied sources comes first.
+    first_free = F.max(F.when(~F.col("full"), F.col("shared_level"))).over(everyone)
     levels = levels.select("*", first_free.alias("water"))
     target = (F.when(F.col("full") | F.col("water").isNull(), (F.col("source_size") * cap).cast("double"))
               .otherwise(F.col("weight") * F.col("water")))

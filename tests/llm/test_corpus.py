@@ -220,6 +220,19 @@ def test_targets_fill_up(spark, seed):
     assert math.isclose(sum(got.values()), sum(sizes.values()), rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("sizes", [
+    {"a": 100, "b": 200}, {"a": 100, "b": 500, "c": 900, "d": 100}, {"a": 100, "b": 200, "c": 300},
+    {"a": 1, "b": 100, "c": 5000, "d": 50, "e": 100, None: 150}])
+def test_targets_of_tied_sources(spark, sizes):
+    """Sources that reach their cap at the same level share what is left, in whatever order they come."""
+    expected = brute_targets(sizes)
+    for rows in (list(sizes.items()), list(sizes.items())[::-1]):
+        rates = mixing.source_rates(spark.createDataFrame(rows, "source string, size bigint"))
+        got = {r.source: r.target for r in rates.collect()}
+        assert got.keys() == expected.keys() and all(math.isclose(got[s], expected[s], rel_tol=1e-9) for s in got)
+        assert math.isclose(sum(got.values()), sum(sizes.values()), rel_tol=1e-9)
+
+
 # sharding
 
 def test_sharding(spark, awkward_docs, awkward, no_docs):
