@@ -4,7 +4,7 @@ Stages, each on all that the one before kept, with a written table between them:
 
 1. ``quality``          documents that the rule ensemble rejects go
 2. ``near_duplicates``  one document of each group of copies and near copies stays
-3. ``decontamination``  documents that hold a benchmark window go
+3. ``decontamination``  documents that hold a benchmark window go, each judged by its own text
 4. ``mixing``           each document as often as its source's target wants it
 5. ``sharding``         a shard and a gapless slot for every copy
 
@@ -32,7 +32,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+    return decontam.clean_rows(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

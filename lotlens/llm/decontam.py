@@ -36,7 +36,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, in_bitmap, whole_text
+from .common import bitmap, in_bitmap, spare_name, whole_text
 
 WINDOW = 10
 K = 5
@@ -140,3 +140,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bad = hit_words(docs, benchmark, id_col, **options).filter("contaminated").select(
         F.col("doc_id").alias("contaminated_id")).distinct()
     return docs.join(bad, docs[id_col].eqNullSafe(bad["contaminated_id"]), "left_anti")
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               **options) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark window; other rows stay, whatever id they share."""
+    digest = F.unhex(F.sha2(whole_text(docs[text_col]), 256))
+    id_name, digest_name = spare_name(docs, "contaminated_id"), spare_name(docs, "contaminated_digest")
+    # Rows with one id and one text have one verdict.
+    keyed = docs.select(F.struct(docs[id_col].alias("id"), digest.alias("digest")).alias("key"), docs[text_col])
+    bad = hit_words(keyed, benchmark, "key", text_col, **options).filter("contaminated").select(
+        F.col("doc_id.id").alias(id_name), F.col("doc_id.digest").alias(digest_name)).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(bad[id_name]) & (digest == bad[digest_name]), "left_anti")

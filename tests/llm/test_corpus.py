@@ -313,3 +313,16 @@ def test_pipeline_stages(spark):
     for r in sharded:
         slots[r.shard].append(r.slot)
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_decontamination_stage_judges_each_row(spark, tmp_path):
+    """A contaminated document takes no clean one with it that has its id, or none as well."""
+    item = prose(random.Random(1), 30)
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    bad = [(1, "see " + item, "a"), (None, item + " end", "b"), (2, item, "a"), (2, item, "a")]
+    good = [(1, "clean with a shared id", "a"), (None, "clean without an id", "b"), (None, None, "a"), (None, "", None),
+            (2, "another text", "a"), (3, "its own id", "c"), (3, "its own id", "c")]
+    docs = doc_frame(spark, bad + good)
+    clean = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    assert tuples(clean, "doc_id", "text", "source") == ordered(good)
