@@ -11,16 +11,19 @@ capped ones leave.
 A document of a source with rate r = target / size is taken floor(r) times,
 and once more if a hash of its id falls below r - floor(r); the hash is the
 first 52 bits of ``md5(doc_id:seed)``, so reruns agree and any engine can
-repeat it.
+repeat it.  With ``apart``, rows whose id is null or another row's too hash
+``md5(doc_id:sha256(text):seed)`` instead, so that a block of rows with one
+id is not taken or left as a whole.
 
 Skew: the per-source sums are map-side combined; rates (one row per source)
 are joined back by Spark's own choice of join, so a source with a third of
-all rows is either broadcast against or split by AQE.
+all rows is either broadcast against or split by AQE.  So are the shared ids
+of ``apart``, one row each, if there are any.
 
 Defined results: null texts have size 0 and are never taken; a null source
 is a source (the last); a null id is hashed as the empty string; a source
-whose texts are all empty has target 0; rows that repeat an id draw alike; an
-empty table gives an empty result.
+whose texts are all empty has target 0; rows that repeat an id (with ``apart``:
+id and text) draw alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spare_name, word_count
+from .common import spare_name, whole_text, word_count
 
 CAP = 3
 WEIGHTS = 3
@@ -71,20 +74,39 @@ def draw(key: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2 ** 52))
 
 
+def with_draw_key(docs: DataFrame, id_col: str, text_col: str, apart: bool) -> tuple[DataFrame, str]:
+    """``docs`` with what each row's draw hashes, and that column's name."""
+    name = spare_name(docs, "mix_draw")
+    own = docs[id_col].cast("string")
+    if not apart:
+        return docs.withColumn(name, own), name
+    with_text = F.concat(F.coalesce(own, F.lit("")), F.lit(":"), F.sha2(whole_text(docs[text_col]), 256))
+    shared_name = spare_name(docs, "mix_shared")
+    shared = (docs.filter(docs[id_col].isNotNull()).groupBy(docs[id_col].alias(shared_name))
+              .agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(shared_name))
+    if shared.isEmpty():
+        return docs.withColumn(name, F.when(docs[id_col].isNull(), with_text).otherwise(own)), name
+    found = docs.join(shared, docs[id_col] == shared[shared_name], "left")
+    alone = docs[id_col].isNotNull() & shared[shared_name].isNull()
+    return found.withColumn(name, F.when(alone, own).otherwise(with_text)).drop(shared_name), name
+
+
 def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                cap: int = CAP, weights: int = WEIGHTS, seed: str = SEED) -> tuple[DataFrame, str]:
+                cap: int = CAP, weights: int = WEIGHTS, seed: str = SEED,
+                apart: bool = False) -> tuple[DataFrame, str]:
     """``docs`` with a struct column (size, source_size, target, copies), and that column's name."""
     name = spare_name(docs, "mix")
-    sized = docs.withColumn(name, word_count(docs[text_col]))
+    keyed, draw_key = with_draw_key(docs, id_col, text_col, apart)
+    sized = keyed.withColumn(name, word_count(keyed[text_col]))
     rates = source_rates(sized.select(F.col(source_col).alias("source"), F.col(name).alias("size")), cap, weights)
     key, size, target = (spare_name(sized, x) for x in ("mix_source", "mix_source_size", "mix_target"))
     rates = rates.select(F.col("source").alias(key), F.col("source_size").alias(size), F.col("target").alias(target))
     joined = sized.join(rates, sized[source_col].eqNullSafe(rates[key]))
     rate = F.when(F.col(size) > 0, F.col(target) / F.col(size)).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + (draw(F.col(id_col), seed) < rate - F.floor(rate)).cast("long")
+    copies = F.floor(rate) + (draw(F.col(draw_key), seed) < rate - F.floor(rate)).cast("long")
     return joined.withColumn(name, F.struct(
         F.col(name).alias("size"), F.col(size).alias("source_size"), F.col(target).alias("target"),
-        F.least(copies, F.lit(cap).cast("long")).alias("copies"))).drop(key, size, target), name
+        F.least(copies, F.lit(cap).cast("long")).alias("copies"))).drop(key, size, target, draw_key), name
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:

@@ -326,3 +326,25 @@ def test_decontamination_stage_judges_each_row(spark, tmp_path):
     clean = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
     assert clean.columns == docs.columns
     assert tuples(clean, "doc_id", "text", "source") == ordered(good)
+
+
+def test_mixing_stage_draws_rows_of_one_id_apart(spark):
+    """Rows without id, or with the same, meet the target together; rows with their own id draw by it alone."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(10)) + f" {k}" for k in range(1200)]
+    rows = [(None, t, "a") for t in texts[:400]] + [(7, t, "b") for t in texts[400:800]]
+    own = [(1000 + k, t, "c") for k, t in enumerate(texts[800:])]
+    docs = doc_frame(spark, rows + own)
+    mixed = corpus_pipeline.mixing_stage(spark, docs, "")
+    assert mixed.columns == docs.columns
+    taken = Counter((r.doc_id, r.text, r.source) for r in mixed.collect())
+    target = brute_targets({s: 400 * 11 for s in "abc"})
+    for s in "ab":
+        words = sum(11 * n for (_, _, source), n in taken.items() if source == s)
+        assert abs(words - target[s]) < 0.1 * 400 * 11
+    alone = {r[0]: r[4] // r[1] for r in brute_mix(rows + own) if r[4] and r[0] is not None and r[0] >= 1000}
+    assert {d: n for (d, _, source), n in taken.items() if source == "c"} == alone
+    again = corpus_pipeline.mixing_stage(spark, docs.repartition(5), "")
+    assert Counter((r.doc_id, r.text, r.source) for r in again.collect()) == taken
+    without_id = corpus_pipeline.mixing_stage(spark, docs.filter("doc_id is null"), "")
+    assert without_id.columns == docs.columns and without_id.count() == 400
