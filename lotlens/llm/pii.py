@@ -7,7 +7,7 @@ Kinds, leftmost and non-overlapping per kind over the whole text:
 * ``card``   ``[0-9]([\x20-]?[0-9])+``, 13 to 19 digits that pass Luhn
 * ``phone``  ``\+[0-9][\x20().0-9-]+[0-9]``, 9 to 15 digits
 * ``iban``   two letters, two check digits, 11 to 30 letters and digits (in one run, or in fours),
-  mod-97 remainder 1
+  mod-97 remainder 1; groups beyond the length of the country's IBANs are words of their own if what is before them passes
 
 The first four are the base kinds: what their pattern and validator accept
 stays, whatever its score.  IBANs are what the method adds; they have to
@@ -63,6 +63,12 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}"
                    r"(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {country: length for length, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
 _WORDS = re.compile(r"[A-Za-z][A-Za-z-]*")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 
@@ -124,9 +130,18 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield m.span()
+    m = _IBAN.search(text)
+    while m:
+        known = m[0]
+        while len(known.replace(" ", "")) > IBAN_LENGTHS.get(known[:2], 0):
+            known = known.rpartition(" ")[0]  # the last group may be a word that follows
+        if len(known.replace(" ", "")) != IBAN_LENGTHS.get(m[0][:2]):
+            known = m[0]
+        account = next((x for x in (known, m[0]) if mod97(x.replace(" ", ""))), "")
+        if account:
+            yield m.start(), m.start() + len(account)
+        # what is left of the match may begin another
+        m = _IBAN.search(text, m.start() + (len(account) or 4))
 
 
 _FINDERS = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban": _ibans}

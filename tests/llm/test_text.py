@@ -62,6 +62,24 @@ def test_pii_long_runs_take_linear_time():
         pii.find_spans(text)
 
 
+def test_pii_ibans_before_words():
+    """Words in capitals after a grouped IBAN, or before it, are not part of it."""
+    accounts = ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "SE45 5000 0000 0583 9825 7466",
+                "CZ65 0800 0000 1920 0014 5399", "PL61 1090 1014 0000 0712 1981 2874",
+                "HU42 1177 3016 1111 1018 0000 0000", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"]
+
+    def ibans(text):
+        return [text[s.start:s.end] for s in pii.find_spans(text) if s.kind == "iban"]
+
+    for account in accounts:
+        for after in ("", " A", " X", " SA", " BIC", " BANK", " BANK BIC", " BIC INGBESMM", ", BIC", " Bank"):
+            assert ibans(f"to {account}{after}") == [account], (account, after)
+        assert ibans(f"REF1 AB12 CODE {account}") == [account]
+        for other in accounts:
+            assert ibans(f"{account} {other}") == [account, other]
+    assert ibans("ES91 2100 0418 4502 0005 1333 BIC") == []
+
+
 def test_pii_report(spark, awkward_docs, awkward, no_docs):
     rows = [(1, "mail é x@y.zz and 10.0.0.256 10.0.0.25 +49 (30) 1234567"), (2, None), (3, ""), (3, "x@y.zz")]
     for frame, source in ((doc_frame(spark, rows), rows), (awkward_docs, awkward)):
