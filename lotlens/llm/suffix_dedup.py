@@ -9,11 +9,13 @@ every ``LENGTH``-byte string is dealt by its *anchor*: the smallest hash among i
 can be sorted by themselves.  Neighbouring strings with one anchor form a
 *segment* (a stretch of text of at most 2 * LENGTH - GRAM bytes).
 
-1. Per bucket of documents, segments are cut and their anchors and digests
-   (BLAKE2b, 128 bits) sent to the anchor's range.
-2. A range answers with a few bits per segment: it occurs twice as a whole
-   (all its strings repeat); or its anchor has other, different segments, so
-   texts have to be compared, and which bucket is to send the text (once).
+1. Per bucket of documents, segments are cut.  Their digests (BLAKE2b, 128
+   bits) go to ranges of digests, and one entry per anchor (a digest, the
+   number of different segments) to the anchor's range.
+2. A range of digests answers whether a segment occurs twice as a whole (all
+   its strings repeat), and which bucket is to send its text (once); a range of
+   anchors, whether an anchor has different segments, so that texts have to be
+   compared, and whether in one place or dealt out.
 3. The texts of such segments meet in their range: a suffix array by induced
    sorting and the permuted common prefixes tell which strings repeat.
 4. Buckets gather the answers and cut the documents.
@@ -22,9 +24,10 @@ Most text has anchors that occur once, or segments that repeat as a whole;
 only the ends of repeated passages are ever sent as text.
 
 *Skew.*  Copies of a segment are one digest per bucket and one text in all.
-An anchor with more than ``MOST_SEGMENTS`` different segments (a passage within
-very many different texts) is not sorted in one place: its strings' digests
-are dealt out and counted instead, exactly, each by its own hash.
+An anchor with more than ``MOST_SEGMENTS`` segments, different within their
+bucket (a passage within very many different texts), is one entry per bucket in
+its range and not sorted in one place: its segments' digests are dealt out by
+themselves, as all are, and so are those of its strings, which are counted, exactly.
 
 Defined results: null and empty texts have no bytes; a text shorter than
 ``LENGTH`` loses nothing; rows that repeat a text lose it all (each copy starts
@@ -83,7 +86,8 @@ def cut_segments(buffer: np.ndarray, doc_ends: np.ndarray, length: int, gram: in
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     anchors = (least[starts] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-    return starts[first], np.diff(np.append(first, len(starts))), hashes[anchors[first]]
+    # smallest hashes are small: mixed again, they spread over the ranges
+    return starts[first], np.diff(np.append(first, len(starts))), mixed(hashes[anchors[first]])
 
 
 class Bucket:
@@ -110,18 +114,39 @@ class Bucket:
         self.distinct, self.place = distinct_rows(np.column_stack([anchors, content]))
         self.example = np.zeros(len(self.distinct), dtype=np.int64)
         self.example[self.place[::-1]] = np.arange(len(self.place))[::-1]
+        self.by_digest = np.lexsort((self.distinct[:, 2], self.distinct[:, 1]))
+        new = np.ones(len(self.distinct), dtype=bool)
+        new[1:] = self.distinct[1:, 0] != self.distinct[:-1, 0]
+        self.first, self.anchor = np.flatnonzero(new), np.cumsum(new) - 1
 
     def ranges(self, layout: Layout) -> list[tuple[int, int, int]]:
         return split_ranges(self.distinct[:, 0] >> np.uint64(1), 63 - layout.shard_bits)
 
+    def digest_ranges(self, layout: Layout) -> list[tuple[int, int, int]]:
+        """As ``ranges``, of the segments in the order of their digests; numbered after those of the anchors."""
+        return [((1 << layout.shard_bits) + shard, a, b) for shard, a, b in split_ranges(
+            self.distinct[self.by_digest, 1] >> np.uint64(1), 63 - layout.shard_bits)]
+
+    def anchor_ranges(self, layout: Layout) -> list[tuple[int, int, int]]:
+        """As ``ranges``, of the different anchors."""
+        return split_ranges(self.distinct[self.first, 0] >> np.uint64(1), 63 - layout.shard_bits)
+
     def answers(self, layout: Layout, table: pa.Table, kind: str) -> np.ndarray:
-        """The bit of ``kind`` of each distinct segment."""
+        """The bit of ``kind`` (whole, sender) of each distinct segment."""
         bits = by_shard(table, kind)
         out = np.zeros(len(self.distinct), dtype=bool)
-        for shard, a, b in self.ranges(layout):
-            out[a:b] = bits_of(bits[shard], b - a)
+        for shard, a, b in self.digest_ranges(layout):
+            out[self.by_digest[a:b]] = bits_of(bits[shard], b - a)
         return out
 
+    def to_send(self, layout: Layout, table: pa.Table, kind: str) -> np.ndarray:
+        """Whether this bucket sends a distinct segment, and its anchor's are to be treated by ``kind`` (sort, deal)."""
+        bits = by_shard(table, kind)
+        anchors = np.zeros(len(self.first), dtype=bool)
+        for shard, a, b in self.anchor_ranges(layout):
+            anchors[a:b] = bits_of(bits[shard], b - a)
+        return anchors[self.anchor] & self.answers(layout, table, "sender")
+
     def text(self, segment: int) -> bytes:
         start = self.starts[segment]
         return self.blocks[self.block[segment]][2][start:start + self.runs[segment] + self.length - 1]
@@ -139,9 +164,14 @@ class Bucket:
 def _segments(layout: Layout, length: int, gram: int):
     def emit(table: pa.Table) -> pa.Table:
         bucket = Bucket(table, length, gram)
-        counts = np.bincount(bucket.place, minlength=len(bucket.distinct)) > 1
-        return arrow_table([(shard, bucket.number, bucket.distinct[a:b].tobytes(), np.packbits(counts[a:b]).tobytes())
-                            for shard, a, b in bucket.ranges(layout)], SEGMENT_SCHEMA)
+        twice = (np.bincount(bucket.place, minlength=len(bucket.distinct)) > 1)[bucket.by_digest]
+        digests = bucket.distinct[bucket.by_digest, 1:]
+        rows = [(shard, bucket.number, digests[a:b].tobytes(), np.packbits(twice[a:b]).tobytes())
+                for shard, a, b in bucket.digest_ranges(layout)]
+        sizes = np.diff(np.append(bucket.first, len(bucket.distinct)))
+        anchors = np.column_stack([bucket.distinct[bucket.first], sizes.astype(np.uint64)])
+        rows += [(shard, bucket.number, anchors[a:b].tobytes(), None) for shard, a, b in bucket.anchor_ranges(layout)]
+        return arrow_table(rows, SEGMENT_SCHEMA)
     return emit
 
 
@@ -149,19 +179,24 @@ def _judge_segments(most_segments: int):
     def judge(table: pa.Table) -> pa.Table:
         # in the buckets' order, so that a range that is judged again names the same senders
         table = table.sort_by("bucket")
-        lists = [np.frombuffer(x, dtype=np.uint64).reshape(-1, 3) for x in table.column("data").to_pylist()]
-        twice = np.concatenate([bits_of(x, len(k)) for x, k in zip(table.column("counts").to_pylist(), lists, strict=True)])
-        distinct, place = distinct_rows(np.concatenate(lists))
-        whole = np.bincount(place, weights=1 + twice, minlength=len(distinct)) > 1
-        anchor = np.cumsum(np.concatenate([[0], distinct[1:, 0] != distinct[:-1, 0]]))
-        different = np.bincount(anchor)[anchor]
-        sender = np.zeros(len(place), dtype=bool)
-        sender[np.unique(place, return_index=True)[1]] = True
+        of_anchors = table.column("counts")[0].as_py() is None
+        lists = [np.frombuffer(x, dtype=np.uint64).reshape(-1, 4 if of_anchors else 2)
+                 for x in table.column("data").to_pylist()]
+        joined = np.concatenate(lists)
+        _, place = distinct_rows(joined[:, :1] if of_anchors else joined)
+        firsts = np.unique(place, return_index=True)[1]
+        if of_anchors:
+            other = (joined[:, 1:3] != joined[firsts[place], 1:3]).any(axis=1) | (joined[:, 3] > 1)
+            different = (np.bincount(place, weights=other) > 0)[place]
+            many = (np.bincount(place, weights=joined[:, 3]) > most_segments)[place]
+            found = {"sort": different & ~many, "deal": different & many}
+        else:
+            twice = np.concatenate([bits_of(x, len(k)) for x, k in zip(table.column("counts").to_pylist(), lists, strict=True)])
+            sender = np.zeros(len(place), dtype=bool)
+            sender[firsts] = True
+            found = {"whole": (np.bincount(place, weights=1 + twice) > 1)[place], "sender": sender}
         cuts = np.cumsum([len(x) for x in lists])[:-1]
-        sort = sender & ((different > 1) & (different <= most_segments))[place]
-        deal = sender & (different > most_segments)[place]
-        return pa.concat_tables([replies(table, kind, np.split(bits, cuts))
-                                 for kind, bits in (("whole", whole[place]), ("sort", sort), ("deal", deal))])
+        return pa.concat_tables([replies(table, kind, np.split(bits, cuts)) for kind, bits in found.items()])
     return judge
 
 
@@ -169,14 +204,14 @@ def _strings(layout: Layout, length: int, gram: int):
     def emit(table: pa.Table, answers: pa.Table) -> pa.Table:
         bucket = Bucket(table, length, gram)
         rows = []
-        sort = bucket.answers(layout, answers, "sort")
+        sort = bucket.to_send(layout, answers, "sort")
         for shard, a, b in bucket.ranges(layout):
             chosen = a + np.flatnonzero(sort[a:b])
             if len(chosen):
                 segments = bucket.example[chosen]
                 about = np.column_stack([bucket.distinct[chosen, 0], bucket.runs[segments].astype(np.uint64)])
                 rows.append((shard, bucket.number, "sort", b"".join(map(bucket.text, segments)), about.tobytes()))
-        dealt_out, _ = distinct_rows(bucket.string_digests(np.flatnonzero(bucket.answers(layout, answers, "deal")))[0])
+        dealt_out, _ = distinct_rows(bucket.string_digests(np.flatnonzero(bucket.to_send(layout, answers, "deal")))[0])
         rows += [((1 << layout.shard_bits) + shard, bucket.number, "deal", dealt_out[a:b].tobytes(), None)
                  for shard, a, b in split_ranges(dealt_out[:, 0] >> np.uint64(1), 63 - layout.shard_bits)]
         return arrow_table(rows, STRING_SCHEMA)
@@ -250,12 +285,12 @@ def _cut(layout: Layout, length: int, gram: int, with_text: bool):
             at = (np.repeat(bucket.starts[segments], runs) + within)[bits]
             found.append((np.repeat(bucket.block[segments], runs)[bits], at, at + 1))
 
-        sort, bits = bucket.answers(layout, answers, "sort"), by_shard(answers, "sorted")
+        sort, bits = bucket.to_send(layout, answers, "sort"), by_shard(answers, "sorted")
         for shard, a, b in bucket.ranges(layout):
             segments = bucket.example[a + np.flatnonzero(sort[a:b])]
             if len(segments):
                 single(segments, bits_of(bits[shard], int(bucket.runs[segments].sum())))
-        deal = np.flatnonzero(bucket.answers(layout, answers, "deal"))
+        deal = np.flatnonzero(bucket.to_send(layout, answers, "deal"))
         strings, _ = bucket.string_digests(deal)
         distinct, place = distinct_rows(strings)
         elsewhere, bits = np.bincount(place, minlength=len(distinct)) > 1, by_shard(answers, "dealt")

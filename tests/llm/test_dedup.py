@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lotlens.llm import exact_dedup, substring_dedup, suffix_dedup
@@ -163,3 +164,19 @@ def test_suffix_dedup_shared_passages(spark):
     for most in (2048, 3):
         got = suffix_dedup.suffix_dedup(doc_frame(spark, rows), most_segments=most, least_bucket=5000)
         assert tuples(got, *SUFFIX) == brute_suffix(rows)
+
+
+def test_suffix_hot_anchor_is_spread():
+    """A passage within many different texts leaves no range with much more than its share."""
+    rng = random.Random(12)
+    passage = prose(rng, 60)[:250]
+    rows = [(k, prose(rng, 120)[:300] + passage + prose(rng, 120)[:300]) for k in range(1600)]
+    layout = suffix_dedup.Layout(sum(len(t) for _, t in rows), 80_000)
+    assert layout.buckets >= 8
+    held = Counter()
+    for b in range(layout.buckets):
+        mine = rows[b::layout.buckets]
+        table = pa.table({"doc_id": [d for d, _ in mine], "text": [t for _, t in mine], "bucket": [b] * len(mine)})
+        for r in suffix_dedup._segments(layout, 400, 128)(table).to_pylist():
+            held[r["shard"]] += len(r["data"])
+    assert len(held) >= 8 and max(held.values()) < 2 * sum(held.values()) / len(held), sorted(held.values())
