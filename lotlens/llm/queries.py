@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, jaccard_join, mixing, pii, quality, sharding, substring_dedup, suffix_dedup, warc
+from . import (decontam, exact_dedup, jaccard_join, mixing, pii, quality, resample, sharding, substring_dedup, suffix_dedup,
+               vector_codes, vector_join, warc)
 from .common import read_table
 
 
@@ -53,8 +54,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance_resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")) \
+        .drop("n_words")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(read_table(spark, sf_dir, "embeddings")).drop("label")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_pii, op3_quality_rules, op4_jaccard_join, op5_suffix_dedup, op6_decontaminate, op7_warc_revisits, op8_mix_sources, op9_jump_shards, op10_exact_dedup)}
+    op1_substring_dedup, op2_pii, op3_quality_rules, op4_jaccard_join, op5_suffix_dedup, op6_decontaminate,
+    op7_warc_revisits, op8_mix_sources, op9_jump_shards, op10_exact_dedup, op11_vector_join, op12_importance_resample,
+    op13_vector_codes)}
 
 OP1_SQL = r"""
 WITH doc_words AS (
