@@ -255,49 +255,57 @@ def connected(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def _compared(kind: np.ndarray, names: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Which pairs (row of ``one``, row of ``two``) of a cell's rows this cell compares."""
-    a, b = kind[one][:, None], kind[two][None, :]
-    later = names[one][:, None] > names[two][None, :]
-    return (((a == LIES) & (b == LIES) & later) | ((a == PROBES) & (b == LIES))
-            | ((a == WIDE_PROBES) & (b == LIES)) | ((a == WIDE_PROBES) & (b == WIDE_LIES) & later))
-
-
 def cell_links(codes: np.ndarray, radius: np.ndarray, total: np.ndarray, kind: np.ndarray, names: np.ndarray,
-               side: np.ndarray | None, block: int, blocks: int, apart: float, step: int = 256):
+               side: np.ndarray | None, block: int, blocks: int, apart: float, step: int = 512):
     """Links of a cell's rows: partners and label by row, and the pairs that distance cannot decide.
 
     ``side`` tells two pieces of a cell apart, of which only pairs across are compared."""
     n, width = codes.shape
-    lo, hi = block * width // blocks, (block + 1) * width // blocks
-    own = codes[:, lo:hi].astype(np.float64)  # integers below 2^53: exact
+    bounds = [b * width // blocks for b in range(blocks)]
+    share = np.diff([*bounds, width]) / width
+    # a sieve in single precision, wide enough for its rounding; what passes is compared in integers
+    own = codes[:, bounds[block]:bounds[block] + int(share[block] * width)].astype(np.float32)
     square = (own * own).sum(axis=1)
-    share = (hi - lo) / width
+    reach = ((apart + radius) * STEPS * math.sqrt(share[block])).astype(np.float32)
+    rank = np.unique(names, return_inverse=True)[1]  # rows of one ball have one rank
+    of_kind = [np.flatnonzero(kind == k) for k in range(4)]
+    of_kind = [k[np.argsort(rank[k])] for k in of_kind]
     partners, label = np.zeros(n), np.arange(n)
     open_i, open_j = [], []
-    bounds = [b * width // blocks for b in range(blocks)]
-    weights = np.diff([*bounds, width]) / width
-    for a in range(0, n, step):
-        rows = np.arange(a, min(a + step, n))
-        budget = ((apart + radius[rows, None] + radius[None, :]) * STEPS) ** 2 * (1 + SLACK)
-        mask = square[rows, None] + square[None, :] - 2 * (own[rows] @ own.T) <= budget * share
-        mask &= _compared(kind, names, rows, np.arange(n))
-        if side is not None:
-            mask &= side[rows, None] != side[None, :]
-        all_i, all_j = np.nonzero(mask)
-        for c in range(0, len(all_i), 1 << 15):
-            i, j = rows[all_i[c:c + (1 << 15)]], all_j[c:c + (1 << 15)]
-            apart_in = np.add.reduceat((codes[i].astype(np.int64) - codes[j]) ** 2, bounds, axis=1)
-            allowed = (((apart + radius[i] + radius[j]) * STEPS) ** 2 * (1 + SLACK))[:, None] * weights
-            first = np.argmax(apart_in <= allowed, axis=1) == block
-            i, j = i[first], j[first]
-            d = np.sqrt(apart_in[first].sum(axis=1)) / STEPS
-            proven = d + radius[i] + radius[j] <= apart - SLACK
-            maybe = ~proven & (d - radius[i] - radius[j] <= apart + SLACK)
-            partners += np.bincount(i[proven], total[j[proven]], n) + np.bincount(j[proven], total[i[proven]], n)
-            label = connected(label, i[proven], j[proven])
-            open_i.append(i[maybe])
-            open_j.append(j[maybe])
+
+    def compare(rows: np.ndarray, others: np.ndarray, lower: bool) -> None:
+        """Each of ``rows`` with ``others``, or with those of lower rank only."""
+        nonlocal partners, label
+        for a in range(0, len(rows), step):
+            one = rows[a:a + step]
+            two = others[:np.searchsorted(rank[others], rank[one[-1]])] if lower else others
+            budget = (reach[one, None] + (radius[two] * STEPS * math.sqrt(share[block])).astype(np.float32)) ** 2
+            both = square[one, None] + square[two]
+            mask = both - 2 * (own[one] @ own[two].T) <= budget * np.float32(1 + 1e-5) + both * np.float32(1e-5)
+            if lower:
+                mask &= rank[one, None] > rank[two]
+            if side is not None:
+                mask &= side[one, None] != side[two]
+            all_i, all_j = np.nonzero(mask)
+            for c in range(0, len(all_i), 1 << 15):
+                i, j = one[all_i[c:c + (1 << 15)]], two[all_j[c:c + (1 << 15)]]
+                squared = np.add.reduceat((codes[i].astype(np.int64) - codes[j]) ** 2, bounds, axis=1)
+                allowed = (((apart + radius[i] + radius[j]) * STEPS) ** 2 * (1 + SLACK))[:, None] * share
+                passes = squared <= allowed
+                first = passes[:, block] & (np.argmax(passes, axis=1) == block)
+                i, j = i[first], j[first]
+                d = np.sqrt(squared[first].sum(axis=1)) / STEPS
+                proven = d + radius[i] + radius[j] <= apart - SLACK
+                maybe = ~proven & (d - radius[i] - radius[j] <= apart + SLACK)
+                partners += np.bincount(i[proven], total[j[proven]], n) + np.bincount(j[proven], total[i[proven]], n)
+                label = connected(label, i[proven], j[proven])
+                open_i.append(i[maybe])
+                open_j.append(j[maybe])
+
+    compare(of_kind[LIES], of_kind[LIES], True)
+    compare(of_kind[PROBES], of_kind[LIES], False)
+    compare(of_kind[WIDE_PROBES], of_kind[LIES], False)
+    compare(of_kind[WIDE_PROBES], of_kind[WIDE_LIES], True)
     empty = [np.zeros(0, dtype=np.int64)]
     return partners.astype(np.int64), label, np.concatenate(open_i or empty), np.concatenate(open_j or empty)
 
