@@ -8,7 +8,7 @@ grain repartitions the detail by lot.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotlens.contracts import KDE_BINS
@@ -84,36 +84,24 @@ def frame_item_stats(judged: DataFrame) -> DataFrame:
     return agg.select(*FRAME_STATS_COLUMNS)
 
 
-def position_item_stats(judged: DataFrame) -> DataFrame:
-    """(lot, vision, colname, X, Y) statistics across frames over target rows.
+def _text_values(rows: DataFrame, *columns: str) -> dict:
+    """Per text column its sorted values in ``rows``, as one scalar (few: they come from the item master).
 
-    The detail is aggregated per category and unit as well, so that all buffers
-    are plain numbers (a hash aggregate); the parts of a group, nearly always one,
-    are then merged, mean and deviation by their counts.
-    """
-    keys = ["lot_number", "vision", "colname", "PositionX", "PositionY"]
-    deviation, position = "normalized_deviation", "normalized_value"
-    parts = judged_targets(judged).groupBy(*keys, "meta_category", "meta_unit").agg(
-        F.min("lot_start_time").alias("lot_start_time"),
-        F.count(F.lit(1)).alias("rows"), F.count("value").alias("values"), F.count_if("is_ng").alias("ng"),
-        F.count(deviation).alias("n_d"), F.avg(deviation).alias("mean_d"),
-        F.count(position).alias("n_p"), F.avg(position).alias("mean_p"), F.var_pop(position).alias("var_p"))
-
-    def merged_mean(n: str, mean: str):
-        return F.try_divide(F.sum(F.col(n) * F.col(mean)), F.sum(n))
-
-    # one part: its own figures, to the last bit; several: weighted by their counts
-    alone = F.count(F.lit(1)) == 1
-    mean_square = F.try_divide(F.sum(F.col("n_p") * (F.col("var_p") + F.col("mean_p") * F.col("mean_p"))), F.sum("n_p"))
-    spread = F.sqrt(F.greatest(mean_square - F.pow(merged_mean("n_p", "mean_p"), F.lit(2)), F.lit(0.0)))
-    total, ng = F.sum("rows").cast("long"), F.sum("ng").cast("long")
-    agg = parts.groupBy(*keys).agg(
+    A group's smallest text is then its smallest position in that list, a plain number: the groups
+    need neither object buffers nor a sort."""
+    lists = rows.agg(F.struct(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns])).scalar()
+    return {c: lists[c] for c in columns}
+
+
+def position_item_stats(judged: DataFrame) -> DataFrame:
+    """(lot, vision, colname, X, Y) statistics across frames over target rows: one hash aggregate, one shuffle."""
+    targets = judged_targets(judged)
+    texts = _text_values(targets, "meta_category", "meta_unit")
+    agg = targets.groupBy("lot_number", "vision", "colname", "PositionX", "PositionY").agg(
         F.min("lot_start_time").alias("lot_start_time"),
-        F.min("meta_category").alias("meta_category"), F.min("meta_unit").alias("meta_unit"),
-        total.alias("total_count"), F.sum("values").cast("long").alias("sample_count"), ng.alias("ng_count"),
-        (F.lit(100.0) * ng / total).alias("ng_rate"),
-        F.when(alone, F.max("mean_d")).otherwise(merged_mean("n_d", "mean_d")).alias("normalized_mean"),
-        F.when(alone, F.sqrt(F.max("var_p"))).otherwise(spread).alias("normalized_std"))
+        *[F.min(F.array_position(values, F.col(c))).alias(f"_{c}") for c, values in texts.items()],
+        *_counts())
+    agg = agg.withColumns({c: F.get(values, (F.col(f"_{c}") - 1).cast("int")) for c, values in texts.items()})
     return agg.select(*POSITION_STATS_COLUMNS)
 
 
@@ -122,12 +110,21 @@ def item_bounds(judged: DataFrame) -> DataFrame:
 
     One row per colname; the only cross-lot aggregate.
     """
-    stats = judged_targets(judged).groupBy("colname").agg(
-        F.min("value").alias("value_min"),
-        F.max("value").alias("value_max"),
-        F.min("limmin").alias("spec_lower"),
-        F.max("limmax").alias("spec_upper"),
-        F.min("meta_best").alias("spec_best"),
+    return _display_bounds(judged_targets(judged), "value", "value", "limmin", "limmax", "meta_best")
+
+
+def item_bounds_of(frame_stats: DataFrame) -> DataFrame:
+    """``item_bounds`` from the frame statistics of the same rows: their extremes are those of the detail."""
+    return _display_bounds(frame_stats, "minimum", "maximum", "spec_lower", "spec_upper", "spec_best")
+
+
+def _display_bounds(rows: DataFrame, low: str, high: str, lower: str, upper: str, best_value: str) -> DataFrame:
+    stats = rows.groupBy("colname").agg(
+        F.min(low).alias("value_min"),
+        F.max(high).alias("value_max"),
+        F.min(lower).alias("spec_lower"),
+        F.max(upper).alias("spec_upper"),
+        F.min(best_value).alias("spec_best"),
     )
     vmin, vmax = F.col("value_min"), F.col("value_max")
     lo, hi, best = F.col("spec_lower"), F.col("spec_upper"), F.col("spec_best")
@@ -150,34 +147,30 @@ def bin_edges(plot_min, plot_max, bin_index, bins: int):
     )
 
 
+def bounds_by_item(bounds: DataFrame) -> Column:
+    """Item bounds as one map value (items: 63 at most by contract), to be looked up by ``colname`` in a projection."""
+    fields = ("plot_min", "plot_max", "spec_lower", "spec_upper", "spec_best")
+    return bounds.filter(F.col("colname").isNotNull()).agg(
+        F.map_from_entries(F.collect_list(F.struct("colname", F.struct(*fields))))).scalar()
+
+
 def lot_item_histogram(judged: DataFrame, bins: int = KDE_BINS, bounds: DataFrame | None = None) -> DataFrame:
     """Counts per (lot, colname, bin) on the item's global display range.
 
     Values outside the range (or missing) fall in the null bin; empty bins are
-    not stored.  ``bounds`` is ``item_bounds(judged)``, best as a written table:
-    then Spark knows its size and joins without shuffling the detail.  The
-    detail is combined to one row per (lot, item, value) before it meets the
-    bounds, so an item with much of all rows does not travel row by row.
+    not stored.  ``bounds`` is ``item_bounds(judged)``, best as a written table.  The
+    detail never meets them in a join: they are one small value, looked up where
+    rows are binned, so rows are combined to bins before the only shuffle.
     """
     if bins < 2:
         raise ValueError("bins must be >= 2")
-    if bounds is None:
-        bounds = item_bounds(judged)
-    bounds = bounds.select("colname", "plot_min", "plot_max", "spec_lower", "spec_upper", "spec_best")
-    values = judged_targets(judged).groupBy("lot_number", "colname", "value").agg(
-        F.min("lot_start_time").alias("lot_start_time"), F.count(F.lit(1)).alias("rows"))
-    indexed = values.join(bounds, "colname", "inner")
-    indexed = indexed.withColumn(
-        "bin_index", floor_bin(F.col("value"), F.col("plot_min"), F.col("plot_max"), bins))
-    grouped = indexed.groupBy("lot_number", "colname", "bin_index").agg(
-        F.min("lot_start_time").alias("lot_start_time"),
-        F.min("plot_min").alias("plot_min"),
-        F.max("plot_max").alias("plot_max"),
-        F.min("spec_lower").alias("spec_lower"),
-        F.max("spec_upper").alias("spec_upper"),
-        F.min("spec_best").alias("spec_best"),
-        F.sum("rows").cast("long").alias("count"),
-    )
+    by_item = bounds_by_item(item_bounds(judged) if bounds is None else bounds)
+    of_item = F.try_element_at(by_item, F.col("colname"))
+    binned = judged_targets(judged).filter(of_item.isNotNull()).withColumn(
+        "bin_index", floor_bin(F.col("value"), of_item["plot_min"], of_item["plot_max"], bins))
+    grouped = binned.groupBy("lot_number", "colname", "bin_index").agg(
+        F.min("lot_start_time").alias("lot_start_time"), F.count(F.lit(1)).alias("count"))
+    grouped = grouped.withColumns({c: of_item[c] for c in ("plot_min", "plot_max", "spec_lower", "spec_upper", "spec_best")})
     left, right, centre = bin_edges(F.col("plot_min"), F.col("plot_max"), F.col("bin_index"), bins)
     return grouped.withColumns({"bin_left": left, "bin_right": right, "bin_center": centre}) \
         .select(*HISTOGRAM_COLUMNS)

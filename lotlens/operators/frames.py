@@ -1,8 +1,8 @@
 """Per-frame views on the judged detail: the 12 x 24 grid of one (lot, frame,
 item), its value levels, and its values along the machines' processing paths.
 
-All frames are handled in one DataFrame; selecting one frame is a filter
-that Spark pushes down (lot is the stage's partition column).
+All frames are handled in one DataFrame; one frame is the same plan over the
+folder and row groups that ``select_frame`` leaves.
 """
 
 from __future__ import annotations
@@ -12,33 +12,21 @@ from pyspark.sql import functions as F
 
 from lotlens.contracts import POSITION_X, POSITION_Y
 from lotlens.functions.scalar import finite, padded_range
-from lotlens.operators.kde import frame_cells, frames
+from lotlens.operators.kde import frames
 from lotlens.operators.rows import judged_targets
+from lotlens.sources.stages import select_frame
 
 KEYS = ["lot_number", "FrameNo", "colname"]
 
 
-def select_frame(judged: DataFrame, lot: str | None = None, frame: int | None = None,
-                 colname: str | None = None) -> DataFrame:
-    """Optional point selection, applied before any aggregation so the lot
-    partition is pruned and the frame/item predicates reach the scan."""
-    if lot is not None:
-        judged = judged.filter(F.col("lot_number") == lot)
-    if frame is not None:
-        judged = judged.filter(F.col("FrameNo") == frame)
-    if colname is not None:
-        judged = judged.filter(F.col("colname") == colname)
-    return judged
-
-
 def frame_grid(judged: DataFrame, lot: str | None = None, frame: int | None = None,
-               colname: str | None = None, required: bool = False) -> DataFrame:
+               colname: str | None = None, required: bool = False, days: DataFrame | None = None) -> DataFrame:
     """Dense 12 x 24 grid per (lot, frame, item) with rows: value, normalised
     value, NG direction (0 where a cell is empty) and lower/upper NG flags,
     plus the frame's limits, best, unit and row count.  With keys given, just
-    that frame (the drill-down lookup).  An empty selection has no rows, or
+    that frame (the drill-down lookup; ``days`` as in ``select_frame``).  An empty selection has no rows, or
     raises ValueError if ``required``."""
-    chosen = select_frame(judged, lot, frame, colname)
+    chosen = select_frame(judged, lot, frame, colname, days)
     if required and judged_targets(chosen).isEmpty():
         raise ValueError("no measurements in the selection")
     rows = frames(chosen)
@@ -62,8 +50,9 @@ def frame_grid(judged: DataFrame, lot: str | None = None, frame: int | None = No
 def frame_value_levels(judged: DataFrame) -> DataFrame:
     """Per frame grid: colour levels = raw min/max padded by 4% of
     max(span, |max| x 1%, 1e-9)."""
-    cells = frame_cells(judged).filter(finite("value"))
-    g = cells.groupBy(*KEYS).agg(F.min("value").alias("raw_min"), F.max("value").alias("raw_max"))
+    rows = frames(judged).withColumn("values", F.filter(F.transform("cells", lambda c: c["value"]), finite))
+    g = rows.filter(F.size("values") > 0).select(
+        *KEYS, F.array_min("values").alias("raw_min"), F.array_max("values").alias("raw_max"))
     lo, hi = padded_range(F.col("raw_min"), F.col("raw_max"))
     return g.select(*KEYS, "raw_min", "raw_max", lo.alias("level_min"), hi.alias("level_max"))
 

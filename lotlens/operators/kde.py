@@ -131,40 +131,38 @@ def kde_context(bundle: dict, known: tuple[str, ...], lots=None, first_lot: int
 _CELL_FIELDS = ("value", "normalized_value", "ng_direction", "limmin", "limmax", "meta_best")
 
 
-def frame_cells(judged: DataFrame) -> DataFrame:
-    """One measurement per (lot, frame, item, Y, X) -- the first by
-    ``measure_id`` when a cell was measured more than once; without that column
-    such a cell is an error -- with the cell's row count and the limits of that measurement.  One ``min_by`` per fixed-width field (unit is a grouping key, a
-    function of the item) keeps the aggregation hash-based."""
-    t = judged_targets(judged)
-    keys = ["lot_number", "FrameNo", "colname", "meta_unit"]
-    if "measure_id" in t.columns:
-        first = [F.min_by(c, "measure_id").alias(c) for c in _CELL_FIELDS]
-    else:
-        # nothing tells which of several measurements came first
-        once = F.assert_true(F.count(F.lit(1)) == 1, F.lit("a cell was measured twice and has no measure_id"))
-        first = [F.coalesce(once.cast(t.schema[c].dataType), F.max(c)).alias(c) for c in _CELL_FIELDS]
-    cell = t.groupBy(*keys, "PositionY", "PositionX").agg(
-        *first,
-        F.count(F.lit(1)).alias("rows"),
-        F.min("lot_start_time").alias("lot_start_time"))
-    return cell.select("lot_number", "FrameNo", "colname", "lot_start_time", "PositionY", "PositionX", "rows",
-                       *_CELL_FIELDS, "meta_unit")
-
-
 def frames(judged: DataFrame) -> DataFrame:
-    """One row per (lot, frame, item): rows (incl. repeats), limits/best/unit of
-    the first cell in (Y, X) order, and ``cells``, at most the 288 of a frame, in that order."""
-    one = F.struct("PositionY", "PositionX", *_CELL_FIELDS)
-    rows = frame_cells(judged).groupBy("lot_number", "FrameNo", "colname", "meta_unit").agg(
-        F.sum("rows").cast("long").alias("row_count"), F.array_sort(F.collect_list(one)).alias("cells"))
+    """One row per (lot, frame, item): rows (incl. repeats), limits and best of the first cell in
+    (Y, X) order, the smallest unit, and ``cells``, at most the 288 of a frame, in that order.
+
+    A cell that was measured more than once counts as its first measurement by ``measure_id``; without that
+    column such a cell is an error.  The detail moves once, to its frame; there its rows are one array.
+    """
+    t = judged_targets(judged)
+    ordered = "measure_id" in t.columns
+    order = [F.col("measure_id").isNull().alias("unnamed"), F.col("measure_id")] if ordered else []
+    rows = t.groupBy("lot_number", "FrameNo", "colname").agg(
+        F.array_sort(F.collect_list(F.struct("PositionY", "PositionX", *order, *_CELL_FIELDS))).alias("every"),
+        F.array_min(F.collect_set("meta_unit")).alias("meta_unit"))
+
+    def again(c: Column, i: Column) -> Column:
+        before = F.get("every", i - 1)
+        return (i > 0) & before["PositionY"].eqNullSafe(c["PositionY"]) & before["PositionX"].eqNullSafe(c["PositionX"])
+
+    cells = F.filter("every", lambda c, i: ~again(c, i))
+    if not ordered:  # nothing tells which of several measurements came first
+        kind = rows.schema["every"].dataType
+        cells = F.when(F.size(cells) == F.size("every"), F.col("every")).otherwise(
+            F.raise_error(F.lit("a cell was measured twice and has no measure_id")).cast(kind))
+    rows = rows.withColumn("cells", cells)
     first = F.col("cells")[0]
-    return rows.select("lot_number", "FrameNo", "colname", "row_count", first["limmin"].alias("spec_lower"),
-                       first["limmax"].alias("spec_upper"), first["meta_best"].alias("spec_best"), "meta_unit", "cells")
+    return rows.select("lot_number", "FrameNo", "colname", F.size("every").cast("long").alias("row_count"),
+                       first["limmin"].alias("spec_lower"), first["limmax"].alias("spec_upper"),
+                       first["meta_best"].alias("spec_best"), "meta_unit", "cells")
 
 
 def frame_kde(judged: DataFrame, bins: int = KDE_BINS, sigma: float = KDE_BANDWIDTH_BINS) -> DataFrame:
-    """Dense (lot, frame, item, bin) KDE of one frame's cell values.
+    """Dense (lot, frame, item, bin) KDE of the frames' cell values (of one frame: over its ``select_frame``).
 
     Range: from the frame's limits (two-sided, upper+best, lower+best) else
     the frame's own finite values padded by 4%; values binned against the

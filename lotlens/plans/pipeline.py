@@ -2,8 +2,7 @@
 
 Each job reads its input stage under the stage's schema, writes its output
 stage in one projection and returns ``(rows, output_path)``; the output is
-only trusted when the written row count equals the rows read, both observed
-in the writing job.
+only published when the rows read, written and stored are as many.
 Input/output paths are shared storage (HDFS / object store) on a cluster.
 """
 
@@ -14,22 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lotlens.contracts import JUDGED_SCHEMA, KDE_BINS, RAW_SCHEMA, STANDARDIZED_SCHEMA
+from lotlens.contracts import KDE_BINS
 from lotlens.operators.rows import judge, standardize
-from lotlens.sources.bundle import build_bundle, dataset_stage, lay_out, write_stage
+from lotlens.sources.bundle import build_bundle
 from lotlens.sources.item_orders import SPEC_ORDER
-from lotlens.sources.raw import read_typed
-
-
-_SCHEMAS = {"raw": RAW_SCHEMA, "standardized": STANDARDIZED_SCHEMA, "judged": JUDGED_SCHEMA}
-
-
-def _stage_input(spark: SparkSession, path: str, expected: str) -> DataFrame:
-    df = read_typed(spark, path, _SCHEMAS[expected])
-    found = dataset_stage(df)
-    if found is not None and found != expected:
-        raise ValueError(f"{path}: expected stage {expected!r}, found {found!r}")
-    return df
+from lotlens.sources.stages import lay_out, read_stage, write_stage
 
 
 def _stage(source: DataFrame, stage: str, path: str, step: Callable[[DataFrame], DataFrame]) -> int:
@@ -46,18 +34,18 @@ def ingest(raw: DataFrame, output_path: str) -> tuple[int, str]:
 
 def standardize_stage(spark: SparkSession, input_path: str, output_path: str) -> tuple[int, str]:
     """raw Parquet -> standardized Parquet (same layout)."""
-    raw = _stage_input(spark, input_path, "raw")
+    raw = read_stage(spark, input_path, "raw")
     return _stage(raw, "standardized", output_path, standardize), output_path
 
 
 def judge_stage(spark: SparkSession, input_path: str, output_path: str) -> tuple[int, str]:
     """standardized Parquet -> judged Parquet (same layout)."""
-    std = _stage_input(spark, input_path, "standardized")
+    std = read_stage(spark, input_path, "standardized")
     return _stage(std, "judged", output_path, judge), output_path
 
 
 def aggregate(spark: SparkSession, input_path: str, output_dir: str, bins: int = KDE_BINS,
               bit_items: tuple[str, ...] = SPEC_ORDER) -> dict:
     """judged Parquet -> analysis bundle (5 tables + manifest, manifest last)."""
-    judged = _stage_input(spark, input_path, "judged")
+    judged = read_stage(spark, input_path, "judged")
     return build_bundle(judged, output_dir, bit_items=bit_items, bins=bins)

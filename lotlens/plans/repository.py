@@ -3,7 +3,8 @@
 A *bundle* is a mapping ``{"lots", "frame_item_stats", "position_item_stats",
 "lot_item_histogram", "piece_ng"} -> DataFrame`` (``open_bundle`` returns
 one; ``bundle_from_judged`` builds one lazily).  Every reader takes an
-optional lot list: ``None`` and an empty list both mean all lots.
+optional lot selection: a list of names (``None`` and an empty list both mean all
+lots) or a table of lots.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from lotlens.contracts import KDE_BINS
 from lotlens.operators import aggregates as A
 from lotlens.operators.rows import judged_targets
+from lotlens.sources.stages import START_DATE, select_frame
 
 
 class LazyBundle(dict):
@@ -46,8 +48,15 @@ def bundle_from_judged(judged: DataFrame, bit_items, bins: int = KDE_BINS) -> di
 
 
 def lot_filter(df: DataFrame, lots=None) -> DataFrame:
-    """``lot_number IN lots``; ``None`` or empty means every lot (no filter,
-    so partition pruning / pushdown is only planned when it selects)."""
+    """Rows of the chosen lots: a list of names, or a table with ``lot_number`` (such as a filtered lots table).
+
+    A list becomes a literal filter that prunes files; ``None`` or an empty one means every lot.  A table
+    selects by semi-join and is never collected (an empty table selects nothing).  If both sides have
+    ``start_date``, it joins too, and Spark prunes the stage's folders by the lots' dates at run time.
+    """
+    if isinstance(lots, DataFrame):
+        keys = ["lot_number", *([START_DATE] if START_DATE in df.columns and START_DATE in lots.columns else [])]
+        return df.join(lots.select(*keys), keys, "left_semi")
     if not lots:
         return df
     return df.filter(F.col("lot_number").isin(list(lots)))
@@ -120,17 +129,11 @@ FRAME_VALUE_COLUMNS = ("PositionX", "PositionY", "value", "normalized_value", "i
 
 
 def frame_values(judged: DataFrame, lot: str | None = None, frame: int | None = None,
-                 colname: str | None = None) -> DataFrame:
+                 colname: str | None = None, days: DataFrame | None = None) -> DataFrame:
     """Judged detail of one (lot, frame, item) -- or of all of them when the
-    keys are omitted (batch form).  Lot is a partition column of the written
-    stage, so a point lookup prunes to one folder; the rest is pushed down."""
-    df = judged_targets(judged)
-    if lot is not None:
-        df = df.filter(F.col("lot_number") == lot)
-    if frame is not None:
-        df = df.filter(F.col("FrameNo") == frame)
-    if colname is not None:
-        df = df.filter(F.col("colname") == colname)
+    keys are omitted (batch form).  A point lookup on a stage read with ``dated``, given the
+    stage's ``lot_days``, reads the lot's folder only; the rest is pushed down."""
+    df = select_frame(judged_targets(judged), lot, frame, colname, days)
     out = df.select("lot_number", "FrameNo", "colname", *FRAME_VALUE_COLUMNS)
     if lot is not None and frame is not None and colname is not None:
         out = out.orderBy("PositionY", "PositionX")      # one frame: at most a few hundred rows

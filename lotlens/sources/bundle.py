@@ -1,7 +1,6 @@
-"""Sinks: stage writes, the analysis bundle (5 tables + manifest) and its reader.
+"""The analysis bundle (5 tables + manifest) and its reader.
 
-Row counts come from ``DataFrame.observe`` on the write itself, so checking
-"rows out == rows in" costs no second scan.  The manifest is written last,
+Row counts come from ``DataFrame.observe`` on the writes themselves.  The manifest is written last,
 through the Hadoop FileSystem of the target path (tmp file + rename over the
 old one), and points at the folder of its build: ``open_bundle`` refuses a
 folder without it, and sees one build whole.
@@ -18,9 +17,10 @@ from pyspark.sql import types as T
 
 from lotlens.contracts import BUNDLE_TYPES, KDE_BINS, check_item_names
 from lotlens.operators import aggregates as A
+from lotlens.sources.files import folders, read_text, remove_folder, write_text_atomic
 from lotlens.sources.raw import read_typed
+from lotlens.sources.stages import dataset_stage, parquet_options
 
-STAGES = ("raw", "standardized", "judged")
 BUNDLE_TABLES = ("lots", "frame_item_stats", "position_item_stats", "lot_item_histogram", "piece_ng")
 GRAIN_COLUMNS = {
     "lots": ("lot_number", "lot_start_time"),
@@ -39,113 +39,6 @@ _SORT = {
 }
 
 
-def _with_stage_metadata(df: DataFrame, stage: str, version: str) -> DataFrame:
-    """Stage/version ride on the ``value`` column's field metadata, which
-    survives Parquet (a partition column would lose it)."""
-    target = "value" if "value" in df.columns else df.columns[0]
-    meta = {"dataset_stage": stage, "dataset_version": version}
-    return df.withColumn(target, F.col(target).alias(target, metadata=meta))
-
-
-def dataset_stage(df: DataFrame) -> str | None:
-    """Stage recorded in the schema metadata, if any."""
-    for field in df.schema.fields:
-        if "dataset_stage" in field.metadata:
-            return field.metadata["dataset_stage"]
-    return None
-
-
-#: Partition folder of the stages: the day a lot started.  A folder holds many
-#: lots, so the number of folders follows the calendar, not the lots.
-START_DATE = "start_date"
-
-
-def lay_out(df: DataFrame) -> DataFrame:
-    """Range layout for the first write of the detail: rows of a lot together,
-    a large lot split over many tasks.  Later stages keep it without moving anything."""
-    keys = [c for c in ("lot_start_time", "lot_number", "FrameNo", "colname", "PositionY", "PositionX")
-            if c in df.columns]
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-
-
-def write_stage(df: DataFrame, path: str, stage: str, *, version: str = "1",
-                expected_rows: int | Observation | None = None) -> int:
-    """Write one detail stage as zstd Parquet, a folder per start date, rows in
-    the order they come (no shuffle; lay the raw stage out once with ``lay_out``).
-
-    Returns the written row count, which the write itself observes; raises if it differs from
-    ``expected_rows`` (a number, or an observation of the input in the same plan).
-    """
-    if stage not in STAGES:
-        raise ValueError(f"unknown stage {stage!r}")
-    obs = Observation(f"rows_{stage}")
-    out = _with_stage_metadata(df, stage, version).observe(obs, F.count(F.lit(1)).alias("rows"))
-    (out.withColumn(START_DATE, F.to_date("lot_start_time"))
-     .write.mode("overwrite").option("compression", "zstd").partitionBy(START_DATE).parquet(path))
-    rows = int(obs.get["rows"])
-    expected = int(expected_rows.get["rows"]) if isinstance(expected_rows, Observation) else expected_rows
-    if expected is not None and rows != expected:
-        raise RuntimeError(f"{stage}: wrote {rows} rows, expected {expected}")
-    return rows
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath, jvm
-
-
-def _has_jvm(spark: SparkSession) -> bool:
-    try:
-        return spark.sparkContext._jvm is not None
-    except Exception:  # noqa: BLE001 - Spark Connect
-        return False
-
-
-def write_text_atomic(spark: SparkSession, path: str, text: str) -> None:
-    """Small driver-side file (the manifest) via the target's Hadoop FS: written
-    beside it, then renamed over it, so a reader sees the old or the new text.
-    Without a JVM handle (Spark Connect) it is written as a one-row
-    text dataset instead (still last, still a marker)."""
-    if not _has_jvm(spark):
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
-        return
-    _, final, jvm = _fs(spark, path)
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-        final.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    fs, tmp, _ = _fs(spark, f"{path}.{uuid.uuid4().hex}.tmp")
-    stream = fs.create(tmp, True)
-    try:
-        stream.write(bytearray(text.encode("utf-8")))
-    finally:
-        stream.close()
-    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
-    context.rename(tmp, final, overwrite)
-
-
-def read_text(spark: SparkSession, path: str) -> str:
-    if not _has_jvm(spark):
-        try:
-            return "\n".join(r.value for r in spark.read.text(path).collect())
-        except Exception as exc:  # noqa: BLE001
-            raise FileNotFoundError(path) from exc
-    fs, hpath, jvm = _fs(spark, path)
-    if not fs.exists(hpath):
-        raise FileNotFoundError(path)
-    stream = fs.open(hpath)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        lines = []
-        line = reader.readLine()
-        while line is not None:
-            lines.append(line)
-            line = reader.readLine()
-        return "\n".join(lines)
-    finally:
-        stream.close()
-
-
 def _ranged(df: DataFrame, name: str) -> DataFrame:
     """Rows of a lot in few files, so that a lot filter prunes files by their statistics."""
     return df.repartitionByRange(*_SORT[name][:2]).sortWithinPartitions(*[
@@ -161,8 +54,8 @@ def build_bundle(judged: DataFrame, out_dir: str, *, bit_items: tuple[str, ...]
 
     ``judged`` should be a scan of the written judged stage (each grain then
     re-reads only the columns it needs); it is not cached, so nothing of
-    detail size is held in memory.  The item bounds are written first and read
-    back, so that Spark knows their size when it joins the detail with them.
+    detail size is held in memory.  The frame statistics come first: the item bounds
+    of the histogram are read off them instead of the detail.
     """
     if bins < 2:
         raise ValueError("bins must be >= 2")
@@ -172,24 +65,40 @@ def build_bundle(judged: DataFrame, out_dir: str, *, bit_items: tuple[str, ...]
         raise ValueError(f"bundle input must be the judged stage, got {stage!r}")
     spark = judged.sparkSession
     base, build = out_dir.rstrip("/"), f"build-{uuid.uuid4().hex}"
-    bounds = A.item_bounds(judged)
-    bounds.write.option("compression", "zstd").parquet(f"{base}/{build}/item_bounds")
-    bounds = spark.read.schema(bounds.schema).parquet(f"{base}/{build}/item_bounds")
-    grains = {
-        "lots": A.lots(judged),
-        "frame_item_stats": A.frame_item_stats(judged),
-        "position_item_stats": A.position_item_stats(judged),
-        "lot_item_histogram": A.lot_item_histogram(judged, bins, bounds),
-        "piece_ng": A.piece_ng(judged, bit_items),
-    }
     counts = {}
-    for name, df in grains.items():
+
+    def written(name: str, df: DataFrame) -> DataFrame:
         obs = Observation(f"rows_{name}")
         # observed above the range exchange: its sampling job reads what is below
         (_ranged(df, name).observe(obs, F.count(F.lit(1)).alias("rows"))
-         .write.option("compression", "zstd").parquet(f"{base}/{build}/{name}"))
+         .write.options(**parquet_options(df)).parquet(f"{base}/{build}/{name}"))
         counts[name] = int(obs.get["rows"])
-    return publish(spark, base, build, counts, bit_items=bit_items, bins=bins, version=version)
+        return spark.read.schema(df.schema).parquet(f"{base}/{build}/{name}")
+
+    try:
+        frame_stats = written("frame_item_stats", A.frame_item_stats(judged))
+        written("lots", A.lots(judged))
+        written("position_item_stats", A.position_item_stats(judged))
+        written("lot_item_histogram", A.lot_item_histogram(judged, bins, A.item_bounds_of(frame_stats)))
+        written("piece_ng", A.piece_ng(judged, bit_items))
+    except BaseException:
+        remove_folder(spark, f"{base}/{build}")
+        raise
+    return publish(spark, base, build, {n: counts[n] for n in BUNDLE_TABLES}, bit_items=bit_items, bins=bins, version=version)
+
+
+def remove_old_builds(spark: SparkSession, bundle_dir: str) -> list[str]:
+    """Remove all builds but those that the manifest names (old ones, and what a killed build has left).
+
+    To be called by the bundle's owner when no reader uses an older build any more and no build is under way.
+    Returns the names of what was removed."""
+    base = bundle_dir.rstrip("/")
+    tables = json.loads(read_text(spark, f"{base}/manifest.json"))["tables"].values()
+    named = {t["path"].split("/")[0] for t in tables}
+    old = [f for f in folders(spark, base) if f.startswith("build-") and f not in named]
+    for f in old:
+        remove_folder(spark, f"{base}/{f}")
+    return old
 
 
 def publish(spark: SparkSession, base: str, build: str, counts: dict[str, int], *,

@@ -1,6 +1,6 @@
 """Raw measurement sources.
 
-* ``read_typed`` / ``read_raw`` -- long measurement Parquet under a fixed schema.
+* ``read_typed`` -- Parquet under a fixed schema (``stages.read_raw`` for the raw stage).
 * ``melt_measures`` -- wide pieces (one column per measured item) to the long
   raw table, item metadata attached from the item master (broadcast, <= 63
   rows by contract).
@@ -26,12 +26,9 @@ def _stored_schema(spark: SparkSession, path: str) -> T.StructType:
     except AnalysisException as refused:
         if "NANOS" not in str(refused):
             raise
-    before = spark.conf.get(_NANOS_AS_LONG)
-    spark.conf.set(_NANOS_AS_LONG, "true")
-    try:
-        return spark.read.parquet(path).schema
-    finally:
-        spark.conf.set(_NANOS_AS_LONG, before)
+    apart = spark.newSession()  # settings of its own: no other read of this session sees the switch
+    apart.conf.set(_NANOS_AS_LONG, "true")
+    return apart.read.parquet(path).schema
 
 
 def read_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -63,12 +60,6 @@ def read_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return df.select(*columns)
 
 
-def read_raw(spark: SparkSession, path: str, *, with_measure_id: bool = False) -> DataFrame:
-    """Scan a raw stage.  Predicates are pushed into the Parquet scan by Catalyst."""
-    df = read_typed(spark, path, RAW_SCHEMA)
-    return df if with_measure_id else df.select(*[f.name for f in RAW_SCHEMA.fields])
-
-
 def attach_items(long_df: DataFrame, spark: SparkSession,
                  items: tuple[ItemSpec, ...]) -> DataFrame:
     """Attach limits/metadata of the item master by ``colname``.  A measurement

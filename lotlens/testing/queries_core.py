@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotlens.contracts import JUDGED_SCHEMA, MEASURE_ID
+from lotlens.contracts import MEASURE_ID
 from lotlens.functions.scalar import floor_bin
 from lotlens.operators import aggregates as A
 from lotlens.operators import checks as C
@@ -15,7 +15,7 @@ from lotlens.operators.rows import judge, standardize
 from lotlens.plans.pipeline import ingest, judge_stage, standardize_stage
 from lotlens.sources.bundle import build_bundle, open_bundle
 from lotlens.sources.fixtures import EVENT_ITEMS, events_raw, lineitem_raw
-from lotlens.sources.raw import read_raw, read_typed
+from lotlens.sources.stages import read_raw, read_stage
 from lotlens.testing.registry import register, scratch_dir
 
 BIT_ITEMS = tuple(i.colname for i in EVENT_ITEMS)
@@ -74,7 +74,7 @@ def stage_write(spark, sf_dir):
     _, stage = ingest(raw, scratch_dir(spark, "raw"))
     _, stage = standardize_stage(spark, stage, scratch_dir(spark, "standardized"))
     _, stage = judge_stage(spark, stage, scratch_dir(spark, "judged"))
-    return C.row_count_check(raw, read_typed(spark, stage, JUDGED_SCHEMA))
+    return C.row_count_check(raw, read_stage(spark, stage, "judged"))
 
 
 @register("row_count_check", """

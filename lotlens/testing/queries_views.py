@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lotlens.operators import frames as FR
 from lotlens.operators import kde as K
 from lotlens.operators import levels as L
+from lotlens.operators.densify import indexed_lots
 from lotlens.plans import repository as R
 from lotlens.plans import views as V
 from lotlens.sources.fixtures import EVENT_ITEMS
@@ -116,10 +117,9 @@ def ng_rate_by_frame_q(spark, sf_dir):
      "ng_rate, normalized_mean, normalized_std FROM fstats WHERE lot_number IN "
      "(SELECT lot_number FROM lot_idx WHERE lot_index % 3 = 1)", ["ng_rate", "normalized_mean", "normalized_std"])
 def lot_filter_q(spark, sf_dir):
-    """FLT2: a lot list (every third lot of the data, as a user would pick them from the lots table)."""
+    """FLT2: every third lot, picked from the lots table as a table."""
     b = bundle(spark, sf_dir)
-    picked = [r.lot_number for k, r in enumerate(R.lots(b).collect()) if k % 3 == 1]
-    return R.ng_rate_by_frame(b, lots=picked)
+    return R.ng_rate_by_frame(b, lots=indexed_lots(b["lots"]).filter("lot_index % 3 = 1"))
 
 
 _Q_DOUBLES = ["minimum", "p05", "p25", "p50", "p75", "p95", "maximum", "spec_lower", "spec_upper"]

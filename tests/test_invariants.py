@@ -249,9 +249,9 @@ def test_cells_measured_twice_need_an_order(spark):
     rows = [raw_row("L1", T0, 1, 1, 1, v, "a_v1", 0.0, 4.0, None) for v in (3.0, 1.0)]
     j = spark.createDataFrame(rows, RAW_SCHEMA).transform(standardize).transform(judge)
     with pytest.raises(Exception, match="measured twice"):
-        K.frame_cells(j).collect()
-    first = K.frame_cells(j.withColumn("measure_id", F.when(F.col("value") == 3.0, 1).otherwise(2))).first()
-    assert first.value == 3.0 and first.rows == 2
+        K.frames(j).collect()
+    one = K.frames(j.withColumn("measure_id", F.when(F.col("value") == 3.0, 1).otherwise(2))).first()
+    assert [c.value for c in one.cells] == [3.0] and one.row_count == 2
 
 
 def test_lots_are_numbered_across_days(spark):
