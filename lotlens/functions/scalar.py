@@ -114,16 +114,6 @@ def gaussian_kernel(sigma: float) -> list[float]:
     return [w / total for w in raw]
 
 
-def kernel_taps(sigma: float) -> Column:
-    """Array<struct<offset:int, weight:double>> literal of the kernel taps."""
-    weights = gaussian_kernel(sigma)
-    radius = len(weights) // 2
-    return F.array(*[
-        F.struct(F.lit(k - radius).alias("offset"), F.lit(w).alias("weight"))
-        for k, w in enumerate(weights)
-    ])
-
-
 def bit_lookup(colname: Column, names: tuple[str, ...] | list[str]) -> Column:
     """Bit value ``1 << index`` of ``colname`` in ``names`` (63 at most); 0 when unknown."""
     check_item_names(names)

@@ -8,13 +8,16 @@ grain repartitions the detail by lot.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotlens.contracts import KDE_BINS
 from lotlens.functions.scalar import bit_lookup, floor_bin, spec_display_range
 from lotlens.operators.rows import judged_targets
 
+#: Rows of item bounds that are broadcast at most (some hundred kilobytes; an item master has 63).
+MAX_ITEMS = 4096
+
 QUANTILES = (0.05, 0.25, 0.50, 0.75, 0.95)
 QUANTILE_NAMES = ("p05", "p25", "p50", "p75", "p95")
 
@@ -66,9 +69,14 @@ def lots(judged: DataFrame) -> DataFrame:
 
 def frame_item_stats(judged: DataFrame) -> DataFrame:
     """(lot, FrameNo, vision, colname) statistics over target rows, with exact
-    linear-interpolated quantiles from one ``percentile`` call."""
+    linear-interpolated quantiles from one ``percentile`` call.
+
+    An exact quantile needs all values of its group, so combining before the shuffle would save nothing but
+    cost a pass over object buffers: the rows go to their frame (a few hundred each) first.
+    """
     q = F.percentile(F.col("value"), F.array(*[F.lit(p) for p in QUANTILES]))
-    agg = judged_targets(judged).groupBy("lot_number", "FrameNo", "vision", "colname").agg(
+    dealt = judged_targets(judged).repartition("lot_number", "FrameNo", "colname")
+    agg = dealt.groupBy("lot_number", "FrameNo", "vision", "colname").agg(
         F.min("lot_start_time").alias("lot_start_time"),
         _smallest_text("meta_category"),
         _smallest_text("meta_unit"),
@@ -89,7 +97,8 @@ def _text_values(rows: DataFrame, *columns: str) -> dict:
 
     A group's smallest text is then its smallest position in that list, a plain number: the groups
     need neither object buffers nor a sort."""
-    lists = rows.agg(F.struct(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns])).scalar()
+    lists = (rows.select(*columns).distinct()
+             .agg(F.struct(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns])).scalar())
     return {c: lists[c] for c in columns}
 
 
@@ -147,30 +156,33 @@ def bin_edges(plot_min, plot_max, bin_index, bins: int):
     )
 
 
-def bounds_by_item(bounds: DataFrame) -> Column:
-    """Item bounds as one map value (items: 63 at most by contract), to be looked up by ``colname`` in a projection."""
-    fields = ("plot_min", "plot_max", "spec_lower", "spec_upper", "spec_best")
-    return bounds.filter(F.col("colname").isNotNull()).agg(
-        F.map_from_entries(F.collect_list(F.struct("colname", F.struct(*fields))))).scalar()
+def checked_bounds(bounds: DataFrame) -> DataFrame:
+    """``bounds`` for a broadcast: more than ``MAX_ITEMS`` items are an error, raised where the rows are made."""
+    fields = ("colname", "plot_min", "plot_max", "spec_lower", "spec_upper", "spec_best")
+    every = F.collect_list(F.struct(*fields))
+    few = F.when(F.size("all") <= MAX_ITEMS, F.col("all")).otherwise(
+        F.raise_error(F.lit(f"more than {MAX_ITEMS} items")).cast(bounds.agg(every.alias("all")).schema["all"].dataType))
+    return bounds.agg(every.alias("all")).select(F.inline(few))
 
 
 def lot_item_histogram(judged: DataFrame, bins: int = KDE_BINS, bounds: DataFrame | None = None) -> DataFrame:
     """Counts per (lot, colname, bin) on the item's global display range.
 
     Values outside the range (or missing) fall in the null bin; empty bins are
-    not stored.  ``bounds`` is ``item_bounds(judged)``, best as a written table.  The
-    detail never meets them in a join: they are one small value, looked up where
-    rows are binned, so rows are combined to bins before the only shuffle.
+    not stored.  ``bounds`` is ``item_bounds(judged)`` (or ``item_bounds_of`` the frame
+    statistics): a row per item, their number checked, so they are broadcast and the detail is
+    binned where it is read and combined before the only shuffle.
     """
     if bins < 2:
         raise ValueError("bins must be >= 2")
-    by_item = bounds_by_item(item_bounds(judged) if bounds is None else bounds)
-    of_item = F.try_element_at(by_item, F.col("colname"))
-    binned = judged_targets(judged).filter(of_item.isNotNull()).withColumn(
-        "bin_index", floor_bin(F.col("value"), of_item["plot_min"], of_item["plot_max"], bins))
-    grouped = binned.groupBy("lot_number", "colname", "bin_index").agg(
-        F.min("lot_start_time").alias("lot_start_time"), F.count(F.lit(1)).alias("count"))
-    grouped = grouped.withColumns({c: of_item[c] for c in ("plot_min", "plot_max", "spec_lower", "spec_upper", "spec_best")})
+    bounds = checked_bounds(item_bounds(judged) if bounds is None else bounds)
+    indexed = judged_targets(judged).join(F.broadcast(bounds), "colname", "inner")
+    indexed = indexed.withColumn(
+        "bin_index", floor_bin(F.col("value"), F.col("plot_min"), F.col("plot_max"), bins))
+    grouped = indexed.groupBy("lot_number", "colname", "bin_index").agg(
+        F.min("lot_start_time").alias("lot_start_time"),
+        *[F.min(c).alias(c) for c in ("plot_min", "plot_max", "spec_lower", "spec_upper", "spec_best")],
+        F.count(F.lit(1)).alias("count"))
     left, right, centre = bin_edges(F.col("plot_min"), F.col("plot_max"), F.col("bin_index"), bins)
     return grouped.withColumns({"bin_left": left, "bin_right": right, "bin_center": centre}) \
         .select(*HISTOGRAM_COLUMNS)

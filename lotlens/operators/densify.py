@@ -61,7 +61,3 @@ def with_cells(grid: DataFrame) -> DataFrame:
                 F.sequence(F.lit(POSITION_Y[0]), F.lit(POSITION_Y[-1])).cast("array<tinyint>")))
             .withColumn("PositionX", F.explode(
                 F.sequence(F.lit(POSITION_X[0]), F.lit(POSITION_X[-1])).cast("array<tinyint>"))))
-
-
-def with_bins(grid: DataFrame, bins: int, name: str = "bin_index") -> DataFrame:
-    return grid.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotlens.contracts import KDE_BANDWIDTH_BINS, KDE_BINS, check_item_names
-from lotlens.functions.scalar import finite, gaussian_kernel, linspace_edge, spec_display_range
+from lotlens.functions.scalar import edge_bin, finite, gaussian_kernel, linspace_edge, spec_display_range
 from lotlens.operators.densify import indexed_lots, item_lot_grid, present_items
 from lotlens.operators.rows import judged_targets
 from lotlens.plans.repository import lot_filter, stored_bins
@@ -166,21 +166,21 @@ def frame_kde(judged: DataFrame, bins: int = KDE_BINS, sigma: float = KDE_BANDWI
 
     Range: from the frame's limits (two-sided, upper+best, lower+best) else
     the frame's own finite values padded by 4%; values binned against the
-    explicit linspace edges (half-open bins, last bin closed).  A frame's
-    values stay one array (288 at most) until its bins are exploded.
+    explicit linspace edges (half-open bins, last bin closed).  Values are exploded to be binned and counted
+    (plain columns, and no second shuffle: the rows stay where their frame is), then a frame's bins are one array.
     """
     rows = frames(judged).withColumn("values", F.filter(F.transform("cells", lambda c: c["value"]), finite))
     lo_l, hi_l, best = [F.when(finite(c), F.col(c)) for c in ("spec_lower", "spec_upper", "spec_best")]
     dmin, dmax = spec_display_range(lo_l, hi_l, best, F.array_min("values"), F.array_max("values"))
-    rows = rows.withColumns({"display_min": dmin, "display_max": dmax})
-    lo, hi = F.col("display_min"), F.col("display_max")
-    inner = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: linspace_edge(lo, hi, i, bins))
-    rows = rows.withColumns({"edges": inner, "inside": F.filter("values", lambda v: (v >= lo) & (v <= hi))})
-    # the bin of a value is the number of inner edges at or below it
-    placed = F.transform("inside", lambda v: F.struct(
-        F.size(F.filter("edges", lambda e: e <= v)).alias("bin"), F.lit(1).cast("long").alias("count")))
-    rows = rows.withColumn("counts", placed).withColumns({
-        "sample_count": F.size("values").cast("long"), "in_range_count": F.size("inside").cast("long")})
+    rows = rows.withColumns({"display_min": dmin, "display_max": dmax, "sample_count": F.size("values").cast("long")})
+    frame = ["lot_number", "FrameNo", "colname", "display_min", "display_max", "sample_count"]
+    lo, hi, v = F.col("display_min"), F.col("display_max"), F.col("v")
+    binned = rows.select(*frame, F.explode_outer("values").alias("v")).withColumn(
+        "bin", F.when((v >= lo) & (v <= hi), edge_bin(v, lo, hi, bins)))
+    counted = binned.groupBy(*frame, "bin").agg(F.count(F.lit(1)).alias("count"))
+    rows = counted.groupBy(*frame).agg(
+        F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "count"))).alias("counts"),
+        F.coalesce(F.sum(F.when(F.col("bin").isNotNull(), F.col("count"))), F.lit(0)).cast("long").alias("in_range_count"))
     out = exploded_density(rows, ["lot_number", "FrameNo", "colname", "sample_count", "in_range_count",
                                   "display_min", "display_max"], "counts", "display_min", "display_max", bins, sigma)
     return out.select("lot_number", "FrameNo", "colname", "bin_index", "x", "density", "sample_count",

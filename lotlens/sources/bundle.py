@@ -84,7 +84,8 @@ def build_bundle(judged: DataFrame, out_dir: str, *, bit_items: tuple[str, ...]
     except BaseException:
         remove_folder(spark, f"{base}/{build}")
         raise
-    return publish(spark, base, build, {n: counts[n] for n in BUNDLE_TABLES}, bit_items=bit_items, bins=bins, version=version)
+    tables = {n: {"path": f"{build}/{n}", "rows": counts[n]} for n in BUNDLE_TABLES}
+    return publish(spark, base, tables, bit_items=bit_items, bins=bins, version=version)
 
 
 def remove_old_builds(spark: SparkSession, bundle_dir: str) -> list[str]:
@@ -94,22 +95,22 @@ def remove_old_builds(spark: SparkSession, bundle_dir: str) -> list[str]:
     Returns the names of what was removed."""
     base = bundle_dir.rstrip("/")
     tables = json.loads(read_text(spark, f"{base}/manifest.json"))["tables"].values()
-    named = {t["path"].split("/")[0] for t in tables}
+    named = {m["path"].split("/")[0] for t in tables for m in t.get("days", {"": t}).values()}
     old = [f for f in folders(spark, base) if f.startswith("build-") and f not in named]
     for f in old:
         remove_folder(spark, f"{base}/{f}")
     return old
 
 
-def publish(spark: SparkSession, base: str, build: str, counts: dict[str, int], *,
+def publish(spark: SparkSession, base: str, tables: dict[str, dict], *,
             bit_items: tuple[str, ...] | list[str], bins: int, version: str = "1") -> dict:
-    """Point the bundle's manifest at the tables of ``build``."""
+    """Point the bundle's manifest at ``tables``: per name its rows and path, or a path per start date."""
     manifest = {
         "dataset_stage": "analysis",
         "dataset_version": version,
         "aggregation_filter": "is_judgement_target (all tables but lots)",
         "kde_bins": bins,
-        "tables": {n: {"path": f"{build}/{n}", "rows": c} for n, c in counts.items()},
+        "tables": tables,
         "ng_bit_mapping": [{"colname": c, "bit_index": i, "bit_value": 1 << i}
                            for i, c in enumerate(bit_items)],
     }
@@ -125,8 +126,8 @@ def open_bundle(spark: SparkSession, bundle_dir: str) -> dict:
                  "bit_items": tuple(m["colname"] for m in sorted(manifest["ng_bit_mapping"],
                                                                   key=lambda m: m["bit_index"]))}
     for name, meta in manifest["tables"].items():
-        path = f"{base}/{meta['path']}"
+        paths = [f"{base}/{m['path']}" for m in meta.get("days", {"": meta}).values()]
         schema = T.StructType([T.StructField(c, T._parse_datatype_string(BUNDLE_TYPES.get(c, "double")))
                                for c in GRAIN_COLUMNS[name]])
-        out[name] = read_typed(spark, path, schema)
+        out[name] = read_typed(spark, paths, schema)
     return out

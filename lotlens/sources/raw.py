@@ -19,20 +19,20 @@ from lotlens.contracts import MEASURE_ID, RAW_SCHEMA, ItemSpec, item_dimension
 _NANOS_AS_LONG = "spark.sql.legacy.parquet.nanosAsLong"
 
 
-def _stored_schema(spark: SparkSession, path: str) -> T.StructType:
+def _stored_schema(spark: SparkSession, paths: list[str]) -> T.StructType:
     """The files' own schema (footers only); nanosecond timestamps show as bigint."""
     try:
-        return spark.read.parquet(path).schema
+        return spark.read.parquet(*paths).schema
     except AnalysisException as refused:
         if "NANOS" not in str(refused):
             raise
     apart = spark.newSession()  # settings of its own: no other read of this session sees the switch
     apart.conf.set(_NANOS_AS_LONG, "true")
-    return apart.read.parquet(path).schema
+    return apart.read.parquet(*paths).schema
 
 
-def read_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Parquet below ``path`` with the columns and types of ``schema`` (and
+def read_typed(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    """Parquet below ``path`` (or several paths) with the columns and types of ``schema`` (and
     ``measure_id``, if stored).
 
     Text columns are declared, never inferred, so a lot that is a folder name
@@ -41,7 +41,8 @@ def read_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     as numbers and cut to microseconds.
     """
     wanted = {f.name: f for f in schema.fields}
-    stored = _stored_schema(spark, path)
+    paths = [path] if isinstance(path, str) else list(path)
+    stored = _stored_schema(spark, paths)
     declared = []
     for field in stored.fields:
         want = wanted.get(field.name)
@@ -49,7 +50,7 @@ def read_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
             field = T.StructField(field.name, T.StringType(), True, field.metadata)
         declared.append(field)
     numbers = {f.name for f in stored.fields if isinstance(f.dataType, T.LongType)}
-    df = spark.read.schema(T.StructType(declared)).parquet(path)
+    df = spark.read.schema(T.StructType(declared)).parquet(*paths)
     columns = []
     for field in [*schema.fields, *[f for f in stored.fields if f.name == MEASURE_ID and f.name not in wanted]]:
         value = F.col(field.name)

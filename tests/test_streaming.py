@@ -2,12 +2,15 @@
 
 import datetime
 
+import pytest
+from pyspark.sql import functions as F
+
 from lotlens.contracts import RAW_SCHEMA
 from lotlens.operators import aggregates as A
 from lotlens.operators.rows import judge, standardize
 from lotlens.sources.bundle import open_bundle
 from lotlens.streaming.judge_stream import (
-    grain_refresher, judged_stream, refresh_histogram, start_pipeline, touched_detail)
+    grain_refresher, judged_stream, refresh_histogram, remove_old_batches, start_pipeline, touched_detail)
 from tests.conftest import pipeline_rows
 
 BITS = ("Scratch_v1", "Gap_v2", "Flat_v3")
@@ -50,6 +53,33 @@ def test_stream_matches_batch(spark, tmp_path):
     check()
 
 
+def test_a_reader_sees_one_batch_whole(spark, tmp_path):
+    """What was opened before a batch stays as it was; a failing batch publishes nothing; old folders go when asked."""
+    judged_dir, bundle_dir = str(tmp_path / "judged"), str(tmp_path / "bundle")
+    refresh = grain_refresher(judged_dir, bundle_dir, BITS, 4)
+    measured = spark.createDataFrame(pipeline_rows(), RAW_SCHEMA).transform(standardize).transform(judge)
+    refresh(measured.filter("lot_number = 'L-7' OR colname = 'Gap_v2'"), 0)
+    opened = open_bundle(spark, bundle_dir)
+    before = {n: rows(opened[n], opened[n].columns) for n in ("lots", "frame_item_stats", "piece_ng")}
+    refresh(measured.filter("lot_number <> 'L-7' AND colname <> 'Gap_v2'"), 1)
+    assert {n: rows(opened[n], opened[n].columns) for n in before} == before
+    after = open_bundle(spark, bundle_dir)
+    assert rows(after["frame_item_stats"], ["lot_number", "colname", "total_count"]) \
+        == rows(A.frame_item_stats(measured), ["lot_number", "colname", "total_count"])
+    assert after["manifest"]["tables"]["piece_ng"]["rows"] == A.piece_ng(measured, BITS).count()
+    fails = measured.filter("lot_number <> 'L-7'").withColumn(
+        "is_ng", F.when(F.col("is_ng"), F.raise_error(F.lit("planted")).cast("boolean")).otherwise(F.col("is_ng")))
+    with pytest.raises(Exception, match="planted"):
+        refresh(fails, 2)
+    assert open_bundle(spark, bundle_dir)["manifest"] == after["manifest"]
+    refresh(measured.filter("lot_number <> 'L-7' AND colname <> 'Gap_v2'"), 1)  # replayed
+    again = open_bundle(spark, bundle_dir)
+    assert again["manifest"] != after["manifest"]
+    assert rows(again["piece_ng"], again["piece_ng"].columns) == rows(after["piece_ng"], after["piece_ng"].columns)
+    assert len(remove_old_batches(spark, bundle_dir)) == 1 and remove_old_batches(spark, bundle_dir) == []
+    assert rows(open_bundle(spark, bundle_dir)["lots"], ["lot_number"]) == [("0012",), ("L-7",)]
+
+
 def test_a_batch_reads_its_days_only(spark, tmp_path):
     judged_dir = str(tmp_path / "judged")
     refresh = grain_refresher(judged_dir, str(tmp_path / "bundle"), BITS, 4)
