@@ -1,7 +1,8 @@
-"""Connected components over written tables, and a join that spreads keys which many rows share."""
+"""Connected components (of a block in a task, of written tables), and a join that spreads keys which many rows share."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,18 @@ def spread_join(rows: DataFrame, key: str, table: DataFrame, on: str) -> DataFra
     return dealt.join(copied, (F.col(key) == F.col(on)) & (F.col("piece") == F.col("table_piece"))).drop("piece", "table_piece")
 
 
+def connected(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (a smaller or equal index of the same group each) after joining the groups of each i and j."""
+    while True:
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        apart = low != high
+        if not apart.any():
+            return label
+        np.minimum.at(label, high[apart], low[apart])
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of ``pairs`` (a, b) reaches.
 

@@ -13,13 +13,16 @@ text) are linked if their sets' Jaccard similarity is ``SIMILARITY`` or more.
   surviving below; the smallest fixed point at s = 0.8 and two branches is
   p = 0.9375, at any depth.  Runs are repeated until the pairs at exactly
   0.8 are found with ``RECALL`` (three runs: 0.9998); those above, with more.
-* *Splitting ends* with at most ``SMALL`` sets, which are brute-forced.  A larger
-  bucket of mostly near copies (tokens agree in ``DENSE`` of all pairs) would not fall apart
-  however often it is split: it is brute-forced at once, in blocks of ``SMALL`` by ``SMALL``.
-  So is what ``DEPTH`` splits have left.
+* *Splitting ends* with at most ``SMALL`` sets, which are brute-forced.  A split is kept only if it saves work,
+  that is, if the squares of the children's sizes add up to less than the parent's: in a bucket of mostly near copies they
+  do not (tokens agree in half of all pairs or more, and splitting would only multiply rows).  Such a bucket, and
+  what ``DEPTH`` splits have left, is brute-forced in blocks of ``SMALL`` by ``SMALL``.
 * *Brute force.*  Token agreement first (a pair at 0.8 shows less than
   ``LEAST_AGREEMENT`` with probability 1e-4), then the exact similarity on the whole
-  shingle sets.  Of a pair's first-level buckets that were not split, the first one
+  shingle sets: a set's common shingles with all others of its bucket are counted at once, from the lists of the sets that
+  hold each shingle.  Jaccard distance is a metric, so sets within half the allowed distance of one pivot are linked to each other
+  without being compared; buckets of near copies are taken apart by such pivots first.
+  Of a pair's first-level buckets that were not split, the first one
   compares it and no other bucket does; only pairs without such a bucket can be met twice.
 * *Links* are never rows: each bucket says per set how many partners it has found (their names,
   where a pair can be met twice) and which sets it connects.
@@ -28,7 +31,10 @@ text) are linked if their sets' Jaccard similarity is ``SIMILARITY`` or more.
 texts is one set.  Buckets move ids only; tokens (256 bytes) move for buckets
 with two sets or more; whole sets move for sets with a surviving candidate, once per
 bucket they are compared in, and only their texts are read again (a bitmap of fixed size
-keeps the others from being shuffled).  Candidates stay packed, a row per bucket.  No bucket is collected before its size is known.
+keeps the others from being shuffled).  Candidates stay packed, a row per bucket.  No bucket is collected before its
+size is known: sizes are a written table of the buckets of two sets or more, and rows meet it in a join that Spark can
+split where a bucket is large.  A near-copy group of n different texts that all agree is n / ``SMALL`` blocks, each met by each:
+its rows grow with n squared / ``SMALL`` (once n is beyond ``SMALL``).
 
 Defined results: texts without words are linked to nothing (their copies
 still form a class); a null text is empty; rows that share an id are documents of their
@@ -49,6 +55,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap, in_bitmap, materialised, spare_name, whole_text
+from .components import components, connected, spread_join
 from .words import blocks, find_words, mixed, window_hashes
 
 SHINGLE = 5
@@ -56,18 +63,14 @@ SIMILARITY = 0.8
 COORDINATES = 64
 BRANCHES = 2
 DEPTH = 8
-SMALL = 256
-#: Share of agreeing token pairs in a bucket from which on it is not split.
-DENSE = 0.5
-#: Tokens that density is judged by.
-PROBES = 4
+SMALL = 2048
 #: 64-bit words of the bitmap that tells which texts are read again.
 BITMAP_WORDS = 1 << 15
 RECALL = 0.999
 #: Share of common tokens under which a pair is not compared exactly.
 LEAST_AGREEMENT = 0.58
 
-TOKEN_SCHEMA = "doc_id bigint, digest binary, n_shingles int, tokens array<int>"
+TOKEN_SCHEMA = "doc_id bigint, digest binary, n_shingles int, tokens binary"
 
 
 def runs_for(recall: float = RECALL, similarity: float = SIMILARITY, branches: int = BRANCHES) -> int:
@@ -115,11 +118,9 @@ def _tokens(shingle: int, coordinates: int):
             texts = [t.encode() for t in batch.column(1).to_pylist()]
             for a, b in blocks(texts):
                 hashes, first = shingle_sets(texts[a:b], shingle)
-                tokens = min_tokens(hashes, first, coordinates).view(np.int32)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, (b - a + 1) * coordinates, coordinates, dtype=np.int32)), pa.array(tokens.ravel()))
+                tokens = [t.tobytes() for t in min_tokens(hashes, first, coordinates)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], batch.column(2)[a:b], pa.array(np.diff(first).astype(np.int32)), lists],
+                    [batch.column(0)[a:b], batch.column(2)[a:b], pa.array(np.diff(first).astype(np.int32)), pa.array(tokens, pa.binary())],
                     ["doc_id", "digest", "n_shingles", "tokens"])
     return read
 
@@ -148,34 +149,29 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     read = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"),
                        F.unhex(F.sha2(text, 256)).alias("digest"))
     rows = materialised(read.mapInArrow(_tokens(shingle, coordinates), TOKEN_SCHEMA), "min-tokens")
-    classes = rows.groupBy("digest").agg(F.min("doc_id").alias("class_doc"), F.count(F.lit(1)).alias("members"),
-                                         F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"))
+    # the text decides its tokens, so they may be keys as well: all buffers are plain numbers
+    classes = rows.groupBy("digest", "n_shingles", "tokens").agg(
+        F.min("doc_id").alias("class_doc"), F.count(F.lit(1)).alias("members"))
     return rows.select("doc_id", "digest"), classes
 
 
+def _token(at: Column | int) -> Column:
+    """Token of a coordinate: 4 of the packed bytes."""
+    return F.substring(F.col("tokens"), F.lit(4) * at + 1, F.lit(4))
+
+
 def _tokens_at(path: Column, branches: int, used: int, coordinates: int) -> Column:
     """Child paths of ``path``: each of ``branches`` different coordinates from ``used`` on, with the set's token."""
     free = coordinates - used
     first = F.pmod(F.xxhash64(path), F.lit(free))
     step = 1 + F.pmod(F.xxhash64(path, F.lit(1)), F.lit(free // branches - 1))
     places = [(F.lit(used) + F.pmod(first + step * j, F.lit(free))).cast("int") for j in range(branches)]
-    return F.array(*[F.xxhash64(path, c, F.get("tokens", c)) for c in places])
-
-
-def _sized(rows: DataFrame) -> DataFrame:
-    """``rows`` (digest, root, path) of buckets with two sets or more, with the bucket's size."""
-    sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return rows.join(sizes, "path")
+    return F.array(*[F.xxhash64(path, c, _token(c)) for c in places])
 
 
-def _dense(large: DataFrame, sets: DataFrame, probes: list[int]) -> DataFrame:
-    """Paths of large buckets whose sets' tokens at ``probes`` agree in a share ``DENSE`` of all pairs."""
-    probe = F.array(*[F.struct(F.lit(c).alias("at"), F.get("tokens", F.lit(c)).alias("token")) for c in probes])
-    shared = (large.join(sets.select("digest", probe.alias("probe")), "digest")
-              .select("path", "size", F.explode("probe").alias("p"))
-              .groupBy("path", "size", "p.at", "p.token").agg(F.count(F.lit(1)).cast("double").alias("n")))
-    return (shared.groupBy("path", "size").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
-            .filter(F.col("pairs") >= F.lit(DENSE * len(probes)) * F.col("size") * F.col("size")).select("path"))
+def _sizes(level: DataFrame) -> DataFrame:
+    """path, parent, size of the buckets of a level, written out."""
+    return materialised(level.groupBy("path", "parent").agg(F.count(F.lit(1)).alias("size")), "bucket-sizes")
 
 
 def chosen_path_buckets(classes: DataFrame, runs: int, branches: int = BRANCHES, depth: int = DEPTH,
@@ -187,28 +183,37 @@ def chosen_path_buckets(classes: DataFrame, runs: int, branches: int = BRANCHES,
     """
     sets = classes.filter("n_shingles > 0")
     roots = runs * branches
-    first = F.array(*[F.struct(F.lit(j).alias("root"), F.xxhash64(F.lit(j), F.get("tokens", F.lit(j))).alias("path"))
+    first = F.array(*[F.struct(F.lit(j).alias("root"), F.xxhash64(F.lit(j), _token(F.lit(j))).alias("path"))
                       for j in range(roots)])
-    level = sets.select("digest", F.explode(first).alias("r")).select("digest", "r.root", "r.path")
-    probes = list(range(roots, coordinates, max(1, (coordinates - roots) // PROBES)))[:PROBES]
-    done, opened = [], None
-    for d in range(depth):
-        sized = materialised(_sized(level), f"paths-{d}")
+    level = sets.select("digest", F.explode(first).alias("r")).select(
+        "digest", "r.root", "r.path", F.lit(None).cast("long").alias("parent"))
+    sizes, done, opened, d = _sizes(level), [], None, 0
+    while True:
+        sized = level.drop("parent").join(sizes.filter("size > 1").select("path", "size"), "path")
         done.append(sized.filter(F.col("size") <= small)
                     .select("path", "root", "digest", F.lit(0).alias("side"), F.lit(True).alias("alone")))
-        large = sized.filter(F.col("size") > small)
-        last = d + 1 == depth
-        if large.isEmpty():
+        if sizes.filter(F.col("size") > small).isEmpty():
+            break
+        large = materialised(sized.filter(F.col("size") > small), f"large-{d}")
+        d += 1
+        if d == depth:
+            done.append(_block_pairs(large, small))
             break
-        dense = materialised(large.select("path").distinct() if last else _dense(large, sets, probes), f"dense-{d}")
-        done.append(_block_pairs(large.join(dense, "path", "left_semi"), small))
-        rest = large.join(dense, "path", "left_anti")
-        if d == 0:
-            opened = rest.groupBy("digest").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("open"))
-        if not last:
-            level = (rest.join(sets.select("digest", "tokens"), "digest")
-                     .select("digest", "root", F.explode(_tokens_at(F.col("path"), branches, roots, coordinates))
-                             .alias("path")))
+        below = (large.join(sets.select("digest", "tokens"), "digest")
+                 .select("digest", "root", F.col("path").alias("parent"),
+                         F.explode(_tokens_at(F.col("path"), branches, roots, coordinates)).alias("path")))
+        children = _sizes(below)
+        # the children hold ``branches`` rows for each set of their parent
+        futile = materialised(children.groupBy("parent").agg(
+            F.sum(F.col("size").cast("double") * F.col("size")).alias("work"), (F.sum("size") / branches).alias("sets"))
+            .filter("work >= sets * sets").select(F.col("parent").alias("whole")), f"futile-{d}")
+        whole = large.join(futile, F.col("path") == F.col("whole"), "left_semi")
+        done.append(_block_pairs(whole, small))
+        if d == 1:
+            split = large.join(futile, F.col("path") == F.col("whole"), "left_anti")
+            opened = split.groupBy("digest").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("open"))
+        level = below.join(futile, F.col("parent") == F.col("whole"), "left_anti")
+        sizes = children.join(futile, F.col("parent") == F.col("whole"), "left_anti")
     if opened is None:
         opened = sets.select("digest", F.lit(0).cast("long").alias("open")).limit(0)
     return reduce(DataFrame.unionByName, done), opened
@@ -226,39 +231,110 @@ def _block_pairs(large: DataFrame, small: int) -> DataFrame:
                     (F.col("p.low") == F.col("p.high")).alias("alone")))
 
 
+def _agreeing(tokens: np.ndarray, sides: np.ndarray, opened: np.ndarray, root: int, alone: bool, least: float,
+              roots: int) -> np.ndarray:
+    """Pairs (i < j) of a bucket's sets with enough common tokens that no earlier bucket compares."""
+    found = []
+    for i in range(len(tokens) - 1):
+        others = np.arange(i + 1, len(tokens)) if alone else i + 1 + np.flatnonzero(sides[i + 1:] != sides[i])
+        # half of the tokens sieve out most of the others
+        half = tokens.shape[1] // 2
+        agree = (tokens[others, :half] == tokens[i, :half]).sum(axis=1)
+        some = np.flatnonzero(agree + (tokens.shape[1] - half) >= least * tokens.shape[1])
+        some = some[agree[some] >= (least - 0.3) * half]
+        others, agree = others[some], agree[some]
+        agree = agree + (tokens[others, half:] == tokens[i, half:]).sum(axis=1)
+        others = others[agree >= least * tokens.shape[1]]
+        for other in range(roots) if opened[i] >> root & 1 else range(root):
+            if len(others) and not opened[i] >> other & 1:
+                others = others[tokens[others, other] != tokens[i, other]]
+        if len(others):
+            found.append(np.stack([np.full(len(others), i), others], axis=1))
+    return np.concatenate(found).astype(np.int32) if found else np.zeros((0, 2), dtype=np.int32)
+
+
 def _candidates(least: float, roots: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths, members, pairs, again = [], [], [], []
-            for path, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = np.array([r["tokens"] for r in rows], dtype=np.int32)
-                sides = np.array([r["side"] for r in rows])
-                opened = np.array([r["open"] for r in rows])
-                root, alone = rows[0]["root"], rows[0]["alone"]
-                found = []
-                for i in range(len(rows) - 1):
-                    same = tokens[i + 1:] == tokens[i]
-                    near = same.mean(axis=1) >= least
-                    if not alone:
-                        near &= sides[i + 1:] != sides[i]
-                    for other in range(roots) if opened[i] >> root & 1 else range(root):
-                        if not opened[i] >> other & 1:
-                            near &= ~same[:, other]
-                    found += [(i, i + 1 + int(j)) for j in np.flatnonzero(near)]
-                if found:
-                    used = sorted({k for p in found for k in p})
-                    place = {k: n for n, k in enumerate(used)}
+            for path, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = pa.RecordBatch.from_struct_array(rows.values)
+                digests = rows.column(rows.schema.get_field_index("digest")).to_pylist()
+                packed = rows.column(rows.schema.get_field_index("tokens")).to_pylist()
+                tokens = np.frombuffer(b"".join(packed), dtype=np.uint32).reshape(len(packed), -1)
+                sides, opened, root, alone = (rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+                                              for c in ("side", "open", "root", "alone"))
+                found = _agreeing(tokens, sides, opened, int(root[0]), bool(alone[0]), least, roots)
+                if len(found):
+                    used = np.unique(found)
                     paths.append(path)
-                    members.append([rows[k]["digest"] for k in used])
-                    pairs.append([{"a": place[a], "b": place[b]} for a, b in found])
-                    again.append(bool(opened[0] >> root & 1))
+                    members.append([digests[k] for k in used])
+                    pairs.append(np.searchsorted(used, found).astype("<i4").tobytes())
+                    again.append(bool(int(opened[0]) >> int(root[0]) & 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(paths, pa.int64()), pa.array(members, pa.list_(pa.binary())),
-                 pa.array(pairs, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(again, pa.bool_())],
-                ["path", "members", "pairs", "again"])
+                [pa.array(paths, pa.int64()), pa.array(members, pa.list_(pa.binary())), pa.array(pairs, pa.binary()),
+                 pa.array(again, pa.bool_())], ["path", "members", "pairs", "again"])
     return read
 
 
+class _Holders:
+    """The sets of a bucket by shingle: common shingles of one set with all others at once."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(x) for x in sets])
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)])
+        _, self.place = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(self.place, kind="stable")
+        self.holder = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.counts = np.bincount(self.place)
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def similarity(self, k: int) -> np.ndarray:
+        """Jaccard similarity of set k with every set."""
+        n, shared = len(self.sizes), None
+        own = self.place[self.first[k]:self.first[k + 1]]
+        for a in range(0, len(own), 4096):  # what is gathered at once is bounded
+            mine = own[a:a + 4096]
+            counts = self.counts[mine]
+            ends = np.cumsum(counts)
+            at = np.repeat(self.starts[mine] - (ends - counts), counts) + np.arange(ends[-1])
+            found = np.bincount(self.holder[at], minlength=n)
+            shared = found if shared is None else shared + found
+        return shared / (self.sizes[k] + self.sizes - shared)
+
+
+def linked_pairs(sets: list[np.ndarray], pairs: np.ndarray, similarity: float) -> np.ndarray:
+    """Those of ``pairs`` (i, j) of sorted sets whose similarity is ``similarity`` or more, compared exactly."""
+    if not len(pairs):
+        return pairs
+    least, half = similarity - 1e-12, 1 - (1 - similarity) / 2 + 1e-9
+    if len(pairs) <= 4 * len(sets):  # few of all: one by one
+        shared = np.array([_common(sets[i], sets[j]) for i, j in pairs])
+        sizes = np.array([len(x) for x in sets])
+        return pairs[shared >= least * (sizes[pairs[:, 0]] + sizes[pairs[:, 1]] - shared)]
+    holders, linked = _Holders(sets), []
+    while len(pairs):
+        # the set of the most pairs: its own pairs are decided, and many of those between others
+        pivot = np.bincount(pairs.ravel(), minlength=len(sets)).argmax()
+        near = holders.similarity(pivot)
+        own = (pairs == pivot).any(axis=1)
+        other = pairs[own].sum(axis=1) - pivot
+        linked.append(pairs[own][near[other] >= least])
+        # both close to the pivot: linked; one further from it than the other by more than a link allows: not linked
+        inside = ~own & (near >= half)[pairs].all(axis=1)
+        apart = np.abs(near[pairs[:, 0]] - near[pairs[:, 1]]) > 1 - similarity + 1e-9
+        linked.append(pairs[inside])
+        decided = inside.sum() + (apart & ~own).sum()
+        pairs = pairs[~own & ~inside & ~apart]
+        if decided < len(sets):  # no longer worth a pass over all pairs
+            break
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(pairs[:, 0])) + 1, [len(pairs)]]) if len(pairs) else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        linked.append(pairs[a:b][holders.similarity(pairs[a, 0])[pairs[a:b, 1]] >= least])
+    return np.concatenate(linked)
+
+
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     """Members that two sorted sets share."""
     if len(x) > len(y):
@@ -274,24 +350,21 @@ def _verified(similarity: float):
             for k in range(batch.num_rows):
                 members, again = batch.column(0)[k].as_py(), batch.column(2)[k].as_py()
                 sets = [x.values.to_numpy() for x in batch.column(3)[k]]
-                linked: list[list[int]] = [[] for _ in members]
-                for p in batch.column(1)[k].as_py():
-                    x, y = sets[p["a"]], sets[p["b"]]
-                    shared = _common(x, y)
-                    if shared >= (similarity - 1e-12) * (len(x) + len(y) - shared):
-                        linked[p["a"]].append(p["b"])
-                        linked[p["b"]].append(p["a"])
-                label: dict[int, int] = {}
-                for first in sorted(range(len(members)), key=members.__getitem__):
-                    todo = [first] if linked[first] and first not in label else []
-                    while todo:
-                        at = todo.pop()
-                        if at not in label:
-                            label[at] = first
-                            todo += linked[at]
-                names = [int.from_bytes(m[:8], "big", signed=True) for m in members] if again else []
-                out += [(members[at], members[first], 0 if again else len(linked[at]),
-                         [names[j] for j in linked[at]] if again else []) for at, first in label.items()]
+                pairs = np.frombuffer(batch.column(1)[k].as_py(), dtype="<i4").reshape(-1, 2).astype(np.int64)
+                linked = linked_pairs(sets, pairs, similarity)
+                # labels by name, so that the smallest digest names a group
+                rank = np.argsort(np.argsort(np.array(members, dtype="S32")))
+                by_rank = np.argsort(rank)
+                label = by_rank[connected(np.arange(len(members)), rank[linked[:, 0]], rank[linked[:, 1]])[rank]]
+                counts = np.bincount(linked.ravel(), minlength=len(members))
+                names: list[list[int]] = [[] for _ in members]
+                if again:
+                    hashed = [int.from_bytes(m[:8], "big", signed=True) for m in members]
+                    for i, j in linked.tolist():
+                        names[i].append(hashed[j])
+                        names[j].append(hashed[i])
+                out += [(members[at], members[label[at]], 0 if again else int(counts[at]), names[at])
+                        for at in np.flatnonzero(counts)]
             columns = list(zip(*out, strict=True)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64())), strict=True)],
@@ -314,7 +387,7 @@ def jaccard_partners(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id"
                    F.coalesce("open", F.lit(0).cast("long")).alias("open"))).alias("rows")))
     candidates = materialised(buckets.mapInArrow(
         _candidates(least_agreement, runs * BRANCHES),
-        "path bigint, members array<binary>, pairs array<struct<a int, b int>>, again boolean"), "candidates")
+        "path bigint, members array<binary>, pairs binary, again boolean"), "candidates")
     # whole shingle sets of the classes that have a candidate, each once per bucket it is compared in
     needed = candidates.select("path", F.posexplode("members").alias("at", "digest"))
     text = whole_text(text_col)
@@ -334,28 +407,6 @@ def jaccard_partners(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id"
         _verified(similarity), "digest binary, label binary, partners bigint, others array<bigint>")
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """(digest, root): the smallest digest that each digest of ``pairs`` (a, b) reaches.
-
-    Labels fall to the smallest of the neighbours' and then to their label's
-    own label, until nothing changes; each round is written out.
-    """
-    edges = materialised(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), "edges")
-    labels = materialised(edges.groupBy("a").agg(F.min("b").alias("low"))
-                          .select(F.col("a").alias("node"), F.least("a", "low").alias("label")), "labels")
-    while True:
-        beside = (edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("low")))
-        lower = (labels.join(beside, labels["node"] == beside["a"])
-                 .select("node", F.col("label").alias("was"), F.least("label", "low").alias("label")))
-        above = lower.select(F.col("node").alias("up"), F.col("label").alias("up_label"))
-        jumped = (lower.join(above, lower["label"] == above["up"])
-                  .select("node", "was", F.least("label", "up_label").alias("label")))
-        written = materialised(jumped, "labels")
-        labels = written.select("node", "label")
-        if written.filter("label != was").isEmpty():
-            return labels.select(F.col("node").alias("digest"), F.col("label").alias("root"))
-
-
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                            **options) -> tuple[DataFrame, DataFrame]:
     """Members (doc_id, digest), and per class: digest, class_doc, members, n_links, class_id, first_digest.
@@ -368,14 +419,16 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     links = materialised(jaccard_partners(docs, classes, id_col, text_col, **options), "links")
     degrees = links.groupBy("digest").agg(
         (F.sum("partners") + F.size(F.array_distinct(F.flatten(F.collect_list("others"))))).alias("n_links"))
-    connected = links.filter("digest != label").select(F.col("digest").alias("a"), F.col("label").alias("b"))
+    linked = links.filter("digest != label").select(F.col("digest").alias("a"), F.col("label").alias("b"))
     named = (classes.select("digest", "class_doc", "members").join(degrees, "digest", "left")
-             .join(components(connected), "digest", "left")
+             .join(components(linked).withColumnRenamed("node", "digest"), "digest", "left")
              .select("digest", "class_doc", "members", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
                      F.coalesce("root", "digest").alias("root")))
+    named = materialised(named, "named-classes")
     groups = named.groupBy("root").agg(
         F.min(F.struct(F.col("class_doc").isNull().alias("nameless"), "class_doc", "digest")).alias("first"))
-    return members, named.join(groups, "root").select(
+    groups = groups.withColumnRenamed("root", "group_root")
+    return members, spread_join(named, "root", groups, "group_root").select(
         "digest", "class_doc", "members", "n_links", F.col("first.class_doc").alias("class_id"),
         F.col("first.digest").alias("first_digest"))
 

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialised, partitions_for
-from .components import components
+from .components import components, connected, spread_join
 
 SIMILARITY = 0.93
 BLOCKS = 8
@@ -243,18 +243,6 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def connected(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Labels (a smaller or equal index of the same group each) after joining the groups of each i and j."""
-    while True:
-        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
-        apart = low != high
-        if not apart.any():
-            return label
-        np.minimum.at(label, high[apart], low[apart])
-        while (label[label] != label).any():
-            label = label[label]
-
-
 def cell_links(codes: np.ndarray, radius: np.ndarray, total: np.ndarray, kind: np.ndarray, names: np.ndarray,
                side: np.ndarray | None, block: int, blocks: int, apart: float, step: int = 512):
     """Links of a cell's rows: partners and label by row, and the pairs that distance cannot decide.
@@ -409,8 +397,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                .join(roots, F.col("ball") == F.col("node"), "left")
                .select("ball", "low", F.coalesce("root", "ball").alias("root"),
                        (F.col("total") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links")))
-    named = of_ball.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_class = (members.join(of_ball.join(named, "root").select("ball", "n_links", "component_id"), "ball")
+    of_ball = materialised(of_ball, "linked-balls")
+    named = of_ball.groupBy(F.col("root").alias("of_root")).agg(F.min("low").alias("component_id"))
+    of_ball = spread_join(of_ball, "root", named, "of_root").select("ball", "n_links", "component_id")
+    of_class = (members.join(of_ball, "ball")
                 .join(checked.groupBy("digest").agg(F.sum("partners").alias("more")), "digest", "left")
                 .select(F.col("digest").alias("class"), (F.col("n_links") + F.coalesce("more", F.lit(0))).alias("n_links"),
                         "component_id", "members"))

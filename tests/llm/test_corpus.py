@@ -7,9 +7,12 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +95,32 @@ def test_jaccard_join_finds_all(spark, small, depth):
     assert tuples(got, *NEAR) == brute_near(rows)
 
 
+@pytest.mark.parametrize("edits,n", [(1, 300), (6, 200), (15, 200)])
+def test_linked_pairs_against_all(edits, n):
+    """Pivots decide what the triangle inequality allows, and nothing else."""
+    rng = random.Random(edits)
+    texts = near_copies(rng, prose(rng, 120), n, edits) + near_copies(rng, prose(rng, 60), 40, 3) + [prose(rng, 30) for _ in range(20)]
+    sets = [np.unique(np.array([hash(x) for x in shingles(t)], dtype=np.int64)) for t in texts]
+    pairs = np.array([(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if rng.random() < 0.7])
+    want = [(i, j) for i, j in pairs.tolist()
+            if (c := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - c) - 1e-9]
+    for some in (pairs, pairs[:50]):
+        got, asked = jaccard_join.linked_pairs(sets, some, 0.8), set(map(tuple, some.tolist()))
+        assert sorted(map(tuple, got.tolist())) == sorted(p for p in want if p in asked)
+
+
+def test_rows_of_a_near_copy_group(spark):
+    """Rows that buckets hold for a group of near copies grow with the group, not with its pairs, while it fits one bucket."""
+    rng = random.Random(2)
+    text, held = prose(rng, 150), {}
+    for n in (300, 600, 1200):
+        docs = doc_frame(spark, list(enumerate(near_copies(rng, text, n, 1))))
+        _, classes = jaccard_join.text_classes(docs)
+        members, _ = jaccard_join.chosen_path_buckets(classes, 3)
+        held[n] = members.count() / classes.count()
+    assert held[1200] <= 1.1 * held[300] <= 6.6
+
+
 def test_one_of_each(awkward_docs, awkward, no_docs):
     kept = jaccard_join.one_of_each(awkward_docs)
     assert kept.columns == awkward_docs.columns
@@ -159,6 +188,40 @@ def test_archives_round_trip(spark):
     assert data.count(b"WARC-Profile: " + warc.PROFILE.encode()) == 4
 
 
+def test_archives_are_bounded_in_bytes(spark):
+    """Small records come together by number, large ones by bytes; a page beyond an archive is one of its own."""
+    rng = random.Random(6)
+    pages = [(k, "u", "x" * (rng.choice((10, 300, 2500, 9000)) + k)) for k in range(120)] + [(500, "u", "y" * 100_000), (501, "u", None)]
+    path = scratch_path(spark, "warc-test")
+    warc.write_archives(warc.page_records(page_frame(spark, pages).coalesce(1)), path, per_archive=64, archive_bytes=1 << 15)
+    local, held = path.removeprefix("file:"), []
+    for f in os.listdir(local):
+        if f.endswith(".gz"):
+            data = gzip.open(os.path.join(local, f)).read()
+            held.append((data.count(b"WARC-Record-ID"), data.count(b"x") + data.count(b"y")))
+    assert sum(n for n, _ in held) == len(pages) and max(n for n, _ in held) > 30
+    assert all(size <= 1 << 15 for n, size in held if n > 1) and max(held, key=lambda h: h[1])[0] == 1
+    assert tuples(warc.read_archives(spark, path, payloads=True), "page_id", "payload") == ordered((p, h or "") for p, _, h in pages)
+    assert [n for n, _ in warc.size_classes()] == [10_000, 1250, 156, 19, 2, 1]
+
+
+def test_archives_are_read_record_by_record():
+    """An archive of 200 MB of pages needs the memory of one record."""
+    body = b"HTTP/1.1 200 OK\r\n\r\n" + b"z" * (10 << 20)
+    digest = base64.b32encode(hashlib.sha1(b"z" * (10 << 20)).digest())
+    record = (b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Payload-Digest: sha1:" + digest
+              + b"\r\nX-Payload-SHA256: 0\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n")
+    packer = zlib.compressobj(1, wbits=31)
+    packed = b"".join([*(packer.compress(record) for _ in range(20)), packer.flush()])
+    tracemalloc.start()
+    try:
+        sizes = [row[4] for row in warc._records(pa.py_buffer(packed), True)]
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert sizes == [10 << 20] * 20 and peak < 80 << 20
+
+
 # mixing
 
 def brute_targets(sizes, cap=3):
