@@ -269,8 +269,8 @@ FROM placed GROUP BY colname, bin_index IS NULL""", extra_ctes=histogram_ctes(60
 def histogram_bounds_join_q(spark, sf_dir):
     """JN1: detail joined to the bounds; in/out-of-range rows per item."""
     j = judged_events(spark, sf_dir)
-    b = A.item_bounds(j).select("colname", "plot_min", "plot_max")
-    x = j.filter("is_judgement_target").join(b, "colname")
+    b = A.checked_bounds(A.item_bounds(j)).select("colname", "plot_min", "plot_max")
+    x = j.filter("is_judgement_target").join(F.broadcast(b), "colname")
     x = x.withColumn("out_of_range", floor_bin(F.col("value"), F.col("plot_min"), F.col("plot_max"), 60).isNull())
     return x.groupBy("colname", "out_of_range").agg(F.count(F.lit(1)).alias("rows"))
 

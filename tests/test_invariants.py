@@ -229,6 +229,17 @@ def test_more_items_than_bits(spark):
         V.item_attributes(A.frame_item_stats(j), tuple(names))
 
 
+def test_item_bounds_are_checked_before_they_are_broadcast(spark, monkeypatch):
+    from lotlens.operators import aggregates
+    rows = [raw_row("L1", T0, 1, 1, 1, 1.0, f"i{k}_v1", 0.0, 4.0, None) for k in range(5)]
+    j = spark.createDataFrame(rows, RAW_SCHEMA).transform(standardize).transform(judge)
+    assert A.lot_item_histogram(j, 4).count() == 5
+    assert sorted(map(tuple, A.item_bounds_of(A.frame_item_stats(j)).collect())) == sorted(map(tuple, A.item_bounds(j).collect()))
+    monkeypatch.setattr(aggregates, "MAX_ITEMS", 4)
+    with pytest.raises(Exception, match="more than 4 items"):
+        A.lot_item_histogram(j, 4).collect()
+
+
 def test_unknown_item_stops_the_melt(spark):
     from lotlens.contracts import ItemSpec
     from lotlens.sources.raw import attach_items, clean_values
