@@ -9,6 +9,23 @@ Stages, each on all that the one before kept, with a written table between them:
 5. ``sharding``         a shard and a gapless slot for every copy
 
 All but the last return the columns of ``documents``.
+
+What each stage does with awkward rows (further columns, whatever their names, are kept and not looked at):
+
+* ``quality``: a null text scores as the empty one (all statistics 0); a null label is none; an id with several
+  labels counts by their mean; equal texts get equal scores, and a score of just the cut is kept; rows that
+  repeat stay as often as they are; no labels, or labels of one class, make one score for all; no documents stay none.
+* ``near_duplicates``: null and empty texts are one group of copies; texts without words are linked to nothing else; the
+  smallest id of a group stays (null ids last, the smaller digest of the text on ties); of rows that repeat an id and
+  a text one stays; a text of fewer than five words is one shingle; no documents stay none.
+* ``decontamination``: null and empty texts hold nothing and stay; each row is judged by its own text, so rows
+  that share an id with a contaminated one stay, and rows that repeat one go with it; empty items match nothing; without
+  documents or items nothing goes.
+* ``mixing``: a null text has size 0; a null source is one of its own, the last; rows of one id and text draw
+  alike, other rows of that id draw by themselves; sources that tie get targets by their order; sources
+  of size 0 are not taken; no documents make no mix.
+* ``sharding``: a null text has no bytes (and the CRC of none); rows without id share a shard; equal rows get slots one after
+  the other; very long texts count by their bytes like any other; no documents have no shards.
 """
 
 from __future__ import annotations
