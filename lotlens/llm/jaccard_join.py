@@ -66,6 +66,10 @@ DEPTH = 8
 SMALL = 2048
 #: 64-bit words of the bitmap that tells which texts are read again.
 BITMAP_WORDS = 1 << 15
+#: Bytes of texts that are made into shingles at a time (some fifty times as many of memory).
+BLOCK_BYTES = 1 << 20
+#: Places that are gathered at once when common shingles are counted.
+GATHERED = 1 << 20
 RECALL = 0.999
 #: Share of common tokens under which a pair is not compared exactly.
 LEAST_AGREEMENT = 0.58
@@ -116,7 +120,7 @@ def _tokens(shingle: int, coordinates: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.encode() for t in batch.column(1).to_pylist()]
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, BLOCK_BYTES):
                 hashes, first = shingle_sets(texts[a:b], shingle)
                 tokens = [t.tobytes() for t in min_tokens(hashes, first, coordinates)]
                 yield pa.RecordBatch.from_arrays(
@@ -129,7 +133,7 @@ def _sets(shingle: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.encode() for t in batch.column(1).to_pylist()]
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, BLOCK_BYTES):
                 hashes, first = shingle_sets(texts[a:b], shingle)
                 found = [np.unique(hashes[first[k]:first[k + 1]].view(np.int64)) for k in range(b - a)]
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
@@ -169,6 +173,13 @@ def _tokens_at(path: Column, branches: int, used: int, coordinates: int) -> Colu
     return F.array(*[F.xxhash64(path, c, _token(c)) for c in places])
 
 
+def _among(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` (a bigint) may be a ``hash`` of ``wanted``: a bitmap of fixed size keeps most others from being shuffled."""
+    cells = bitmap(wanted, BITMAP_WORDS).scalar()
+    return (rows.withColumn("cells", cells).withColumn("key_hash", key)
+            .filter(in_bitmap("cells", "key_hash", BITMAP_WORDS)).drop("cells", "key_hash"))
+
+
 def _sizes(level: DataFrame) -> DataFrame:
     """path, parent, size of the buckets of a level, written out."""
     return materialised(level.groupBy("path", "parent").agg(F.count(F.lit(1)).alias("size")), "bucket-sizes")
@@ -189,17 +200,20 @@ def chosen_path_buckets(classes: DataFrame, runs: int, branches: int = BRANCHES,
         "digest", "r.root", "r.path", F.lit(None).cast("long").alias("parent"))
     sizes, done, opened, d = _sizes(level), [], None, 0
     while True:
-        sized = level.drop("parent").join(sizes.filter("size > 1").select("path", "size"), "path")
+        shared = sizes.filter("size > 1").select("path", "size")
+        sized = materialised(_among(level.drop("parent"), F.col("path"), shared.select(F.col("path").alias("hash")))
+                             .join(shared, "path"), f"paths-{d}")
         done.append(sized.filter(F.col("size") <= small)
                     .select("path", "root", "digest", F.lit(0).alias("side"), F.lit(True).alias("alone")))
         if sizes.filter(F.col("size") > small).isEmpty():
             break
-        large = materialised(sized.filter(F.col("size") > small), f"large-{d}")
+        large = sized.filter(F.col("size") > small)
         d += 1
         if d == depth:
             done.append(_block_pairs(large, small))
             break
-        below = (large.join(sets.select("digest", "tokens"), "digest")
+        below = (large.join(_among(sets.select("digest", "tokens"), F.xxhash64("digest"),
+                                   large.select(F.xxhash64("digest").alias("hash"))), "digest")
                  .select("digest", "root", F.col("path").alias("parent"),
                          F.explode(_tokens_at(F.col("path"), branches, roots, coordinates)).alias("path")))
         children = _sizes(below)
@@ -293,8 +307,9 @@ class _Holders:
         """Jaccard similarity of set k with every set."""
         n, shared = len(self.sizes), None
         own = self.place[self.first[k]:self.first[k + 1]]
-        for a in range(0, len(own), 4096):  # what is gathered at once is bounded
-            mine = own[a:a + 4096]
+        step = max(1, GATHERED // n)  # no shingle has more holders than there are sets
+        for a in range(0, len(own), step):
+            mine = own[a:a + step]
             counts = self.counts[mine]
             ends = np.cumsum(counts)
             at = np.repeat(self.starts[mine] - (ends - counts), counts) + np.arange(ends[-1])
@@ -380,7 +395,7 @@ def jaccard_partners(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id"
     partners (links that no other bucket finds), others (hashes of those that another may find too)."""
     runs = runs_for(recall, similarity)
     members, opened = chosen_path_buckets(classes, runs, BRANCHES, depth, small, coordinates)
-    sets = classes.select("digest", "tokens")
+    sets = _among(classes.select("digest", "tokens"), F.xxhash64("digest"), members.select(F.xxhash64("digest").alias("hash")))
     buckets = (members.join(sets, "digest").join(opened, "digest", "left")
                .groupBy("path").agg(F.collect_list(F.struct(
                    "digest", "tokens", "root", "side", "alone",
@@ -393,10 +408,8 @@ def jaccard_partners(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id"
     text = whole_text(text_col)
     one_each = materialised(needed.select("digest").distinct()
                             .join(classes.select("digest", "class_doc"), "digest"), "needed")
-    cells = bitmap(one_each.select(F.xxhash64("digest").alias("hash")), BITMAP_WORDS).scalar()
-    texts = docs.select(F.unhex(F.sha2(text, 256)).alias("text_digest"), F.col(id_col).cast("bigint").alias("id"),
-                        text.alias("text")).withColumn("cells", cells)
-    texts = texts.withColumn("hash", F.xxhash64("text_digest")).filter(in_bitmap("cells", "hash", BITMAP_WORDS))
+    texts = _among(docs.select(F.unhex(F.sha2(text, 256)).alias("text_digest"), F.col(id_col).cast("bigint").alias("id"),
+                               text.alias("text")), F.xxhash64("text_digest"), one_each.select(F.xxhash64("digest").alias("hash")))
     chosen = (texts.select("text_digest", "id", "text")
               .join(one_each, (F.col("text_digest") == one_each["digest"]) & F.col("id").eqNullSafe(one_each["class_doc"]))
               .select("text_digest", "text"))
