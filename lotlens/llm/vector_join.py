@@ -404,8 +404,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 .join(checked.groupBy("digest").agg(F.sum("partners").alias("more")), "digest", "left")
                 .select(F.col("digest").alias("class"), (F.col("n_links") + F.coalesce("more", F.lit(0))).alias("n_links"),
                         "component_id", "members"))
-    joined = read.select("vec_id", "digest").join(of_class, F.col("digest") == F.col("class"), "left")
-    component = F.when(F.col("class").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"),
-                         F.col("vec_id").eqNullSafe(component).alias("kept"),
-                         F.coalesce("members", F.lit(1).cast("long")).alias("n_copies"))
+    usable = read.filter("digest is not null").select("vec_id", "digest")
+    linked = spread_join(usable, "digest", materialised(of_class, "vector-classes"), "class").select(
+        "vec_id", "n_links", "component_id", F.col("members").alias("n_copies"))
+    alone = read.filter("digest is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
+                                                 F.lit(1).cast("long").alias("n_copies"))
+    return linked.unionByName(alone).select("vec_id", "n_links", "component_id",
+                                            F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_copies")
