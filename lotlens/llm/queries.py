@@ -177,4 +177,97 @@ JOIN (SELECT coalesce(text, '') AS content, max(doc_id) AS keep_id, count(*) AS
       FROM documents GROUP BY 1) g ON coalesce(d.text, '') = g.content
 """
 
-ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op6_decontaminate": OP6_SQL, "op7_warc_revisits": OP7_SQL, "op8_mix_sources": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+OP11_SQL = """
+WITH RECURSIVE able AS (
+  SELECT vec_id, label, embedding, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM able a JOIN able b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+copies AS (SELECT label, v, count(*) AS n FROM able GROUP BY label, v)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE x = e.vec_id) AS n_links,
+       (SELECT min(y) FROM reach WHERE x = e.vec_id) AS component_id,
+       e.vec_id = (SELECT min(y) FROM reach WHERE x = e.vec_id) AS kept, coalesce(c.n, 1) AS n_copies
+FROM embeddings e LEFT JOIN able a USING (vec_id) LEFT JOIN copies c ON a.label = c.label AND a.v = c.v
+"""
+
+# rank is a double here: a nullable bigint of Spark is one too once it is a pandas column
+OP12_SQL = r"""
+WITH crc_table AS (
+  SELECT list(c ORDER BY i) AS entries FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)),
+                          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) t(i))),
+texts AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+bags AS (
+  SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+grams AS (
+  SELECT side, id, array_to_string(words[i : i + n - 1], ' ') AS gram
+  FROM (SELECT side, id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM bags, range(1, 4) t(n) WHERE len(words) >= n)),
+hashed AS MATERIALIZED (
+  SELECT gram, xor(list_reduce(list_prepend(4294967295, bytes),
+                               lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT gram, entries, list_transform(range(1, octet_length(encode(gram)) + 1),
+                                             lambda i: ('0x' || substr(hex(encode(gram)), 2 * i - 1, 2))::BIGINT) AS bytes
+        FROM (SELECT DISTINCT gram FROM grams), crc_table)),
+features AS (SELECT side, id, bucket, count(*) AS n FROM grams JOIN hashed USING (gram) GROUP BY side, id, bucket),
+counts AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t FROM features GROUP BY bucket),
+totals AS (SELECT sum(s)::DOUBLE AS all_s, sum(t)::DOUBLE AS all_t FROM counts),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t::DOUBLE + 1) * (all_s + 10000) / ((s::DOUBLE + 1) * (all_t + 10000))))::BIGINT AS gain
+  FROM counts, totals),
+weights AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM features JOIN gains USING (bucket) WHERE side = 'd' GROUP BY id),
+scored AS (
+  SELECT id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(words) >= 20 AS able,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM bags LEFT JOIN weights USING (id) WHERE side = 'd'),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 5 * count(*) OVER () // 100 AS most FROM scored WHERE able)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= most THEN place END::DOUBLE AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
+def _op13_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    """K-means round by round: a table of codebooks and one of nearest entries for each."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""assigned{k} AS MATERIALIZED (
+  SELECT vec_id, p, arg_min(e, [d, e]) AS e, min(d) AS d FROM (
+    SELECT v.vec_id, v.p, b.e, list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts v JOIN books{k} b USING (p)) GROUP BY vec_id, p)""")
+        if k < rounds:
+            steps.append(f"""books{k + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM books{k} b LEFT JOIN (
+    SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS x FROM (
+      SELECT p, e, j, sum(v.x[j])::BIGINT AS s, count(*) AS n
+      FROM parts v JOIN assigned{k} USING (vec_id, p), range(1, len(v.x) + 1) t(j) GROUP BY p, e, j) GROUP BY p, e) m
+  ON m.p = b.p AND m.e = b.e)""")
+    return f"""
+WITH able AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: floor(4096 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, p, x[p * (len(x) // {parts}) + 1 : (p + 1) * (len(x) // {parts})] AS x FROM able, range({parts}) t(p)),
+books0 AS MATERIALIZED (
+  SELECT p, (row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1)::BIGINT AS e, x FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM able ORDER BY vec_id LIMIT {entries})),
+{", ".join(steps)},
+coded AS (
+  SELECT vec_id, label, string_agg(lower(lpad(hex(e), 2, '0')), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+  FROM assigned{rounds} JOIN able USING (vec_id) GROUP BY vec_id, label),
+digest AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM books{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded, digest
+"""
+
+
+ORACLE_SQL = {
+    "op1_substring_dedup": OP1_SQL, "op6_decontaminate": OP6_SQL, "op7_warc_revisits": OP7_SQL, "op8_mix_sources": OP8_SQL,
+    "op10_exact_dedup": OP10_SQL, "op11_vector_join": OP11_SQL, "op12_importance_resample": OP12_SQL,
+    "op13_vector_codes": _op13_sql()}
