@@ -12,10 +12,12 @@ payloads are those equal in SHA-1, SHA-256 and length.
 
 *Scale.*  Payloads move once, to be joined with the decisions by record id,
 which is unique, so no group of copies gathers anywhere; winners are found
-by a map-side combined maximum; the headers' join by digest has a small row
-per record and is split by AQE when one payload makes up much of the corpus.
-An archive holds at most ``RECORDS_PER_ARCHIVE`` records and is read whole
-by one task, its payloads one by one.
+by a map-side combined maximum.  Headers are written once as a small table; the joins by payload and by
+original deal the rows of a commonest payload to several tasks.
+Archives are bounded in bytes: records are written by size class, each class with so many
+records per archive that about ``ARCHIVE_BYTES`` of payload come together (a larger page is an archive of its own).
+A reader unpacks its archive as a stream, record by record, so it holds the packed bytes, one record and
+``READ_BYTES`` of rows.
 
 Defined results: a null payload is empty; a null page id or URL has no header
 and reads back as null (a null id ranks lowest); control characters and
@@ -29,22 +31,28 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lotlens.session import scratch_path
 
-from .common import whole_text
+from .common import materialised, whole_text
+from .components import spread_join
 
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Records of the smallest class in an archive, and payload bytes that they have at most.
 RECORDS_PER_ARCHIVE = 10_000
+ARCHIVE_BYTES = 256 << 20
+#: Each class of records is so many times as large as the one before, with so many times fewer to an archive.
+CLASS_STEP = 8
 #: Hadoop's name of the gzip level: between the fastest, which fill the disk, and the default, which takes half as long again.
 GZIP_LEVEL = "FIVE"
 #: Payload bytes that a reading task gathers before it hands rows on.
@@ -118,43 +126,61 @@ def _record_text(date: str) -> Column:
         nl, http, F.when(revisit, F.lit("")).otherwise(whole_text("payload")))
 
 
-def write_archives(records: DataFrame, path: str, date: str = DATE,
-                   per_archive: int = RECORDS_PER_ARCHIVE) -> None:
-    """Records of HEADER_SCHEMA and payload as gzipped WARC files below ``path``."""
-    (records.select(_record_text(date).alias("value")).write
-     .option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", GZIP_LEVEL)
-     .option("maxRecordsPerFile", per_archive).text(path))
+def size_classes(per_archive: int = RECORDS_PER_ARCHIVE, archive_bytes: int = ARCHIVE_BYTES) -> list[tuple[int, int | None]]:
+    """(records per archive, most payload bytes of a record or None) from small records to any size."""
+    out: list[tuple[int, int | None]] = []
+    while per_archive > 1:
+        out.append((per_archive, archive_bytes // per_archive))
+        per_archive = max(1, per_archive // CLASS_STEP)
+    return [*out, (1, None)]
 
 
-def _parse(data: bytes) -> Iterator[tuple[dict, int, int]]:
-    """Header fields (lower-case names) and where the block lies, of each record."""
-    end = END.encode()
-    at = 0
-    while at < len(data):
-        head = data.index(end, at)
-        version, *lines = data[at:head].split(b"\r\n")
+def write_archives(records: DataFrame, path: str, date: str = DATE, per_archive: int = RECORDS_PER_ARCHIVE,
+                   archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Records of HEADER_SCHEMA and payload as gzipped WARC files below ``path``.
+
+    The first job writes the small records and counts those of the other classes; there are
+    more jobs only for classes that occur.
+    """
+    # of revisits nothing but the header is written
+    size = F.when(F.col("record_type") == "revisit", 0).otherwise(F.octet_length(whole_text("payload")))
+    classes, low, counted = size_classes(per_archive, archive_bytes), -1, Observation("size-classes")
+    bounds = []
+    for _, most in classes:
+        bounds.append((size > low) if most is None else (size > low) & (size <= most))
+        low = most
+    seen = records.observe(counted, *[F.count_if(b).alias(f"c{k}") for k, b in enumerate(bounds)])
+    for k, (n, _) in enumerate(classes):
+        if k == 0 or counted.get[f"c{k}"]:
+            (seen if k == 0 else records).filter(bounds[k]).select(_record_text(date).alias("value")).write.mode("append") \
+                .option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", GZIP_LEVEL) \
+                .option("maxRecordsPerFile", n).text(path)
+
+
+def _parse(stream: io.BufferedReader) -> Iterator[tuple[dict, bytes]]:
+    """Header fields (lower-case names) and block of each record, one at a time."""
+    while version := stream.readline():
         if not version.startswith(b"WARC/"):
             raise ValueError(f"not the head of a WARC record: {version[:40]!r}")
         fields = {}
-        for line in lines:
+        while (line := stream.readline()) not in (b"\r\n", b""):
             name, _, value = line.partition(b":")
             fields[name.strip().lower().decode("ascii")] = value.strip()
-        start = head + len(end)
-        at = start + int(fields["content-length"])
-        if data[at:at + len(end)] != end:
+        length = int(fields["content-length"])
+        block = stream.read(length)
+        if len(block) != length or stream.read(len(END)) != END.encode():
             raise ValueError("a WARC record does not end where its length says")
-        yield fields, start, at
-        at += len(end)
+        yield fields, block
 
 
-def _records(content: bytes, payloads: bool) -> Iterator[tuple]:
-    data = gzip.decompress(content)
-    for fields, start, end in _parse(data):
+def _records(content: pa.Buffer, payloads: bool) -> Iterator[tuple]:
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BufferedReader(pa.BufferReader(content))), 1 << 18)
+    for fields, block in _parse(stream):
         text = lambda name: fields[name].decode() if name in fields else None  # noqa: E731, B023
         kind, digest = text("warc-type"), text("warc-payload-digest").removeprefix("sha1:")
         payload = None
         if kind == "response":
-            payload = data[data.index(END.encode(), start, end) + len(END):end]
+            payload = block[block.index(END.encode()) + len(END):]
             # bodies are checked where they are handed on
             if payloads and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                 raise ValueError(f"payload of {text('warc-record-id')} does not have its digest")
@@ -177,7 +203,7 @@ def _reader(payloads: bool):
         for files in batches:
             for k in range(files.num_rows):
                 rows, held = [], 0
-                for row in _records(files.column(0)[k].as_buffer().to_pybytes(), payloads):
+                for row in _records(files.column(0)[k].as_buffer(), payloads):
                     rows.append(row)
                     held += 300 + (len(row[-1] or "") if payloads else 0)
                     if held >= READ_BYTES:
@@ -198,23 +224,26 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
 
 
 def resolve_revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """record_id, original (record id) of each response that repeats another one's payload.
+    """record_id, original (record id) of each response of ``headers`` (a written table) that repeats another one's payload.
 
     The original is the equal record with the largest page id (of equal page
     ids, the largest record id).  Payloads under ``min_bytes`` stay responses.
     """
-    same = ["payload_digest", "payload_sha256", "payload_bytes"]
-    responses = headers.filter((F.col("record_type") == "response") & (F.col("payload_bytes") >= min_bytes))
-    originals = responses.groupBy(*same).agg(
+    same = F.concat_ws(":", "payload_sha256", "payload_digest", F.col("payload_bytes").cast("string"))
+    responses = headers.filter((F.col("record_type") == "response") & (F.col("payload_bytes") >= min_bytes)).select(
+        "record_id", "page_id", same.alias("payload_key"))
+    originals = responses.groupBy(F.col("payload_key").alias("original_key")).agg(
         F.max(F.struct("page_id", "record_id")).alias("original"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return (responses.select("record_id", *same).join(originals, same)
+    return (spread_join(responses, "payload_key", originals, "original_key")
             .filter("record_id != original.record_id")
             .select("record_id", F.col("original.record_id").alias("original")))
 
 
 def deduplicate(spark: SparkSession, source: str, target: str, min_bytes: int = 0, date: str = DATE) -> None:
     """The archives below ``source`` written to ``target``, repeated payloads as revisits."""
-    repeats = resolve_revisits(read_archives(spark, source), min_bytes)
+    headers = materialised(read_archives(spark, source).select(
+        "record_id", "record_type", "page_id", "payload_bytes", "payload_digest", "payload_sha256"), "warc-headers")
+    repeats = resolve_revisits(headers, min_bytes)
     records = read_archives(spark, source, payloads=True).join(repeats, "record_id", "left")
     again = F.col("original").isNotNull()
     write_archives(records.select(
@@ -225,14 +254,14 @@ def deduplicate(spark: SparkSession, source: str, target: str, min_bytes: int =
 
 
 def resolved(archives: DataFrame) -> DataFrame:
-    """Records with revisits completed from their originals: page_id, payload_bytes, payload_digest,
-    record_type, refers_to (the original's page id)."""
+    """Records (a written table of headers) with revisits completed from their originals: page_id, payload_bytes,
+    payload_digest, record_type, refers_to (the original's page id)."""
     originals = archives.filter("record_type = 'response'").select(
-        F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"),
-        F.col("payload_bytes").alias("original_bytes"))
+        "record_id", F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("original_bytes"))
     responses = archives.filter("record_type = 'response'").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("bigint").alias("refers_to"))
-    revisits = archives.filter("record_type = 'revisit'").join(originals, "refers_to_record").select(
+    revisits = archives.filter("record_type = 'revisit'").select("page_id", "payload_digest", "record_type", "refers_to_record")
+    revisits = spread_join(revisits, "refers_to_record", originals, "record_id").select(
         "page_id", F.col("original_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     return responses.unionByName(revisits)
 
@@ -242,4 +271,5 @@ def archive_pages(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) ->
     raw, final = scratch_path(spark, "warc-raw"), scratch_path(spark, "warc")
     write_archives(page_records(pages), raw)
     deduplicate(spark, raw, final, min_bytes)
-    return resolved(read_archives(spark, final))
+    return resolved(materialised(read_archives(spark, final).select(
+        "record_id", "record_type", "page_id", "payload_bytes", "payload_digest", "refers_to_record"), "warc-final"))
