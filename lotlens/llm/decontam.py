@@ -4,21 +4,19 @@ A *window* is ``WINDOW`` consecutive words of a benchmark item; an item of
 fewer words (but not none) is one window.  A document word inside any
 occurrence of a window is hit.
 
-*Winnowing.*  Each text's ``K``-word grams are hashed, and of every
-``WINDOW - K + 1`` neighbouring hashes the smallest (leftmost on ties) is
-kept as a fingerprint.  Two equal windows have equal hashes and so keep the
-same gram at the same place: every shared window shares a fingerprint, none
-can be missed.  Documents' fingerprints are joined with the benchmark's, and
-each match is *extended*: both sides carry the few words around the kept gram,
-and a window counts only if all its words are equal.
+*Winnowing.*  Each text's ``K``-word grams are hashed, and the smallest of the
+``WINDOW - K + 1`` hashes in a window is its fingerprint.  Two equal windows have equal hashes
+and so the same fingerprint: none can be missed.  Documents' fingerprints are joined with the
+benchmark's and the match is *extended* in the same join: it holds only for windows whose words are all equal.
 
 *Scale.*  Documents are read once and never shuffled whole.  Before anything
 is exploded, fingerprints pass a bitmap of the benchmark's fingerprints (a
 scalar subquery of ``BITMAP_WORDS`` longs, whatever the benchmark's size; a
-full bitmap only passes more to the join).  What passes carries at most
-``2 * WINDOW - K`` words.  The join is Spark's own choice.  Per document the
-matches are bounded by its length; a passage that a third of all documents
-share is one match per document.
+full bitmap only passes more to the join).  What passes carries the ``WINDOW`` words.  The join is Spark's own choice.
+The benchmark has one row per *different* window, with the items that hold it: a sentence that many items share (a prompt template)
+and many documents quote is met once per place, however many items there are, and items that merely share a fingerprint
+meet nothing.  Per document the matches are bounded by its length; a passage that a third of all documents
+share is one match per document and place.
 
 Items shorter than a window are looked up by the hash of all their words, for
 just the lengths that occur.
@@ -61,36 +59,25 @@ def _window_minima(hashes: str, width: int) -> str:
     return f"transform(sequence(0, size({hashes}) - {width}), i -> least({neighbours}))"
 
 
-def _kept(width: int, k: int, window: int, passes: str) -> str:
-    """Structs (hash, at, lead, around) of the winnowed grams whose hash ``passes``, from words, hashes, minima.
-
-    ``around`` has the kept gram and what any window with it can hold;
-    ``lead`` is the number of words of ``around`` before the gram.
-    """
-    places = (f"array_distinct(transform(filter(sequence(0, size(minima) - 1), i -> {passes.format('minima[i]')}), "
-              f"i -> i + array_position(slice(hashes, i + 1, {width}), minima[i]) - 1))")
-    return (f"transform({places}, p -> named_struct('hash', hashes[cast(p as int)], 'at', cast(p as int), "
-            f"'lead', cast(least(p, {window - k}) as int), "
-            f"'around', slice(words, cast(greatest(p - {window - k}, 0) as int) + 1, "
-            f"cast(least(p, {window - k}) as int) + {window})))")
+def _windows(window: int, passes: str) -> str:
+    """Structs (print, at, words) of the windows whose fingerprint ``passes``, from words and minima."""
+    return (f"transform(filter(sequence(0, size(minima) - 1), i -> {passes.format('minima[i]')}), "
+            f"i -> named_struct('print', minima[i], 'at', i, 'words', slice(words, i + 1, {window})))")
 
 
 def benchmark_prints(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text",
                      window: int = WINDOW, k: int = K) -> DataFrame:
-    """One row per fingerprint of the benchmark: hash, item, length, item_lead, item_around."""
-    width = window - k + 1
-    items = (benchmark.select(F.col(item_col).alias("item"), bench_words(text_col).alias("words"))
+    """One row per different window of the benchmark: print (fingerprint), words, items (that hold it, as strings)."""
+    items = (benchmark.select(F.col(item_col).cast("string").alias("item"), bench_words(text_col).alias("words"))
              .filter(F.size("words") > 0))
     long = (items.filter(F.size("words") >= window)
             .withColumn("hashes", F.expr(_gram_hashes("words", k)))
-            .withColumn("minima", F.expr(_window_minima("hashes", width)))
-            .select("item", F.explode(F.expr(_kept(width, k, window, "true"))).alias("p"))
-            .select("p.hash", "item", F.lit(window).alias("length"),
-                    F.col("p.lead").alias("item_lead"), F.col("p.around").alias("item_around")))
+            .withColumn("minima", F.expr(_window_minima("hashes", window - k + 1)))
+            .select("item", F.explode(F.expr(_windows(window, "true"))).alias("p"))
+            .select("item", "p.print", "p.words"))
     short = (items.filter(F.size("words") < window)
-             .select(F.xxhash64(F.size("words"), "words").alias("hash"), "item", F.size("words").alias("length"),
-                     F.lit(0).alias("item_lead"), F.col("words").alias("item_around")))
-    return long.unionByName(short).distinct()
+             .select("item", F.xxhash64(F.size("words"), "words").alias("print"), "words"))
+    return long.unionByName(short).groupBy("print", "words").agg(F.collect_set("item").alias("items"))
 
 
 def hit_words(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -99,8 +86,8 @@ def hit_words(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     """A row per document: doc_id, n_words, n_hit, items (sorted as strings), contaminated."""
     width = window - k + 1
     prints = benchmark_prints(benchmark, item_col, item_text_col, window, k)
-    cells = bitmap(prints, bitmap_words).scalar()
-    short_lengths = prints.filter(F.col("length") < window).agg(F.array_sort(F.collect_set("length"))).scalar()
+    cells = bitmap(prints.select(F.col("print").alias("hash")), bitmap_words).scalar()
+    short_lengths = prints.filter(F.size("words") < window).agg(F.array_sort(F.collect_set(F.size("words")))).scalar()
     passes = in_bitmap("cells", "{0}", bitmap_words)
     empty = "cast(array() as array<bigint>)"
     read = (docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
@@ -108,40 +95,27 @@ def hit_words(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
             .withColumns({"cells": cells, "lengths": short_lengths})
             .withColumn("hashes", F.expr(f"if(size(words) >= {window}, {_gram_hashes('words', k)}, {empty})"))
             .withColumn("minima", F.expr(f"if(size(words) >= {window}, {_window_minima('hashes', width)}, {empty})")))
-    kept = f"if(size(minima) > 0, {_kept(width, k, window, passes)}, array())"
-    whole = (f"flatten(transform(filter(lengths, n -> n <= size(words)), n -> transform("
+    long = f"if(size(minima) > 0, {_windows(window, passes)}, array())"
+    short = (f"flatten(transform(filter(lengths, n -> n <= size(words)), n -> transform("
              f"filter(sequence(0, size(words) - n), i -> {in_bitmap('cells', 'xxhash64(n, slice(words, i + 1, n))', bitmap_words)}), "
-             f"i -> named_struct('hash', xxhash64(n, slice(words, i + 1, n)), 'at', i, 'lead', 0, "
-             f"'around', slice(words, i + 1, n)))))")
+             f"i -> named_struct('print', xxhash64(n, slice(words, i + 1, n)), 'at', i, 'words', slice(words, i + 1, n)))))")
     found = read.select("row", "doc_id", F.size("words").cast("long").alias("n_words"),
-                        F.explode_outer(F.concat(F.expr(kept), F.expr(whole))).alias("p"))
-    found = found.select("row", "doc_id", "n_words", "p.*")
-    starts = F.expr("""
-        transform(
-            filter(sequence(0, least(lead, item_lead)),
-                   o -> size(slice(around, lead - o + 1, length)) = length
-                        and slice(around, lead - o + 1, length) = slice(item_around, item_lead - o + 1, length)),
-            o -> named_struct('start', at - o, 'length', length))""")
-    matched = (found.join(prints, "hash", "left")
-               .select("row", "doc_id", "n_words", "item",
-                       F.when(F.col("length").isNotNull(), starts).alias("windows")))
+                        F.explode_outer(F.concat(F.expr(long), F.expr(short))).alias("p"))
+    # texts without any window to look up are spread by their row: as nulls they would meet in one task
+    found = found.select("row", "doc_id", "n_words", "p.at", F.coalesce("p.print", F.xxhash64("row")).alias("print"),
+                         F.coalesce("p.words", F.array().cast("array<string>")).alias("words"))
+    place = F.struct(F.col("at").alias("start"), F.size("words").alias("length"))
+    matched = found.join(prints, ["print", "words"], "left").select(
+        "row", "doc_id", "n_words", "items", F.when(F.col("items").isNotNull(), place).alias("window"))
     per_doc = matched.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-        F.array_distinct(F.flatten(F.collect_set("windows"))).alias("windows"),
-        F.array_sort(F.collect_set(F.when(F.size("windows") > 0, F.col("item").cast("string")))).alias("items"))
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_set("window").alias("windows"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.expr("size(array_distinct(flatten("
                      "transform(windows, w -> sequence(w.start, w.start + w.length - 1)))))")
     return per_doc.select("doc_id", "n_words", covered.cast("long").alias("n_hit"), "items",
                           (covered > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without those that hold a benchmark window (rows that share an id go together)."""
-    bad = hit_words(docs, benchmark, id_col, **options).filter("contaminated").select(
-        F.col("doc_id").alias("contaminated_id")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["contaminated_id"]), "left_anti")
-
-
 def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                **options) -> DataFrame:
     """``docs`` without the rows that hold a benchmark window; other rows stay, whatever id they share."""
