@@ -4,7 +4,8 @@ A pass over the texts runs per bucket (a group of documents of bounded size).
 What a bucket says about its documents goes out as one packed, sorted list per
 range of the key space; a range's task merges the lists of all buckets and
 answers each with bits in the list's own order.  Buckets and ranges both
-grow with the corpus, so neither is ever large.
+grow with the square root of the corpus, until buckets hold ``MOST_BUCKET`` bytes; from there on their
+numbers grow with the corpus, and lists get shorter.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .common import whole_text
 #: Buckets hold about the square root of (corpus bytes x this), within the bounds: as many bytes
 #: of text to a bucket as there are buckets, times this.
 BALANCE = 1 << 14
-LEAST_BUCKET, MOST_BUCKET = 1 << 20, 256 << 20
+LEAST_BUCKET, MOST_BUCKET = 1 << 20, 64 << 20
 
 REPLY_SCHEMA = "bucket int, shard int, kind string, data binary"
 
