@@ -13,6 +13,10 @@ text) are linked if their sets' Jaccard similarity is ``SIMILARITY`` or more.
   surviving below; the smallest fixed point at s = 0.8 and two branches is
   p = 0.9375, at any depth.  Runs are repeated until the pairs at exactly
   0.8 are found with ``RECALL`` (three runs: 0.9998); those above, with more.
+* *Balls.*  Jaccard distance is a metric: sets within half the allowed distance (0.1) of one other set are all linked to
+  each other.  Each large first-level bucket of the first root gets a centre, the shingles that most of its sets hold; the sets around it are a
+  ball, counted as such and never compared with each other again, in any bucket.  So a tight group of near copies costs
+  a comparison with its centre for each, however large it is.
 * *Splitting ends* with at most ``SMALL`` sets, which are brute-forced.  A split is kept only if it saves work,
   that is, if the squares of the children's sizes add up to less than the parent's: in a bucket of mostly near copies they
   do not (tokens agree in half of all pairs or more, and splitting would only multiply rows).  Such a bucket, and
@@ -33,8 +37,9 @@ with two sets or more; whole sets move for sets with a surviving candidate, once
 bucket they are compared in, and only their texts are read again (a bitmap of fixed size
 keeps the others from being shuffled).  Candidates stay packed, a row per bucket.  No bucket is collected before its
 size is known: sizes are a written table of the buckets of two sets or more, and rows meet it in a join that Spark can
-split where a bucket is large.  A near-copy group of n different texts that all agree is n / ``SMALL`` blocks, each met by each:
-its rows grow with n squared / ``SMALL`` (once n is beyond ``SMALL``).
+split where a bucket is large.  Of a large bucket that no split thins out, the sets
+around its centre meet only those that are not; a *loose* group (linked to each other, but further than 0.1 from the centre) of n
+is n / ``SMALL`` blocks, each met by each: its rows grow with n squared / ``SMALL`` once n is beyond ``SMALL``.
 
 Defined results: texts without words are linked to nothing (their copies
 still form a class); a null text is empty; rows that share an id are documents of their
@@ -46,7 +51,7 @@ their names, are not looked at.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -185,12 +190,64 @@ def _sizes(level: DataFrame) -> DataFrame:
     return materialised(level.groupBy("path", "parent").agg(F.count(F.lit(1)).alias("size")), "bucket-sizes")
 
 
+def shingle_rows(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """set_id (digest), shingles of the classes whose digests ``wanted`` has; only their texts are shuffled, one per class."""
+    one_each = materialised(wanted.select("digest").distinct().join(classes.select("digest", "class_doc"), "digest"), "wanted")
+    text = whole_text(text_col)
+    texts = _among(docs.select(F.unhex(F.sha2(text, 256)).alias("text_digest"), F.col(id_col).cast("bigint").alias("id"),
+                               text.alias("text")), F.xxhash64("text_digest"), one_each.select(F.xxhash64("digest").alias("hash")))
+    chosen = (texts.select("text_digest", "id", "text")
+              .join(one_each, (F.col("text_digest") == one_each["digest"]) & F.col("id").eqNullSafe(one_each["class_doc"]))
+              .select("text_digest", "text"))
+    return chosen.mapInArrow(_sets(shingle), "set_id binary, shingles array<bigint>").dropDuplicates(["set_id"])
+
+
+def near_copy_balls(large: DataFrame, shingles_of: Callable[[DataFrame], DataFrame], similarity: float, small: int) -> DataFrame:
+    """digest, ball: sets of large first-level buckets (path, root, digest; more than ``small`` sets in each) within half the
+    allowed distance of a centre, written out; a ball is called by one of its digests.
+
+    The centre of a bucket of the first root is the set of the shingles that more than half of its sets hold.  Sets that miss that bucket
+    by its token are held against the centre of the ball that most of their other buckets' sets belong to.  All sets of a ball are
+    linked to each other.  Everything here is linear in the shingles of the buckets.
+    """
+    def near(shingles: str, centre: str) -> Column:
+        shared = F.size(F.array_intersect(shingles, centre))
+        return shared >= F.lit(1 - (1 - similarity) / 2 + 1e-9) * (F.size(shingles) + F.size(centre) - shared)
+
+    first = large.filter("root = 0").select("path", "digest")
+    found = materialised(shingles_of(first), "hot-sets")
+    members = materialised(first.join(found, F.col("digest") == F.col("set_id")).select("path", "digest", "shingles"), "hot-members")
+    sizes = members.groupBy(F.col("path").alias("of_path")).agg(F.count(F.lit(1)).alias("size"))
+    frequent = (members.select("path", F.explode("shingles").alias("shingle")).groupBy("path", "shingle")
+                .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small // 2))
+    centres = materialised(frequent.join(sizes, F.col("path") == F.col("of_path")).filter(2 * F.col("n") > F.col("size"))
+                           .groupBy(F.col("path").alias("centre_path")).agg(F.collect_list("shingle").alias("centre")), "centres")
+    close = materialised(spread_join(members, "path", centres, "centre_path").filter(near("shingles", "centre"))
+                         .select("path", "digest"), "close")
+    names = materialised(close.groupBy(F.col("path").alias("of_path")).agg(F.min("digest").alias("ball")), "ball-names")
+    balls = materialised(spread_join(close, "path", names, "of_path").select("digest", "ball"), "balls")
+
+    later = large.filter("root > 0").select("path", "digest").join(balls, "digest", "left")
+    later = materialised(later, "later")
+    mains = (later.filter("ball is not null").groupBy("path", "ball").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy(F.col("path").alias("of_path")).agg(F.max(F.struct("n", "ball"))["ball"].alias("main")))
+    tries = materialised(spread_join(materialised(later.filter("ball is null").select("path", "digest"), "left"), "path", mains, "of_path")
+                         .select("digest", "main").distinct(), "tries")
+    tried = materialised(tries.join(shingles_of(tries), F.col("digest") == F.col("set_id")).select("digest", "main", "shingles"), "tried")
+    centre_of = names.join(centres, F.col("of_path") == F.col("centre_path")).select("ball", "centre")
+    more = (spread_join(tried, "main", centre_of, "ball").filter(near("shingles", "centre"))
+            .groupBy("digest").agg(F.min("ball").alias("ball")))
+    return materialised(balls.unionByName(more), "all-balls")
+
+
 def chosen_path_buckets(classes: DataFrame, runs: int, branches: int = BRANCHES, depth: int = DEPTH,
-                        small: int = SMALL, coordinates: int = COORDINATES) -> tuple[DataFrame, DataFrame]:
-    """Buckets to brute-force (path, root, digest, side, alone), and sets with open roots (digest, open).
+                        small: int = SMALL, coordinates: int = COORDINATES,
+                        balls_of: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Buckets to brute-force (path, root, digest, side, alone), sets with open roots (digest, open), and balls (digest, ball).
 
     ``root`` numbers a bucket's first branch; the bit of a root is open for a set if its
     first-level bucket there was split, so that pairs in it may have been missed.
+    ``balls_of`` finds the balls of the large buckets of the first root; there are none (None) without such buckets.
     """
     sets = classes.filter("n_shingles > 0")
     roots = runs * branches
@@ -198,7 +255,7 @@ def chosen_path_buckets(classes: DataFrame, runs: int, branches: int = BRANCHES,
                       for j in range(roots)])
     level = sets.select("digest", F.explode(first).alias("r")).select(
         "digest", "r.root", "r.path", F.lit(None).cast("long").alias("parent"))
-    sizes, done, opened, d = _sizes(level), [], None, 0
+    sizes, done, opened, balls, d = _sizes(level), [], None, None, 0
     while True:
         shared = sizes.filter("size > 1").select("path", "size")
         sized = materialised(_among(level.drop("parent"), F.col("path"), shared.select(F.col("path").alias("hash")))
@@ -208,9 +265,11 @@ def chosen_path_buckets(classes: DataFrame, runs: int, branches: int = BRANCHES,
         if sizes.filter(F.col("size") > small).isEmpty():
             break
         large = sized.filter(F.col("size") > small)
+        if d == 0 and balls_of is not None:
+            balls = None if large.filter("root = 0").isEmpty() else balls_of(large.select("path", "root", "digest"))
         d += 1
         if d == depth:
-            done.append(_block_pairs(large, small))
+            done.append(_block_pairs(large, small, balls))
             break
         below = (large.join(_among(sets.select("digest", "tokens"), F.xxhash64("digest"),
                                    large.select(F.xxhash64("digest").alias("hash"))), "digest")
@@ -222,7 +281,7 @@ def chosen_path_buckets(classes: DataFrame, runs: int, branches: int = BRANCHES,
             F.sum(F.col("size").cast("double") * F.col("size")).alias("work"), (F.sum("size") / branches).alias("sets"))
             .filter("work >= sets * sets").select(F.col("parent").alias("whole")), f"futile-{d}")
         whole = large.join(futile, F.col("path") == F.col("whole"), "left_semi")
-        done.append(_block_pairs(whole, small))
+        done.append(_block_pairs(whole, small, balls))
         if d == 1:
             split = large.join(futile, F.col("path") == F.col("whole"), "left_anti")
             opened = split.groupBy("digest").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("open"))
@@ -230,27 +289,46 @@ def chosen_path_buckets(classes: DataFrame, runs: int, branches: int = BRANCHES,
         sizes = children.join(futile, F.col("parent") == F.col("whole"), "left_anti")
     if opened is None:
         opened = sets.select("digest", F.lit(0).cast("long").alias("open")).limit(0)
-    return reduce(DataFrame.unionByName, done), opened
-
-
-def _block_pairs(large: DataFrame, small: int) -> DataFrame:
-    """Large buckets as pairs of blocks: side 0 meets side 1, or itself if alone."""
-    n = F.ceil(F.col("size") / F.lit(small)).cast("int")
-    block = F.pmod(F.xxhash64("digest", "path"), n).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda other: F.struct(
-        F.least(block, other).alias("low"), F.greatest(block, other).alias("high"),
-        (block > other).cast("int").alias("side")))
-    return (large.select("digest", "root", "path", F.explode(pairs).alias("p"))
+    return reduce(DataFrame.unionByName, done), opened, balls
+
+
+def _block_pairs(large: DataFrame, small: int, balls: DataFrame | None) -> DataFrame:
+    """Large buckets as pairs of blocks: side 0 meets side 1, or itself if alone.
+
+    The sets of a bucket's largest ball are linked to each other already: their blocks only meet those of the others."""
+    if balls is None:
+        sized = large.withColumns({"main": F.lit(False), "inside": F.lit(0)})
+    else:
+        named = materialised(large.join(balls, "digest", "left"), "blocked")
+        mains = (named.filter("ball is not null").groupBy("path", "ball").agg(F.count(F.lit(1)).alias("n"))
+                 .groupBy(F.col("path").alias("of_path")).agg(F.max(F.struct("n", "ball")).alias("most")))
+        # a row per large bucket that has a ball
+        sized = named.join(materialised(mains, "main-balls"), F.col("path") == F.col("of_path"), "left").withColumns({
+            "main": F.coalesce(F.col("ball") == F.col("most.ball"), F.lit(False)),
+            "inside": F.coalesce(F.ceil(F.col("most.n") / F.lit(small)), F.lit(0)).cast("int"),
+            "size": F.col("size") - F.coalesce("most.n", F.lit(0))})
+    others = F.ceil(F.col("size") / F.lit(small)).cast("int")
+    sized = sized.withColumns({"n": F.col("inside") + others, "block": F.when(
+        F.col("main"), F.pmod(F.xxhash64("digest", "path"), F.col("inside"))).otherwise(
+        F.col("inside") + F.pmod(F.xxhash64("digest", "path"), F.greatest(others, F.lit(1)))).cast("int")})
+    met = F.filter(F.sequence(F.lit(0), F.greatest(F.col("n"), F.lit(1)) - 1),
+                   lambda other: (other < F.col("n")) & ~(F.col("main") & (other < F.col("inside"))))
+    pairs = F.transform(met, lambda other: F.struct(
+        F.least("block", other).alias("low"), F.greatest("block", other).alias("high"),
+        (F.col("block") > other).cast("int").alias("side")))
+    return (sized.select("digest", "root", "path", F.explode(pairs).alias("p"))
             .select(F.xxhash64("path", "p.low", "p.high").alias("path"), "root", "digest", "p.side",
                     (F.col("p.low") == F.col("p.high")).alias("alone")))
 
 
-def _agreeing(tokens: np.ndarray, sides: np.ndarray, opened: np.ndarray, root: int, alone: bool, least: float,
+def _agreeing(tokens: np.ndarray, sides: np.ndarray, opened: np.ndarray, balls: np.ndarray, root: int, alone: bool, least: float,
               roots: int) -> np.ndarray:
-    """Pairs (i < j) of a bucket's sets with enough common tokens that no earlier bucket compares."""
+    """Pairs (i < j) of a bucket's sets with enough common tokens that neither an earlier bucket compares nor a ball links."""
     found = []
     for i in range(len(tokens) - 1):
         others = np.arange(i + 1, len(tokens)) if alone else i + 1 + np.flatnonzero(sides[i + 1:] != sides[i])
+        if balls[i] >= 0:
+            others = others[balls[others] != balls[i]]
         # half of the tokens sieve out most of the others
         half = tokens.shape[1] // 2
         agree = (tokens[others, :half] == tokens[i, :half]).sum(axis=1)
@@ -278,7 +356,10 @@ def _candidates(least: float, roots: int):
                 tokens = np.frombuffer(b"".join(packed), dtype=np.uint32).reshape(len(packed), -1)
                 sides, opened, root, alone = (rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
                                               for c in ("side", "open", "root", "alone"))
-                found = _agreeing(tokens, sides, opened, int(root[0]), bool(alone[0]), least, roots)
+                names: dict[bytes, int] = {}
+                balls = np.array([-1 if x is None else names.setdefault(x, len(names))
+                                  for x in rows.column(rows.schema.get_field_index("ball")).to_pylist()])
+                found = _agreeing(tokens, sides, opened, balls, int(root[0]), bool(alone[0]), least, roots)
                 if len(found):
                     used = np.unique(found)
                     paths.append(path)
@@ -394,30 +475,34 @@ def jaccard_partners(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id"
     """Per bucket and linked class: digest, label (smallest digest that the bucket connects it with),
     partners (links that no other bucket finds), others (hashes of those that another may find too)."""
     runs = runs_for(recall, similarity)
-    members, opened = chosen_path_buckets(classes, runs, BRANCHES, depth, small, coordinates)
+
+    def shingles_of(wanted: DataFrame) -> DataFrame:
+        return shingle_rows(docs, classes, wanted, id_col, text_col, shingle)
+
+    members, opened, balls = chosen_path_buckets(
+        classes, runs, BRANCHES, depth, small, coordinates,
+        lambda hot: near_copy_balls(hot, shingles_of, similarity, small))
     sets = _among(classes.select("digest", "tokens"), F.xxhash64("digest"), members.select(F.xxhash64("digest").alias("hash")))
+    sets = sets.withColumn("ball", F.lit(None).cast("binary")) if balls is None else sets.join(balls, "digest", "left")
     buckets = (members.join(sets, "digest").join(opened, "digest", "left")
                .groupBy("path").agg(F.collect_list(F.struct(
-                   "digest", "tokens", "root", "side", "alone",
+                   "digest", "tokens", "root", "side", "alone", "ball",
                    F.coalesce("open", F.lit(0).cast("long")).alias("open"))).alias("rows")))
     candidates = materialised(buckets.mapInArrow(
         _candidates(least_agreement, runs * BRANCHES),
         "path bigint, members array<binary>, pairs binary, again boolean"), "candidates")
     # whole shingle sets of the classes that have a candidate, each once per bucket it is compared in
     needed = candidates.select("path", F.posexplode("members").alias("at", "digest"))
-    text = whole_text(text_col)
-    one_each = materialised(needed.select("digest").distinct()
-                            .join(classes.select("digest", "class_doc"), "digest"), "needed")
-    texts = _among(docs.select(F.unhex(F.sha2(text, 256)).alias("text_digest"), F.col(id_col).cast("bigint").alias("id"),
-                               text.alias("text")), F.xxhash64("text_digest"), one_each.select(F.xxhash64("digest").alias("hash")))
-    chosen = (texts.select("text_digest", "id", "text")
-              .join(one_each, (F.col("text_digest") == one_each["digest"]) & F.col("id").eqNullSafe(one_each["class_doc"]))
-              .select("text_digest", "text"))
-    found = chosen.mapInArrow(_sets(shingle), "set_id binary, shingles array<bigint>").dropDuplicates(["set_id"])
+    found = shingles_of(needed)
     groups = (needed.join(found, needed["digest"] == found["set_id"]).groupBy("path")
               .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "shingles"))), lambda x: x.shingles).alias("sets")))
-    return candidates.join(groups, "path").select("members", "pairs", "again", "sets").mapInArrow(
+    links = candidates.join(groups, "path").select("members", "pairs", "again", "sets").mapInArrow(
         _verified(similarity), "digest binary, label binary, partners bigint, others array<bigint>")
+    if balls is None:
+        return links
+    linked = balls.groupBy(F.col("ball").alias("of_ball")).agg((F.count(F.lit(1)) - 1).alias("partners"))
+    return links.unionByName(spread_join(balls, "ball", linked, "of_ball").select(
+        "digest", F.col("ball").alias("label"), "partners", F.array().cast("array<bigint>").alias("others")))
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

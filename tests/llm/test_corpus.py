@@ -109,16 +109,35 @@ def test_linked_pairs_against_all(edits, n):
         assert sorted(map(tuple, got.tolist())) == sorted(p for p in want if p in asked)
 
 
-def test_rows_of_a_near_copy_group(spark):
-    """Rows that buckets hold for a group of near copies grow with the group, not with its pairs, while it fits one bucket."""
+def held_rows(spark, rows, small):
+    docs = doc_frame(spark, rows)
+    _, classes = jaccard_join.text_classes(docs)
+    balls_of = lambda hot: jaccard_join.near_copy_balls(
+        hot, lambda wanted: jaccard_join.shingle_rows(docs, classes, wanted, "doc_id", "text", 5), 0.8, small)
+    members, _, balls = jaccard_join.chosen_path_buckets(classes, 3, small=small, balls_of=balls_of)
+    return members.count() / classes.count(), balls.count() / classes.count()
+
+
+def test_rows_of_a_tight_group_are_linear(spark):
+    """A group of near copies far beyond a bucket: what buckets hold grows with the group, not with its pairs."""
     rng = random.Random(2)
     text, held = prose(rng, 150), {}
     for n in (300, 600, 1200):
-        docs = doc_frame(spark, list(enumerate(near_copies(rng, text, n, 1))))
-        _, classes = jaccard_join.text_classes(docs)
-        members, _ = jaccard_join.chosen_path_buckets(classes, 3)
-        held[n] = members.count() / classes.count()
-    assert held[1200] <= 1.1 * held[300] <= 6.6
+        held[n], inside = held_rows(spark, list(enumerate(near_copies(rng, text, n, 1))), 64)
+        assert inside > 0.9
+    assert held[1200] < 1.25 * held[300]
+
+
+def test_balls_lose_and_add_nothing(spark):
+    """Groups of several widths, some around a pivot and some not, one inside another's boilerplate; small buckets."""
+    rng = random.Random(12)
+    base, other = prose(rng, 120), prose(rng, 120)
+    texts = near_copies(rng, base, 90, 1) + near_copies(rng, base, 60, 5) + near_copies(rng, base, 40, 12)
+    texts += near_copies(rng, other, 80, 2) + [base + " " + prose(rng, 40) for _ in range(20)] + [prose(rng, 50) for _ in range(30)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = jaccard_join.near_duplicates(doc_frame(spark, rows), small=16, depth=4)
+    assert tuples(got, *NEAR) == brute_near(rows)
 
 
 def test_one_of_each(awkward_docs, awkward, no_docs):
