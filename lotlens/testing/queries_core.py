@@ -15,7 +15,7 @@ from lotlens.operators.rows import judge, standardize
 from lotlens.plans.pipeline import ingest, judge_stage, standardize_stage
 from lotlens.sources.bundle import build_bundle, open_bundle
 from lotlens.sources.fixtures import EVENT_ITEMS, events_raw, lineitem_raw
-from lotlens.sources.stages import read_raw, read_stage
+from lotlens.sources.stages import lot_days, read_raw, read_stage
 from lotlens.testing.registry import register, scratch_dir
 
 BIT_ITEMS = tuple(i.colname for i in EVENT_ITEMS)
@@ -66,15 +66,26 @@ def melt_frame_stats(spark, sf_dir):
     )
 
 
+def written_judged(spark, sf_dir) -> str:
+    """Path of a published judged stage, all stages written on the way."""
+    _, stage = ingest(events_raw(spark, sf_dir), scratch_dir(spark, "raw"))
+    _, stage = standardize_stage(spark, stage, scratch_dir(spark, "standardized"))
+    return judge_stage(spark, stage, scratch_dir(spark, "judged"))[1]
+
+
 @register("stage_write", """
 SELECT lot_number, count(*) AS rows_in, count(*) AS rows_out, TRUE AS ok FROM raw GROUP BY lot_number""")
 def stage_write(spark, sf_dir):
     """SNK1 + CHK1: all stages written and read back, rows in == rows out per lot."""
-    raw = events_raw(spark, sf_dir)
-    _, stage = ingest(raw, scratch_dir(spark, "raw"))
-    _, stage = standardize_stage(spark, stage, scratch_dir(spark, "standardized"))
-    _, stage = judge_stage(spark, stage, scratch_dir(spark, "judged"))
-    return C.row_count_check(raw, read_stage(spark, stage, "judged"))
+    return C.row_count_check(events_raw(spark, sf_dir), read_stage(spark, written_judged(spark, sf_dir), "judged"))
+
+
+@register("lot_days", """
+SELECT lot_number, CAST(CAST(lot_start_time AS DATE) AS VARCHAR) AS start_date, count(*) AS rows
+FROM judged GROUP BY lot_number, CAST(lot_start_time AS DATE)""")
+def lot_days_q(spark, sf_dir):
+    """SNK1 metadata: where each lot of a published judged stage lies, and its rows."""
+    return lot_days(spark, written_judged(spark, sf_dir)).withColumn("start_date", F.col("start_date").cast("string"))
 
 
 @register("row_count_check", """

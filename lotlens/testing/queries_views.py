@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lotlens.operators import aggregates as A
 from lotlens.operators import frames as FR
 from lotlens.operators import kde as K
 from lotlens.operators import levels as L
@@ -12,8 +13,9 @@ from lotlens.plans import repository as R
 from lotlens.plans import views as V
 from lotlens.sources.fixtures import EVENT_ITEMS
 from lotlens.sources.paths import path_catalog
+from lotlens.sources.stages import lot_days, read_stage
 from lotlens.testing.queries_core import (
-    BIT_ITEMS, FRAME_STATS_SQL, PIECE_SQL, POSITION_STATS_SQL, histogram_ctes, judged_events)
+    BIT_ITEMS, FRAME_STATS_SQL, PIECE_SQL, POSITION_STATS_SQL, histogram_ctes, judged_events, written_judged)
 from lotlens.testing.registry import register
 
 KNOWN = BIT_ITEMS
@@ -122,6 +124,17 @@ def lot_filter_q(spark, sf_dir):
     return R.ng_rate_by_frame(b, lots=indexed_lots(b["lots"]).filter("lot_index % 3 = 1"))
 
 
+@reg("stage_lots", "SELECT measure_id, lot_number, FrameNo, colname, value, ng_direction FROM judged WHERE lot_number IN "
+     "(SELECT lot_number FROM lot_idx WHERE lot_index % 3 = 1)", ["value"])
+def stage_lots_q(spark, sf_dir):
+    """FLT2 on a written stage: every third lot, given as a table with its start dates, which prune the stage's folders."""
+    path = written_judged(spark, sf_dir)
+    judged = read_stage(spark, path, "judged", dated=True)
+    picked = indexed_lots(A.lots(judged)).filter("lot_index % 3 = 1").select("lot_number")
+    days = R.lot_filter(lot_days(spark, path), picked)
+    return R.lot_filter(judged, days).select("measure_id", "lot_number", "FrameNo", "colname", "value", "ng_direction")
+
+
 _Q_DOUBLES = ["minimum", "p05", "p25", "p50", "p75", "p95", "maximum", "spec_lower", "spec_upper"]
 
 
