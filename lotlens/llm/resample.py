@@ -26,6 +26,7 @@ further columns, whatever their names, are not looked at.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialised, partitions_for, whole_text
+from .common import materialised, partitions_for, spare_name, whole_text
 from .prefix_crc import piece_crcs, running_registers
 from .words import blocks
 
@@ -135,21 +136,22 @@ def _weigh(gains: np.ndarray, grams: int):
                 sums = np.cumsum(sums)
                 features = sum(np.maximum(words - n, 0) for n in range(grams))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array(words.astype(np.int64)), pa.array(features.astype(np.int64)),
+                    [batch.column(0)[a:b], pa.array([hashlib.sha256(t).digest() for t in texts[a:b]], pa.binary()),
+                     pa.array(words.astype(np.int64)), pa.array(features.astype(np.int64)),
                      pa.array(sums[found.first[1:]] - sums[found.first[:-1]])],
-                    ["doc_id", "n_words", "n_features", "weight"])
+                    ["doc_id", "digest", "n_words", "n_features", "weight"])
     return read
 
 
 def importance_weights(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        grams: int = GRAMS, buckets: int = BUCKETS, scale: int = SCALE) -> DataFrame:
-    """A row per document: doc_id, n_words, n_features, weight."""
+    """A row per document: doc_id, digest (SHA-256 of the text), n_words, n_features, weight."""
     table = bucket_gains(docs, target, text_col, grams, buckets, scale)
     gains = np.zeros(buckets, dtype=np.int64)
     for r in table.collect():  # a row per bucket, however large the corpus
         gains[r.bucket] = r.gain
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-            .mapInArrow(_weigh(gains, grams), "doc_id bigint, n_words bigint, n_features bigint, weight bigint"))
+            .mapInArrow(_weigh(gains, grams), "doc_id bigint, digest binary, n_words bigint, n_features bigint, weight bigint"))
 
 
 def ranked(rows: DataFrame, *order) -> DataFrame:
@@ -186,3 +188,19 @@ def importance_resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_i
     """Every document: doc_id, n_features, weight, score, rank (null if not drawn), n_words."""
     weights = importance_weights(docs, target, id_col, text_col)
     return drawn(weights, percent, least_words, seed).select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+def resampled(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: int = SEED) -> DataFrame:
+    """The drawn documents, with all their columns, in no order.
+
+    Rows that repeat an id and a text are one document here, returned (as any one of them) once for each of them that was drawn.
+    """
+    id_name, digest_name, times_name = (spare_name(docs, n) for n in ("drawn_id", "drawn_digest", "drawn_times"))
+    chosen = (drawn(importance_weights(docs, target, id_col, text_col), percent, least_words, seed).filter("rank is not null")
+              .groupBy(F.col("doc_id").alias(id_name), F.col("digest").alias(digest_name))
+              .agg(F.count(F.lit(1)).cast("int").alias(times_name)))
+    digest = F.unhex(F.sha2(whole_text(docs[text_col]), 256))
+    found = docs.join(chosen, docs[id_col].cast("long").eqNullSafe(chosen[id_name]) & (digest == chosen[digest_name]))
+    once = found.dropDuplicates([id_name, digest_name])
+    return once.withColumn(times_name, F.explode(F.sequence(F.lit(1), F.col(times_name)))).select(*docs.columns)

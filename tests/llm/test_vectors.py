@@ -282,6 +282,19 @@ def test_importance_resample(spark, percent):
     assert tuples(resample.importance_resample(docs, items, percent=percent), *RESAMPLE) == brute_resample(rows, target, percent)
 
 
+def test_resampled_documents(spark):
+    """The drawn documents themselves; a repeated row is drawn as often as its copies were."""
+    rng = random.Random(4)
+    rows = [*awkward_rows(), *[(500, "the same row again and again " * 5)] * 6]
+    target = [prose(rng, 200), rows[0][1]]
+    docs, items = doc_frame(spark, rows), doc_frame(spark, list(enumerate(target)))
+    ranks = resample.importance_resample(docs, items, percent=50)
+    got = resample.resampled(docs, items, percent=50)
+    assert got.columns == docs.columns
+    assert tuples(got, "doc_id") == ordered((r.doc_id,) for r in ranks.filter("rank is not null").collect())
+    assert {(r.doc_id, r.text) for r in got.collect()} <= {(r[0], r[1]) for r in rows}
+
+
 def test_importance_resample_of_nothing(spark, no_docs, awkward_docs, awkward):
     assert resample.importance_resample(no_docs, awkward_docs).count() == 0
     assert tuples(resample.importance_resample(awkward_docs, no_docs), *RESAMPLE) == brute_resample(awkward, [])
