@@ -1,6 +1,5 @@
 """Data-independent invariants: scalar rules, KDE integral, display ranges, codecs."""
 
-import math
 from datetime import datetime
 
 import pytest
