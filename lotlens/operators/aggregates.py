@@ -104,9 +104,9 @@ def _text_values(rows: DataFrame, *columns: str) -> dict:
 
 def position_item_stats(judged: DataFrame) -> DataFrame:
     """(lot, vision, colname, X, Y) statistics across frames over target rows: one hash aggregate, one shuffle."""
-    targets = judged_targets(judged)
-    texts = _text_values(targets, "meta_category", "meta_unit")
-    agg = targets.groupBy("lot_number", "vision", "colname", "PositionX", "PositionY").agg(
+    # of all rows, not only targets: more texts change no order, and nothing but the two columns is read
+    texts = _text_values(judged, "meta_category", "meta_unit")
+    agg = judged_targets(judged).groupBy("lot_number", "vision", "colname", "PositionX", "PositionY").agg(
         F.min("lot_start_time").alias("lot_start_time"),
         *[F.min(F.array_position(values, F.col(c))).alias(f"_{c}") for c, values in texts.items()],
         *_counts())
