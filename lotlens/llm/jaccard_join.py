@@ -179,8 +179,11 @@ def _tokens_at(path: Column, branches: int, used: int, coordinates: int) -> Colu
 
 
 def _among(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
-    """``rows`` whose ``key`` (a bigint) may be a ``hash`` of ``wanted``: a bitmap of fixed size keeps most others from being shuffled."""
-    cells = bitmap(wanted, BITMAP_WORDS).scalar()
+    """``rows`` whose ``key`` (a bigint) may be a ``hash`` of ``wanted``: a bitmap of fixed size keeps most others from being shuffled.
+
+    The bitmap is written out: Spark plans a scalar subquery anew wherever a filter is pushed to, with all that it is made of.
+    """
+    cells = materialised(bitmap(wanted, BITMAP_WORDS), "bitmap").scalar()
     return (rows.withColumn("cells", cells).withColumn("key_hash", key)
             .filter(in_bitmap("cells", "key_hash", BITMAP_WORDS)).drop("cells", "key_hash"))
 
@@ -275,6 +278,7 @@ def chosen_path_buckets(classes: DataFrame, runs: int, branches: int = BRANCHES,
                                    large.select(F.xxhash64("digest").alias("hash"))), "digest")
                  .select("digest", "root", F.col("path").alias("parent"),
                          F.explode(_tokens_at(F.col("path"), branches, roots, coordinates)).alias("path")))
+        below = materialised(below, f"below-{d}")  # counted and, where the split is kept, dealt
         children = _sizes(below)
         # the children hold ``branches`` rows for each set of their parent
         futile = materialised(children.groupBy("parent").agg(
@@ -482,6 +486,7 @@ def jaccard_partners(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id"
     members, opened, balls = chosen_path_buckets(
         classes, runs, BRANCHES, depth, small, coordinates,
         lambda hot: near_copy_balls(hot, shingles_of, similarity, small))
+    members = materialised(members, "compared")  # a union over all levels, read twice below
     sets = _among(classes.select("digest", "tokens"), F.xxhash64("digest"), members.select(F.xxhash64("digest").alias("hash")))
     sets = sets.withColumn("ball", F.lit(None).cast("binary")) if balls is None else sets.join(balls, "digest", "left")
     buckets = (members.join(sets, "digest").join(opened, "digest", "left")

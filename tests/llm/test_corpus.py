@@ -140,6 +140,22 @@ def test_balls_lose_and_add_nothing(spark):
     assert tuples(got, *NEAR) == brute_near(rows)
 
 
+def test_plans_of_the_join_stay_small(spark, monkeypatch):
+    """What is planned at once does not repeat the levels before it: the driver holds every node of a plan."""
+    rng, scans, written = random.Random(3), {}, jaccard_join.materialised
+
+    def counted(df, name):
+        scans[name] = max(scans.get(name, 0), df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return written(df, name)
+
+    monkeypatch.setattr(jaccard_join, "materialised", counted)
+    boiler = prose(rng, 60)
+    texts = near_copies(rng, prose(rng, 150), 40, 8) + [boiler + " " + prose(rng, 15) for _ in range(60)]
+    jaccard_join.near_duplicate_classes(doc_frame(spark, list(enumerate(texts))), small=4, depth=4)
+    assert len([name for name in scans if name.startswith("paths-")]) >= 3
+    assert max(scans.values()) <= 20, scans
+
+
 def test_one_of_each(awkward_docs, awkward, no_docs):
     kept = jaccard_join.one_of_each(awkward_docs)
     assert kept.columns == awkward_docs.columns
